@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sstable
+from . import bpe, langid, linededup, pii, quality, simhash, sstable, substring, warc, winnow
 from .common import documents
 
 #: Name of the vocabulary file that the contracts fix.
@@ -19,16 +19,56 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(documents(spark, sf_dir))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digests(documents(spark, sf_dir), vocabulary())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(documents(spark, sf_dir), texts=False)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
+    "op3_decontamination": op3_decontamination,
     "op4_token_output": op4_token_output,
+    "op5_language_id": op5_language_id,
+    "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 
