@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python helper holds as Python objects at a time.
 SLICE = 256
+#: Most rows and bytes of an Arrow batch. Texts are long: Spark's 10,000 rows would be held several times over by each task.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +51,10 @@ def rows(batches, *columns: str) -> Iterator[list[tuple]]:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
             yield list(zip(*(part.column(c).to_pylist() for c in columns), strict=True))
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow in small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)

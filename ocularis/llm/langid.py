@@ -23,8 +23,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import rows
+from .common import mapped, rows
 
 BINS, CLUSTERS, SAMPLE, TAIL, SLACK = 4_096, 4, 2_000, 0.01, 0.5
 #: Characters counted at a time.
@@ -152,7 +153,7 @@ def _document_frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
 
     totals = np.zeros(BINS + 1, dtype=np.int64)
-    for r in train.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows
+    for r in mapped(train.select("text"), count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows
         totals[r["bin"]] = r["n"]
     return int(totals[BINS]), totals[:BINS]
 
@@ -193,7 +194,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
                 made.append((lang, k, c.astype(np.float32).tobytes(), SLACK * float(np.quantile(near, TAIL))))
         return pd.DataFrame(made, columns=["lang", "k", "centroid", "limit"])
 
-    found = picked.mapInArrow(vectorise, "doc_id long, lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid binary, limit double").collect()  # CLUSTERS rows a language
+    found = mapped(picked, vectorise, "doc_id long, lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid binary, limit double").collect()  # CLUSTERS rows a language
     found.sort(key=lambda r: (r["lang"], r["k"]))
     centroids = np.stack([np.frombuffer(r["centroid"], dtype=np.float32) for r in found]) if found else np.zeros((0, BINS), np.float32)
     return Model([r["lang"] for r in found], centroids, np.array([r["limit"] for r in found]), idf)
@@ -218,10 +219,8 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, rejected = zip(*known.predict(part.column("text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*part.schema.names, "lang_pred", "score", "rejected"])
 
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
-
-    schema = StructType(docs.schema.fields).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
+    return mapped(docs, run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, written
+from .common import mapped, rows, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, PRIOR, LIMIT, SUPPORT = 3, 0.5, 0.8, 5
@@ -150,7 +150,7 @@ def extracted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(as_dicts, spans), pa.array(as_found, insts)], names=["doc_id", "th", "base", "found"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return keyed.mapInArrow(run, f"doc_id long, th long, base array<{span}>, found array<{inst}>")
+    return mapped(keyed, run, f"doc_id long, th long, base array<{span}>, found array<{inst}>")
 
 
 def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +192,11 @@ def _listed(of: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of spans of each kind that patterns find, their digest, all spans, and n_added."""
     found = spans(docs)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 

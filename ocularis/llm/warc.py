@@ -28,8 +28,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import rows, scratch, written
+from .common import mapped, rows, scratch, written
 
 CHUNK, BLOCK = 1 << 20, 1 << 18
 _END = b"\r\n"
@@ -95,7 +97,7 @@ def write(records: DataFrame, chunk: int = CHUNK) -> list[tuple[str, int]]:
             for page_id, url, kind, refers_to, size, sha, k, is_last, data in part:
                 if out is None:
                     store.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(temporary)
+                    out = store.open_output_stream(temporary, compression=None)
                 if k == 0:
                     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
                     out.write(pack.compress(_header(page_id, url, kind, refers_to, size, sha)))
@@ -109,7 +111,7 @@ def write(records: DataFrame, chunk: int = CHUNK) -> list[tuple[str, int]]:
             store.move(temporary, path)
             yield pa.RecordBatch.from_arrays([pa.array([f"{to}/{path.rpartition('/')[2]}"]), pa.array([n], pa.int64())], names=["path", "n"])
 
-    return sorted(tuple(r) for r in chunked(records, chunk).mapInArrow(archive, "path string, n long").collect())
+    return sorted(tuple(r) for r in mapped(chunked(records, chunk), archive, "path string, n long").collect())
 
 
 def _members(path: str, block: int) -> Iterator[tuple[bytes, bool]]:
@@ -117,7 +119,7 @@ def _members(path: str, block: int) -> Iterator[tuple[bytes, bool]]:
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at) as stream:
+    with store.open_input_stream(at, compression=None) as stream:
         unpack, packed, pending = zlib.decompressobj(31), b"", False
         while packed or pending or (packed := stream.read(block)):
             piece = unpack.decompress(packed, block)
@@ -163,12 +165,11 @@ def record_table(spark, archives: list[tuple[str, int]], data: bool = True, chun
     A revisit's size and digest are those that its headers give for its payload."""
     schema = "page_id long, url string, record_type string, refers_to long, chunk int, size long, digest string, is_last boolean" + ", data binary" * data
 
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
     def read(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        kinds = to_arrow_schema(StructType.fromDDL(schema))
         for part in rows(batches, "path"):
             for (path,) in part:
                 made = []
@@ -183,7 +184,7 @@ def record_table(spark, archives: list[tuple[str, int]], data: bool = True, chun
                 yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
     files = spark.createDataFrame(archives, "path string, n long")
-    return files.repartition(max(1, len(archives)), "path").mapInArrow(read, schema)
+    return mapped(files.repartition(max(1, len(archives)), "path"), read, schema)
 
 
 def report(pages: DataFrame, least: int = 0) -> DataFrame:

@@ -60,8 +60,11 @@ def _at(i: int) -> Column:
 
 
 def _winnowed(texts: DataFrame, keys: list[str], keep: str) -> DataFrame:
-    """keys, pos, gram and keep of the kept grams of texts (keys, words: array of long): gram begins at word pos."""
-    placed = texts.select(*keys, "words", F.posexplode("words").alias("pos", "_w"))
+    """keys, pos, gram and keep of the kept grams of texts (keys, words: array of long): gram begins at word pos.
+
+    Two things hold the optimiser back, which would compute words twice and a gram's hash some forty times:
+    the outer explode, of which it infers no filter, and _row, past which it pushes none."""
+    placed = texts.select(*keys, "words", F.posexplode_outer("words").alias("pos", "_w"))
     wide = placed.filter(F.col("pos") + WINDOW <= F.size("words")).select(*keys, "words", "pos", *(_at(i).alias(f"w{i + 1}") for i in range(-1, WINDOW)))
     grams = wide.select(*keys, "words", "pos", *(F.xxhash64(*(F.col(f"w{j + k}") for k in range(GRAM))).alias(f"g{j}") for j in range(_SPAN + 2)))
 
@@ -73,8 +76,8 @@ def _winnowed(texts: DataFrame, keys: list[str], keep: str) -> DataFrame:
             out = F.when(F.col(names[j]) == low, F.lit(first - 1 + j)).otherwise(out)
         return out
 
-    chosen = grams.select(*keys, "words", "pos", leftmost(1).alias("_here"), leftmost(0).alias("_before"), F.least(*(f"g{j + 1}" for j in range(_SPAN + 1))).alias("gram"))
-    new = chosen.filter((F.col("pos") == 0) | (F.col("_here") != F.col("_before")))
+    chosen = grams.select(*keys, "words", "pos", leftmost(1).alias("_here"), leftmost(0).alias("_before"), F.least(*(f"g{j + 1}" for j in range(_SPAN + 1))).alias("gram"), F.monotonically_increasing_id().alias("_row"))
+    new = chosen.filter(((F.col("pos") == 0) | (F.col("_here") != F.col("_before"))) & (F.col("_row") >= 0))
     return new.select(*keys, *(["words"] if keep == "words" else []), (F.col("pos") + F.col("_here")).alias("pos"), "gram", *([_around().alias("around")] if keep == "around" else []))
 
 
