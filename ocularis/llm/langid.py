@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from .common import mapped, rows
 
-BINS, CLUSTERS, SAMPLE, TAIL, SLACK = 4_096, 4, 2_000, 0.01, 0.5
+BINS, CLUSTERS, SAMPLE, TAIL, SLACK = 4_096, 4, 2_000, 0.01, 0.3
 #: Characters counted at a time.
 _PIECE = 100_000
 _SPACE = np.uint64(32)
