@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import rows
+from .common import mapped, rows
 
 #: Characters of a leaf, and of the longest text that isn't cut.
 LEAF, LONG = 32_768, 65_536
@@ -202,15 +202,15 @@ def encoded(docs: DataFrame, path: str, result: str, digest, leaf: int = LEAF, l
         ids = concatenated(enc, list(zip(pdf["text"], pdf["ids"], strict=True)))
         return pd.DataFrame([(pdf["doc_id"].iloc[0], *digest(enc, ids))], columns=names)
 
-    short = docs.filter(F.length("text") <= long).mapInArrow(whole, result)
-    cut = (
+    short = mapped(docs.filter(F.length("text") <= long), whole, result)
+    leaves = (
         docs.filter(F.length("text") > long)
         .withColumn("row", F.monotonically_increasing_id())
         .select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / leaf).cast("int") - 1)).alias("n"))
         .select("doc_id", "row", "n", F.expr(f"substring(text, n * {leaf} + 1, {leaf})").alias("text"))
         .repartition("row", "n")
-        .mapInArrow(leaf_ids, "doc_id long, row long, n int, text string, ids binary")
     )
+    cut = mapped(leaves, leaf_ids, "doc_id long, row long, n int, text string, ids binary")
     return short.unionByName(cut.groupBy("row").applyInPandas(tree, result))
 
 

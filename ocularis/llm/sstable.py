@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import rows, scratch
+from .common import mapped, rows, scratch
 
 MAGIC = b"OCSST001"
 BLOCK, BITS, HASHES = 64 * 1024, 10, 7
@@ -204,7 +204,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> list[tuple[int, s
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([path]), pa.array([out.n_docs], pa.int64()), pa.array([out.n_tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    made = ranged.mapInArrow(shard, "shard long, path string, n_docs long, n_tokens long")
+    made = mapped(ranged, shard, "shard long, path string, n_docs long, n_tokens long")
     return sorted(tuple(r) for r in made.collect())
 
 
@@ -234,7 +234,7 @@ def read(spark, shards: list[tuple[int, str, int, int]], result: str, make) -> D
                 yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
     files = spark.createDataFrame(listed, "path string, start long")
-    return files.repartition(max(1, len(listed)), "path").mapInArrow(entries, result)
+    return mapped(files.repartition(max(1, len(listed)), "path"), entries, result)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
