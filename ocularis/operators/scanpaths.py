@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +67,6 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
 
 def dynamic_time_warping_distance(pairs: DataFrame, ax: str, ay: str, bx: str, by: str) -> DataFrame:
     """dtw of pairs of paths in arrays, as an Arrow function over rows."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def distance(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
         return pd.Series([dtw(np.column_stack([a, b]), np.column_stack([c, d])) for a, b, c, d in zip(x0, y0, x1, y1, strict=True)])
@@ -149,8 +148,6 @@ def change_scores(df: DataFrame, order: str, by: Sequence[str], channels: Sequen
 
 def detect_process_changepoints(df: DataFrame, order: str, by: Sequence[str], channels: Sequence[str], window: int = 10, quantile: float = 0.9, min_segment: int = 5) -> DataFrame:
     """Rows whose change score is in the group's upper quantile, picked by falling score at least min_segment apart."""
-    import pandas as pd
-
     scored = change_scores(df, order, by, channels, window).withColumn("_i", F.row_number().over(ordered(by, order)))
     limit = F.percentile("change_score", F.lit(quantile)).over(Window.partitionBy(*by))
     candidates = scored.withColumn("_limit", limit).filter((F.col("change_score") >= F.col("_limit")) & (F.col("change_score") > 0)).select(*by, F.col("_i").alias("position"), "change_score")
