@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, written
+from .common import mapped, rows, written
 
 WINDOW, GRAM = 50, 12
 DEPTH, CELLS_EACH, LEAST_BITS, MOST_BITS = 2, 8, 20, 30
@@ -150,7 +150,7 @@ def sketch(docs: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM) -
                 sums[at] = np.minimum(2, sums[at] + np.frombuffer(counts, dtype=np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(sums >= 2, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
 
-    counted = docs.select("text").mapInArrow(count, "range long, cells binary, counts binary")
+    counted = mapped(docs.select("text"), count, "range long, cells binary, counts binary")
     return [(r["range"], bytes(r["bits"])) for r in counted.groupBy("range").applyInArrow(merge, "range long, bits binary").toLocalIterator()]
 
 
@@ -200,7 +200,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
                 windows = pa.ListArray.from_arrays(offsets, pa.array(flat[4], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2].astype(np.int32)), pa.array(flat[3].astype(np.int32)), windows], names=["doc_id", "th", "anchor", "run", "first", "n", "windows"])
 
-    return docs.mapInArrow(emit, "doc_id long, th long, anchor long, run long, first int, n int, windows array<long>")
+    return mapped(docs, emit, "doc_id long, th long, anchor long, run long, first int, n int, windows array<long>")
 
 
 #: Null ids come after all others.
@@ -216,9 +216,10 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     owned = found.select("doc_id", "th", "id", "anchor", "run", "first", "n").join(firsts, ["anchor", "run"])
     whole = owned.filter("owner < id").select("doc_id", "th", "first", (F.col("first") + F.col("n") + window - 1).alias("stop"))
     open_runs = firsts.join(several, "anchor", "left_semi")
-    own = found.join(open_runs, ["anchor", "run"]).filter("owner = id").select("doc_id", "th", "id", "anchor", "first", F.posexplode("windows").alias("k", "hash"))
-    earliest = own.groupBy("anchor", "hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("anchor", "hash", "owner")
-    single = own.join(earliest, ["anchor", "hash"]).filter("owner < id").select("doc_id", "th", (F.col("first") + F.col("k")).alias("first"))
+    # rows of this table are the bulk of what is shuffled, so they are kept narrow: id stands for doc_id
+    own = found.join(open_runs, ["anchor", "run"]).filter("owner = id").select("id", "th", "anchor", "first", F.posexplode("windows").alias("k", "hash")).select("id", "th", "anchor", "hash", (F.col("first") + F.col("k")).alias("first"))
+    earliest = own.groupBy("anchor", "hash").agg(F.min("id").alias("owner"))
+    single = own.join(earliest, ["anchor", "hash"]).filter("owner < id").select(F.nullif("id", F.lit(_LAST)).alias("doc_id"), "th", "first")
     return whole.unionByName(single.select("doc_id", "th", "first", (F.col("first") + window).alias("stop")))
 
 
@@ -248,4 +249,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(cols)])
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    return mapped(joined, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
