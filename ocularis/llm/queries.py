@@ -72,4 +72,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+#: Words by ASCII white space, and lines, as DuckDB list expressions.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LINES = "string_split(text, chr(10))"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ASCII_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_ENDS = quality.ENDS.replace("'", "''")
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": rf"""
+WITH l AS (SELECT doc_id, source, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM documents),
+k AS (SELECT *, CASE WHEN len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 THEN trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) END AS key FROM l),
+b AS (SELECT key, min((doc_id, pos)) AS place FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT source) >= 10),
+m AS (SELECT k.doc_id, k.pos, k.line, b.key IS NOT NULL AND (k.doc_id, k.pos) != b.place AS gone FROM k LEFT JOIN b ON k.key = b.key),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id""",
+    "op3_decontamination": rf"""
+WITH i AS (SELECT item_id, {_ASCII_WORDS} AS w FROM benchmark), iw AS (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+win AS (SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' '))) AS g FROM iw), wins AS (SELECT DISTINCT item_id, n, g FROM win), sizes AS (SELECT DISTINCT n FROM wins),
+d AS (SELECT doc_id, {_ASCII_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k : k + n - 1], ' '))) AS g FROM d, sizes WHERE len(w) >= n),
+h AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN wins ON dw.n = wins.n AND dw.g = wins.g),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op7_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, unnest(list_transform(range(1, len(w) - 48), lambda k: md5(array_to_string(w[k : k + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM (SELECT doc_id, p FROM g JOIN f ON g.h = f.h WHERE first < doc_id)),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+k AS (SELECT e.doc_id, count(*) FILTER (r.q IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.q) FILTER (r.q IS NULL), '') AS kept FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.q = e.q GROUP BY e.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op8_quality": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+b AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT (
+  (len(regexp_extract_all(x, '{quality.SYMBOLS}')) >= 3 AND 20 * len(regexp_extract_all(x, '{quality.SYMBOLS}')) > length(x))
+  OR (len(regexp_extract_all(x, '\p{{L}}')) >= 20 AND 2 * len(regexp_extract_all(x, '\p{{Lu}}')) > len(regexp_extract_all(x, '\p{{L}}')))
+  OR regexp_matches(x, '{quality.PHRASES}')
+  OR (NOT regexp_matches(x, '{_ENDS}') AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) < 10))) AS good FROM l),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS h FROM d WHERE len(w) >= 3),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, h) AS c FROM g) WHERE c > 1),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM r) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '{quality.SYMBOLS}'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls)::BIGINT AS n_lines, (len(ls) - len(good))::BIGINT AS n_failed_lines, length(array_to_string(ls, '')) AS c0, length(array_to_string(good, '')) AS c1 FROM d JOIN b ON d.doc_id = b.doc_id LEFT JOIN n ON n.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (c0 - c1 > 0.5 * c0) AS kept, n_lines, n_failed_lines FROM m""",
+}
