@@ -15,12 +15,16 @@ SLICE = 256
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of the application where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-ocularis-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _temporary.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-ocularis-")
+        _temporary[app] = found
     return found.rstrip("/")
 
 
