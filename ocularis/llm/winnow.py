@@ -59,36 +59,28 @@ def _at(i: int) -> Column:
     return F.get("words", F.col("pos") + i)
 
 
-def _winnowed(texts: DataFrame, keys: list[str], keep: str) -> DataFrame:
-    """keys, pos, gram and keep of the kept grams of texts (keys, words: array of long): gram begins at word pos.
+def _grams(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, words, pos, g1 to g6 and gram (the smallest of them) of each window of texts (keys, words: array of long).
 
-    Two things hold the optimiser back, which would compute words twice and a gram's hash some forty times:
-    the outer explode, of which it infers no filter, and _row, past which it pushes none."""
+    An outer explode, since of a plain one the optimiser infers a filter that splits every text again."""
     placed = texts.select(*keys, "words", F.posexplode_outer("words").alias("pos", "_w"))
-    wide = placed.filter(F.col("pos") + WINDOW <= F.size("words")).select(*keys, "words", "pos", *(_at(i).alias(f"w{i + 1}") for i in range(-1, WINDOW)))
-    grams = wide.select(*keys, "words", "pos", *(F.xxhash64(*(F.col(f"w{j + k}") for k in range(GRAM))).alias(f"g{j}") for j in range(_SPAN + 2)))
+    wide = placed.filter(F.col("pos") + WINDOW <= F.size("words")).select(*keys, "words", "pos", *(_at(i).alias(f"w{i + 1}") for i in range(WINDOW)))
+    hashed = wide.select(*keys, "words", "pos", *(F.xxhash64(*(F.col(f"w{j + k}") for k in range(GRAM))).alias(f"g{j}") for j in range(1, _SPAN + 2)))
+    return hashed.withColumn("gram", F.least(*(f"g{j}" for j in range(1, _SPAN + 2))))
 
-    def leftmost(first: int) -> Column:
-        """Offset from pos of the smallest of the grams g<first> to g<first + _SPAN>; g1 begins at pos."""
-        names = [f"g{first + j}" for j in range(_SPAN + 1)]
-        low, out = F.least(*names), F.lit(first - 1 + _SPAN)
-        for j in reversed(range(_SPAN)):
-            out = F.when(F.col(names[j]) == low, F.lit(first - 1 + j)).otherwise(out)
-        return out
 
-    chosen = grams.select(*keys, "words", "pos", leftmost(1).alias("_here"), leftmost(0).alias("_before"), F.least(*(f"g{j + 1}" for j in range(_SPAN + 1))).alias("gram"), F.monotonically_increasing_id().alias("_row"))
-    new = chosen.filter(((F.col("pos") == 0) | (F.col("_here") != F.col("_before"))) & (F.col("_row") >= 0))
-    return new.select(*keys, *(["words"] if keep == "words" else []), (F.col("pos") + F.col("_here")).alias("pos"), "gram", *([_around().alias("around")] if keep == "around" else []))
+def _kept(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, gram, pos (its leftmost place) and around (the word hashes from _SPAN before it to _SPAN after it, null beyond the text)."""
+    at = F.lit(_SPAN)
+    for j in reversed(range(_SPAN)):
+        at = F.when(F.col(f"g{j + 1}") == F.col("gram"), F.lit(j)).otherwise(at)
+    placed = windows.select(*keys, "words", "gram", (F.col("pos") + at).alias("pos"))
+    return placed.select(*keys, "gram", "pos", F.array(*(_at(i) for i in range(-_SPAN, GRAM + _SPAN))).alias("around"))
 
 
-def _around() -> Column:
-    """The word hashes from _SPAN before the gram to _SPAN after it, null beyond the text."""
-    return F.array(*(F.get("words", F.col("pos") + F.col("_here") + i) for i in range(-_SPAN, GRAM + _SPAN)))
-
-
-def _extended(joined: DataFrame, word) -> DataFrame:
-    """Hits of joined gram pairs: runs of equal words about the gram; word(i): the document's word at i from the gram's first."""
-    same = lambda i: F.coalesce(word(i) == F.get("item_around", F.lit(i + _SPAN)), F.lit(False))
+def _extended(joined: DataFrame) -> DataFrame:
+    """Hits of joined gram pairs: runs of equal words about the gram, of a window's length or more."""
+    same = lambda i: F.coalesce(F.get("around", F.lit(i + _SPAN)) == F.get("item_around", F.lit(i + _SPAN)), F.lit(False))
     left, right = F.lit(_SPAN), F.lit(_SPAN)
     for k in reversed(range(_SPAN)):
         left = F.when(~same(-1 - k), F.lit(k)).otherwise(left)
@@ -121,17 +113,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("words"))
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words"))
     items = written(items.withColumn("n_item", F.size("words")).filter("n_item > 0").distinct(), "winnow-items")
-    grams = written(_winnowed(items, ["item_id"], "around").select("item_id", "gram", F.col("around").alias("item_around")), "winnow-grams")
+    grams = written(_kept(_grams(items, ["item_id"]), ["item_id"]).select("item_id", "gram", F.col("around").alias("item_around")).distinct(), "winnow-grams")
     lengths = sorted(r["n_item"] for r in items.filter(F.col("n_item") < WINDOW).select("n_item").distinct().collect())  # nine at most
-    if grams.count() <= broadcast_rows:
-        joined = _winnowed(texts, ["doc_id", "th"], "words").join(F.broadcast(grams), "gram")
-        found = _extended(joined, lambda i: F.get("words", F.col("pos") + i))
+    keys = ["doc_id", "th"]
+    small = grams.count() <= broadcast_rows
+    if small:
+        # the few windows that meet a gram become a table, which ends the generated code here: with the
+        # extension in it the loop over words would be too long a method for the JVM to compile
+        met = _kept(_grams(texts, keys).join(F.broadcast(grams.select("gram").distinct()), "gram"), keys).repartition(*keys).distinct()
     else:
-        some = _winnowed(texts, ["doc_id", "th"], "none").join(grams.select("gram").distinct(), "gram", "left_semi").select("doc_id", "th").distinct()
+        some = _grams(texts, keys).select(*keys, "gram").distinct().join(grams.select("gram").distinct(), "gram", "left_semi").select(*keys).distinct()
         some = written(some.select(F.col("doc_id").alias("d"), F.col("th").alias("h")), "winnow-some")
-        texts_left = texts.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi")
-        joined = _winnowed(texts_left, ["doc_id", "th"], "around").join(grams, "gram")
-        found = _extended(joined, lambda i: F.get("around", F.lit(i + _SPAN)))
+        left = texts.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi")
+        met = _kept(_grams(left, keys), keys).distinct()
+    met = written(met, "winnow-met")
+    found = _extended(met.join(F.broadcast(grams) if small else grams, "gram"))
     if lengths:
         short = items.filter(F.col("n_item") < WINDOW)
         found = found.unionByName(_short_hits(texts, short, lengths, short.count() <= broadcast_rows))
