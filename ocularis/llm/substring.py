@@ -13,7 +13,7 @@ share; a run is a stretch of windows of one document with one anchor.
 2. A second pass over the texts emits the runs whose anchor is estimated in two documents or more.
    Runs that agree in all words are grouped exactly: all but the first document's lose all their
    windows. Where an anchor has several different runs, the windows of each one's first document
-   are grouped exactly, one by one.
+   go through a sketch of their own, and those estimated twice are grouped exactly, one by one.
 
 Windows and runs are compared by their anchor and a second 64-bit hash, 128 bits together.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,27 +120,25 @@ def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
     return [_mixed(anchors, 0x5851F42D4C957F2D * (d + 1) & (1 << 64) - 1) >> np.uint64(64 - bits) for d in range(DEPTH)]
 
 
-def sketch(docs: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, bytes]]:
-    """The merged sketch, as (range of cells, a bit a cell: two or more): DEPTH * 2**bits bits at most."""
+def sketch(table: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[tuple[int, bytes]]:
+    """The merged sketch of what hashes gives for each batch, as (range of cells, a bit a cell: two or more)."""
     width = min(bits, _RANGE_BITS)
     per_row = 1 << (bits - width)
 
     def count(batches):
         seen: list[np.ndarray] = []
-        for part in rows(batches, "text"):
-            for (text,) in part:
-                found = runs(text, window, gram)
-                if found:
-                    seen.append(np.unique(found[0]))
+        for batch in batches:
+            seen += hashes(batch)
         if seen:
-            anchors = np.concatenate(seen)
-            for d, cells in enumerate(_cells(anchors, bits)):
+            every = np.concatenate(seen)
+            for d, cells in enumerate(_cells(every, bits)):
                 touched, times = np.unique(cells, return_counts=True)
                 where = (touched >> np.uint64(width)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(where)) + 1
                 for cell, n in zip(np.split(touched, cuts), np.split(times, cuts), strict=True):
-                    low = (cell & np.uint64((1 << width) - 1)).astype("<u4")
-                    yield pa.RecordBatch.from_arrays([pa.array([d * per_row + int(cell[0] >> np.uint64(width))], pa.int64()), pa.array([low.tobytes()], pa.binary()), pa.array([np.minimum(n, 2).astype(np.uint8).tobytes()], pa.binary())], names=["range", "cells", "counts"])
+                    if len(cell):
+                        low = (cell & np.uint64((1 << width) - 1)).astype("<u4")
+                        yield pa.RecordBatch.from_arrays([pa.array([d * per_row + int(cell[0] >> np.uint64(width))], pa.int64()), pa.array([low.tobytes()], pa.binary()), pa.array([np.minimum(n, 2).astype(np.uint8).tobytes()], pa.binary())], names=["range", "cells", "counts"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << width, dtype=np.uint8)
@@ -150,25 +148,42 @@ def sketch(docs: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM) -
                 sums[at] = np.minimum(2, sums[at] + np.frombuffer(counts, dtype=np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(sums >= 2, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
 
-    counted = mapped(docs.select("text"), count, "range long, cells binary, counts binary")
+    counted = mapped(table, count, "range long, cells binary, counts binary")
     return [(r["range"], bytes(r["bits"])) for r in counted.groupBy("range").applyInArrow(merge, "range long, bits binary").toLocalIterator()]
 
 
-def _bits_for(docs: DataFrame, window: int, gram: int) -> int:
-    """Width of a sketch row, as a power of two: CELLS_EACH cells for each anchor expected of texts of this many bytes."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    anchors = size / 6 * 2 / (window - gram + 2)
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1.0, anchors * CELLS_EACH)))))
+def _bits(expected: float) -> int:
+    """Width of a sketch row, as a power of two: CELLS_EACH cells for each hash expected."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1.0, expected * CELLS_EACH)))))
+
+
+def _bitmap(table: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], list[np.ndarray]]) -> np.ndarray:
+    """The sketch's bits as one array of DEPTH * 2**bits / 8 bytes."""
+    width = min(bits, _RANGE_BITS)
+    out = np.zeros(DEPTH << bits >> 3, dtype=np.uint8)
+    for k, part in sketch(table, bits, hashes):
+        out[k << width >> 3 : (k + 1) << width >> 3] = np.frombuffer(part, dtype=np.uint8)
+    return out
+
+
+def _repeated(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are estimated twice or more in every row of the sketch."""
+    passed = np.ones(len(hashes), dtype=bool)
+    for d, cells in enumerate(_cells(hashes, bits)):
+        at = cells + np.uint64(d << bits)
+        passed &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return passed
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, th, anchor, run (hash of all its words), first, n and windows (hashes) of each run whose anchor is estimated in two documents."""
-    bits = _bits_for(docs, window, gram)
-    width = min(bits, _RANGE_BITS)
-    table = np.zeros(DEPTH << bits >> 3, dtype=np.uint8)
-    for k, part in sketch(docs, bits, window, gram):
-        table[k << width >> 3 : (k + 1) << width >> 3] = np.frombuffer(part, dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = _bits(size / 6 * 2 / (window - gram + 2))
+
+    def anchors_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.unique(found[0]) for text in batch.column("text").to_pylist() if (found := runs(text, window, gram))]
+
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(docs.select("text"), bits, anchors_of))
 
     def emit(batches):
         bitmap = shared.value
@@ -179,10 +194,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
                 if not found:
                     continue
                 anchors, first, n, sums = found
-                passed = np.ones(len(anchors), dtype=bool)
-                for d, cells in enumerate(_cells(anchors, bits)):
-                    at = cells + np.uint64(d << bits)
-                    passed &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                passed = _repeated(bitmap, bits, anchors)
                 if not passed.any():
                     continue
                 anchors, first, n = anchors[passed], first[passed], n[passed]
@@ -207,6 +219,29 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 _LAST = 2**63 - 1
 
 
+def repeated_windows(table: DataFrame) -> DataFrame:
+    """id, th, anchor, hash and first of the windows of runs (id, th, anchor, first, n, windows) that are estimated twice; table is read twice."""
+    bits = _bits(table.agg(F.sum("n")).first()[0] or 0)
+    shared = table.sparkSession.sparkContext.broadcast(_bitmap(table.select("windows"), bits, lambda batch: [_flat(batch)]))
+
+    def emit(batches):
+        bitmap = shared.value
+        for batch in batches:
+            hashes, n = _flat(batch), batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            row, place = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keep = np.flatnonzero(_repeated(bitmap, bits, hashes))
+            row, place = row[keep], place[keep]
+            first = batch.column("first").to_numpy(zero_copy_only=False)[row] + place
+            columns = [batch.column(c).take(pa.array(row)) for c in ("id", "th", "anchor")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes[keep].view(np.int64)), pa.array(first.astype(np.int32))], names=["id", "th", "anchor", "hash", "first"])
+
+    return mapped(table.select("id", "th", "anchor", "first", "n", "windows"), emit, "id long, th long, anchor long, hash long, first int")
+
+
+def _flat(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("windows").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, th (hash of the text), first and stop: word spans to remove; spans may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
@@ -216,8 +251,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     owned = found.select("doc_id", "th", "id", "anchor", "run", "first", "n").join(firsts, ["anchor", "run"])
     whole = owned.filter("owner < id").select("doc_id", "th", "first", (F.col("first") + F.col("n") + window - 1).alias("stop"))
     open_runs = firsts.join(several, "anchor", "left_semi")
-    # rows of this table are the bulk of what is shuffled, so they are kept narrow: id stands for doc_id
-    own = found.join(open_runs, ["anchor", "run"]).filter("owner = id").select("id", "th", "anchor", "first", F.posexplode("windows").alias("k", "hash")).select("id", "th", "anchor", "hash", (F.col("first") + F.col("k")).alias("first"))
+    own = repeated_windows(written(found.join(open_runs, ["anchor", "run"]).filter("owner = id").select("id", "th", "anchor", "first", "n", "windows"), "substring-open"))
     earliest = own.groupBy("anchor", "hash").agg(F.min("id").alias("owner"))
     single = own.join(earliest, ["anchor", "hash"]).filter("owner < id").select(F.nullif("id", F.lit(_LAST)).alias("doc_id"), "th", "first")
     return whole.unionByName(single.select("doc_id", "th", "first", (F.col("first") + window).alias("stop")))
