@@ -12,22 +12,34 @@ from pyspark.sql import functions as F
 from ..functions.columns import anyof, entropy, finite, ordered, ratio, run_id
 
 
-def levenshtein_tokens(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of tokens: each row of the table is folded into the next, within the row of data."""
-    first = F.sequence(F.lit(0), F.size(b))
-
-    def step(row: Column, token: Column) -> Column:
-        cells = F.sequence(F.lit(1), F.size(b))
-        start = F.array(F.get(row, F.lit(0)) + 1)
-        return F.aggregate(cells, start, lambda out, j: F.concat(out, F.array(F.least(F.get(row, j) + 1, F.get(out, j - 1) + 1, F.get(row, j - 1) + F.when(F.get(b, j - 1) == token, 0).otherwise(1)))))
-
-    return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(F.aggregate(a, first, step), -1))
+def levenshtein_tokens(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two lists of tokens, a null being unlike all; a column of the table at a time, its steps as bits of integers (Hyyrö)."""
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    at: dict = {}
+    for k, token in enumerate(a):
+        if token is not None:
+            at[token] = at.get(token, 0) | 1 << k
+    full, last, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    more, less = full, 0
+    for token in b:
+        same = at.get(token, 0)
+        diagonal = ((((same & more) + more) ^ more) | same | less) & full
+        right, left = less | full & ~(diagonal | more), diagonal & more
+        distance += bool(right & last) - bool(left & last)
+        right = right << 1 | 1
+        more, less = (left << 1 | ~(diagonal | right)) & full, right & diagonal
+    return distance
 
 
 def levenshtein_scanpath(pairs: DataFrame, a: str, b: str, normalize: bool = True) -> DataFrame:
-    d = levenshtein_tokens(F.col(a), F.col(b)).cast("double")
+    """levenshtein_tokens of pairs of arrays, as an Arrow function over rows; null where an array is."""
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if i is None or j is None else float(levenshtein_tokens(i, j)) for i, j in zip(x, y, strict=True)], dtype="float64")
+
     longest = F.greatest(F.size(a), F.size(b))
-    return pairs.withColumn("levenshtein", F.when(longest == 0, 0.0).otherwise(d / longest) if normalize else d)
+    return pairs.withColumn("levenshtein", distance(a, b)).withColumn("levenshtein", F.when(longest == 0, 0.0).otherwise(F.col("levenshtein") / longest) if normalize else F.col("levenshtein"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

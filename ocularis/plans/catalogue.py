@@ -571,7 +571,7 @@ _PAIRS = "WITH u AS (SELECT conv_id, turn, string_split(text, ' ')[1:12] AS w FR
 
 
 def _turns(spark, sf_dir) -> DataFrame:
-    u = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 12).alias("a"))
+    u = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"))
     return u.join(u.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
 
 
