@@ -2,9 +2,11 @@
 
 A text is its letter n-grams of one to three characters, lower-cased, with word ends, hashed to
 ``BINS`` bins; 1 + log of the counts times the inverse document frequency, at length one. A language
-has up to ``CLUSTERS`` centroids from spherical k-means. A text takes the language of the centroid
-with the largest cosine, and is rejected if that cosine is below the centroid's own limit: ``SLACK``
-times the ``TAIL`` quantile of the cosines of its training texts.
+has up to ``CLUSTERS`` centroids from spherical k-means; those of less than ``LEAST`` of its texts,
+which are junk or texts with a wrong label, are left out. A text takes the language of the centroid
+with the largest cosine, and is rejected if that cosine is below the language's limit for texts of its
+length: ``SLACK`` times the ``TAIL`` quantile of the cosines of training texts, whole and cut to
+``CUTS`` characters, with as many n-grams to a power of two.
 
 Counts for the inverse document frequency cover every training row. The centroids are fitted on a
 bounded sample of the labelled rows: about ``SAMPLE`` a language, picked by a hash of doc_id, so that
@@ -27,7 +29,9 @@ from pyspark.sql.types import StructType
 
 from .common import mapped, rows
 
-BINS, CLUSTERS, SAMPLE, TAIL, SLACK = 4_096, 4, 2_000, 0.01, 0.3
+BINS, CLUSTERS, SAMPLE, TAIL, SLACK, LEAST = 4_096, 4, 2_000, 0.01, 0.7, 0.01
+#: Lengths of the pieces that limits of short texts come from, the powers of two that n-grams of a text can reach, and the pieces that a limit needs.
+CUTS, POWERS, ENOUGH = (8, 16, 32, 64, 128, 256, 512, 1024), 64, 20
 #: Characters counted at a time.
 _PIECE = 100_000
 _SPACE = np.uint64(32)
@@ -96,6 +100,11 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.where(norms > 0, norms, 1)
 
 
+def powers(counts: np.ndarray) -> np.ndarray:
+    """The power of two that the n-grams of each row reach."""
+    return np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Unit centroids and each row's own; the first is the mean's nearest row, each next the farthest row."""
     k = min(k, len(x))
@@ -120,7 +129,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarra
 
 @dataclass(frozen=True)
 class Model:
-    """Centroids of all languages, by language name, with the limit of each."""
+    """Centroids of all languages, by language name, with the limits of each by powers of two of n-grams."""
 
     langs: list[str]
     centroids: np.ndarray
@@ -136,7 +145,7 @@ class Model:
         best = np.argmax(cosines, axis=1)
         some = counts.any(axis=1).tolist()
         values = np.clip(cosines[np.arange(len(texts)), best], 0, 1).astype(np.float64)
-        return [(self.langs[b], v, bool(v < self.limits[b])) if s else ("und", 0.0, True) for b, v, s in zip(best.tolist(), values.tolist(), some, strict=True)]
+        return [(self.langs[b], v, bool(v < t)) if s else ("und", 0.0, True) for b, v, t, s in zip(best.tolist(), values.tolist(), self.limits[best, powers(counts)].tolist(), some, strict=True)]
 
 
 def _document_frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
@@ -166,7 +175,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
     n, df = _document_frequencies(train)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     if not sizes:
-        return Model([], np.zeros((0, BINS), np.float32), np.zeros(0), idf)
+        return Model([], np.zeros((0, BINS), np.float32), np.zeros((0, POWERS)), idf)
     rates = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes], "lang string, rate double"))
     picked = train.join(rates, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("rate") * 1_000_003).select("doc_id", "lang", "text")
 
@@ -185,19 +194,47 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
         x = np.stack([np.frombuffer(v, dtype=np.float32) for v in pdf["v"]])
         lang, x = pdf["lang"].iloc[0], x[np.any(x, axis=1)]
         if not len(x):
-            return pd.DataFrame([], columns=["lang", "k", "centroid", "limit"])
+            return pd.DataFrame([], columns=["lang", "k", "centroid"])
         centroids, own = spherical_kmeans(x, clusters)
         made = []
         for k, c in enumerate(centroids):
-            near = x[own == k] @ c
-            if len(near):
-                made.append((lang, k, c.astype(np.float32).tobytes(), SLACK * float(np.quantile(near, TAIL))))
-        return pd.DataFrame(made, columns=["lang", "k", "centroid", "limit"])
+            if np.any(own == k) and np.mean(own == k) >= LEAST:
+                made.append((lang, k, c.astype(np.float32).tobytes()))
+        return pd.DataFrame(made, columns=["lang", "k", "centroid"])
 
-    found = mapped(picked, vectorise, "doc_id long, lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid binary, limit double").collect()  # CLUSTERS rows a language
+    found = mapped(picked, vectorise, "doc_id long, lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid binary").collect()  # CLUSTERS rows a language
     found.sort(key=lambda r: (r["lang"], r["k"]))
     centroids = np.stack([np.frombuffer(r["centroid"], dtype=np.float32) for r in found]) if found else np.zeros((0, BINS), np.float32)
-    return Model([r["lang"] for r in found], centroids, np.array([r["limit"] for r in found]), idf)
+    langs = [r["lang"] for r in found]
+    return Model(langs, centroids, _limits(picked, langs, centroids, idf), idf)
+
+
+def _limits(picked: DataFrame, langs: list[str], centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The limit of each centroid's language for each power of two; where there are too few pieces, that of the nearest power, of two the smaller."""
+    shared = picked.sparkSession.sparkContext.broadcast((langs, centroids, idf))
+
+    def measure(batches):
+        import pyarrow as pa
+
+        names, every, weights = shared.value
+        for part in rows(batches, "lang", "text"):
+            for at in range(0, len(part), 32):
+                pieces = [(lang, p) for lang, t in part[at : at + 32] for p in (*(t[:c] for c in CUTS if c < len(t)), t)]
+                counts = ngram_counts([p for _, p in pieces])
+                cosines = vectors(counts, weights) @ every.T
+                own = np.array([[lang == name for name in names] for lang, _ in pieces])
+                near = np.where(own, cosines, -1).max(axis=1, initial=-1)
+                keep = counts.any(axis=1) & (near >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array([lang for (lang, _), k in zip(pieces, keep, strict=True) if k], pa.string()), pa.array(powers(counts)[keep].astype(np.int32)), pa.array(near[keep].astype(np.float64))], names=["lang", "power", "near"])
+
+    tails = mapped(picked.select("lang", "text"), measure, "lang string, power int, near double").groupBy("lang", "power").agg(F.count("*").alias("n"), F.percentile("near", F.lit(TAIL)).alias("tail")).collect()  # POWERS rows a language
+    out = np.zeros((len(langs), POWERS))
+    for k, lang in enumerate(langs):
+        own = [r for r in tails if r["lang"] == lang]
+        known = {r["power"]: r["tail"] for r in own if r["n"] >= ENOUGH} or {r["power"]: r["tail"] for r in own}
+        for power in range(POWERS if known else 0):
+            out[k, power] = SLACK * known[min(known, key=lambda x: (abs(x - power), x))]
+    return out
 
 
 def held_out() -> Column:
