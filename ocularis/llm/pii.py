@@ -1,13 +1,14 @@
 """Personal data by patterns, and by bootstrapped contextual extraction.
 
 Valid addresses, card and phone numbers found by pattern are the seeds. Every token with a digit or
-an at sign is an instance; the words about it are its contexts: the two before, the one before with
+an at sign is an instance, and so is every run of such tokens with only blanks, brackets and hyphens
+between, at any length; the words about it are its contexts: the two before, the one before with
 the one after, and the one before a label mark such as ``:`` or ``=``. Contexts and instances form a
 graph, weighted by the number of documents. Scores go back and forth over it for ``ROUNDS`` rounds
 as Spark joins: a context's score for a kind is the weighted mean of its instances' scores, drawn to
 zero by ``PRIOR``; an unseen instance's is that of its contexts. What the patterns missed is added
 where instance and context reach ``LIMIT`` and the context has ``SUPPORT`` different seeds. Added
-spans never overlap those that patterns found.
+spans never overlap those that patterns found, and a span within another added one is not added.
 
 One pass reads the texts; the graph has only the tokens with a digit or an at sign.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, rows, written
@@ -35,6 +36,8 @@ _IP = re.compile(r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
+_GAP = re.compile(r"[\x20\t\xa0()\[\]-]+")
+_OPEN, _SHUT = "([{<", ")]}>"
 _MARKS = "\"'()[]{}<>,;:!?.=|*#$%&"
 
 
@@ -86,7 +89,7 @@ def _bounds(text: str, at: int) -> tuple[int, int]:
     return first, stop
 
 
-#: Longest word that a context or an instance is made of.
+#: Longest word that a context is made of.
 _WORD = 64
 
 
@@ -110,25 +113,58 @@ def _contexts(text: str, first: int, stop: int) -> list[str]:
     return found
 
 
+def _name(token: str) -> str:
+    """What stands for a token in the graph: long ones are digests."""
+    token = token.lower()
+    return token if len(token) <= 2 * _WORD else hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _stripped(text: str, first: int, stop: int) -> tuple[int, int]:
+    """The bounds without the marks at the ends, but for a bracket whose partner is inside."""
+    while stop > first and text[stop - 1] in _MARKS:
+        if text[stop - 1] in _SHUT and text.rfind(_OPEN[_SHUT.index(text[stop - 1])], first, stop) > first:
+            break
+        stop -= 1
+    while first < stop and text[first] in _MARKS:
+        if text[first] in _OPEN and 0 <= text.find(_SHUT[_OPEN.index(text[first])], first, stop) < stop - 1:
+            break
+        first += 1
+    return first, stop
+
+
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[str]]]:
-    """(start, end, normalised token, number of the kind or -1, contexts) of every token with a digit or an at sign."""
-    found = [(a, b, text[a:b][: 2 * _WORD].lower(), k, _contexts(text, a, b)) for a, k, b in base]
+    """(start, end, name, number of the kind or -1, contexts) of every token with a digit or an at sign and every run of them."""
+    found = [(a, b, _name(text[a:b]), k, _contexts(text, a, b)) for a, k, b in base]
     taken = sorted((a, b) for a, _, b in base)
     at, next_taken = 0, 0
+    tokens: list[tuple[int, int]] = []
+    unseen: set[tuple[int, int]] = set()
+
+    def close() -> None:
+        if len(tokens) > 1:
+            unseen.add(_stripped(text, tokens[0][0], tokens[-1][1]))
+        unseen.update(_stripped(text, *t) for t in tokens)
+        tokens.clear()
+
     while m := _ANY.search(text, at):
         first, stop = _bounds(text, m.start())
-        at = stop
         while next_taken < len(taken) and taken[next_taken][1] <= first:
             next_taken += 1
-        while first < stop and text[first] in _MARKS:
-            first += 1
-        while stop > first and text[stop - 1] in _MARKS:
-            stop -= 1
-        if next_taken < len(taken) and taken[next_taken][0] < stop and first < taken[next_taken][1]:
+        bare, end = first, stop
+        while bare < end and text[bare] in _MARKS:
+            bare += 1
+        while end > bare and text[end - 1] in _MARKS:
+            end -= 1
+        at = stop
+        if next_taken < len(taken) and taken[next_taken][0] < end and bare < taken[next_taken][1]:
+            close()
             at = max(at, taken[next_taken][1])
-        elif first < stop <= first + 2 * _WORD and stop - first >= 6:
-            found.append((first, stop, text[first:stop].lower(), -1, _contexts(text, first, stop)))
-    return found
+            continue
+        if tokens and not (_GAP.fullmatch(text, tokens[-1][1], first)):
+            close()
+        tokens.append((first, stop))
+    close()
+    return found + [(a, b, _name(text[a:b]), -1, _contexts(text, a, b)) for a, b in sorted(unseen) if a < b]
 
 
 def extracted(docs: DataFrame) -> DataFrame:
@@ -179,6 +215,8 @@ def spans(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit:
     contexts, tokens = learned(each, rounds, support, limit)
     new = each.filter("kind < 0").drop("kind").join(contexts, "context").join(tokens, ["token", "kind"])
     one = new.groupBy("doc_id", "th", "start", "stop").agg(F.min("kind").alias("kind"))
+    wider = F.max("stop").over(Window.partitionBy("doc_id", "th").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1))
+    one = one.withColumn("reach", wider).filter("reach is null or reach < stop")
     added = one.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("added")).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "added")
     joined = table.select("doc_id", "th", "base").join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     return joined.select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,stop:int>>")).alias("added"))

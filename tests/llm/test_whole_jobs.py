@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ocularis.llm import langid
+from ocularis.llm import langid, pii
 
 
 def test_a_language_left_out_of_training_is_rejected(spark):
@@ -18,3 +18,13 @@ def test_a_language_left_out_of_training_is_rejected(spark):
     for lang in ("en", "es", "fr"):
         assert rejected(texts[lang, True]) < 0.03
     assert rejected([w for w in " ".join(texts["en", True])[:20_000].split() if w.isalpha() and len(w) > 4]) < 0.03
+
+
+def test_identifiers_of_several_tokens_and_any_length(spark):
+    seeds = [f"+1 (743) 555-38{k:02d}" for k in range(40)]
+    unseen = ["(743) 555-3824", "743 555 3824", "743 - 555 - 9999", "55512", "0123456789" * 14]
+    rows = [(k, f"please call office line {n} today about the river") for k, n in enumerate(seeds + unseen)]
+    by = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, n in enumerate(unseen, len(seeds)):
+        assert by[k]["spans"] == f"phone:24:{24 + len(n)}" and by[k]["n_added"] == 1
+    assert all(by[k]["n_added"] == 0 for k in range(len(seeds)))
