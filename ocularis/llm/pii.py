@@ -7,7 +7,8 @@ the one after, and the one before a label mark such as ``:`` or ``=``. Contexts
 graph, weighted by the number of documents. Scores go back and forth over it for ``ROUNDS`` rounds
 as Spark joins: a context's score for a kind is the weighted mean of its instances' scores, drawn to
 zero by ``PRIOR``; an unseen instance's is that of its contexts. What the patterns missed is added
-where instance and context reach ``LIMIT`` and the context has ``SUPPORT`` different seeds. Added
+where instance and context reach ``LIMIT`` and ``SUPPORT`` different seeds, or instances that reached
+``LIMIT`` in the round before, have the context; so each round's finds bring new contexts. Added
 spans never overlap those that patterns found, and a span within another added one is not added.
 
 One pass reads the texts; the graph has only the tokens with a digit or an at sign.
@@ -193,16 +194,14 @@ def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limi
     """(context, kind) and (token, kind) that reach the limit; found: doc_id, th, token, kind (-1: unknown) and context of each occurrence."""
     edges = written(found.groupBy("context", "token").agg(F.countDistinct(F.struct("doc_id", "th")).alias("n"), F.max("kind").alias("kind")), "pii-edges")
     seeds = edges.filter("kind >= 0").groupBy("token").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    backed = edges.filter("kind >= 0").groupBy("context", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support).select("context", F.col("kind").alias("of"))
-    weighed = written(edges.join(backed, "context"), "pii-graph")  # contexts without enough seeds never count
-    weights = weighed.groupBy("context", "of").agg(F.sum("n").alias("total"))
+    totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
     scores = seeds
     contexts = None
     for _ in range(rounds):
-        hit = weighed.join(scores.withColumnRenamed("kind", "of").select("token", "of", "score"), ["token", "of"])
-        sums = hit.groupBy("context", "of").agg(F.sum(F.col("n") * F.col("score")).alias("got"))
-        contexts = written(weights.join(sums, ["context", "of"]).select("context", "of", (F.col("got") / (F.col("total") + PRIOR)).alias("score")), "pii-contexts")
-        unseen = weighed.filter("kind < 0").join(contexts, ["context", "of"]).groupBy("token", F.col("of").alias("kind")).agg(F.max("score").alias("score"))
+        hit = edges.drop("kind").join(scores.withColumnRenamed("kind", "of"), "token")
+        sums = hit.groupBy("context", "of").agg(F.sum(F.col("n") * F.col("score")).alias("got"), F.count_if(F.col("score") >= limit).alias("backers")).filter(F.col("backers") >= support)
+        contexts = written(sums.join(totals, "context").select("context", "of", (F.col("got") / (F.col("total") + PRIOR)).alias("score")), "pii-contexts")
+        unseen = edges.filter("kind < 0").join(contexts, "context").groupBy("token", F.col("of").alias("kind")).agg(F.max("score").alias("score"))
         scores = written(seeds.unionByName(unseen.join(seeds.select("token"), "token", "left_anti")), "pii-scores")
     good = contexts.filter(F.col("score") >= limit).select("context", F.col("of").alias("kind"))
     return good, scores.filter(F.col("score") >= limit).select("token", "kind")

@@ -28,3 +28,12 @@ def test_identifiers_of_several_tokens_and_any_length(spark):
     for k, n in enumerate(unseen, len(seeds)):
         assert by[k]["spans"] == f"phone:24:{24 + len(n)}" and by[k]["n_added"] == 1
     assert all(by[k]["n_added"] == 0 for k in range(len(seeds)))
+
+
+def test_discovered_identifiers_bring_new_contexts(spark):
+    seeds = [f"+1 (743) 555-38{k:02d}" for k in range(40)]
+    found = [f"743-555-99{k:02d}" for k in range(8)]
+    texts = [f"please call office line {n} today about the river" for n in seeds + found] + [f"they reach us under desk {n} in late winter" for n in [*found, "743-555-0000"]]
+    by = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(by[k]["n_added"] == 1 for k in range(len(seeds), len(texts)))
+    assert by[len(texts) - 1]["spans"] == "phone:25:37"
