@@ -7,8 +7,8 @@ below ``MIN_SITES`` clears a line and one clearly above condemns it; lines whose
 these lines alone. A condemned line stays in one place, the first of the document with the smallest
 doc_id, and goes everywhere else.
 
-Lines of fewer than ``MIN_WORDS`` words are never boilerplate. Every step groups by a hash with
-partial sums; a very frequent line is one row a task.
+Every line that isn't blank counts, at any length and in any script. Every step groups by a hash
+with partial sums; a very frequent line is one row a task.
 
 Defined cases: a null text stays null and has no lines; null sites don't count; rows with one doc_id
 are told apart by their texts, and repeated rows are one document, so the one place is kept in each;
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import let, written
 
-MIN_SITES, MIN_WORDS, BAND, LG_K = 10, 3, 0.4, 12
+MIN_SITES, BAND, LG_K = 10, 0.4, 12
 _BLANKS = " \t\r\x0b\x0c"
-_TWO_GAPS = r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]"
+_SOME = r"[^\x20\x09-\x0D]"
 
 
 def _key(line: Column) -> list[Column]:
@@ -35,7 +35,7 @@ def _key(line: Column) -> list[Column]:
 def lines(docs: DataFrame, site: str = "source") -> DataFrame:
     """doc_id, th, site, pos and the key (a, b) of every line that can be boilerplate."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col(site).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return each.filter(F.col("line").rlike(_TWO_GAPS)).select("doc_id", "th", "site", "pos", *_key(F.col("line")))
+    return each.filter(F.col("line").rlike(_SOME)).select("doc_id", "th", "site", "pos", *_key(F.col("line")))
 
 
 def boilerplate(table: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:

@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ocularis.llm import langid, pii
+from ocularis.llm import langid, linededup, pii
+
+from . import brute
 
 
 def test_a_language_left_out_of_training_is_rejected(spark):
@@ -37,3 +39,9 @@ def test_discovered_identifiers_bring_new_contexts(spark):
     by = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(by[k]["n_added"] == 1 for k in range(len(seeds), len(texts)))
     assert by[len(texts) - 1]["spans"] == "phone:25:37"
+
+
+def test_short_lines_and_lines_without_spaces_are_boilerplate(spark):
+    rows = [(k, f"Read more\n \t\nAll about matter number {k}\n隐私政策和服务条款都在这里\nMenu", f"s{k % 12}") for k in range(24)] + [(90 + k, f"Only nine\n\n{k}", f"s{k}") for k in range(9)]
+    got = sorted(map(tuple, linededup.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()))
+    assert got == sorted(brute.op1(rows, min_words=1)) and sum(r[2] for r in got) == 3 * 23
