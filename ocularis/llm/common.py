@@ -49,6 +49,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fixed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """df.select of columns as a step of its own: the optimiser neither merges it into later ones nor pushes filters below it."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def rows(batches, *columns: str) -> Iterator[list[tuple]]:
     """Lists of at most SLICE tuples of the columns of Arrow record batches."""
     for batch in batches:

@@ -2,18 +2,18 @@
 
 Every line is judged by itself, and goes if a rule says so:
 
+* punctuation: fewer than ten words, and no mark that ends a sentence in any of the scripts of ``ENDS``;
 * navigation: three or more of the symbols ``#*$%&|<>``, and more than one in twenty characters;
-* shouting: twenty or more letters, most of them capitals;
-* boilerplate: a phrase of licences, notices, cookie banners and page furniture;
-* punctuation: fewer than ten words, and no mark that ends a sentence.
+* boilerplate: a phrase of licences, notices, cookie banners and page furniture in one of four languages;
+* shouting: twenty or more letters, most of them capitals.
 
 A document is rejected when what its lines lose is more than half of its characters, lines without a
 word aside, or when the base measures fail: fewer than 50 words, or more than half of the words in
 3-word windows that the text has twice.
 
-All is computed within the row. For repeated windows the hashes of a text's windows are sorted with
-their places in the lowest bits, so that equal ones are neighbours; at least 43 bits of each hash are
-compared (54 for a text of 500 words).
+All is computed within the row, in steps that the optimiser can't merge (``fixed``), so that a filter
+on the verdict doesn't make it compute a step anew for every element of an array. A text whose window
+hashes all differ has no repeated window; the others' candidates are compared word by word.
 
 Defined cases: a null text is empty: no words, not kept; repeated rows give repeated results; a null
 doc_id is kept; an empty table gives an empty result; other columns are ignored.
@@ -24,62 +24,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fixed, let
+
 SYMBOLS = "[#*$%&|<>]"
+BLANKS = " \t\n\x0b\x0c\r"
 BLANK = r"[\x20\x09-\x0D]+"
 WORDY = r"[^\x20\x09-\x0D]"
-ENDS = r"[.!?:;…。！？)\]»”\"'][\x20\x09-\x0D]*$"
-PHRASES = r"(?i)(licensed under|all rights reserved|privacy policy|terms of (use|service)|cookie policy|accept cookies|use of cookies|copyright \(c\)|enable javascript|sign up for our newsletter|lorem ipsum|click here|skip to content|general public license)"
+#: Ends of sentences, and the marks that may follow them.
+ENDS = ".!?:;…。！？؟।)]»”\"'’"
+#: English, German, French and Spanish; compared in lower case.
+PHRASES = (
+    "licensed under", "general public license", "all rights reserved", "copyright (c)", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "use of cookies", "enable javascript", "sign up for our newsletter", "lorem ipsum", "click here", "skip to content",
+    "lizenziert unter", "alle rechte vorbehalten", "datenschutzerkl", "nutzungsbedingungen", "cookies akzeptieren", "zum inhalt springen",
+    "sous licence", "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies", "cliquez ici",
+    "bajo licencia", "todos los derechos reservados", "política de privacidad", "condiciones de uso", "aceptar cookies", "haga clic aquí",
+)
 MIN_WORDS, SHORT_LINE, MOST_LOST = 50, 10, 0.5
+_LONG = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{SHORT_LINE - 1}}}[^\x20\x09-\x0D]"
+_THREE_SYMBOLS = r"(?:[#*$%&|<>][^#*$%&|<>]*+){3}"
+#: Of letters most of which are capitals, two neighbours are.
+_TWO_CAPITALS = r"\p{Lu}\P{L}*+\p{Lu}"
 
 
-def _length_of(text: Column, pattern: str) -> Column:
-    """Characters left when those of a pattern are taken out."""
-    return F.char_length(F.regexp_replace(text, pattern, ""))
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def _line_fails(line: Column) -> Column:
-    chars = F.char_length(line)
-    symbols = chars - _length_of(line, SYMBOLS)
-    capitals, letters = _length_of(line, r"[^\p{Lu}]+"), _length_of(line, r"[^\p{L}]+")
-    navigation = (symbols >= 3) & (symbols * 20 > chars)
-    shouting = (letters >= 20) & (capitals * 2 > letters)
-    unended = ~line.rlike(ENDS) & (F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), BLANK)) < SHORT_LINE)
-    return navigation | unended | line.rlike(PHRASES) | shouting
+    ends = lambda x: F.instr(F.lit(ENDS), F.right(x, F.lit(1))) > 0
+    unended = ~ends(line) & ~ends(F.rtrim(line, F.lit(BLANKS))) & ~line.rlike(_LONG)
+    navigation = line.rlike(_THREE_SYMBOLS) & (_count(line, SYMBOLS) * 20 > F.char_length(line))
+    phrase = let(F.lower(line), lambda low: _any([F.contains(low, F.lit(p)) for p in PHRASES]))
+    letters = _count(line, r"\p{L}")
+    shouting = line.rlike(_TWO_CAPITALS) & (letters >= 20) & (_count(line, r"\p{Lu}") * 2 > letters)
+    return unended | navigation | phrase | shouting
+
+
+def _any(tests: list[Column]) -> Column:
+    found = tests[0]
+    for t in tests[1:]:
+        found = found | t
+    return found
+
+
+def _covered(windows: Column) -> Column:
+    """Words in those 3-word windows that a text has twice; needs the columns words and mask.
+
+    Hashes and places share a long, the places in the lowest bits, so that one sort of numbers finds
+    the candidates; only these are compared word by word."""
+    place = lambda x: x.bitwiseAND(F.bitwise_not("mask")).cast("int")
+    hashed = lambda x: x.bitwiseAND(F.col("mask"))
+    packed = F.sort_array(F.transform(windows, lambda h, i: hashed(h).bitwiseOR(i.cast("long"))))
+
+    def candidates(marks: Column) -> Column:
+        return F.filter(marks, lambda x, k: F.coalesce(hashed(x) == hashed(F.get(marks, k - 1)), F.lit(False)) | F.coalesce(hashed(x) == hashed(F.get(marks, k + 1)), F.lit(False)))
+
+    def worded(marks: Column) -> Column:
+        return F.sort_array(F.transform(marks, lambda x: let(place(x), lambda i: F.struct(*(F.get("words", i + k).alias(f"w{k}") for k in range(3)), i.alias("i")))))
+
+    def repeated(keys: Column) -> Column:
+        same = lambda p, o: F.coalesce((p["w0"] == o["w0"]) & (p["w1"] == o["w1"]) & (p["w2"] == o["w2"]), F.lit(False))
+        return F.filter(keys, lambda p, k: same(p, F.get(keys, k - 1)) | same(p, F.get(keys, k + 1)))
+
+    places = F.array_sort(F.transform(let(worded(let(packed, candidates)), repeated), lambda p: p["i"]))
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")), lambda acc: acc["n"])
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """The measures of every row: doc_id, text, the base measures, base_failed, line counts and lengths, cleaned text and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    blanks = F.lit(" \t\n\x0b\x0c\r")
-    split = docs.select(
-        F.col("doc_id"),
-        "text",
-        F.array_remove(F.split(F.btrim(text, blanks), BLANK), "").alias("words"),
+    split = fixed(
+        docs,
+        F.col("doc_id").alias("doc_id"),
+        F.col("text").alias("text"),
+        F.array_remove(F.split(F.btrim(text, F.lit(BLANKS)), BLANK), "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORDY)).alias("lines"),
-        (F.char_length(text) - _length_of(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
     n = F.size("words")
     # the lowest bits, as many as the number of words asks for, hold the place of a window
     mask = (-F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(2)))))).cast("long")
-    sized = split.select("*", n.alias("n"), mask.alias("mask"), F.filter("lines", lambda x: ~_line_fails(x)).alias("good"))
-    hashed = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).bitwiseAND(F.col("mask")).bitwiseOR(i.cast("long"))))
-    ordered = sized.select("*", F.sort_array(F.coalesce(hashed, F.array().cast("array<bigint>"))).alias("marks"))
-
-    def repeated(x: Column, k: Column) -> Column:
-        own = x.bitwiseAND(F.col("mask"))
-        return (own == F.coalesce(F.get("marks", k - 1).bitwiseAND(F.col("mask")), F.bitwise_not(own))) | (own == F.coalesce(F.get("marks", k + 1).bitwiseAND(F.col("mask")), F.bitwise_not(own)))
-
-    places = F.transform(F.filter("marks", repeated), lambda x: x.bitwiseAND(F.bitwise_not("mask")))
-    placed = ordered.select("*", places.alias("places"))
-    covered = F.array_union(F.array_union("places", F.transform("places", lambda p: p + 1)), F.transform("places", lambda p: p + 2))
-    counted = placed.select(
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    windows = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))
+    hashed = fixed(split, *split.columns, F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("windows"), mask.alias("mask"), F.filter("lines", lambda x: ~_line_fails(x)).alias("good"))
+    distinct = F.size(F.array_distinct("windows")) == F.size("windows")
+    counted = fixed(
+        hashed,
         "doc_id",
         "text",
-        F.col("n").cast("long").alias("n_words"),
+        n.cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(covered).cast("long").alias("n_repeat_words"),
+        F.when(distinct, F.lit(0)).otherwise(_covered(F.col("windows"))).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("good")).cast("long").alias("n_failed_lines"),
         F.char_length(F.array_join("lines", "")).alias("line_chars"),

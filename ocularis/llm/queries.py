@@ -78,7 +78,9 @@ _LINES = "string_split(text, chr(10))"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ASCII_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-_ENDS = quality.ENDS.replace("'", "''")
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_PHRASES = ", ".join(map(_quoted, quality.PHRASES))
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL: dict[str, str] = {
     "op1_line_dedup": rf"""
@@ -111,8 +113,8 @@ l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_m
 b AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT (
   (len(regexp_extract_all(x, '{quality.SYMBOLS}')) >= 3 AND 20 * len(regexp_extract_all(x, '{quality.SYMBOLS}')) > length(x))
   OR (len(regexp_extract_all(x, '\p{{L}}')) >= 20 AND 2 * len(regexp_extract_all(x, '\p{{Lu}}')) > len(regexp_extract_all(x, '\p{{L}}')))
-  OR regexp_matches(x, '{quality.PHRASES}')
-  OR (NOT regexp_matches(x, '{_ENDS}') AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) < 10))) AS good FROM l),
+  OR list_bool_or(list_transform([{_PHRASES}], lambda p: contains(lower(x), p)))
+  OR (NOT contains({_quoted(quality.ENDS)}, right(rtrim(x, {_BLANKS}), 1)) AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) < 10))) AS good FROM l),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS h FROM d WHERE len(w) >= 3),
 r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, h) AS c FROM g) WHERE c > 1),
 n AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM r) GROUP BY doc_id),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -198,6 +199,28 @@ def test_quality_line_rules(spark):
     assert got[3]["n_failed_lines"] == 0
 
 
+def test_quality_filters_and_long_texts_take_no_longer(docs, spark):
+    r = random.Random(8)
+    long = [" ".join(r.choice("abcdefghij") * r.randint(1, 9) for _ in range(20_000)) + ".", " ".join(str(r.random()) for _ in range(20_000)) + ".", "so it goes on and on " * 4_000 + "."]
+    rows = spark.createDataFrame(list(enumerate(long, 900)), "doc_id long, text string")
+    began = time.monotonic()
+    got = quality.report(rows)
+    same(got, [(d, *brute.op8_base(t)) for d, t in enumerate(long, 900)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+    assert got.filter("base_failed and kept").count() == 0
+    assert sorted(r["doc_id"] for r in got.filter("kept").collect()) == [901]
+    both = docs.select("doc_id", "text").unionByName(rows)
+    verdict = {r["doc_id"] for r in quality.report(both).filter("kept").collect()}
+    cleaned = quality.cleaned(both)
+    assert {r["doc_id"] for r in cleaned.collect()} == verdict and cleaned.filter("length(text) > 10").count() == len(verdict)
+    assert time.monotonic() - began < 90
+
+
+def test_quality_phrases_in_four_languages(spark):
+    lines = ["Alle Rechte vorbehalten, und zwar bei uns allen zu jeder Zeit und ohne Ende.", "TOUS DROITS RÉSERVÉS, pour nous tous et pour toujours et encore un jour.", "Haga clic aquí para ver todo lo que tenemos hoy en la tienda de siempre.", "The cook made cookies for all who came to the old house by the river."]
+    got = quality.measured(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert got["n_failed_lines"] == 3 and got["cleaned"] == lines[3]
+
+
 def test_warc(spark):
     rows = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 5000, "é" * 5000, "\r\n\r\nWARC/1.1\r\n"])]
     pages = spark.createDataFrame([(*r, "clash") for r in rows] + [(9, None, "<p>a</p>", "clash")], "page_id long, url string, html string, payload string")
