@@ -1,17 +1,20 @@
 """Personal data by patterns, and by bootstrapped contextual extraction.
 
-Valid addresses, card and phone numbers found by pattern are the seeds. Every token with a digit or
-an at sign is an instance, and so is every run of such tokens with only blanks, brackets and hyphens
-between, at any length; the words about it are its contexts: the two before, the one before with
-the one after, and the one before a label mark such as ``:`` or ``=``. Contexts and instances form a
-graph, weighted by the number of documents. Scores go back and forth over it for ``ROUNDS`` rounds
-as Spark joins: a context's score for a kind is the weighted mean of its instances' scores, drawn to
-zero by ``PRIOR``; an unseen instance's is that of its contexts. What the patterns missed is added
-where instance and context reach ``LIMIT`` and ``SUPPORT`` different seeds, or instances that reached
-``LIMIT`` in the round before, have the context; so each round's finds bring new contexts. Added
-spans never overlap those that patterns found, and a span within another added one is not added.
-
-One pass reads the texts; the graph has only the tokens with a digit or an at sign.
+Seeds are the valid addresses, card and phone numbers found by pattern, and provisional ones: tokens
+that look drawn at random (``_random``), of kind secret. Every token with a digit or an at sign is an
+instance, and so is every run of such tokens with only blanks, brackets and hyphens between, at any
+length. The words about it are its contexts: the two before, the one before with the one after, the
+one before a label mark such as ``:`` or ``=``, and the one before or the one before that with the
+instance's shape. Contexts and instances form a graph, weighted by the number of documents. Scores go
+back and forth over it for ``ROUNDS`` rounds as Spark joins: a context's score for a kind is the
+weighted mean of its instances' scores, drawn to zero by ``PRIOR``; an unseen instance's is that of
+its contexts. What the patterns missed is added where instance and context reach ``LIMIT`` and
+``SUPPORT`` different seeds, or instances that reached ``LIMIT`` in the round before, have the
+context; so each round's finds bring new contexts. A provisional seed is added only by a context too.
+Added spans never overlap those that patterns found, and a span within another added one is not added.
+
+One pass reads the texts; the graph has only the tokens with a digit or an at sign. Words and tokens
+over ``_WORD`` characters stand in it as their digests.
 
 Defined cases: a null text is empty; repeated rows give repeated results and count as one document
 in the graph; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
@@ -27,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import mapped, rows, written
 
-KINDS = ("email", "ip", "card", "phone")
-ROUNDS, PRIOR, LIMIT, SUPPORT = 3, 0.5, 0.8, 5
+#: The first four have patterns.
+KINDS = ("email", "ip", "card", "phone", "secret")
+PATTERNS, SECRET = 4, 4
+#: Contexts with a shape are broad: their scores are drawn to zero by SHAPE_PRIOR.
+ROUNDS, PRIOR, SHAPE_PRIOR, LIMIT, SUPPORT = 3, 0.5, 4.0, 0.8, 5
 
 _ANY = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,16 +96,52 @@ def _bounds(text: str, at: int) -> tuple[int, int]:
     return first, stop
 
 
-#: Longest word that a context is made of.
-_WORD = 64
+#: Longer words and tokens stand in the graph as digests.
+_WORD = 128
+#: Least length of a provisional seed, and its least number of changes between digits and letters.
+_RANDOM_LENGTH, _RANDOM_CHANGES = 20, 4
+_KEYED = re.compile(rf"[A-Za-z0-9+/_=-]{{{_RANDOM_LENGTH},}}+")
+_CHANGE = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
+
+
+def _random(token: str) -> bool:
+    """Whether a token looks drawn at random: long, in the letters of keys, digits and letters well mixed."""
+    return _KEYED.fullmatch(token) is not None and sum(1 for _ in _CHANGE.finditer(token)) >= _RANDOM_CHANGES
+
+
+def _name(token: str) -> str:
+    """What stands for a token or word in the graph."""
+    token = token.lower()
+    return token if len(token) <= _WORD else hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _before(text: str, at: int, n: int) -> list[str]:
-    return [w[-_WORD:].lower() for w in text[max(0, at - 2 * _WORD) : at].split()[-n:]]
+    """At most n words before a place, in order."""
+    found: list[str] = []
+    while len(found) < n:
+        while at and text[at - 1].isspace():
+            at -= 1
+        stop = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        if at == stop:
+            break
+        found.append(_name(text[at:stop]))
+    return found[::-1]
 
 
 def _after(text: str, at: int) -> str:
-    return next(iter(text[at : at + 2 * _WORD].split()[:1]), "")[:_WORD].lower()
+    while at < len(text) and text[at].isspace():
+        at += 1
+    stop = at
+    while stop < len(text) and not text[stop].isspace():
+        stop += 1
+    return _name(text[at:stop])
+
+
+def shape(token: str) -> str:
+    """A token with 9 for digits, a for letters, and blanks and marks as they are; long ones as digests."""
+    return _name("".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in token))
 
 
 def _contexts(text: str, first: int, stop: int) -> list[str]:
@@ -111,15 +153,14 @@ def _contexts(text: str, first: int, stop: int) -> list[str]:
         found.append(f"1 {before[-1]} _ {after}")
     if before and before[-1][-1] in ":=":
         found.append("label " + " ".join(before) if before[-1] in (":", "=") else "label " + before[-1])
+    if before:
+        like = shape(text[first:stop])
+        found.append(f"shape {before[-1]} _ {like}")
+        if len(before) == 2:
+            found.append(f"shape {before[0]} * _ {like}")
     return found
 
 
-def _name(token: str) -> str:
-    """What stands for a token in the graph: long ones are digests."""
-    token = token.lower()
-    return token if len(token) <= 2 * _WORD else hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 def _stripped(text: str, first: int, stop: int) -> tuple[int, int]:
     """The bounds without the marks at the ends, but for a bracket whose partner is inside."""
     while stop > first and text[stop - 1] in _MARKS:
@@ -134,7 +175,7 @@ def _stripped(text: str, first: int, stop: int) -> tuple[int, int]:
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[str]]]:
-    """(start, end, name, number of the kind or -1, contexts) of every token with a digit or an at sign and every run of them."""
+    """(start, end, name, number of the kind, -1 if unknown, contexts) of every token with a digit or an at sign and every run of them."""
     found = [(a, b, _name(text[a:b]), k, _contexts(text, a, b)) for a, k, b in base]
     taken = sorted((a, b) for a, _, b in base)
     at, next_taken = 0, 0
@@ -165,7 +206,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
             close()
         tokens.append((first, stop))
     close()
-    return found + [(a, b, _name(text[a:b]), -1, _contexts(text, a, b)) for a, b in sorted(unseen) if a < b]
+    return found + [(a, b, _name(text[a:b]), SECRET if _random(text[a:b]) else -1, _contexts(text, a, b)) for a, b in sorted(unseen) if a < b]
 
 
 def extracted(docs: DataFrame) -> DataFrame:
@@ -190,18 +231,23 @@ def extracted(docs: DataFrame) -> DataFrame:
     return mapped(keyed, run, f"doc_id long, th long, base array<{span}>, found array<{inst}>")
 
 
+#: Rows of occurrences or edges that patterns of their own didn't find.
+_UNSEEN = f"kind < 0 or kind >= {PATTERNS}"
+
+
 def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(context, kind) and (token, kind) that reach the limit; found: doc_id, th, token, kind (-1: unknown) and context of each occurrence."""
     edges = written(found.groupBy("context", "token").agg(F.countDistinct(F.struct("doc_id", "th")).alias("n"), F.max("kind").alias("kind")), "pii-edges")
     seeds = edges.filter("kind >= 0").groupBy("token").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0))
     totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
+    prior = F.when(F.col("context").startswith("shape "), SHAPE_PRIOR).otherwise(PRIOR)
     scores = seeds
     contexts = None
     for _ in range(rounds):
         hit = edges.drop("kind").join(scores.withColumnRenamed("kind", "of"), "token")
         sums = hit.groupBy("context", "of").agg(F.sum(F.col("n") * F.col("score")).alias("got"), F.count_if(F.col("score") >= limit).alias("backers")).filter(F.col("backers") >= support)
-        contexts = written(sums.join(totals, "context").select("context", "of", (F.col("got") / (F.col("total") + PRIOR)).alias("score")), "pii-contexts")
-        unseen = edges.filter("kind < 0").join(contexts, "context").groupBy("token", F.col("of").alias("kind")).agg(F.max("score").alias("score"))
+        contexts = written(sums.join(totals, "context").select("context", "of", (F.col("got") / (F.col("total") + prior)).alias("score")), "pii-contexts")
+        unseen = edges.filter(_UNSEEN).join(contexts, "context").groupBy("token", F.col("of").alias("kind")).agg(F.max("score").alias("score"))
         scores = written(seeds.unionByName(unseen.join(seeds.select("token"), "token", "left_anti")), "pii-scores")
     good = contexts.filter(F.col("score") >= limit).select("context", F.col("of").alias("kind"))
     return good, scores.filter(F.col("score") >= limit).select("token", "kind")
@@ -212,7 +258,7 @@ def spans(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit:
     table = written(extracted(docs), "pii-found")
     each = table.select("doc_id", "th", F.explode("found").alias("f")).select("doc_id", "th", "f.start", "f.stop", "f.token", "f.kind", F.explode("f.contexts").alias("context"))
     contexts, tokens = learned(each, rounds, support, limit)
-    new = each.filter("kind < 0").drop("kind").join(contexts, "context").join(tokens, ["token", "kind"])
+    new = each.filter(_UNSEEN).drop("kind").join(contexts, "context").join(tokens, ["token", "kind"])
     one = new.groupBy("doc_id", "th", "start", "stop").agg(F.min("kind").alias("kind"))
     wider = F.max("stop").over(Window.partitionBy("doc_id", "th").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1))
     one = one.withColumn("reach", wider).filter("reach is null or reach < stop")
@@ -227,14 +273,14 @@ def _listed(of: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of spans of each kind that patterns find, their digest, all spans, and n_added."""
+    """doc_id, the number of spans of each kind that patterns find, their digest, all spans, and the numbers of added and of all spans."""
     found = spans(docs)
 
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:PATTERNS])]
+    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def digest_of(text: str) -> str:

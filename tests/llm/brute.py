@@ -140,3 +140,44 @@ def op9(pages):
 
 def crc_held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def op2_added(docs, instances, base_spans, rounds=3, support=5, limit=0.8):
+    """docs: different (doc_id, text); spans that contexts add: the graph of contexts and instances in plain dictionaries."""
+    each = [(d, *x) for d, t in docs if t for x in instances(t, base_spans(t))]
+    weight, kinds = defaultdict(set), {}
+    for d, _, _, token, kind, contexts in each:
+        for c in contexts:
+            weight[c, token].add(d)
+            kinds[c, token] = max(kinds.get((c, token), -1), kind)
+    n = {e: len(ds) for e, ds in weight.items()}
+    seeds, total = {}, Counter()
+    for (c, token), k in kinds.items():
+        total[c] += n[c, token]
+        if k >= 0:
+            seeds[token] = max(seeds.get(token, -1), k)
+    scores, good = {(t, k): 1.0 for t, k in seeds.items()}, {}
+    for _ in range(rounds):
+        of = defaultdict(list)
+        for (t, k), s in scores.items():
+            of[t].append((k, s))
+        got, backers = Counter(), Counter()
+        for (c, t), m in n.items():
+            for k, s in of[t]:
+                got[c, k] += m * s
+                backers[c, k] += s >= limit
+        good = {(c, k): g / (total[c] + (4.0 if c.startswith("shape ") else 0.5)) for (c, k), g in got.items() if backers[c, k] >= support}
+        by = defaultdict(list)
+        for (c, k), s in good.items():
+            by[c].append((k, s))
+        scores = {(t, k): 1.0 for t, k in seeds.items()}
+        for (c, t), k0 in kinds.items():
+            if (k0 < 0 or k0 > 3) and t not in seeds:
+                for k, s in by[c]:
+                    scores[t, k] = max(scores.get((t, k), 0), s)
+    out = defaultdict(set)
+    for d, a, b, token, kind, contexts in each:
+        fit = [k for c in contexts for k in range(5) if good.get((c, k), 0) >= limit and scores.get((token, k), 0) >= limit]
+        if (kind < 0 or kind > 3) and fit:
+            out[d].add((a, min(fit), b))
+    return {d: sorted(x for x in s if not any(o != x and o[0] <= x[0] and x[2] <= o[2] for o in s)) for d, s in out.items()}

@@ -1,5 +1,8 @@
 """Operators where a cut in the method would lose what it should find."""
 
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -41,6 +44,28 @@ def test_discovered_identifiers_bring_new_contexts(spark):
     assert by[len(texts) - 1]["spans"] == "phone:25:37"
 
 
+def test_added_spans_are_those_of_a_plain_version_of_the_graph(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: [tuple(x) for x in r["added"]] for r in pii.spans(docs).filter("size(added) > 0").collect()}
+    plain = [tuple(r) for r in docs.collect()]
+    assert got == brute.op2_added(plain, pii.instances, pii.base_spans)
+    text = dict(plain)
+    found = {d: [text[d][a:b] for a, _, b in s] for d, s in got.items()}
+    secrets = {d: x for d, t in plain if (x := re.findall(r'token = "([0-9a-f]{40})"', t or ""))}
+    assert found == secrets and len(secrets) > 10
+
+
+def test_secrets_need_a_context_of_their_own(spark):
+    r = random.Random(4)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(32))
+    rows = [(k, f"the client sends password: {key()} at every call") for k in range(12)] + [(20, "the client sends password: hunter2 at every call")]
+    rows += [(30 + k, f"word{k} says {key()} unlike{k} all") for k in range(4)] + [(40, "the year 2024 at every call")]
+    by = {x["doc_id"]: x for x in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(by[k]["spans"] == "secret:27:59" and by[k]["n_spans"] == 1 for k in range(12))
+    assert by[20]["spans"] == "secret:27:34"
+    assert all(by[k]["n_added"] == 0 for k in (30, 31, 32, 33, 40))
+
+
 def test_short_lines_and_lines_without_spaces_are_boilerplate(spark):
     rows = [(k, f"Read more\n \t\nAll about matter number {k}\n隐私政策和服务条款都在这里\nMenu", f"s{k % 12}") for k in range(24)] + [(90 + k, f"Only nine\n\n{k}", f"s{k}") for k in range(9)]
     got = sorted(map(tuple, linededup.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()))
