@@ -1,9 +1,12 @@
 """Each operator against its plain version, on rows with nulls, blanks, long texts, ties, repeated rows and clashing columns."""
 
+import gzip
 import hashlib
 import random
+import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -221,8 +224,11 @@ def test_quality_phrases_in_four_languages(spark):
     assert got["n_failed_lines"] == 3 and got["cleaned"] == lines[3]
 
 
+PAGES = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 5000, "é" * 5000, "\r\n\r\nWARC/1.1\r\n"]
+
+
 def test_warc(spark):
-    rows = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 5000, "é" * 5000, "\r\n\r\nWARC/1.1\r\n"])]
+    rows = [(i, f"http://x/{i}", h) for i, h in enumerate(PAGES)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows] + [(9, None, "<p>a</p>", "clash")], "page_id long, url string, html string, payload string")
     want = brute.op9([(r[0], r[2]) for r in rows] + [(9, "<p>a</p>")])
     same(warc.report(pages), want)
@@ -234,6 +240,48 @@ def test_warc(spark):
     assert warc.report(spark.createDataFrame([], pages.schema)).count() == 0
 
 
+def test_warc_urls_repeated_rows_and_null_ids_come_back(spark):
+    rows = [(1, "http://x/a b\r\nX-Page-ID: 7", "q"), (2, None, "r"), (3, "", "s"), (4, "about:blank", "t"), (5, "http://é/%0A", "u" * 3_000_000), (5, "http://é/%0A", "u" * 3_000_000), (None, "http://n", "q"), (6, "http://z", "s")]
+    table = warc.record_table(spark, warc.write(warc.classified(spark.createDataFrame(rows, "page_id long, url string, html string"))), data=False).filter("is_last").collect()
+    assert sorted((str(r["page_id"]), str(r["url"])) for r in table) == sorted((str(p), str(u)) for p, u, _ in rows)
+    kinds = {(r["page_id"], r["record_type"], r["refers_to"]) for r in table}
+    assert {(None, "revisit", 1), (6, "revisit", 3), (5, "response", None)} <= kinds and len(table) == len(rows)
+
+
+def test_warc_archives_have_what_the_format_asks_for(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(PAGES)] * 2, "page_id long, url string, html string").coalesce(1)
+    records = [r for path, _ in warc.write(warc.classified(pages)) for r in gzip.open(path.removeprefix("file://")).read().split(b"WARC/1.1\r\nWARC-Type: ")[1:]]
+    names = [re.search(rb"WARC-Record-ID: (\S+)", r)[1] for r in records]
+    assert len(set(names)) == len(names) and records[0].startswith(b"warcinfo")
+    assert all(re.search(rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", r) for r in records)
+    assert all(b"\r\n\r\nHTTP/1.1 200 OK\r\n" in r for r in records if not r.startswith(b"warcinfo"))
+
+
+def test_damaged_warc_archives_are_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", str(i) * 5000) for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    ((path, n),) = warc.write(warc.classified(pages))
+    whole = Path(path.removeprefix("file://")).read_bytes()
+    plain = gzip.decompress(whole)
+
+    def read(data, n=n):
+        (tmp_path / "x.warc.gz").write_bytes(data)
+        return list(warc.chunks(str(tmp_path / "x.warc.gz"), chunk=512))
+
+    assert sum(x["is_last"] for x in read(whole)) == n == 4
+    members = [gzip.compress(b"WARC/1.1" + m) for m in plain.split(b"WARC/1.1")[1:]]
+    assert sum(x["is_last"] for x in read(b"".join(members))) == 4
+    for cut in (len(whole) - 5, len(whole) - len(whole) // 8, len(whole) // 2):
+        with pytest.raises(warc.DamagedArchive):
+            read(whole[:cut])
+    for old, new in ((b"22222", b"22322"), (b"Content-Length: 5000", b"Content-Length: 4999"), (b"2222222222", b"2")):
+        with pytest.raises(warc.DamagedArchive):
+            read(b"".join(gzip.compress(gzip.decompress(m).replace(old, new, 1)) for m in members))
+    lost = str(tmp_path / "lost.warc.gz")
+    Path(lost).write_bytes(b"".join(members[:-1]))
+    with pytest.raises(Exception, match="3 records of 4"):
+        warc.record_table(spark, [(lost, 4)]).count()
+
+
 def test_bpe(docs, plain, spark):
     lib = bpe.encoder(vocabulary()).library
 
