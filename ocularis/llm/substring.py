@@ -252,7 +252,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     whole = owned.filter("owner < id").select("doc_id", "th", "first", (F.col("first") + F.col("n") + window - 1).alias("stop"))
     open_runs = firsts.join(several, "anchor", "left_semi")
     own = repeated_windows(written(found.join(open_runs, ["anchor", "run"]).filter("owner = id").select("id", "th", "anchor", "first", "n", "windows"), "substring-open"))
-    earliest = own.groupBy("anchor", "hash").agg(F.min("id").alias("owner"))
+    # written, so that the join has an exchange on each side, which a hot window's rows can be split over
+    earliest = written(own.groupBy("anchor", "hash").agg(F.min("id").alias("owner"), F.max("id").alias("other")).filter("owner < other").drop("other"), "substring-earliest")
     single = own.join(earliest, ["anchor", "hash"]).filter("owner < id").select(F.nullif("id", F.lit(_LAST)).alias("doc_id"), "th", "first")
     return whole.unionByName(single.select("doc_id", "th", "first", (F.col("first") + window).alias("stop")))
 
