@@ -12,32 +12,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ocularis.llm import bpe, langid, linededup, simhash, winnow
-from ocularis.llm.common import documents, written
+from ocularis.llm.common import documents, prepare, written
 from ocularis.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language isn't recognised."""
+    prepare(spark)
     return langid.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that many sites share out of all documents but one."""
+    prepare(spark)
     return linededup.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
+    prepare(spark)
     return winnow.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
+    prepare(spark)
     return bpe.digests(docs, vocabulary())
 
 
