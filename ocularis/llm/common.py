@@ -18,21 +18,33 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 _temporary: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches of a session; registered queries and pipeline stages call it, operators leave the session as it is."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of the application where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The application's folder in spark.checkpoint.dir, which all executors share; in local mode a temporary one will do where that is unset."""
+    app, found = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _temporary.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-ocularis-")
-        _temporary[app] = found
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _temporary.get(app) or _temporary.setdefault(app, tempfile.mkdtemp(prefix="spark-ocularis-"))
+    return f"{found.rstrip('/')}/{app}"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A path below the shared folder that no other call gets."""
+    """A path below the application's folder that no other call gets."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all work tables, shards and archives of the application; results that weren't collected or written are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
@@ -63,7 +75,5 @@ def rows(batches, *columns: str) -> Iterator[list[tuple]]:
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow in small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """df.mapInArrow; see prepare for the size of batches."""
     return df.mapInArrow(function, schema)

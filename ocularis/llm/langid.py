@@ -9,8 +9,8 @@ length: ``SLACK`` times the ``TAIL`` quantile of the cosines of training texts,
 ``CUTS`` characters, with as many n-grams to a power of two.
 
 Counts for the inverse document frequency cover every training row. The centroids are fitted on a
-bounded sample of the labelled rows: about ``SAMPLE`` a language, picked by a hash of doc_id, so that
-one group of vectors has a fixed size. The model is CLUSTERS vectors a language.
+bounded sample of the labelled rows: those ``SAMPLE`` of a language whose hashes of doc_id and text are
+smallest, so that one group of vectors has a fixed size. The model is CLUSTERS vectors a language.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; a null
 language isn't learned; a null doc_id isn't learned from and isn't held out; without any labelled
@@ -23,7 +23,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,6 +35,8 @@ CUTS, POWERS, ENOUGH = (8, 16, 32, 64, 128, 256, 512, 1024), 64, 20
 #: Characters counted at a time.
 _PIECE = 100_000
 _SPACE = np.uint64(32)
+#: Hashes by which the sample is picked.
+_PLACES = 1_000_003
 _letters: np.ndarray | None = None
 
 
@@ -92,14 +94,19 @@ def ngram_counts(texts: list[str | None]) -> np.ndarray:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Normalised TF-IDF rows (float32); a row without n-grams stays zero."""
-    out = np.zeros(counts.shape, dtype=np.float32)
+    """Normalised TF-IDF rows; a row without n-grams stays zero."""
+    out = np.zeros(counts.shape)
     r, c = np.nonzero(counts)
     out[r, c] = (1 + np.log(counts[r, c])) * idf[c]
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms > 0, norms, 1)
 
 
+def _cosines(counts: np.ndarray, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosines with each centroid, rounded: their last digits depend on how many texts are multiplied at a time."""
+    return np.round(vectors(counts, idf) @ centroids.T, 6)
+
+
 def powers(counts: np.ndarray) -> np.ndarray:
     """The power of two that the n-grams of each row reach."""
     return np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64)
@@ -141,10 +148,10 @@ class Model:
         counts = ngram_counts(texts)
         if not self.langs:
             return [("und", 0.0, True)] * len(texts)
-        cosines = vectors(counts, self.idf) @ self.centroids.T
+        cosines = _cosines(counts, self.idf, self.centroids)
         best = np.argmax(cosines, axis=1)
         some = counts.any(axis=1).tolist()
-        values = np.clip(cosines[np.arange(len(texts)), best], 0, 1).astype(np.float64)
+        values = np.clip(cosines[np.arange(len(texts)), best], 0, 1)
         return [(self.langs[b], v, bool(v < t)) if s else ("und", 0.0, True) for b, v, t, s in zip(best.tolist(), values.tolist(), self.limits[best, powers(counts)].tolist(), some, strict=True)]
 
 
@@ -171,13 +178,17 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
     """The model of labelled rows: doc_id, text and lang."""
     train = train.select("doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null")
     spark = train.sparkSession
-    sizes = train.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))).select("lang", "rate").collect()  # a row a language
+    train = train.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_PLACES)))
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()  # a row a language
     n, df = _document_frequencies(train)
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    idf = np.log((1 + n) / (1 + df)) + 1
     if not sizes:
-        return Model([], np.zeros((0, BINS), np.float32), np.zeros((0, POWERS)), idf)
-    rates = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes], "lang string, rate double"))
-    picked = train.join(rates, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("rate") * 1_000_003).select("doc_id", "lang", "text")
+        return Model([], np.zeros((0, BINS)), np.zeros((0, POWERS)), idf)
+    # by their hashes more rows than are wanted are likely, so that few are ordered; the rank is the bound
+    likely = [(r["lang"], max(r["least"], int(2 * sample / r["n"] * _PLACES))) for r in sizes]
+    last = F.broadcast(spark.createDataFrame(likely, "lang string, last long"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
+    picked = train.join(last, "lang").filter(F.col("place") <= F.col("last")).withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang", "text")
 
     def vectorise(batches):
         import pyarrow as pa
@@ -185,13 +196,13 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
         for part in rows(batches, "doc_id", "lang", "text"):
             d, lang, t = zip(*part, strict=True)
             x = vectors(ngram_counts(list(t)), idf)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(lang, pa.string()), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(lang, pa.string()), pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "v"])
 
     def cluster(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("doc_id")
-        x = np.stack([np.frombuffer(v, dtype=np.float32) for v in pdf["v"]])
+        x = np.stack([np.frombuffer(v, dtype=np.float32).astype(np.float64) for v in pdf["v"]])
         lang, x = pdf["lang"].iloc[0], x[np.any(x, axis=1)]
         if not len(x):
             return pd.DataFrame([], columns=["lang", "k", "centroid"])
@@ -199,12 +210,12 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
         made = []
         for k, c in enumerate(centroids):
             if np.any(own == k) and np.mean(own == k) >= LEAST:
-                made.append((lang, k, c.astype(np.float32).tobytes()))
+                made.append((lang, k, c.tobytes()))
         return pd.DataFrame(made, columns=["lang", "k", "centroid"])
 
     found = mapped(picked, vectorise, "doc_id long, lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid binary").collect()  # CLUSTERS rows a language
     found.sort(key=lambda r: (r["lang"], r["k"]))
-    centroids = np.stack([np.frombuffer(r["centroid"], dtype=np.float32) for r in found]) if found else np.zeros((0, BINS), np.float32)
+    centroids = np.stack([np.frombuffer(r["centroid"]) for r in found]) if found else np.zeros((0, BINS))
     langs = [r["lang"] for r in found]
     return Model(langs, centroids, _limits(picked, langs, centroids, idf), idf)
 
@@ -221,7 +232,7 @@ def _limits(picked: DataFrame, langs: list[str], centroids: np.ndarray, idf: np.
             for at in range(0, len(part), 32):
                 pieces = [(lang, p) for lang, t in part[at : at + 32] for p in (*(t[:c] for c in CUTS if c < len(t)), t)]
                 counts = ngram_counts([p for _, p in pieces])
-                cosines = vectors(counts, weights) @ every.T
+                cosines = _cosines(counts, weights, every)
                 own = np.array([[lang == name for name in names] for lang, _ in pieces])
                 near = np.where(own, cosines, -1).max(axis=1, initial=-1)
                 keep = counts.any(axis=1) & (near >= 0)

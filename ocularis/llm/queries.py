@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, langid, linededup, pii, quality, simhash, sstable, substring, warc, winnow
-from .common import documents
+from .common import documents, prepare
 
 #: Name of the vocabulary file that the contracts fix.
 VOCABULARY = "word_bpe_49k.json"
@@ -20,42 +20,52 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return linededup.report(documents(spark, sf_dir))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return pii.report(documents(spark, sf_dir))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return winnow.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return sstable.digests(documents(spark, sf_dir), vocabulary())
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return langid.identify(documents(spark, sf_dir))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return simhash.classes(documents(spark, sf_dir))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return substring.deduplicated(documents(spark, sf_dir), texts=False)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return quality.report(documents(spark, sf_dir))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
@@ -85,7 +95,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL: dict[str, str] = {
     "op1_line_dedup": rf"""
 WITH l AS (SELECT doc_id, source, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM documents),
-k AS (SELECT *, CASE WHEN len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 THEN trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) END AS key FROM l),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) END AS key FROM l),
 b AS (SELECT key, min((doc_id, pos)) AS place FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT source) >= 10),
 m AS (SELECT k.doc_id, k.pos, k.line, b.key IS NOT NULL AND (k.doc_id, k.pos) != b.place AS gone FROM k LEFT JOIN b ON k.key = b.key),
 d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)

@@ -203,7 +203,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> list[tuple[int, s
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([path]), pa.array([out.n_docs], pa.int64()), pa.array([out.n_tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # rows with one doc_id have an order too, so that a task that runs again writes the same
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     made = mapped(ranged, shard, "shard long, path string, n_docs long, n_tokens long")
     return sorted(tuple(r) for r in made.collect())
 
@@ -234,7 +236,7 @@ def read(spark, shards: list[tuple[int, str, int, int]], result: str, make) -> D
                 yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
     files = spark.createDataFrame(listed, "path string, start long")
-    return mapped(files.repartition(max(1, len(listed)), "path"), entries, result)
+    return mapped(files.repartition(max(1, len(listed))), entries, result)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -14,7 +14,7 @@ sha = lambda x: hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdiges
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
-def op1(docs, min_sites=10, min_words=3):
+def op1(docs, min_sites=10, min_words=1):
     """docs: (doc_id, text, source), ids not null."""
     sites, first = defaultdict(set), {}
     of = lambda line: line.strip(" \t\r\x0b\x0c")
@@ -181,3 +181,60 @@ def op2_added(docs, instances, base_spans, rounds=3, support=5, limit=0.8):
         if (kind < 0 or kind > 3) and fit:
             out[d].add((a, min(fit), b))
     return {d: sorted(x for x in s if not any(o != x and o[0] <= x[0] and x[2] <= o[2] for o in s)) for d, s in out.items()}
+
+
+def op5(rows, langid, clusters=4):
+    """rows: (doc_id, text, lang) whose training part is within the sample; (doc_id, lang_pred, score) by loops over single n-grams."""
+
+    def grams(text):
+        spaced = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        s = f" {spaced} " if spaced else ""
+        codes = [*s, *(s[k : k + 2] for k in range(len(s) - 1)), *(s[k : k + 3] for k in range(len(s) - 2))]
+        counts = Counter()
+        for g in codes:
+            if g == " " or (len(g) == 3 and g[1] == " "):
+                continue
+            code = 0
+            for c in g:
+                code = code << 21 | (32 if c == " " else ord(c))
+            code = (code | 1 << 63) if len(g) == 2 else code
+            counts[int(langid._bin(np.array([code & (1 << 64) - 1], dtype=np.uint64))[0])] += 1
+        return counts
+
+    def vector(counts):
+        v = {b: (1 + np.log(n)) * idf[b] for b, n in counts.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        out = np.zeros(langid.BINS)
+        for b, x in v.items():
+            out[b] = x / norm
+        return out
+
+    train = [(d, t, lang) for d, t, lang in rows if d is not None and t is not None and lang is not None and not crc_held_out(d)]
+    df, n = Counter(), len(train)
+    for _, t, _ in train:
+        df.update(grams(t).keys())
+    idf = [np.log((1 + n) / (1 + df[b])) + 1 for b in range(langid.BINS)]
+    model = []
+    for lang in sorted({x for *_, x in train}):
+        x = np.array([vector(c).astype(np.float32) for d, t, g in sorted(train) if g == lang and (c := grams(t))]).astype(np.float64)
+        if not len(x):
+            continue
+        chosen = [int(np.argmax(x @ x.mean(axis=0)))]
+        while len(chosen) < min(clusters, len(x)):
+            chosen.append(int(np.argmin((x @ x[chosen].T).max(axis=1))))
+        centroids, own = x[chosen].copy(), None
+        for _ in range(12):
+            now = np.argmax(x @ centroids.T, axis=1)
+            if own is not None and np.array_equal(now, own):
+                break
+            own = now
+            for j in set(own.tolist()):
+                mean = x[own == j].mean(axis=0)
+                centroids[j] = mean / np.linalg.norm(mean)
+        model += [(lang, c) for j, c in enumerate(centroids) if np.mean(own == j) >= max(langid.LEAST, 1e-9)]
+    out = []
+    for d, t, _ in rows:
+        c = grams(t)
+        best = max(((float(vector(c) @ m), lang) for lang, m in model), key=lambda x: x[0]) if c and model else (0.0, "und")
+        out.append((d, best[1], best[0]))
+    return out

@@ -137,11 +137,20 @@ def test_language_id(spark):
     assert all(got[d]["lang_pred"] == truth[d] and not got[d]["rejected"] for d in range(180))
     assert all(got[d]["lang_pred"] == "und" and got[d]["score"] == 0 for d in (900, 901, 902))
     assert got[903]["rejected"] and 0 <= got[903]["score"] <= 1
+    for d, lang, score in brute.op5(rows, langid):
+        assert got[d]["lang_pred"] == lang and abs(got[d]["score"] - score) < 1e-4, (d, lang, score, got[d])
     kept = langid.accepted(df)
     assert kept.columns == df.columns and kept.count() == 181
     assert langid.identify(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_language_id_learns_from_a_bounded_sample(spark):
+    rows = [(7, "the cat sat on the mat by the river", "en")] * 300 + [(k, f"der hund lief über die brücke {k}", "de") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample=20)
+    assert set(model.langs) == {"en", "de"} and [x[0] for x in model.predict(["the river", "die brücke"])] == ["en", "de"]
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 1])
 def test_simhash(docs, plain, hot):
     got = simhash.components(docs, hot=hot).select("doc_id", simhash.F.lower(simhash.F.lpad(simhash.F.hex("fp"), 16, "0")), "component_id")
