@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
 from ..functions.columns import changed, finite, ordered, ratio, run_id, share
 
 
@@ -37,42 +38,58 @@ def in_polygon(x: Column, y: Column, vertices: Column, epsilon: float = 2.220446
     return F.aggregate(edges, F.lit(False), lambda inside, e: F.when(crosses(e), ~inside).otherwise(inside))
 
 
-def contains(x: Column, y: Column) -> Column:
-    """Whether the AOI of a row (shape_type, x0, y0, width, height and, for polygons, vertices) holds the point."""
-    rectangle = in_rectangle(x, y, F.col("x0"), F.col("y0"), F.col("width"), F.col("height"))
-    ellipse = in_ellipse(x, y, F.col("x0"), F.col("y0"), F.col("width"), F.col("height"))
-    return F.coalesce(F.when(F.col("shape_type") == "rectangle", rectangle).when(F.col("shape_type").isin("circle", "ellipse"), ellipse), F.lit(False))
+def holds(x: Column, y: Column, shape: Column, polygons: bool = False) -> Column:
+    """Whether a shape (shape_type, x0, y0, width, height and, for polygons, vertices) holds the point."""
+    kind, box = shape["shape_type"], [shape[c] for c in ("x0", "y0", "width", "height")]
+    test = F.when(kind == "rectangle", in_rectangle(x, y, *box)).when(kind.isin("circle", "ellipse"), in_ellipse(x, y, *box))
+    if polygons:
+        test = test.when(kind == "polygon", in_polygon(x, y, shape["vertices"]))
+    return F.coalesce(test, F.lit(False))
+
+
+#: Most AOIs that go to every row as one array; a larger table is joined.
+MOST_AOIS = 1_000
 
 
 def assign_aois(points: DataFrame, aois: DataFrame, x: str, y: str, key: Sequence[str], stimulus: str | None = None, overlap: str = "first") -> DataFrame:
     """points with aoi_id: of the first AOI by row order (aoi_order), of the smallest, or all of them joined by pipes; null outside.
 
-    The join is on the stimulus where both sides have one; an AOI table without stimuli is one literal table for all points."""
+    AOIs of a stimulus become one array, which joins the points of that stimulus (or all of them, where there are no stimuli) and
+    is searched in the row: no point is shuffled by its key. Stimuli with more than MOST_AOIS shapes are refused."""
+    fields = ["aoi_order", "aoi_id", "shape_type", "x0", "y0", "width", "height", *(["vertices"] if "vertices" in aois.columns else [])]
+    shapes = aois.groupBy(*([stimulus] if stimulus else [])).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_shapes"), F.count("*").alias("_n"))
+    largest = shapes.agg(F.max("_n")).first()[0]
+    if (largest or 0) > MOST_AOIS:
+        raise ValidationError(f"a stimulus has {largest} AOIs; at most {MOST_AOIS} are searched in a row")
+    shapes = shapes.drop("_n")
+    joined = points.join(shapes, stimulus, "left") if stimulus else points.join(F.broadcast(shapes), F.lit(True), "left")
     a, b = finite(x), finite(y)
-    spot = points.select(*key, *([stimulus] if stimulus else []), a.alias("_x"), b.alias("_y")).filter("_x is not null and _y is not null")
-    joined = spot.join(aois, stimulus) if stimulus else spot.join(F.broadcast(aois), F.lit(True))
-    polygon = F.col("vertices") if "vertices" in aois.columns else None
-    inside = contains(F.col("_x"), F.col("_y"))
-    if polygon is not None:
-        inside = inside | F.coalesce((F.col("shape_type") == "polygon") & in_polygon(F.col("_x"), F.col("_y"), polygon), F.lit(False))
-    hits = joined.filter(inside)
+    hits = F.filter("_shapes", lambda s: a.isNotNull() & b.isNotNull() & holds(a, b, s, "vertices" in aois.columns))
     if overlap == "all":
-        chosen = hits.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("aoi_order", "aoi_id"))), lambda s: s["aoi_id"]), "|").alias("aoi_id"))
+        found = F.nullif(F.array_join(F.transform(hits, lambda s: s["aoi_id"]), "|"), F.lit(""))
+    elif overlap == "smallest":
+        found = F.array_min(F.transform(hits, lambda s: F.struct((s["width"] * s["height"]).alias("area"), s["aoi_order"], s["aoi_id"])))["aoi_id"]
     else:
-        rank = F.struct((F.col("width") * F.col("height")).alias("a"), F.col("aoi_order").alias("o")) if overlap == "smallest" else F.col("aoi_order")
-        chosen = hits.groupBy(*key).agg(F.min_by("aoi_id", rank).alias("aoi_id"))
-    return points.join(chosen, list(key), "left")
+        found = F.get(hits, F.lit(0))["aoi_id"]
+    return joined.withColumn("aoi_id", found).drop("_shapes")
+
 
+def build_aoi_visits(df: DataFrame, time: str, by: Sequence[str], aoi: str = "aoi_id", gap_tolerance: float = 0.075, minimum: float = 0.0, x: str | None = None, y: str | None = None) -> DataFrame:
+    """Runs of one AOI whose steps are no longer than the tolerance; samples outside every AOI don't break a run.
 
-def build_aoi_visits(df: DataFrame, time: str, by: Sequence[str], aoi: str = "aoi_id", gap_tolerance: float = 0.075, minimum: float = 0.0) -> DataFrame:
-    """Runs of one AOI whose steps are no longer than the tolerance; samples outside every AOI don't break a run."""
+    With coordinates a visit has its first, last and mean position too."""
     w = ordered(by, time)
     inside = df.filter(F.col(aoi).isNotNull())
     starts = changed(aoi, w) | F.coalesce(finite(time) - F.lag(finite(time)).over(w) > gap_tolerance, F.lit(False))
     runs = inside.withColumn("_run", run_id(starts, w))
-    found = runs.groupBy(*by, "_run", aoi).agg(F.min(finite(time)).alias("start_time"), F.max(finite(time)).alias("end_time"), F.count("*").alias("n_samples"))
+    positions = []
+    for name, c in (("x", x), ("y", y)):
+        if c:
+            positions += [F.min_by(c, time).alias(f"start_{name}"), F.max_by(c, time).alias(f"end_{name}"), F.avg(finite(c)).alias(f"centroid_{name}")]
+    found = runs.groupBy(*by, "_run", aoi).agg(F.min(finite(time)).alias("start_time"), F.max(finite(time)).alias("end_time"), F.count("*").alias("n_samples"), *positions)
     lasting = found.withColumn("duration_ms", (F.col("end_time") - F.col("start_time")) * 1000)
-    return lasting.filter(F.col("duration_ms") >= minimum * 1000).drop("_run").withColumn("episode_type", F.lit("aoi_visit"))
+    named = {"episode_type": F.lit("aoi_visit"), "source_algorithm": F.lit("AOI run-length encoding"), "source_parameters": F.lit(f"gap_tolerance_ms={gap_tolerance * 1000:g}")}
+    return lasting.filter(F.col("duration_ms") >= minimum * 1000).drop("_run").withColumns(named)
 
 
 def compare_aoi_assignments(baseline: DataFrame, perturbed: DataFrame, key: Sequence[str], aoi: str = "aoi_id") -> DataFrame:
@@ -159,14 +176,20 @@ def rectangle_margin(x: Column, y: Column, x0: Column, y0: Column, width: Column
 
 
 def assign_aois_probabilistic(points: DataFrame, aois: DataFrame, x: str, y: str, key: Sequence[str], sd: float) -> DataFrame:
-    """Memberships of each point by a softmax of its margins over the standard error; outside is a class with margin zero. ambiguity: 1 - largest."""
-    spot = points.select(*key, finite(x).alias("_x"), finite(y).alias("_y")).filter("_x is not null and _y is not null")
-    margins = spot.join(F.broadcast(aois), F.lit(True)).select(*key, "aoi_id", (rectangle_margin(F.col("_x"), F.col("_y"), F.col("x0"), F.col("y0"), F.col("width"), F.col("height")) / sd).alias("z"))
-    outside = spot.select(*key, F.lit("__outside__").alias("aoi_id"), F.lit(0.0).alias("z"))
-    both = margins.unionByName(outside)
-    w = Window.partitionBy(*key)
-    shares = both.withColumn("e", F.exp(F.col("z") - F.max("z").over(w))).withColumn("probability", F.col("e") / F.sum("e").over(w))
-    return shares.withColumn("ambiguity", 1 - F.max("probability").over(w)).drop("z", "e")
+    """Memberships of each point by a softmax of its margins over the standard error; outside is a class with margin zero. ambiguity: 1 - largest.
+
+    The AOIs are one array of at most MOST_AOIS, and all is computed in the point's row."""
+    shapes = aois.agg(F.sort_array(F.collect_list(F.struct("aoi_id", "x0", "y0", "width", "height"))).alias("_shapes"))
+    n = shapes.select(F.size("_shapes")).first()[0]
+    if n > MOST_AOIS:
+        raise ValidationError(f"{n} AOIs; at most {MOST_AOIS} are compared in a row")
+    spot = points.select(*key, finite(x).alias("_x"), finite(y).alias("_y")).filter("_x is not null and _y is not null").crossJoin(F.broadcast(shapes))
+    margin = lambda s: rectangle_margin(F.col("_x"), F.col("_y"), s["x0"], s["y0"], s["width"], s["height"]) / sd
+    scored = spot.select(*key, F.transform("_shapes", lambda s: s["aoi_id"]).alias("_ids"), F.array_append(F.transform("_shapes", margin), F.lit(0.0)).alias("_z"))
+    powers = scored.select(*key, "_ids", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))).alias("_e"))
+    summed = powers.select(*key, "_ids", "_e", F.aggregate("_e", F.lit(0.0), lambda a, e: a + e).alias("_s"))
+    each = summed.select(*key, "_s", (1 - F.array_max("_e") / F.col("_s")).alias("ambiguity"), F.explode(F.arrays_zip(F.array_append("_ids", F.lit("__outside__")).alias("id"), F.col("_e").alias("e"))).alias("m"))
+    return each.select(*key, F.col("m.id").alias("aoi_id"), (F.col("m.e") / F.col("_s")).alias("probability"), "ambiguity")
 
 
 def probabilistic_aoi_assignment(memberships: DataFrame, key: Sequence[str], minimum: float = 0.5) -> DataFrame:

@@ -178,14 +178,22 @@ def detect_fixations_adaptive(df: DataFrame, time: str, by: Sequence[str], x: st
 def detect_fixations_idt(df: DataFrame, time: str, by: Sequence[str], x: str, y: str, dispersion: float = 1.0, minimum: float = 0.1) -> DataFrame:
     """Greedy windows whose spread, (max x - min x) + (max y - min y), stays within the limit.
 
-    The state runs through a group, so groups go to a grouped Arrow function; one pass with running extremes, no rescan."""
+    No window crosses a step that is larger than the limit, so recordings are cut there, and pieces too short for a fixation are dropped.
+    The state runs through a piece, so pieces go to a grouped Arrow function; one pass with running extremes, no rescan."""
     import pandas as pd
 
     schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in by) + ", start_time double, end_time double, n_samples long, centroid_x double, centroid_y double, dispersion double"
     kept = df.select(*by, finite(time).alias("_t"), finite(x).alias("_x"), finite(y).alias("_y")).filter("_t is not null and _x is not null and _y is not null")
 
-    def detect(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t", kind="stable")
+    w = ordered(by, "_t", "_x", "_y")
+    wide_step = F.abs(F.col("_x") - F.lag("_x").over(w)) + F.abs(F.col("_y") - F.lag("_y").over(w)) > dispersion
+    pieces = kept.withColumn("_piece", run_id(F.coalesce(wide_step, F.lit(True)), w))
+    piece = Window.partitionBy(*by, "_piece")
+    lasting = pieces.withColumn("_lasts", F.max("_t").over(piece) - F.min("_t").over(piece)).filter(F.col("_lasts") >= minimum).drop("_lasts")
+
+    def detect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        key = key[:-1]
+        pdf = pdf.sort_values(["_t", "_x", "_y"], kind="stable")
         rows = list(zip(pdf["_t"], pdf["_x"], pdf["_y"], strict=True))
         found, first = [], 0
         while first < len(rows):
@@ -207,7 +215,7 @@ def detect_fixations_idt(df: DataFrame, time: str, by: Sequence[str], x: str, y:
                 first += 1
         return pd.DataFrame(found, columns=[*by, "start_time", "end_time", "n_samples", "centroid_x", "centroid_y", "dispersion"])
 
-    return kept.groupBy(*by).applyInPandas(detect, schema).withColumn("duration_ms", (F.col("end_time") - F.col("start_time")) * 1000).withColumn("episode_type", F.lit("fixation"))
+    return lasting.groupBy(*by, "_piece").applyInPandas(detect, schema).withColumn("duration_ms", (F.col("end_time") - F.col("start_time")) * 1000).withColumn("episode_type", F.lit("fixation"))
 
 
 def detect_events_ivvt(df: DataFrame, time: str, by: Sequence[str], x: str, y: str, fixation: float = 5.0, saccade: float = 30.0, minimum: float = 0.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, expit, finite, normal_cdf, ordered, ratio, share, softmax
+from ..functions.ranks import running
 
 
 def probability_2pl(theta: Column, a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -141,20 +142,21 @@ def q3(rows: DataFrame, person: str, item: str, observed: str = "response", expe
     return a.join(b, person).filter("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n"), correlation("x", "y").alias("q3"))
 
 
-def eap_scores(responses: DataFrame, items: DataFrame, person: str, item: str = "item_id", grid: Column | None = None, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
-    """Posterior mean and deviation of ability on a grid. A response adds its log-likelihood at every grid point within an array; arrays are summed by person."""
-    points = grid if grid is not None else theta_grid()
-    rows = responses.join(items, item).filter(finite("response").isNotNull())
+def eap_scores(responses: DataFrame, items: DataFrame, person: str, item: str = "item_id", low: float = -4.0, high: float = 4.0, points: int = 81, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
+    """Posterior mean and deviation of ability on a grid. A response adds its log-likelihood at every grid point to as many sums, so a person is one row in the shuffle."""
+    thetas = [low + (high - low) * k / (points - 1) for k in range(points)]
     x = finite("response")
-    each = rows.withColumn("_g", points).select(person, F.posexplode("_g").alias("k", "theta"), x.alias("x"), "a", "b")
-    p = probability_2pl(F.col("theta"), F.col("a"), F.col("b"))
-    sums = each.groupBy(person, "k", "theta").agg(F.count("*").alias("n"), F.sum(F.when(F.col("x") > 0, F.ln(p)).otherwise(F.ln(1 - p))).alias("ll"))
-    logs = sums.withColumn("lp", F.col("ll") - F.pow((F.col("theta") - mean) / sd, 2) / 2)
-    w = Window.partitionBy(person)
-    weights = logs.withColumn("w", F.exp(F.col("lp") - F.max("lp").over(w)))
-    m = ratio(F.sum(F.col("w") * F.col("theta")), F.sum("w"))
-    second = ratio(F.sum(F.col("w") * F.col("theta") * F.col("theta")), F.sum("w"))
-    return weights.groupBy(person).agg(F.max("n").alias("n_items"), m.alias("theta"), F.sqrt(F.greatest(F.lit(0.0), second - m * m)).alias("se"))
+    rows = responses.select(person, item, x.alias("_x")).filter("_x is not null").join(items.select(item, "a", "b"), item)
+    # ln p for a success and ln (1 - p) otherwise are both -ln(1 + exp(-s a (theta - b))) with s = 1 or -1
+    signed = rows.select(person, (F.when(F.col("_x") > 0, 1.0).otherwise(-1.0) * F.col("a")).alias("_s"), "b")
+    sums = signed.groupBy(person).agg(F.count("*").alias("n_items"), *(F.sum(-F.log1p(F.exp(F.col("_s") * (F.col("b") - t)))).alias(f"_{k}") for k, t in enumerate(thetas)))
+    logs = sums.select(person, "n_items", F.array(*(F.col(f"_{k}") - ((t - mean) / sd) ** 2 / 2 for k, t in enumerate(thetas))).alias("_l"))
+    weights = logs.withColumn("_w", F.transform("_l", lambda v: F.exp(v - F.array_max("_l")))).drop("_l")
+    grid = F.array(*map(F.lit, thetas))
+    moment = lambda power: F.aggregate(F.zip_with("_w", grid, lambda w, t: w * F.pow(t, F.lit(power))), F.lit(0.0), lambda a, v: a + v)
+    moments = weights.select(person, "n_items", *(moment(k).alias(f"_m{k}") for k in range(3)))
+    m = F.col("_m1") / F.col("_m0")
+    return moments.select(person, "n_items", m.alias("theta"), F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") / F.col("_m0") - m * m)).alias("se"))
 
 
 def marginal_reliability(scores: DataFrame) -> DataFrame:
@@ -263,12 +265,42 @@ def dina_ideal_response(q: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def pareto_front(items: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:
-    """Items that no other is at least as good as everywhere and better somewhere; larger is better. An item bank is compared with itself."""
-    x, y = items.alias("x"), items.alias("y")
-    no_worse, better = F.lit(True), F.lit(False)
-    for o in objectives:
-        no_worse, better = no_worse & (F.col(f"y.{o}") >= F.col(f"x.{o}")), better | (F.col(f"y.{o}") > F.col(f"x.{o}"))
-    return x.join(y, no_worse & better & (F.col(f"x.{key}") != F.col(f"y.{key}")), "left_anti")
+    """Items that no other is at least as good as everywhere and better somewhere; larger is better.
+
+    Of two objectives, an item must have the largest second value of those with its first value, and a larger one than any item
+    with a larger first value, which a running maximum over the distinct first values gives. Of more, each task reduces its items
+    to their own front, and the fronts, which are small against the tables, are reduced together."""
+    if len(objectives) == 2:
+        a, b = objectives
+        best = items.groupBy(F.col(a).cast("double").alias("_a")).agg(F.max(b).alias("_best"))
+        reached = running(best, "_a", {"_reached": (F.max, F.col("_best"))}, descending=True)
+        # the best so far is this value's own exactly where it beats all that have a larger first value
+        above = reached.select("_a", "_best", "_reached").filter("_best = _reached")
+        ahead = above.groupBy("_best").agg(F.max("_a").alias("_a")).select(F.col("_a"), F.col("_best").alias("_b"))
+        return items.join(ahead, (F.col(a).cast("double") == F.col("_a")) & (F.col(b) == F.col("_b")), "left_semi")
+    front = items.select(key, *objectives).mapInPandas(lambda parts: _fronts(parts, objectives), items.select(key, *objectives).schema)
+    whole = front.coalesce(1).mapInPandas(lambda parts: _fronts(parts, objectives), front.schema)
+    return items.join(whole.select(key), key, "left_semi")
+
+
+def _fronts(parts, objectives: Sequence[str]):
+    """The front of all parts, kept batch by batch."""
+    import numpy as np
+    import pandas as pd
+
+    kept = None
+    for part in parts:
+        rows = part if kept is None else pd.concat([kept, part], ignore_index=True)
+        v = rows[list(objectives)].to_numpy(dtype=float)
+        order = np.lexsort(v.T)[::-1]
+        keep: list[int] = []
+        for i in order:
+            chosen = v[keep]
+            if not len(keep) or not np.any(np.all(chosen >= v[i], axis=1) & np.any(chosen > v[i], axis=1)):
+                keep.append(i)
+        kept = rows.iloc[keep]
+    if kept is not None:
+        yield kept
 
 
 def encode_response_combinations(df: DataFrame, by: Sequence[str], option: str, selected: str, empty: str = "<none>") -> DataFrame:

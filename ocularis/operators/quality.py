@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import changed, finite, ordered, ratio, run_id, share
+from ..functions.ranks import joined_null_safe
 
 
 def _steps(df: DataFrame, time: str, by: Sequence[str], row: str | None) -> DataFrame:
@@ -180,15 +181,16 @@ def calibration_error_model(df: DataFrame, x: str, y: str, target_x: str, target
 
 
 def detect_calibration_drift(df: DataFrame, dx: str, dy: str, time: str, width: float, by: Sequence[str] = ()) -> DataFrame:
-    """Mean error of each time window, its distance from the first window, and whether that is beyond max(95th percentile, two standard deviations)."""
-    binned = df.select(*by, F.floor(finite(time) / width).alias("window"), finite(dx).alias("dx"), finite(dy).alias("dy")).filter("window is not null and dx is not null and dy is not null")
-    means = binned.groupBy(*by, "window").agg(F.count("*").alias("n"), F.avg("dx").alias("error_x"), F.avg("dy").alias("error_y"))
-    w = ordered(by, "window")
-    drift = F.hypot(F.col("error_x") - F.first("error_x").over(w), F.col("error_y") - F.first("error_y").over(w))
-    moved = means.withColumn("drift", drift)
-    group = Window.partitionBy(*by)
-    limit = F.greatest(F.percentile("drift", F.lit(0.95)).over(group), 2 * F.coalesce(F.stddev_samp(F.hypot("error_x", "error_y")).over(group), F.lit(0.0)))
-    return moved.withColumn("limit", limit).withColumn("flagged", F.col("drift") > F.col("limit"))
+    """Mean error of each time window from the group's first time, its distance from the first window, and whether that is beyond
+    max(95th percentile of the distances, two standard deviations of the samples' error distances)."""
+    rows = df.select(*by, finite(time).alias("_t"), finite(dx).alias("dx"), finite(dy).alias("dy")).filter("_t is not null and dx is not null and dy is not null")
+    whole = rows.groupBy(*by).agg(F.min("_t").alias("_t0"), F.stddev_samp(F.hypot("dx", "dy")).alias("_sd"))
+    binned = joined_null_safe(rows, whole, by).withColumn("window", F.floor((F.col("_t") - F.col("_t0")) / width) + 1)
+    means = binned.groupBy(*by, "window").agg(F.count("*").alias("n"), F.avg("dx").alias("error_x"), F.avg("dy").alias("error_y"), F.avg(F.hypot("dx", "dy")).alias("error_distance"), F.max("_sd").alias("_sd"))
+    w, group = ordered(by, "window"), Window.partitionBy(*by)
+    moved = means.withColumn("drift", F.hypot(F.col("error_x") - F.first("error_x").over(w), F.col("error_y") - F.first("error_y").over(w)))
+    limit = F.greatest(F.percentile("drift", F.lit(0.95)).over(group), 2 * F.coalesce("_sd", F.lit(0.0)))
+    return moved.withColumn("limit", limit).withColumn("flagged", F.col("drift") > F.col("limit")).drop("_sd")
 
 
 def audit_recalibration(before: DataFrame, after: DataFrame, dx: str, dy: str, minimum_improvement: float | None = None) -> DataFrame:

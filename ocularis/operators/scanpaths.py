@@ -1,7 +1,8 @@
-"""Comparison and dynamics of scanpaths: distances, recurrence, change points, point processes."""
+"""Comparison and dynamics of scanpaths: distances, recurrence, change points."""
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import numpy as np
@@ -164,17 +165,23 @@ def detect_process_changepoints(df: DataFrame, order: str, by: Sequence[str], ch
     limit = F.percentile("change_score", F.lit(quantile)).over(Window.partitionBy(*by))
     candidates = scored.withColumn("_limit", limit).filter((F.col("change_score") >= F.col("_limit")) & (F.col("change_score") > 0)).select(*by, F.col("_i").alias("position"), "change_score")
 
+    # candidates that are min_segment or more apart never bear on each other, so that runs of nearer ones are picked by themselves
+    near = ordered(by, "position")
+    apart = F.coalesce(F.col("position") - F.lag("position").over(near) >= min_segment, F.lit(True))
+    runs = candidates.withColumn("_run", run_id(apart, near))
+
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["change_score", "position"], ascending=[False, True])
         chosen: list[int] = []
         keep = []
         for p in pdf["position"]:
-            keep.append(all(abs(p - q) >= min_segment for q in chosen))
+            at = bisect.bisect_left(chosen, p)
+            keep.append(not ((at < len(chosen) and chosen[at] - p < min_segment) or (at and p - chosen[at - 1] < min_segment)))
             if keep[-1]:
-                chosen.append(p)
-        return pdf[keep].sort_values("position")
+                chosen.insert(at, p)
+        return pdf[keep].sort_values("position").drop(columns="_run")
 
-    return candidates.groupBy(*by).applyInPandas(pick, candidates.schema)
+    return runs.groupBy(*by, "_run").applyInPandas(pick, candidates.schema)
 
 
 def gaze_grid_counts(df: DataFrame, by: Sequence[str], x: str, y: str, size: int = 20) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, normal_quantile, ratio, share
+from ..functions.ranks import joined_null_safe, running
 
 
 def prepare_gaze_survival_data(trials: DataFrame, events: DataFrame, by: Sequence[str], trial_start: str, trial_end: str, event_time: str, valid: str | None = None) -> DataFrame:
@@ -37,18 +38,16 @@ def summarise_gaze_censoring(data: DataFrame, by: Sequence[str] = ()) -> DataFra
 def estimate_gaze_survival(data: DataFrame, by: Sequence[str] = (), time: str = "analysis_time", event: str = "event_observed", level: float = 0.95) -> DataFrame:
     """Kaplan-Meier curve at each event time with Greenwood's standard error and a normal interval.
 
-    Times are counted first, so the windows run over distinct times. Once all at risk have their event the curve is zero."""
+    Times are counted first, and running sums are made bucket by bucket, so that no window holds a whole group. Where all at risk have their event the curve is zero."""
     rows = data.select(*by, finite(time).alias("time"), F.col(event).alias("_e")).filter("time is not null and _e is not null")
     counts = rows.groupBy(*by, "time").agg(F.count("*").alias("_n"), F.count_if("_e").alias("n_events"))
-    down = Window.partitionBy(*by).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_risk = counts.withColumn("n_at_risk", F.sum("_n").over(down))
-    up = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = rows.groupBy(*by).agg(F.count("*").alias("_all"))
+    seen = running(counts, "time", {"_seen": (F.sum, F.col("_n"))}, by)
+    at_risk = joined_null_safe(seen, total, by).withColumn("n_at_risk", F.col("_all") - F.col("_seen") + F.col("_n"))
     d, n = F.col("n_events"), F.col("n_at_risk")
-    all_gone = F.max((d == n).cast("int")).over(up) == 1
-    survival = F.when(all_gone, 0.0).otherwise(F.exp(F.sum(F.when(d < n, F.ln(1 - d / n))).over(up)))
-    greenwood = F.sum(F.coalesce(ratio(d, n * (n - d)), F.lit(0.0))).over(up)
+    sums = {"_l": (F.sum, F.when(d < n, F.ln(1 - d / n)).otherwise(0.0)), "_g": (F.sum, F.coalesce(ratio(d, n * (n - d)), F.lit(0.0)))}
+    curve = running(at_risk, "time", sums, by).withColumn("survival", F.when(d == n, 0.0).otherwise(F.exp("_l"))).filter("n_events > 0")
     z = normal_quantile(0.5 + level / 2)
-    curve = at_risk.withColumns({"survival": survival, "_g": greenwood}).filter("n_events > 0")
     se = F.col("survival") * F.sqrt("_g")
     return curve.withColumn("std_error", se).select(*by, "time", "n_at_risk", "n_events", "survival", "std_error", F.greatest(F.lit(0.0), F.col("survival") - z * F.col("std_error")).alias("lower"), F.least(F.lit(1.0), F.col("survival") + z * F.col("std_error")).alias("upper"))
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
 from ..functions.columns import anyof, correlation, finite, ratio, share
+from ..functions.ranks import hashed_rank, joined_null_safe, seeded_digest
 
 
 def summarise_recovery(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -81,9 +83,14 @@ def decision_leverage(df: DataFrame, effect: str, decisions: Sequence[str]) -> D
 
 
 def grouped_folds(df: DataFrame, group: str, folds: int = 5, seed: int = 1) -> DataFrame:
-    """A fold for each group by a seeded hash of its id: no group is split, and nothing has to be sorted in one place."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
-    return df.withColumn("fold", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds + 1)
+    """A fold for each group: groups are dealt in turn in the order of a seeded hash, so that folds differ by one group at most.
+
+    Fewer groups than folds are refused, which takes a count of at most as many groups. A null group has no fold."""
+    groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
+    if groups.limit(folds).count() < folds:
+        raise ValidationError(f"there are fewer than {folds} groups in {group}")
+    ranked = hashed_rank(groups, seeded_digest(seed, group), [group])
+    return joined_null_safe(df, ranked.select(group, ((F.col("rank") - 1) % folds + 1).alias("fold")), [group], "left")
 
 
 def crossed_grouped_folds(df: DataFrame, groups: Sequence[str], folds: int = 5, held: int = 1, seed: int = 1) -> DataFrame:
@@ -108,11 +115,10 @@ def negative_control_shift(df: DataFrame, column: str, order: str, by: Sequence[
 
 
 def negative_control_permute(df: DataFrame, outcome: str, key: str, within: Sequence[str], seed: int = 1) -> DataFrame:
-    """The outcome dealt anew within strata: the k-th row by key takes the outcome of the k-th row by a seeded hash."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(*within).orderBy(key)))
-    dealt = df.select(*within, F.col(outcome).alias(f"{outcome}_permuted"), F.row_number().over(Window.partitionBy(*within).orderBy(digest, key)).alias("_i"))
-    return rows.join(dealt, [*within, "_i"]).drop("_i")
+    """The outcome dealt anew within strata: the k-th row by one seeded hash of the key takes the outcome of the k-th row by another."""
+    rows = hashed_rank(df, seeded_digest(seed, key), [key], within, "_i")
+    dealt = hashed_rank(df.select(*within, key, outcome), seeded_digest(seed + 1, key), [key], within, "_i").select(*within, "_i", F.col(outcome).alias(f"{outcome}_permuted"))
+    return joined_null_safe(rows, dealt, [*within, "_i"]).drop("_i")
 
 
 def placebo_window_audit(df: DataFrame, time: str, value: str, low: float, high: float, expected: float = 0.0, by: Sequence[str] = ()) -> DataFrame:

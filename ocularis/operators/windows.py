@@ -123,15 +123,34 @@ def apply_preflight_decision(df: DataFrame, audit: DataFrame, by: Sequence[str],
     return df.join(audit.filter(F.col("decision").isin(*keep)).select(*by), list(by), "left_semi")
 
 
-def audit_process_drift(df: DataFrame, item: str, batch: str, metrics: Sequence[str], quantile: float = 0.9, by: Sequence[str] = ()) -> DataFrame:
-    """First and latest batch mean of each metric of each item, the change, and whether it is in the upper quantile of changes."""
-    means = df.groupBy(*by, item, batch).agg(*(F.avg(finite(m)).alias(m) for m in metrics))
-    ends = means.groupBy(*by, item).agg(F.min(batch).alias("first_batch"), F.max(batch).alias("last_batch"), *(x for m in metrics for x in (F.min_by(m, batch).alias(f"{m}_first"), F.max_by(m, batch).alias(f"{m}_last"))))
-    moved = ends.filter("first_batch < last_batch").withColumns({f"{m}_delta": F.col(f"{m}_last") - F.col(f"{m}_first") for m in metrics})
-    cuts = moved.groupBy(*by).agg(*(F.percentile(F.abs(f"{m}_delta"), F.lit(quantile)).alias(f"_{m}") for m in metrics))
-    joined = moved.join(cuts, list(by)) if by else moved.crossJoin(F.broadcast(cuts))
-    flags = {f"{m}_flag": F.coalesce((F.abs(f"{m}_delta") >= F.col(f"_{m}")) & (F.abs(f"{m}_delta") > 0), F.lit(False)) for m in metrics}
-    return joined.withColumns(flags).withColumn("review", anyof([F.col(f) for f in flags])).drop(*(f"_{m}" for m in metrics))
+def audit_process_drift(df: DataFrame, item: str, batch: str, metrics: Sequence[str], quantile: float = 0.9, limits: dict[str, float] | None = None, falls: Sequence[str] = (), min_batches: int = 2, order: str | None = None, reference: Sequence | None = None) -> DataFrame:
+    """First and latest finite batch mean of each metric of each item, the change, its flags and a status for review.
+
+    A metric with a limit is flagged where the change is larger (for those in falls, where it falls by more); the others where
+    it is larger than a quantile of all items' changes. Batches are ordered by their value, or by the mean of order;
+    with reference batches the baseline is the mean over them. Items with too few batches are kept and named."""
+    limits = limits or {}
+    ranked = df.select(item, F.col(batch).alias("_b"), (finite(order) if order else F.col(batch)).alias("_o"), *(finite(m).alias(m) for m in metrics))
+    place = F.avg("_o") if order else F.first("_o")
+    means = ranked.groupBy(item, "_b").agg(place.alias("_o"), *(F.avg(m).alias(m) for m in metrics))
+    known = lambda m: F.when(F.col(m).isNotNull(), F.col("_o"))
+    base = lambda m: F.avg(F.when(F.col("_b").isin(*reference), F.col(m))) if reference else F.min_by(m, known(m))
+    ends = means.groupBy(item).agg(F.count("*").alias("n_batches"), *(x for m in metrics for x in (base(m).alias(f"{m}_baseline"), F.max_by(m, known(m)).alias(f"{m}_latest"))))
+    moved = ends.withColumns({f"{m}_delta": F.col(f"{m}_latest") - F.col(f"{m}_baseline") for m in metrics})
+    free = [m for m in metrics if m not in limits]
+    if free:
+        cuts = moved.agg(*(F.percentile(F.abs(f"{m}_delta"), F.lit(quantile)).alias(f"_{m}") for m in free))
+        moved = moved.crossJoin(F.broadcast(cuts))
+    beyond = lambda m: F.col(f"{m}_delta") < -limits[m] if m in falls else F.abs(f"{m}_delta") > (F.lit(limits[m]) if m in limits else F.col(f"_{m}"))
+    flagged = moved.withColumns({f"{m}_drift_flag": F.coalesce(beyond(m), F.lit(False)) for m in metrics}).drop(*(f"_{m}" for m in free))
+    count = sum((F.col(f"{m}_drift_flag").cast("int") for m in metrics), F.lit(0))
+    few = F.col("n_batches") < min_batches
+    status = F.when(few, "insufficient_batches_for_drift_review").when(F.col("drift_review_count") > 0, "review_item_or_stimulus_context").otherwise("no_review_flag")
+    return flagged.withColumn("insufficient_batches_flag", few).withColumn("drift_review_count", count).withColumn("drift_status", status)
+
+
+def process_drift_alerts(audit: DataFrame) -> DataFrame:
+    return audit.filter("drift_status = 'review_item_or_stimulus_context'")
 
 
 def compare_deployment_batches(df: DataFrame, item: str, batch: str, a: object, b: object, metrics: Sequence[str]) -> DataFrame:

@@ -110,16 +110,17 @@ def fixations_idt(spark, sf_dir):
     return rounded(events.detect_fixations_idt(samples(spark, sf_dir), "t", [_U], "x", "y", 15.0, 60.0))
 
 
-_VISITS = f"""WITH {_S}, v AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR event_type != lag(event_type) OVER w OR t - lag(t) OVER w > 40000 THEN 1 ELSE 0 END AS st FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM v), visits AS (SELECT user_id, event_type, min(t) AS start_time, max(t) AS end_time, count(*) AS n_samples FROM r GROUP BY user_id, event_type, run)"""
+_VISITS = f"""WITH {_S}, v AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR event_type != lag(event_type) OVER w OR t - lag(t) OVER w > 40000 THEN 1 ELSE 0 END AS st FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM v), visits AS (SELECT user_id, event_type, min(t) AS start_time, max(t) AS end_time, count(*) AS n_samples, arg_min(x, t) AS start_x, arg_max(x, t) AS end_x, avg(x) AS centroid_x FROM r GROUP BY user_id, event_type, run)"""
 
 
 def _visits(spark, sf_dir) -> DataFrame:
     return aoi.build_aoi_visits(samples(spark, sf_dir), "t", [_U], "event_type", 40000.0)
 
 
-@query(_VISITS + " SELECT user_id, event_type, round(start_time, 5) AS start_time, round(end_time, 5) AS end_time, n_samples FROM visits")
+@query(_VISITS + " SELECT user_id, event_type, round(start_time, 5) AS start_time, round(end_time, 5) AS end_time, n_samples, round(start_x, 5) AS start_x, round(end_x, 5) AS end_x, round(centroid_x, 5) AS centroid_x FROM visits")
 def aoi_visits(spark, sf_dir):
-    return rounded(_visits(spark, sf_dir).select(_U, "event_type", "start_time", "end_time", "n_samples"))
+    found = aoi.build_aoi_visits(samples(spark, sf_dir), "t", [_U], "event_type", 40000.0, x="x")
+    return rounded(found.select(_U, "event_type", "start_time", "end_time", "n_samples", "start_x", "end_x", "centroid_x"))
 
 
 _COLLAPSED = f"WITH {_S}, c AS (SELECT *, lag(event_type) OVER w AS pe FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)), k AS (SELECT * FROM c WHERE pe IS NULL OR pe != event_type)"
@@ -160,11 +161,10 @@ def summarize_fixations(spark, sf_dir):
     return rounded(found.withColumns({c: F.round(c, 2) for c in ms}))
 
 
-@query(_VISITS + """, o AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS nw, start_time - min(start_time) OVER (PARTITION BY user_id) AS lat FROM visits WINDOW w AS (PARTITION BY user_id ORDER BY start_time)), f AS (SELECT user_id, event_type, count(*)::DOUBLE AS c, sum((end_time - start_time) * 1000) AS d, min(lat) * 1000 AS l, (sum(nw) - 1)::DOUBLE AS r FROM o GROUP BY ALL)
-SELECT user_id, event_type, 'fixation_count' AS feature_name, round(c, 2) AS value FROM f UNION ALL SELECT user_id, event_type, 'dwell_time_ms', round(d, 2) FROM f UNION ALL SELECT user_id, event_type, 'first_latency_ms', round(l, 2) FROM f UNION ALL SELECT user_id, event_type, 'revisit_count', round(r, 2) FROM f UNION ALL SELECT user_id, event_type, 'dwell_share', round(d / nullif(sum(d) OVER (PARTITION BY user_id), 0), 2) FROM f""")
+@query(_VISITS + """, o AS (SELECT *, (end_time - start_time) * 1000 AS ms, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS nw, start_time - min(start_time) OVER (PARTITION BY user_id) AS lat FROM visits WINDOW w AS (PARTITION BY user_id ORDER BY start_time)), f AS (SELECT user_id, event_type, count(*)::DOUBLE AS c, sum(ms) AS d, min(lat) * 1000 AS l, (sum(nw) - 1)::DOUBLE AS r, avg(ms) AS m, stddev_samp(ms) AS sd FROM o GROUP BY ALL)
+SELECT user_id, event_type, 'fixation_count' AS feature_name, round(c, 2) AS value FROM f UNION ALL SELECT user_id, event_type, 'dwell_time_ms', round(d, 2) FROM f UNION ALL SELECT user_id, event_type, 'first_latency_ms', round(l, 2) FROM f UNION ALL SELECT user_id, event_type, 'revisit_count', round(r, 2) FROM f UNION ALL SELECT user_id, event_type, 'dwell_share', round(d / nullif(sum(d) OVER (PARTITION BY user_id), 0), 2) FROM f UNION ALL SELECT user_id, event_type, 'mean_fixation_ms', round(m, 2) FROM f UNION ALL SELECT user_id, event_type, 'sd_fixation_ms', round(sd, 2) FROM f""")
 def gaze_features(spark, sf_dir):
-    long = features.derive_gaze_features(_visits(spark, sf_dir), [_U], "event_type")
-    return rounded(long.filter(F.col("feature_name").isin("fixation_count", "dwell_time_ms", "first_latency_ms", "revisit_count", "dwell_share")), 2)
+    return rounded(features.derive_gaze_features(_visits(spark, sf_dir), [_U], "event_type"), 2)
 
 
 @query(f"WITH {_S}, p AS (SELECT *, (x + lag(x) OVER w) / 2 * (t - lag(t) OVER w) AS part FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, count(*) AS n, round(avg(x), 5) AS mean, round(stddev_samp(x), 5) AS sd, round(max(x), 5) AS peak, round(coalesce(sum(part), 0), 1) AS auc, round(CASE WHEN count(*) > 1 THEN regr_slope(x, t) END * 1000000, 3) AS slope FROM p GROUP BY user_id")
@@ -173,11 +173,13 @@ def pupil_features(spark, sf_dir):
     return wide.select(_U, "n", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"), F.round("peak", 5).alias("peak"), F.round("auc", 1).alias("auc"), F.round(F.col("slope") * 1000000, 3).alias("slope"))
 
 
-@query("SELECT o_custkey, round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END), 4) AS urgent, round(avg(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END), 4) AS low FROM orders GROUP BY o_custkey")
+_PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
+@query("SELECT o_custkey, " + ", ".join(f"round(avg(CASE WHEN o_orderpriority = '{k}' THEN o_totalprice END), 4) AS {v}" for k, v in _PRIORITIES.items()) + " FROM orders GROUP BY o_custkey")
 def features_wide(spark, sf_dir):
-    names = {"1-URGENT": "urgent", "5-LOW": "low"}
     long = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("feature_name"), F.col("o_totalprice").alias("value"))
-    return rounded(features.features_wide(long, ["o_custkey"], list(names)).withColumnsRenamed(names), 4)
+    return rounded(features.features_wide(long, ["o_custkey"], list(_PRIORITIES)).withColumnsRenamed(_PRIORITIES), 4)
 
 
 @query(f"WITH {_S}, g AS (SELECT user_id, list(event_type ORDER BY t) AS l FROM s GROUP BY user_id), n AS (SELECT user_id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || '>' || l[i + 1])) AS ngram FROM g) SELECT user_id, ngram, count(*) AS n FROM n GROUP BY ALL")
@@ -252,21 +254,34 @@ def aoi_perturbation_changes(spark, sf_dir):
     return aoi.compare_aoi_assignments(both[0], both[1], ["p_partkey"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
-_COMP = f"WITH {_S}, d AS (SELECT user_id, coalesce(sum(CASE WHEN event_type = 'click' THEN x END), 0) AS click, coalesce(sum(CASE WHEN event_type = 'view' THEN x END), 0) AS view, coalesce(sum(CASE WHEN event_type = 'error' THEN x END), 0) AS error FROM s GROUP BY user_id), z AS (SELECT *, click + view + error AS tot, (click = 0)::INT + (view = 0)::INT + (error = 0)::INT AS k FROM d), c AS (SELECT user_id, CASE WHEN click = 0 THEN 1e-6 ELSE click / tot * (1 - k * 1e-6) END AS click, CASE WHEN view = 0 THEN 1e-6 ELSE view / tot * (1 - k * 1e-6) END AS view, CASE WHEN error = 0 THEN 1e-6 ELSE error / tot * (1 - k * 1e-6) END AS error FROM z WHERE tot > 0)"
+_TYPES = ["click", "view", "error", "signup", "purchase"]
+_SUM = " + ".join(_TYPES)
+_LNS = "(" + " + ".join(f"ln({k})" for k in _TYPES) + ") / 5"
+_COMP = f"WITH {_S}, d AS (SELECT user_id, " + ", ".join(f"coalesce(sum(CASE WHEN event_type = '{k}' THEN x END), 0) AS {k}" for k in _TYPES) + f" FROM s GROUP BY user_id), z AS (SELECT *, {_SUM} AS tot, " + " + ".join(f"({k} = 0)::INT" for k in _TYPES) + " AS k FROM d), c AS (SELECT user_id, " + ", ".join(f"CASE WHEN {k} = 0 THEN 1e-6 ELSE {k} / nullif(tot, 0) * (1 - k * 1e-6) END AS {k}" for k in _TYPES) + " FROM z)"
 
 
 def _composition(spark, sf_dir) -> DataFrame:
-    return aoi.derive_aoi_composition(samples(spark, sf_dir), [_U], ["click", "view", "error"], "event_type", "x").filter("click is not null")
+    return aoi.derive_aoi_composition(samples(spark, sf_dir), [_U], _TYPES, "event_type", "x")
 
 
-@query(_COMP + " SELECT user_id, round(ln(click) - (ln(click) + ln(view) + ln(error)) / 3, 5) AS clr_1, round(ln(view) - (ln(click) + ln(view) + ln(error)) / 3, 5) AS clr_2, round(ln(error) - (ln(click) + ln(view) + ln(error)) / 3, 5) AS clr_3 FROM c")
+@query(_COMP + " SELECT user_id, " + ", ".join(f"round(ln({k}) - {_LNS}, 5) AS clr_{i}" for i, k in enumerate(_TYPES, 1)) + " FROM c")
 def aoi_composition_clr(spark, sf_dir):
-    return rounded(aoi.transform_aoi_composition(_composition(spark, sf_dir), ["click", "view", "error"], "clr").select(_U, "clr_1", "clr_2", "clr_3"))
+    return rounded(aoi.transform_aoi_composition(_composition(spark, sf_dir), _TYPES, "clr").drop(*_TYPES))
 
 
-@query(_COMP + " SELECT user_id, round(sqrt(0.5) * (ln(click) - ln(view)), 5) AS ilr_1, round(sqrt(2.0 / 3) * ((ln(click) + ln(view)) / 2 - ln(error)), 5) AS ilr_2 FROM c")
+@query(_COMP + " SELECT user_id, " + ", ".join(f"round(sqrt({k}.0 / {k + 1}) * ((" + " + ".join(f"ln({x})" for x in _TYPES[:k]) + f") / {k} - ln({_TYPES[k]})), 5) AS ilr_{k}" for k in range(1, 5)) + " FROM c")
 def aoi_composition_ilr(spark, sf_dir):
-    return rounded(aoi.transform_aoi_composition(_composition(spark, sf_dir), ["click", "view", "error"], "ilr").select(_U, "ilr_1", "ilr_2"))
+    return rounded(aoi.transform_aoi_composition(_composition(spark, sf_dir), _TYPES, "ilr").drop(*_TYPES))
+
+
+@query(_COMP + " SELECT user_id, round(ln(click) - ln(purchase), 5) AS alr_1, round(ln(view) - ln(purchase), 5) AS alr_2, round(ln(error) - ln(purchase), 5) AS alr_3, round(ln(signup) - ln(purchase), 5) AS alr_4 FROM c")
+def aoi_composition_alr(spark, sf_dir):
+    return rounded(aoi.transform_aoi_composition(_composition(spark, sf_dir), _TYPES, "alr").drop(*_TYPES))
+
+
+@query(_COMP + " SELECT user_id, round(sqrt(6.0 / 5) * ((ln(click) + ln(view)) / 2 - (ln(error) + ln(signup) + ln(purchase)) / 3), 5) AS active FROM c")
+def aoi_balances(spark, sf_dir):
+    return rounded(aoi.aoi_balance_coordinates(_composition(spark, sf_dir), {"active": (["click", "view"], ["error", "signup", "purchase"])}).drop(*_TYPES))
 
 
 @query(f"WITH {_S}, d AS (SELECT user_id, t - lag(t) OVER w AS d FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, count(*) AS n, round(median(d), 5) AS interval_median, round(avg(d), 5) AS interval_mean, round(min(d), 5) AS interval_min, round(max(d), 5) AS interval_max FROM d GROUP BY user_id")
@@ -304,10 +319,10 @@ def clock_transform(spark, sf_dir):
     return fit.select("l_returnflag", "n_markers", F.round("slope", 5).alias("slope"), F.round("offset", 3).alias("offset"))
 
 
-@query(f"WITH {_S}, a AS (SELECT user_id, min(t) AS a0, max(t) AS a1 FROM s WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id, min(t) AS b0, max(t) AS b1 FROM s WHERE event_type = 'view' GROUP BY user_id) SELECT user_id, round(greatest(0, least(a1, b1) - greatest(a0, b0)), 4) AS overlap_seconds, round(greatest(0, least(a1, b1) - greatest(a0, b0)) / nullif(greatest(a1, b1) - least(a0, b0), 0), 6) AS overlap_fraction FROM a JOIN b USING (user_id)")
+@query(f"WITH {_S}, a AS (SELECT user_id, min(t) AS a0, max(t) AS a1 FROM s WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id, min(t) AS b0, max(t) AS b1 FROM s WHERE event_type = 'view' GROUP BY user_id) SELECT user_id, CASE WHEN a0 IS NOT NULL AND b0 IS NOT NULL THEN round(greatest(0, least(a1, b1) - greatest(a0, b0)), 4) END AS overlap_seconds, CASE WHEN a0 IS NOT NULL AND b0 IS NOT NULL THEN round(greatest(0, least(a1, b1) - greatest(a0, b0)) / nullif(greatest(a1, b1) - least(a0, b0), 0), 6) END AS overlap_fraction FROM a FULL JOIN b USING (user_id)")
 def clock_sync(spark, sf_dir):
     s = samples(spark, sf_dir)
-    both = timebase.audit_clock_sync(s.filter("event_type = 'click'"), s.filter("event_type = 'view'"), "t", [_U]).filter("overlap_seconds is not null")
+    both = timebase.audit_clock_sync(s.filter("event_type = 'click'"), s.filter("event_type = 'view'"), "t", [_U])
     return both.select(_U, F.round("overlap_seconds", 4).alias("overlap_seconds"), F.round("overlap_fraction", 6).alias("overlap_fraction"))
 
 
@@ -358,9 +373,10 @@ def gaze_data_loss(spark, sf_dir):
     return rounded(quality.compute_gaze_data_loss(s, "x", "y", "t", [_U], "ok"), 6)
 
 
-@query(f"""WITH {_S}, b AS (SELECT user_id, floor(t / 604800)::BIGINT AS win, count(*) AS n, avg(x) AS ex, avg(y) AS ey FROM s GROUP BY ALL), f AS (SELECT *, first_value(ex) OVER w AS fx, first_value(ey) OVER w AS fy FROM b WINDOW w AS (PARTITION BY user_id ORDER BY win)) SELECT user_id, win AS "window", n, round(sqrt((ex - fx) * (ex - fx) + (ey - fy) * (ey - fy)), 5) AS drift FROM f""")
+@query(f"""WITH {_S}, g AS (SELECT *, floor((t - min(t) OVER u) / 604800)::BIGINT + 1 AS win, stddev_samp(sqrt(x * x + y * y)) OVER u AS sd FROM s WINDOW u AS (PARTITION BY user_id)), b AS (SELECT user_id, win, count(*) AS n, avg(x) AS ex, avg(y) AS ey, avg(sqrt(x * x + y * y)) AS ed, max(sd) AS sd FROM g GROUP BY ALL), f AS (SELECT *, sqrt((ex - first_value(ex) OVER w) ** 2 + (ey - first_value(ey) OVER w) ** 2) AS drift FROM b WINDOW w AS (PARTITION BY user_id ORDER BY win)), l AS (SELECT *, greatest(quantile_cont(drift, 0.95) OVER (PARTITION BY user_id), 2 * coalesce(sd, 0)) AS lim FROM f)
+SELECT user_id, win AS "window", n, round(ed, 5) AS error_distance, round(drift, 5) AS drift, round(lim, 5) AS "limit", drift > lim AS flagged FROM l""")
 def calibration_drift(spark, sf_dir):
-    return rounded(quality.detect_calibration_drift(samples(spark, sf_dir), "x", "y", "t", 604800.0, [_U]).select(_U, "window", "n", "drift"))
+    return rounded(quality.detect_calibration_drift(samples(spark, sf_dir), "x", "y", "t", 604800.0, [_U]).drop("error_x", "error_y"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(CASE WHEN event_id % 4 = 0 THEN NULL WHEN value > 10 THEN 1.0 ELSE 0.0 END), 6) AS valid_fraction FROM events GROUP BY event_type")
@@ -396,13 +412,11 @@ def process_windows(spark, sf_dir):
     return w.select(_U, "window_index", "n_samples", *(F.round(f"x_{c}", 8).alias(f"x_{c}") for c in ("mean", "sd", "min", "max")), F.round("x_auc", 0).alias("x_auc"), F.round("x_rmssd", 8).alias("x_rmssd"))
 
 
-_DRIFT = "WITH m AS (SELECT l_suppkey AS item, year(l_shipdate) AS b, avg(l_quantity) AS q FROM lineitem GROUP BY ALL), e AS (SELECT item, min(b) AS b0, max(b) AS b1, arg_min(q, b) AS q0, arg_max(q, b) AS q1 FROM m GROUP BY item HAVING min(b) < max(b))"
-
-
-@query(_DRIFT + ", c AS (SELECT quantile_cont(abs(q1 - q0), 0.9) AS c FROM e) SELECT item, round(q0, 5) AS quantity_first, round(q1, 5) AS quantity_last, round(q1 - q0, 5) AS quantity_delta, abs(q1 - q0) >= c AND q1 != q0 AS review FROM e, c")
+@query("""WITH m AS (SELECT l_suppkey AS item, year(l_shipdate) AS b, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY ALL), e AS (SELECT item, count(*) AS n_batches, arg_min(q, b) AS q0, arg_max(q, b) AS q1, arg_max(d, b) - arg_min(d, b) AS dd FROM m GROUP BY item), c AS (SELECT quantile_cont(abs(q1 - q0), 0.9) AS c FROM e), f AS (SELECT *, abs(q1 - q0) > c AS qf, dd < -0.01 AS df, n_batches < 7 AS few FROM e, c)
+SELECT item, n_batches, round(q0, 5) AS quantity_baseline, round(q1, 5) AS quantity_latest, round(q1 - q0, 5) AS quantity_delta, round(dd, 5) AS discount_delta, qf AS quantity_drift_flag, df AS discount_drift_flag, few AS insufficient_batches_flag, qf::INT + df::INT AS drift_review_count, CASE WHEN few THEN 'insufficient_batches_for_drift_review' WHEN qf OR df THEN 'review_item_or_stimulus_context' ELSE 'no_review_flag' END AS drift_status FROM f""")
 def process_drift(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("item"), F.year("l_shipdate").alias("b"), F.col("l_quantity").alias("quantity"))
-    return rounded(windows.audit_process_drift(rows, "item", "b", ["quantity"]).select("item", "quantity_first", "quantity_last", "quantity_delta", "review"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("item"), F.year("l_shipdate").alias("b"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    return rounded(windows.audit_process_drift(rows, "item", "b", ["quantity", "discount"], limits={"discount": 0.01}, falls=["discount"], min_batches=7).drop("discount_baseline", "discount_latest"))
 
 
 @query("SELECT l_suppkey, count(*) AS n_trials, round(avg(1 - l_discount * 5), 6) AS mean_validity, round(avg(l_tax), 6) AS mean_missing, round(avg(CASE WHEN 1 - l_discount * 5 >= 0.7 THEN 1.0 ELSE 0.0 END), 6) AS valid_trial_fraction FROM lineitem GROUP BY l_suppkey")
@@ -445,61 +459,58 @@ def within_between(spark, sf_dir):
     return rounded(parts.select("o_orderkey", "o_totalprice_between", "o_totalprice_within"), 7)
 
 
-_ITEMS = "i AS (SELECT n_nationkey AS item_id, 0.5 + (n_nationkey % 5) * 0.3 AS a, (n_nationkey % 9 - 4) * 0.5 AS b FROM nation)"
+#: Items are parts: discrimination from their size, difficulty from their price.
+_ITEMS = "i AS (SELECT p_partkey AS item_id, 0.5 + p_size / 50.0 AS a, (p_retailprice - 1400) / 300 AS b FROM part)"
 _GRID = "g AS (SELECT unnest(range(0, 81)) * 0.1 - 4 AS theta)"
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(k.alias("item_id"), (0.5 + (k % 5) * 0.3).alias("a"), ((k % 9 - 4) * 0.5).alias("b"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), (0.5 + F.col("p_size") / 50.0).alias("a"), ((F.col("p_retailprice") - 1400) / 300).alias("b"))
 
 
-@query(f"WITH {_ITEMS}, {_GRID}, p AS (SELECT theta, a, 1 / (1 + exp(-a * (theta - b))) AS p FROM i, g) SELECT round(theta, 4) AS theta, round(sum(a * a * p * (1 - p)), 6) AS information, round(1 / sqrt(sum(a * a * p * (1 - p))), 6) AS sem FROM p GROUP BY theta")
+@query(f"WITH {_ITEMS}, {_GRID}, p AS (SELECT theta, a, 1 / (1 + exp(-a * (theta - b))) AS p FROM i, g) SELECT round(theta, 4) AS theta, round(sum(a * a * p * (1 - p)), 4) AS information, round(1 / sqrt(sum(a * a * p * (1 - p))), 6) AS sem FROM p GROUP BY theta")
 def test_information(spark, sf_dir):
     out = irt.test_information(_items(spark, sf_dir), irt.theta_grid())
-    return out.select(F.round("theta", 4).alias("theta"), F.round("information", 6).alias("information"), F.round("sem", 6).alias("sem"))
+    return out.select(F.round("theta", 4).alias("theta"), F.round("information", 4).alias("information"), F.round("sem", 6).alias("sem"))
 
 
-@query(f"WITH {_ITEMS}, {_GRID} SELECT round(theta, 4) AS theta, round(sum(1 / (1 + exp(-a * (theta - b)))), 6) AS expected_score FROM i, g GROUP BY theta")
+@query(f"WITH {_ITEMS}, {_GRID} SELECT round(theta, 4) AS theta, round(sum(1 / (1 + exp(-a * (theta - b)))), 4) AS expected_score FROM i, g GROUP BY theta")
 def characteristic_curve(spark, sf_dir):
-    return rounded(irt.test_characteristic_curve(_items(spark, sf_dir), irt.theta_grid()).withColumn("theta", F.round("theta", 4)), 6)
+    return rounded(irt.test_characteristic_curve(_items(spark, sf_dir), irt.theta_grid()).withColumn("theta", F.round("theta", 4)), 4)
 
 
-#: Persons are customers, items nations; the response of a person to an item is a bit of their keys.
-_RESP = f"WITH {_ITEMS}, r AS (SELECT c_custkey AS person, n_nationkey AS item_id, ((c_custkey * 7 + n_nationkey * 13 + (c_custkey * n_nationkey) % 11) % 3 > 0)::INT AS response, (c_custkey % 21 - 10) * 0.2 AS theta FROM customer, nation WHERE (c_custkey + n_nationkey) % 4 = 0), p AS (SELECT r.*, a, b, 1 / (1 + exp(-a * (theta - b))) AS p FROM r JOIN i USING (item_id))"
+#: Persons are orders, whose price is their ability; a line of an order is a response to its part: more than 25 of it or not.
+_RESP = f"WITH {_ITEMS}, r AS (SELECT l_orderkey AS person, l_partkey AS item_id, l_linenumber, (l_quantity > 25)::INT AS response, (o_totalprice - 150000) / 75000 AS theta FROM lineitem JOIN orders ON o_orderkey = l_orderkey), p AS (SELECT r.*, a, b, 1 / (1 + exp(-a * (theta - b))) AS p FROM r JOIN i USING (item_id))"
 
 
 def _responses(spark, sf_dir) -> DataFrame:
-    n = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item_id")))  # 25 rows at every scale
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"))
-    both = c.join(n, (F.col("person") + F.col("item_id")) % 4 == 0)
-    code = F.col("person") * 7 + F.col("item_id") * 13 + F.col("person") * F.col("item_id") % 11
-    return both.select("person", "item_id", (code % 3 > 0).cast("int").alias("response"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("person"), F.col("l_partkey").alias("item_id"), "l_linenumber", (F.col("l_quantity") > 25).cast("int").alias("response"))
 
 
 def _modelled(spark, sf_dir) -> DataFrame:
-    r = _responses(spark, sf_dir).withColumn("theta", (F.col("person") % 21 - 10) * 0.2)
-    return r.join(F.broadcast(_items(spark, sf_dir)), "item_id").withColumn("p", irt.probability_2pl(F.col("theta"), F.col("a"), F.col("b")))
+    abilities = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("person"), ((F.col("o_totalprice") - 150000) / 75000).alias("theta"))
+    return irt.joined_probabilities(_responses(spark, sf_dir), abilities, _items(spark, sf_dir))
 
 
-@query(_RESP + " SELECT item_id, count(*) AS n, round(sum((response - p) ** 2) / sum(p * (1 - p)), 6) AS infit, round(avg((response - p) ** 2 / (p * (1 - p))), 6) AS outfit FROM p GROUP BY item_id")
+@query(_RESP + " SELECT item_id, count(*) AS n, round(sum((response - p) ** 2) / sum(greatest(p * (1 - p), 1e-8)), 5) AS infit, round(avg((response - p) ** 2 / greatest(p * (1 - p), 1e-8)), 4) AS outfit FROM p GROUP BY item_id")
 def item_fit(spark, sf_dir):
-    return rounded(irt.infit_outfit(_modelled(spark, sf_dir), "item_id"), 6)
+    found = irt.infit_outfit(_modelled(spark, sf_dir), "item_id")
+    return found.select("item_id", "n", F.round("infit", 5).alias("infit"), F.round("outfit", 4).alias("outfit"))
 
 
-@query(_RESP + " SELECT person, count(*) AS n_items, round((sum(response * ln(p) + (1 - response) * ln(1 - p)) - sum(p * ln(p) + (1 - p) * ln(1 - p))) / sqrt(sum(p * (1 - p) * ln(p / (1 - p)) ** 2)), 5) AS lz FROM p GROUP BY person")
+@query(_RESP + " SELECT person, count(*) AS n_items, round((sum(response * ln(p) + (1 - response) * ln(1 - p)) - sum(p * ln(p) + (1 - p) * ln(1 - p))) / sqrt(sum(p * (1 - p) * ln(p / (1 - p)) ** 2)), 4) AS lz FROM p GROUP BY person")
 def person_fit(spark, sf_dir):
-    return rounded(irt.person_fit_lz(_modelled(spark, sf_dir), "person"))
+    return rounded(irt.person_fit_lz(_modelled(spark, sf_dir), "person"), 4)
 
 
-@query(_RESP + " SELECT x.item_id AS item_a, y.item_id AS item_b, count(*) AS n, round(corr(x.response - x.p, y.response - y.p), 5) AS q3 FROM p x JOIN p y ON x.person = y.person AND x.item_id < y.item_id GROUP BY ALL")
+@query(_RESP + " SELECT x.l_linenumber AS item_a, y.l_linenumber AS item_b, count(*) AS n, round(corr(x.response - x.p, y.response - y.p), 5) AS q3 FROM p x JOIN p y ON x.person = y.person AND x.l_linenumber < y.l_linenumber GROUP BY ALL")
 def q3_residuals(spark, sf_dir):
-    return rounded(irt.q3(_modelled(spark, sf_dir), "person", "item_id"))
+    return rounded(irt.q3(_modelled(spark, sf_dir), "person", "l_linenumber"))
 
 
-@query(_RESP + f", {_GRID}, l AS (SELECT person, g.theta, count(*) AS n, sum(ln(CASE WHEN response = 1 THEN 1 / (1 + exp(-a * (g.theta - b))) ELSE 1 - 1 / (1 + exp(-a * (g.theta - b))) END)) - g.theta * g.theta / 2 AS l FROM p, g GROUP BY person, g.theta), w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY person)) AS w FROM l) SELECT person, max(n) AS n_items, round(sum(w * theta) / sum(w), 5) AS theta, round(sqrt(sum(w * theta * theta) / sum(w) - (sum(w * theta) / sum(w)) ** 2), 5) AS se FROM w GROUP BY person")
+@query(_RESP + f", {_GRID}, l AS (SELECT person, g.theta, count(*) AS n, sum(-ln(1 + exp((CASE WHEN response = 1 THEN a ELSE -a END) * (b - g.theta)))) - g.theta * g.theta / 2 AS l FROM p, g GROUP BY person, g.theta), w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY person)) AS w FROM l) SELECT person, max(n) AS n_items, round(sum(w * theta) / sum(w), 5) AS theta, round(sqrt(sum(w * theta * theta) / sum(w) - (sum(w * theta) / sum(w)) ** 2), 5) AS se FROM w GROUP BY person")
 def eap_scores(spark, sf_dir):
-    return rounded(irt.eap_scores(_responses(spark, sf_dir), F.broadcast(_items(spark, sf_dir)), "person"))
+    return rounded(irt.eap_scores(_responses(spark, sf_dir), _items(spark, sf_dir), "person"))
 
 
 @query("SELECT o_custkey, count(*) AS n, round(avg(ln(o_totalprice)), 5) AS mean_log_rt, round(median(o_totalprice), 3) AS median_rt FROM orders GROUP BY o_custkey")
@@ -512,7 +523,7 @@ def pareto_items(spark, sf_dir):
     return irt.pareto_front(table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"]).select("p_partkey")
 
 
-@query("SELECT c_custkey, CAST('0x' || substr(md5('1:' || c_custkey), 1, 8) AS BIGINT) % 5 + 1 AS fold FROM customer")
+@query("SELECT c_custkey, (row_number() OVER (ORDER BY md5('1:' || c_custkey), c_custkey) - 1) % 5 + 1 AS fold FROM customer")
 def grouped_folds(spark, sf_dir):
     return validation.grouped_folds(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "fold")
 
@@ -522,7 +533,7 @@ def control_shift(spark, sf_dir):
     return validation.negative_control_shift(samples(spark, sf_dir), "x", "event_id", [_U]).select("event_id", "x_shifted")
 
 
-@query("WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY md5('1:' || event_id), event_id) AS i FROM events) SELECT event_id, value AS value_permuted FROM r JOIN d USING (event_type, i)")
+@query("WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('1:' || event_id), event_id) AS i FROM events), d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY md5('2:' || event_id), event_id) AS i FROM events) SELECT event_id, value AS value_permuted FROM r JOIN d USING (event_type, i)")
 def control_permute(spark, sf_dir):
     return validation.negative_control_permute(table(spark, sf_dir, "events"), "value", "event_id", ["event_type"]).select("event_id", "value_permuted")
 
@@ -567,7 +578,7 @@ def process_changepoints(spark, sf_dir):
     return rounded(scanpaths.detect_process_changepoints(samples(spark, sf_dir), "t", [_U], ["x", "y"], 5))
 
 
-_PAIRS = "WITH u AS (SELECT conv_id, turn, string_split(text, ' ')[1:12] AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_PAIRS = "WITH u AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
 def _turns(spark, sf_dir) -> DataFrame:

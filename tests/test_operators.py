@@ -1,10 +1,13 @@
 """Operators on small literal tables with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from ocularis.errors import ValidationError
+from ocularis.functions import ranks
 from ocularis.operators import aoi, events, features, irt, reliability, scanpaths, survival, timebase, trials, validation, windows
 
 
@@ -71,12 +74,16 @@ def test_aoi_shapes(spark):
     assert first == {1: "r", 2: "e", 3: "p", 4: None, 5: None} and every[1] == "r|p"
 
 
-def test_perturbation_example(spark):
-    boxes = frame(spark, [("a", 1, "rectangle", 0.0, 0.0, 10.0, 10.0), ("b", 2, "rectangle", 12.0, 0.0, 10.0, 10.0)], "aoi_id string, aoi_order int, shape_type string, x0 double, y0 double, width double, height double")
-    points = frame(spark, [(1, 1.0, 1.0), (2, 11.0, 5.0), (3, 13.0, 5.0), (4, 10.5, 5.0), (5, None, None)], "id int, x double, y double")
-    wide = aoi.perturb_aois(boxes, frame(spark, [("dilate", 0.0, 0.0, 1.2)], "perturbation_id string, dx double, dy double, scale double"))
-    got = {r["id"]: r["aoi_id"] for r in aoi.assign_aois(points, wide, "x", "y", ["id"], overlap="all").collect()}
-    assert got == {1: "a", 2: "a|b", 3: "b", 4: "a", 5: None}
+def test_perturbed_boxes(spark):
+    boxes = frame(spark, [("left", 1, "rectangle", 0.0, 0.0, 100.0, 40.0), ("right", 2, "rectangle", 110.0, 0.0, 100.0, 40.0)], "aoi_id string, aoi_order int, shape_type string, x0 double, y0 double, width double, height double")
+    points = frame(spark, [(k, 5.0 * k, 20.0) for k in range(45)] + [(99, None, 20.0)], "id int, x double, y double")
+    for scale, reach in ((1.0, 0.0), (1.2, 10.0), (0.5, -25.0)):
+        moved = aoi.perturb_aois(boxes, frame(spark, [("p", 3.0, 0.0, scale)], "perturbation_id string, dx double, dy double, scale double"))
+        got = {r["id"]: r["aoi_id"] for r in aoi.assign_aois(points, moved, "x", "y", ["id"], overlap="all").collect()}
+        for k in range(45):
+            inside = [n for n, x0 in (("left", 3.0), ("right", 113.0)) if x0 - reach <= 5.0 * k <= x0 + 100 + reach]
+            assert got[k] == ("|".join(inside) or None)
+        assert got[99] is None
 
 
 def test_dynamic_aoi(spark):
@@ -155,3 +162,41 @@ def test_normal_cdf(spark):
     got = spark.range(1).select(normal_cdf(F.lit(1.96)).alias("p")).first()["p"]
     assert got == pytest.approx(0.5 * math.erfc(-1.96 / math.sqrt(2)), abs=1e-7)
     assert chi2_quantile(0.975, 3) == pytest.approx(9.3484, rel=0.01)
+
+
+def test_pareto_of_three_objectives_and_of_two(spark):
+    r = random.Random(3)
+    rows = [(k, float(r.randint(0, 9)), float(r.randint(0, 9)), float(r.randint(0, 9))) for k in range(200)]
+
+    def front(n):
+        better = lambda p, q: all(a >= b for a, b in zip(p, q, strict=True)) and p != q
+        return sorted(k for k, *v in rows if not any(better(w[:n], v[:n]) for _, *w in rows))
+
+    items = frame(spark, rows, "id int, a double, b double, c double").repartition(3)
+    for n in (2, 3):
+        assert sorted(x["id"] for x in irt.pareto_front(items, "id", ["a", "b", "c"][:n]).collect()) == front(n)
+
+
+def test_hashed_ranks_and_running_sums(spark):
+    rows = [("a" if k % 3 else None, k, float(k * k % 97)) for k in range(300)]
+    df = frame(spark, rows, "g string, k int, v double").repartition(4)
+    ranked = ranks.hashed_rank(df, ranks.seeded_digest(1, "k"), ["k"], ["g"]).collect()
+    assert {g: sorted(r["rank"] for r in ranked if r["g"] == g) for g in ("a", None)} == {"a": list(range(1, 201)), None: list(range(1, 101))}
+    got = {r["k"]: (r["s"], r["m"]) for r in ranks.running(df, "k", {"s": (F.sum, F.col("v")), "m": (F.max, F.col("v"))}, ["g"], descending=True).collect()}
+    for g, k, _ in rows:
+        later = [v for h, j, v in rows if h == g and j >= k]
+        assert got[k] == (sum(later), max(later))
+
+
+def test_fewer_groups_than_folds_are_refused(spark):
+    df = frame(spark, [("a",), ("b",), ("b",), (None,)], "g string")
+    with pytest.raises(ValidationError):
+        validation.grouped_folds(df, "g", 3)
+    assert sorted((r["g"], r["fold"]) for r in validation.grouped_folds(df.filter("g is not null"), "g", 2).distinct().collect()) in ([("a", 1), ("b", 2)], [("a", 2), ("b", 1)])
+
+
+def test_drift_keeps_items_of_one_batch(spark):
+    rows = [("x", 1, 1.0), ("x", 2, None), ("x", 3, 5.0), ("y", 1, 2.0), ("y", 2, 2.1), ("z", 2, 9.0)]
+    got = {r["item"]: r for r in windows.audit_process_drift(frame(spark, rows, "item string, b int, m double"), "item", "b", ["m"], limits={"m": 1.0}).collect()}
+    assert (got["x"]["m_baseline"], got["x"]["m_latest"], got["x"]["n_batches"], got["x"]["drift_status"]) == (1.0, 5.0, 3, "review_item_or_stimulus_context")
+    assert got["y"]["drift_status"] == "no_review_flag" and got["z"]["drift_status"] == "insufficient_batches_for_drift_review"

@@ -1,4 +1,4 @@
-"""Quality measures against closed forms; group A and B are a published nine-row example."""
+"""Quality measures against closed forms on two short paths: one between two points 5 apart, one up a line in steps of 2 with a gap."""
 
 import math
 
@@ -6,12 +6,13 @@ import pytest
 
 from ocularis.operators import quality
 
-ROWS = [("A", 0, 0.0, 0.0, 0.0, 0.0, True), ("A", 10, 0.1, 0.0, 0.0, 0.0, True), ("A", 20, 0.0, 0.0, 0.0, 0.0, True), ("A", 30, 0.1, 0.0, 0.0, 0.0, True), ("B", 0, 1.0, 0.0, 0.5, 0.0, True), ("B", 10, 1.0, 0.1, 0.5, 0.0, True), ("B", 20, None, float("nan"), 0.5, 0.0, False), ("B", 30, 1.0, 0.1, 0.5, 0.0, True), ("B", 40, 1.0, 0.0, 0.5, 0.0, True)]
+BACK_AND_FORTH = [("P", 5 * k, 3.0 * (k % 2), 4.0 * (k % 2), 0.0, 0.0, True) for k in range(6)]
+UP_A_LINE = [("Q", 20 * k, 7.0, 2.0 * k, 4.0, 0.0, True) for k in range(3)] + [("Q", 60, float("nan"), None, 4.0, 0.0, False)] + [("Q", 20 * k, 7.0, 2.0 * k, 4.0, 0.0, True) for k in (4, 5)]
 
 
 @pytest.fixture(scope="module")
 def gaze(spark):
-    return spark.createDataFrame(ROWS, "g string, t long, x double, y double, tx double, ty double, valid boolean")
+    return spark.createDataFrame(BACK_AND_FORTH + UP_A_LINE, "g string, t long, x double, y double, tx double, ty double, valid boolean")
 
 
 def by_group(df):
@@ -20,22 +21,22 @@ def by_group(df):
 
 def test_accuracy(gaze):
     got = by_group(quality.compute_gaze_accuracy(gaze, "x", "y", "tx", "ty", ["g"]))
-    assert got["A"]["accuracy_mean"] == pytest.approx(0.05) and got["A"]["n_targets"] == 1
-    assert got["B"]["accuracy_mean"] == pytest.approx(0.50495097567963931) and got["B"]["n"] == 4
-    assert got["B"]["mean_abs_dx"] == pytest.approx(0.5) and got["B"]["mean_abs_dy"] == pytest.approx(0.05)
+    assert got["P"]["accuracy_mean"] == got["P"]["accuracy_median"] == 2.5 and got["P"]["n_targets"] == 1
+    assert got["Q"]["accuracy_mean"] == pytest.approx(sum(math.hypot(3, y) for y in (0, 2, 4, 8, 10)) / 5) and got["Q"]["n"] == 5
+    assert got["Q"]["mean_abs_dx"] == 3 and got["Q"]["mean_abs_dy"] == pytest.approx(4.8)
 
 
 def test_rms_never_bridges_a_gap(gaze):
     got = by_group(quality.compute_rms_s2s(gaze, "x", "y", "t", ["g"]))
-    assert (got["A"]["n_steps"], got["B"]["n_steps"]) == (3, 2)
-    assert got["A"]["precision_rms_s2s"] == pytest.approx(0.1) == got["B"]["precision_rms_s2s"]
+    assert (got["P"]["n_steps"], got["Q"]["n_steps"]) == (5, 3)
+    assert got["P"]["precision_rms_s2s"] == 5 and got["Q"]["precision_rms_s2s"] == 2
 
 
 def test_sd_and_bcea(gaze):
     sd = by_group(quality.compute_gaze_sd_precision(gaze, "x", "y", ["g"]))
-    assert sd["A"]["sd_x"] == pytest.approx(0.05) and sd["B"]["precision_sd"] == pytest.approx(0.05)
+    assert (sd["P"]["sd_x"], sd["P"]["sd_y"], sd["P"]["precision_sd"]) == (1.5, 2, 2.5) and sd["Q"]["sd_x"] == 0
     area = by_group(quality.compute_bcea(gaze, "x", "y", ["g"]))
-    assert area["A"]["bcea"] == area["B"]["bcea"] == 0 and area["A"]["rho"] == 0
+    assert area["P"]["rho"] == pytest.approx(1) and area["P"]["bcea"] == pytest.approx(0, abs=1e-6) and area["Q"]["bcea"] == 0
 
 
 def test_bcea_of_a_square(spark):
@@ -46,11 +47,11 @@ def test_bcea_of_a_square(spark):
 
 def test_rate_and_loss(gaze):
     rate = by_group(quality.estimate_effective_sampling_rate(gaze.filter("valid"), "t", ["g"], 1e-3))
-    assert rate["A"]["effective_hz"] == pytest.approx(100) and rate["B"]["effective_hz"] == pytest.approx(80)
+    assert rate["P"]["effective_hz"] == pytest.approx(200) and rate["Q"]["effective_hz"] == pytest.approx(5 / 0.12)
     loss = by_group(quality.compute_gaze_data_loss(gaze, "x", "y", "t", ["g"], "valid"))
-    assert loss["B"]["loss_fraction"] == pytest.approx(0.2) and loss["B"]["n_loss_runs"] == 1 and loss["A"]["loss_fraction"] == 0
+    assert loss["Q"]["loss_fraction"] == pytest.approx(1 / 6) and loss["Q"]["n_loss_runs"] == 1 and loss["P"]["loss_fraction"] == 0
     valid = by_group(quality.compute_valid_sample_fraction(gaze, "x", "y", "valid", ["g"]))
-    assert valid["B"]["valid_fraction"] == pytest.approx(0.8)
+    assert valid["Q"]["valid_fraction"] == pytest.approx(5 / 6)
 
 
 def test_empty(gaze):
