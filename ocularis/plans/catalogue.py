@@ -326,7 +326,7 @@ def clock_sync(spark, sf_dir):
     return both.select(_U, F.round("overlap_seconds", 4).alias("overlap_seconds"), F.round("overlap_fraction", 6).alias("overlap_fraction"))
 
 
-_P = "WITH p AS (SELECT l_suppkey AS k, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 500 AS tx, l_tax * 500 AS ty, l_orderkey * 10 + l_linenumber AS o FROM lineitem)"
+_PLANE_SQL = _P = "WITH p AS (SELECT l_suppkey AS k, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 500 AS tx, l_tax * 500 AS ty, l_orderkey * 10 + l_linenumber AS o FROM lineitem)"
 
 
 def _plane(spark, sf_dir) -> DataFrame:
@@ -391,6 +391,9 @@ def survival_data(spark, sf_dir):
     return rounded(_latencies(spark, sf_dir).select("o_custkey", "event_time", "analysis_time", "event_observed", "censoring_reason"))
 
 
+_SUM_LATENCIES = "WITH o AS (SELECT o_custkey, epoch(o_orderdate) / 86400 AS t, o_orderstatus FROM orders), tr AS (SELECT o_custkey, min(t) AS a FROM o GROUP BY 1), fi AS (SELECT o.o_custkey, min(t) AS f FROM o JOIN tr USING (o_custkey) WHERE o_orderstatus = 'F' AND t BETWEEN a AND a + 1000 GROUP BY 1), lat AS (SELECT tr.o_custkey, a, f FROM tr LEFT JOIN fi ON tr.o_custkey = fi.o_custkey)"
+
+
 def _latencies(spark, sf_dir) -> DataFrame:
     days = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("double")
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", days.alias("t"))
