@@ -5,9 +5,10 @@ fixed places into leaves, which Spark deals over all tasks and encodes in parall
 neighbouring leaves are then joined pairwise, as a tree: a window around each join is encoded again
 and grows until its tokens agree with both sides, so that a cut inside a word leaves no trace.
 
-The ids are those of the tokenizers library. White space never crosses a token of a vocabulary whose
-pre-tokenizer drops it, so ids are memoised for each space-delimited chunk; the memo is bounded and
-kept for the life of the Python worker. Other vocabularies are encoded text by text.
+The ids are those of the tokenizers library. For a vocabulary whose pre-tokenizer drops white space
+and splits words in a known way, ids are memoised for each space-delimited chunk, as white space never
+crosses a token, or for its pieces; the memo is bounded and kept for the life of the Python worker.
+Other vocabularies are encoded text by text.
 
 Defined cases: a null text is the empty text, which has no ids; repeated rows give repeated results;
 a null doc_id is kept; other columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,12 +31,13 @@ from .common import mapped, rows
 
 #: Characters of a leaf, and of the longest text that isn't cut.
 LEAF, LONG = 32_768, 65_536
-#: Entries of each memo, and the longest chunk that it takes.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Entries of the memo, and the longest chunk that it takes.
+MEMO, MEMO_CHARS = 500_000, 64
 #: Characters of the first window on either side of a join, and the agreeing tokens that end its growth inside a word.
 WINDOW, AGREE = 64, 8
 
 _SAFE = re.compile(r"[!-~¡¿À-ÖØ-öø-įı-ɏ]*")
+_SAFE_TEXT = re.compile(r"[ \n\t\r!-~¡¿À-ÖØ-öø-įı-ɏ]*")
 _PIECES = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 _encoders: dict[str, Encoder] = {}
 
@@ -65,43 +68,56 @@ class Encoder:
         self.by_chunk = steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True and split["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.decoder = spec.get("decoder")
         self.letters = str.maketrans(_byte_letters())
+        # two generations: what is used again moves from the old one to the young one, and the rest is dropped with it
         self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
     @staticmethod
     def packed(ids) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        out = self.packed([t.id for t in self.model.tokenize(spelled)])
-        if len(self.pieces) >= MEMO:
-            self.pieces.clear()
-        if len(piece) <= MEMO_CHARS:
-            self.pieces[piece] = out
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not _SAFE.fullmatch(chunk):
-            out = self.packed(self.library.encode(chunk, add_special_tokens=False).ids)
-        else:
-            known = self.pieces
-            out = b"".join([known.get(p) or self._piece(p) for p in _PIECES.findall(chunk.lower())])
+    def _remembered(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= MEMO_CHARS:
-            if len(self.chunks) >= MEMO:
-                self.chunks.clear()
-            self.chunks[chunk] = out
-        return out
+            if len(self.chunks) >= MEMO // 2:
+                self.old_chunks, self.chunks = self.chunks, {"": b""}
+            self.chunks[chunk] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece in lower case, by the memo or the vocabulary's merges."""
+        if (ids := self.chunks.get(piece)) is not None:
+            return ids
+        if (ids := self.old_chunks.get(piece)) is None:
+            ids = self.packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        return self._remembered(piece, ids)
+
+    def _plain(self, chunk: str) -> bytes:
+        """Ids of a chunk in lower case and safe letters."""
+        if chunk.isalpha():
+            return self._piece(chunk)
+        if (ids := self.old_chunks.get(chunk)) is None:
+            pieces = (chunk[:-1], chunk[-1]) if chunk[:-1].isalpha() else _PIECES.findall(chunk)
+            ids = b"".join(map(self._piece, pieces))
+        return self._remembered(chunk, ids)
+
+    def _other(self, chunk: str) -> bytes:
+        """Ids of any chunk; what isn't in lower case and safe letters has a key that no such chunk has."""
+        if "<|" not in chunk and _SAFE.fullmatch(chunk):
+            chunk = chunk.lower()
+            return self.chunks.get(chunk) or self._plain(chunk)
+        key = f" {chunk}"
+        ids = self.chunks.get(key)
+        if ids is None and (ids := self.old_chunks.get(key)) is None:
+            ids = self.packed(self.library.encode(chunk, add_special_tokens=False).ids)
+        return self._remembered(key, ids)
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk:
             return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-        known = self.chunks.get
-        out = []
-        for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            ids = known(chunk)
-            out.append(self._chunk(chunk) if ids is None else ids)
-        return b"".join(out)
+        # the memo grows, and may be replaced, while a text is encoded: look it up anew
+        if "<|" not in text and _SAFE_TEXT.fullmatch(text):
+            return b"".join([self.chunks.get(c) or self._plain(c) for c in text.lower().split()])
+        return b"".join([self._other(c) for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c])
 
     def decode(self, ids: bytes) -> str:
         listed = np.frombuffer(ids, dtype="<u4").tolist()
