@@ -330,10 +330,10 @@ def changepoints_by_sic(df: DataFrame, by: Sequence[str], order: str, value: str
     w = ordered(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
     x = finite(value)
-    rows = df.filter(x.isNotNull()).select(*by, F.row_number().over(ordered(by, order)).alias("i"), F.sum(x).over(w).alias("s"), F.sum(x * x).over(w).alias("q"), F.sum(x).over(whole).alias("S"), F.sum(x * x).over(whole).alias("Q"), F.count("*").over(whole).alias("n"))
+    rows = df.filter(x.isNotNull()).select(*by, F.row_number().over(ordered(by, order)).alias("i"), F.sum(x).over(w).alias("s"), F.sum(x * x).over(w).alias("q"), F.sum(x).over(whole).alias("all_s"), F.sum(x * x).over(whole).alias("all_q"), F.count("*").over(whole).alias("n"))
     sse = lambda q, s, k: F.greatest(q - s * s / k, F.lit(1e-12))
     n, i = F.col("n"), F.col("i")
-    split = sse(F.col("q"), F.col("s"), i) + sse(F.col("Q") - F.col("q"), F.col("S") - F.col("s"), n - i)
-    delta = n * F.ln(sse(F.col("Q"), F.col("S"), n) / n) - (n * F.ln(split / n) + 2 * F.ln(n))
+    split = sse(F.col("q"), F.col("s"), i) + sse(F.col("all_q") - F.col("q"), F.col("all_s") - F.col("s"), n - i)
+    delta = n * F.ln(sse(F.col("all_q"), F.col("all_s"), n) / n) - (n * F.ln(split / n) + 2 * F.ln(n))
     inside = rows.filter((i >= min_segment) & (n - i >= min_segment)).withColumn("delta_sic", delta)
     return inside.groupBy(*by).agg(F.max_by("i", F.struct("delta_sic", -F.col("i"))).alias("position"), F.max("delta_sic").alias("delta_sic"))

@@ -251,12 +251,12 @@ def world_vectors(spark, sf_dir):
 _PRE = f"WITH {_S}, a AS (SELECT user_id, max(t) AS act FROM s WHERE event_type = 'purchase' GROUP BY user_id), b AS (SELECT s.*, act - t AS back FROM s JOIN a USING (user_id)), w AS (SELECT *, unnest([100000.0::DOUBLE, 500000.0]) AS win FROM b)"
 
 
-@query(_PRE + " SELECT user_id, win AS \"window\", count(*) AS n, round(avg(x), 5) AS mean, round(CASE WHEN count(*) > 1 THEN regr_slope(x, t) * 1000 END, 5) AS slope, count(DISTINCT event_type) AS n_aois FROM w WHERE back BETWEEN 0 AND win GROUP BY user_id, win")
+@query(_PRE + " SELECT user_id, win AS \"window\", count(*) AS n, round(avg(x), 8) AS mean, round(CASE WHEN count(*) > 1 THEN regr_slope(x, t) * 1000 END, 5) AS slope, count(DISTINCT event_type) AS n_aois FROM w WHERE back BETWEEN 0 AND win GROUP BY user_id, win")
 def preaction_features(spark, sf_dir):
     s = samples(spark, sf_dir)
     acted = s.join(s.filter("event_type = 'purchase'").groupBy(_U).agg(F.max("t").alias("act")), _U)
     found = windows.preaction_process_features(acted, [_U], "t", "act", "x", "event_type", (100000.0, 500000.0))
-    return found.select(_U, "window", "n", F.round("mean", 5).alias("mean"), F.round(F.col("slope") * 1000, 5).alias("slope"), "n_aois")
+    return found.select(_U, "window", "n", F.round("mean", 8).alias("mean"), F.round(F.col("slope") * 1000, 5).alias("slope"), "n_aois")
 
 
 @query(f"WITH {_S}, g AS (SELECT *, (event_type = 'click')::INT AS g, (event_type = 'view')::INT AS d, t > median(t) OVER (PARTITION BY user_id) AS late FROM s) SELECT user_id, count(*) AS n, round(avg(g), 6) AS target_share, round(avg(d), 6) AS distractor_share, round(regr_slope(g, t) * 1000000, 6) AS target_slope, round(avg(g) FILTER (late) - avg(g) FILTER (NOT late), 6) AS late_minus_early FROM g GROUP BY user_id")
