@@ -246,3 +246,48 @@ def aoi_balance_coordinates(shares: DataFrame, balances: dict[str, tuple[Sequenc
         mean = lambda cs: sum((F.ln(F.col(c)) for c in cs[1:]), F.ln(F.col(cs[0]))) / len(cs)
         out[name] = math.sqrt(r * s / (r + s)) * (mean(list(up)) - mean(list(down)))
     return shares.withColumns(out)
+
+
+def compare_aoi_compositions(shares: DataFrame, group: str, aois: Sequence[str]) -> DataFrame:
+    """Pseudo-F of groups of compositions: between and within sums of squares of their isometric log-ratios, which are those of the centred ones."""
+    logs = transform_aoi_composition(shares, aois, "clr")
+    names = [f"clr_{k + 1}" for k in range(len(aois))]
+    known = logs.dropna(subset=names)
+    total = sum((F.var_pop(c) * F.count(c) for c in names), F.lit(0.0))
+    within = known.groupBy(group).agg(F.count("*").alias("n"), total.alias("w")).agg(F.count("*").alias("n_groups"), F.sum("w").alias("within"))
+    whole = known.agg(F.count("*").alias("n"), total.alias("total"))
+    both = whole.crossJoin(F.broadcast(within)).withColumn("between", F.col("total") - F.col("within"))
+    return both.withColumn("pseudo_f", ratio(F.col("between") / (F.col("n_groups") - 1), F.col("within") / (F.col("n") - F.col("n_groups")))).select("n", "n_groups", "between", "within", "pseudo_f")
+
+
+def composition_centroids(shares: DataFrame, group: str, aois: Sequence[str]) -> DataFrame:
+    return shares.groupBy(group).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in aois))
+
+
+def degrees_per_pixel(screen_px: float, screen_size: float, distance: float) -> float:
+    """Visual angle of a pixel at the middle of a screen side of a size in the units of the distance."""
+    return math.degrees(2 * math.atan(screen_size / screen_px / (2 * distance)))
+
+
+def convert_aoi_margin(aois: DataFrame, margin_x: str, margin_y: str, per_pixel: tuple[float, float], to: str = "degrees") -> DataFrame:
+    """Margins in degrees from pixels, or back."""
+    factors = per_pixel if to == "degrees" else (1 / per_pixel[0], 1 / per_pixel[1])
+    return aois.withColumns({f"{margin_x}_{to}": finite(margin_x) * factors[0], f"{margin_y}_{to}": finite(margin_y) * factors[1]})
+
+
+def jitter_aois(aois: DataFrame, sd: float, draws: int, seed: int = 1) -> DataFrame:
+    """Every AOI displaced on both axes in every draw, by sums of twelve hashed uniforms less six, which are nearly normal and the same in every run."""
+    each = aois.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+    def normal(axis: str) -> Column:
+        u = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("aoi_id"), F.col("draw"), F.lit(axis), k), F.lit(1_000_003)) / 1_000_003.0)
+        return F.aggregate(u, F.lit(-6.0), lambda a, v: a + v)
+
+    return each.withColumns({"x0": F.col("x0") + sd * normal("x"), "y0": F.col("y0") + sd * normal("y")})
+
+
+def propagate_aoi_uncertainty(memberships: DataFrame, durations: DataFrame, key: Sequence[str], by: Sequence[str], duration: str) -> DataFrame:
+    """Expected dwell of each AOI and its standard deviation when each observation falls in an AOI by its membership, independently: moments in place of draws."""
+    rows = memberships.join(durations.select(*key, *by, finite(duration).alias("_d")), list(key)).filter("_d is not null")
+    p, d = F.col("probability"), F.col("_d")
+    return rows.groupBy(*by, "aoi_id").agg(F.count("*").alias("n"), F.sum(p * d).alias("expected_dwell"), F.sqrt(F.sum(p * (1 - p) * d * d)).alias("sd_dwell"), F.sum(p).alias("expected_count"))

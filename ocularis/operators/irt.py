@@ -337,3 +337,106 @@ def changepoints_by_sic(df: DataFrame, by: Sequence[str], order: str, value: str
     delta = n * F.ln(sse(F.col("all_q"), F.col("all_s"), n) / n) - (n * F.ln(split / n) + 2 * F.ln(n))
     inside = rows.filter((i >= min_segment) & (n - i >= min_segment)).withColumn("delta_sic", delta)
     return inside.groupBy(*by).agg(F.max_by("i", F.struct("delta_sic", -F.col("i"))).alias("position"), F.max("delta_sic").alias("delta_sic"))
+
+
+def local_dependence_pairs(pairs: DataFrame, threshold: float = 0.2, absolute: bool = True) -> DataFrame:
+    """Pairs of q3 at or beyond the threshold."""
+    size = F.abs("q3") if absolute else F.col("q3")
+    return pairs.filter(size >= threshold).withColumn("abs_q3", F.abs("q3"))
+
+
+def item_fit_residuals(rows: DataFrame, item: str, observed: str = "response", expected: str = "p", least: float = 1e-8) -> DataFrame:
+    """Mean residual and root mean square of the standardised residuals of each item."""
+    v = F.greatest(F.col(expected) * (1 - F.col(expected)), F.lit(least))
+    r = finite(observed) - F.col(expected)
+    return rows.filter(r.isNotNull()).groupBy(item).agg(F.count("*").alias("n"), F.avg(r).alias("mean_residual"), F.sqrt(F.avg(r * r / v)).alias("rms_standardized_residual"))
+
+
+def mean_mean_link(reference: DataFrame, focal: DataFrame, item: str = "item_id") -> DataFrame:
+    """Slope by the ratio of mean discriminations, and the intercept that aligns mean difficulties: one row."""
+    both = reference.select(item, F.col("a").alias("ra"), F.col("b").alias("rb")).join(focal.select(item, F.col("a").alias("fa"), F.col("b").alias("fb")), item)
+    slope = ratio(F.avg("fa"), F.avg("ra"))
+    return both.agg(F.count("*").alias("n_anchors"), slope.alias("A"), (F.avg("rb") - slope * F.avg("fb")).alias("B"))
+
+
+def apply_link(items: DataFrame, link: DataFrame) -> DataFrame:
+    """Items on the reference scale: a / A and A b + B, of a link's one row."""
+    named = link.select(F.col("A").alias("_slope"), F.col("B").alias("_shift"))
+    return items.crossJoin(F.broadcast(named)).withColumns({"a": ratio("a", "_slope"), "b": F.col("_slope") * F.col("b") + F.col("_shift")}).drop("_slope", "_shift")
+
+
+def anchor_audit(items: DataFrame, effects: DataFrame, max_abs_effect: float = 0.1, min_information: float | None = None) -> DataFrame:
+    """Whether each item may be an anchor: its effect (item_id, effect) within the limit and enough information at zero."""
+    out = items.join(effects.groupBy("item_id").agg(F.max(F.abs("effect")).alias("_e")), "item_id", "left")
+    far = F.coalesce(F.col("_e") > max_abs_effect, F.lit(False))
+    info = item_information(F.lit(0.0), F.col("a"), F.col("b"))
+    weak = info < min_information if min_information is not None else F.lit(False)
+    reason = F.when(weak, "information below review threshold").when(far, "DIF effect exceeds review threshold").otherwise("eligible")
+    return out.select("item_id", (~far & ~weak).alias("eligible"), reason.alias("reason"), info.alias("information_theta0"))
+
+
+def threshold_order_audit(items: DataFrame, thresholds: str = "thresholds") -> DataFrame:
+    """Whether an item's thresholds rise, their smallest gap, and the places of reversals, from one."""
+    gaps = F.transform(F.sequence(F.lit(1), F.size(thresholds) - 1), lambda k: F.get(thresholds, k) - F.get(thresholds, k - 1))
+    steps = F.when(F.size(thresholds) > 1, gaps).otherwise(F.array().cast("array<double>"))
+    out = items.withColumn("_g", steps)
+    return out.withColumns({"ordered": ~F.exists("_g", lambda g: g <= 0), "minimum_gap": F.array_min("_g"), "reversals": F.filter(F.transform("_g", lambda g, k: F.when(g <= 0, k + 1)), lambda k: k.isNotNull())}).drop("_g")
+
+
+def monotonicity_audit(curves: DataFrame, by: Sequence[str], theta: str = "theta", probability: str = "p", tolerance: float = 1e-8) -> DataFrame:
+    """Whether each curve never falls, and its falls."""
+    step = F.col(probability) - F.lag(probability).over(ordered(by, theta))
+    return curves.withColumn("_d", step).groupBy(*by).agg(F.count_if(F.col("_d") < -tolerance).alias("n_decreases"), F.least(F.lit(0.0), F.min("_d")).alias("largest_decrease")).withColumn("monotone", F.col("n_decreases") == 0)
+
+
+def category_function_audit(df: DataFrame, probabilities: str, tolerance: float = 1e-8) -> DataFrame:
+    """Bounds and sums of arrays of category probabilities: one row."""
+    total = F.aggregate(probabilities, F.lit(0.0), lambda a, p: a + p)
+    out = df.agg(F.max(F.abs(total - 1)).alias("max_sum_error"), F.min(F.array_min(probabilities)).alias("min_probability"), F.max(F.array_max(probabilities)).alias("max_probability"))
+    return out.withColumns({"valid_bounds": (F.col("min_probability") >= -tolerance) & (F.col("max_probability") <= 1 + tolerance), "rows_sum_to_one": F.col("max_sum_error") <= tolerance})
+
+
+def dif_effect_curve(items: DataFrame, grid: Column) -> DataFrame:
+    """Difference of the focal (fa, fb) and the reference (a, b) probability of each item along a grid."""
+    rows = items.withColumn("theta", F.explode(grid))
+    r, f = probability_2pl(F.col("theta"), F.col("a"), F.col("b")), probability_2pl(F.col("theta"), F.col("fa"), F.col("fb"))
+    return rows.select("item_id", "theta", r.alias("reference"), f.alias("focal"), (f - r).alias("signed_difference"), F.abs(f - r).alias("absolute_difference"))
+
+
+def mantel_haenszel_dif(rows: DataFrame, item: str, stratum: str, group: str, focal: object, response: str = "response") -> DataFrame:
+    """Common odds ratio of each item over strata, its delta (-2.35 ln) and chi-square with a continuity correction. Counts are all that meet."""
+    x, f = finite(response), F.col(group) == focal
+    cells = rows.filter(x.isNotNull() & f.isNotNull()).groupBy(item, stratum).agg(F.count_if(~f & (x > 0)).alias("a"), F.count_if(~f & (x <= 0)).alias("b"), F.count_if(f & (x > 0)).alias("c"), F.count_if(f & (x <= 0)).alias("d"))
+    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    m1, m0, nr, nf = F.col("a") + F.col("c"), F.col("b") + F.col("d"), F.col("a") + F.col("b"), F.col("c") + F.col("d")
+    both = cells.filter((nr > 0) & (nf > 0))
+    sums = both.groupBy(item).agg(F.count("*").alias("n_strata"), F.sum(n).alias("n"), ratio(F.sum(F.col("a") * F.col("d") / n), F.sum(F.col("b") * F.col("c") / n)).alias("odds_ratio"), F.sum("a").alias("_a"), F.sum(nr * m1 / n).alias("_e"), F.sum(F.when(n > 1, nr * nf * m1 * m0 / (n * n * (n - 1)))).alias("_v"))
+    corrected = F.greatest(F.abs(F.col("_a") - F.col("_e")) - 0.5, F.lit(0.0))
+    return sums.select(item, "n_strata", "n", "odds_ratio", (-2.35 * F.ln("odds_ratio")).alias("delta"), ratio(corrected * corrected, "_v").alias("chi_square"))
+
+
+def classical_item_statistics(responses: DataFrame, person: str, item: str, response: str = "response") -> DataFrame:
+    """Proportion of success of each item, and the correlation of its responses with the persons' other responses."""
+    rows = responses.select(person, item, finite(response).alias("x")).filter("x is not null")
+    totals = Window.partitionBy(person)
+    rest = rows.withColumn("rest", F.sum("x").over(totals) - F.col("x"))
+    return rest.groupBy(item).agg(F.count("*").alias("n"), F.avg("x").alias("p"), correlation("x", "rest").alias("item_rest"))
+
+
+def newton_abilities(responses: DataFrame, items: DataFrame, person: str, item: str = "item_id", rounds: int = 6, prior_sd: float | None = 1.0, bound: float = 6.0) -> DataFrame:
+    """Abilities by Newton steps on the 2PL likelihood with a normal prior (MAP), or without one (ML, within the bounds): each round sums gradients and informations by person."""
+    data = responses.select(person, item, finite("response").alias("_x")).filter("_x is not null").join(items.select(item, "a", "b"), item).drop(item)
+    # a person's responses are a test's length: they stay in one row, so that the rounds are one pass within it
+    packed = data.groupBy(person).agg(F.collect_list(F.struct(F.col("_x").alias("x"), "a", "b")).alias("_r"))
+    precision = 0.0 if prior_sd is None else 1 / (prior_sd * prior_sd)
+
+    def step(theta: Column) -> Column:
+        p = lambda r: probability_2pl(theta, r["a"], r["b"])
+        sums = F.aggregate("_r", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), lambda acc, r: F.struct((acc["g"] + r["a"] * (r["x"] - p(r))).alias("g"), (acc["h"] + r["a"] * r["a"] * p(r) * (1 - p(r))).alias("h")))
+        moved = theta + (sums["g"] - precision * theta) / F.greatest(sums["h"] + precision, F.lit(1e-6))
+        return F.least(F.greatest(moved, theta - 1, F.lit(-bound)), theta + 1, F.lit(bound))
+
+    out = packed.withColumn("theta", F.lit(0.0))
+    for _ in range(rounds):
+        out = out.select(F.inline(F.array(F.struct(person, "_r", step(F.col("theta")).alias("theta")))))
+    return out.select(person, F.size("_r").alias("n_items"), "theta")
