@@ -250,12 +250,15 @@ def aoi_balance_coordinates(shares: DataFrame, balances: dict[str, tuple[Sequenc
 
 def compare_aoi_compositions(shares: DataFrame, group: str, aois: Sequence[str]) -> DataFrame:
     """Pseudo-F of groups of compositions: between and within sums of squares of their isometric log-ratios, which are those of the centred ones."""
-    logs = transform_aoi_composition(shares, aois, "clr")
+    # generated as rows, so that the optimiser doesn't repeat the shares' expressions in every log-ratio
+    plain = shares.select(F.inline(F.array(F.struct(group, *aois))))
+    logs = transform_aoi_composition(plain, aois, "clr")
     names = [f"clr_{k + 1}" for k in range(len(aois))]
-    known = logs.dropna(subset=names)
-    total = sum((F.var_pop(c) * F.count(c) for c in names), F.lit(0.0))
-    within = known.groupBy(group).agg(F.count("*").alias("n"), total.alias("w")).agg(F.count("*").alias("n_groups"), F.sum("w").alias("within"))
-    whole = known.agg(F.count("*").alias("n"), total.alias("total"))
+    known = logs.dropna(subset=names).select(group, *names)
+    long = known.unpivot([group], names, "_part", "_v")
+    spread = F.var_pop("_v") * F.count("*")
+    within = long.groupBy(group, "_part").agg(spread.alias("w")).agg(F.countDistinct(F.struct(group)).alias("n_groups"), F.sum("w").alias("within"))
+    whole = long.groupBy("_part").agg(F.count("*").alias("n"), spread.alias("t")).agg(F.max("n").alias("n"), F.sum("t").alias("total"))
     both = whole.crossJoin(F.broadcast(within)).withColumn("between", F.col("total") - F.col("within"))
     return both.withColumn("pseudo_f", ratio(F.col("between") / (F.col("n_groups") - 1), F.col("within") / (F.col("n") - F.col("n_groups")))).select("n", "n_groups", "between", "within", "pseudo_f")
 
