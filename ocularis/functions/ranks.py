@@ -28,6 +28,11 @@ def joined_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how:
     return left.join(named, test, how).drop(*(f"_on_{c}" for c in on))
 
 
+def totalled(df: DataFrame, **totals: Column) -> DataFrame:
+    """df with aggregates of the whole table in every row: one row is joined, and no task holds the table."""
+    return df.crossJoin(F.broadcast(df.agg(*(c.alias(k) for k, c in totals.items()))))
+
+
 def seeded_digest(seed: int, *keys: str) -> Column:
     """32 hex digits that depend on a seed and the keys' values as text."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.columns import changed, finite, ordered, ratio, run_id, share
+from ..functions.ranks import totalled
 
 
 def in_rectangle(x: Column, y: Column, x0: Column, y0: Column, width: Column, height: Column) -> Column:
@@ -164,7 +165,7 @@ def assign_dynamic_aoi(samples: DataFrame, keyframes: DataFrame, time: str, x: s
 
 def audit_dynamic_aoi_coverage(assigned: DataFrame) -> DataFrame:
     counts = assigned.groupBy("status").count()
-    return counts.withColumn("fraction", ratio("count", F.sum("count").over(Window.partitionBy())))
+    return totalled(counts, _all=F.sum("count")).withColumn("fraction", ratio("count", "_all")).drop("_all")
 
 
 def rectangle_margin(x: Column, y: Column, x0: Column, y0: Column, width: Column, height: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import changed, entropy, finite, ordered, ratio, trapezoid
+from ..functions.ranks import totalled
 
 
 def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,8 +47,9 @@ def transition_matrix(df: DataFrame, time: str, by: Sequence[str], aoi: str, nor
     counts = transitions(df, time, by, aoi, include_self).groupBy("from_aoi", "to_aoi").agg(F.count("*").alias("n"))
     if normalize == "none":
         return counts
-    over = Window.partitionBy("from_aoi") if normalize == "row" else Window.partitionBy()
-    return counts.withColumn("share", ratio("n", F.sum("n").over(over)))
+    if normalize == "row":
+        return counts.withColumn("share", ratio("n", F.sum("n").over(Window.partitionBy("from_aoi"))))
+    return totalled(counts, _all=F.sum("n")).withColumn("share", ratio("n", "_all")).drop("_all")
 
 
 def gaze_entropy(df: DataFrame, by: Sequence[str], aoi: str, base: float = 2.0) -> DataFrame:

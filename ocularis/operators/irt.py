@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, expit, finite, normal_cdf, ordered, ratio, share, softmax
-from ..functions.ranks import running
+from ..functions.ranks import running, totalled
 
 
 def probability_2pl(theta: Column, a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -214,12 +214,12 @@ def item_selection(bank: DataFrame, theta: float, administered: DataFrame | None
 def exposure_summary(administered: DataFrame, bank: DataFrame) -> DataFrame:
     counts = administered.groupBy("item_id").agg(F.count("*").alias("n"))
     out = bank.select("item_id").join(counts, "item_id", "left").fillna(0, ["n"])
-    return out.withColumn("exposure", ratio("n", F.sum("n").over(Window.partitionBy())))
+    return totalled(out, _all=F.sum("n")).withColumn("exposure", ratio("n", "_all")).drop("_all")
 
 
 def content_balance_audit(administered: DataFrame, bank: DataFrame, target: DataFrame) -> DataFrame:
     counts = administered.join(bank.select("item_id", "content"), "item_id").groupBy("content").agg(F.count("*").alias("n"))
-    shares = counts.withColumn("observed", ratio("n", F.sum("n").over(Window.partitionBy())))
+    shares = totalled(counts, _all=F.sum("n")).withColumn("observed", ratio("n", "_all")).drop("_all")
     return target.join(shares, "content", "left").fillna({"n": 0, "observed": 0.0}).withColumn("difference", F.col("observed") - F.col("target"))
 
 
@@ -321,8 +321,8 @@ def targeting_gap(abilities: DataFrame, items: DataFrame, low: float = -4.0, wid
     grid = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: low + (k + 0.5) * width)
     info = test_information(items, grid).select(F.floor((F.col("theta") - low) / width).alias("bin"), "information")
     both = info.join(placed, "bin", "left").fillna(0, ["n"])
-    whole = Window.partitionBy()
-    return both.withColumns({"person_share": ratio("n", F.sum("n").over(whole)), "information_share": ratio("information", F.sum("information").over(whole))}).withColumn("gap", F.col("person_share") - F.col("information_share"))
+    whole = totalled(both, _n=F.sum("n"), _i=F.sum("information"))
+    return whole.withColumns({"person_share": ratio("n", "_n"), "information_share": ratio("information", "_i")}).drop("_n", "_i").withColumn("gap", F.col("person_share") - F.col("information_share"))
 
 
 def changepoints_by_sic(df: DataFrame, by: Sequence[str], order: str, value: str, min_segment: int = 5) -> DataFrame:

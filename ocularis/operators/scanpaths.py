@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
 from ..functions.columns import anyof, entropy, finite, ordered, ratio, run_id
+from ..functions.ranks import totalled
 
 
 def levenshtein_tokens(a: Sequence, b: Sequence) -> int:
@@ -56,7 +58,7 @@ def ngram_jaccard_similarity(pairs: DataFrame, a: str, b: str, n: int = 2) -> Da
 
 def transition_js_distance(left: DataFrame, right: DataFrame) -> DataFrame:
     """Jensen-Shannon distance (base 2) of two tables of transition counts (from_aoi, to_aoi, n): one row."""
-    shares = [d.select("from_aoi", "to_aoi", ratio("n", F.sum("n").over(Window.partitionBy())).alias(name)) for name, d in (("p", left), ("q", right))]
+    shares = [totalled(d.select("from_aoi", "to_aoi", "n"), _all=F.sum("n")).select("from_aoi", "to_aoi", ratio("n", "_all").alias(name)) for name, d in (("p", left), ("q", right))]
     both = shares[0].join(shares[1], ["from_aoi", "to_aoi"], "full").fillna(0.0, ["p", "q"])
     m = (F.col("p") + F.col("q")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
@@ -209,12 +211,25 @@ def compute_spatial_error_field(df: DataFrame, x: str, y: str, target_x: str, ta
     return rows.groupBy(target_x, target_y).agg(F.count("*").alias("n"), F.avg("dx").alias("bias_x"), F.avg("dy").alias("bias_y")).filter(F.col("n") >= minimum)
 
 
+#: Most calibration targets that go to every row as one array.
+MOST_TARGETS = 2_000
+
+
 def correct_gaze_with_spatial_error(df: DataFrame, field: DataFrame, x: str, y: str, key: Sequence[str], target_x: str, target_y: str, power: float = 2.0, strength: float = 1.0) -> DataFrame:
-    """Gaze less the inverse-distance-weighted bias of the calibration targets, which are a handful."""
-    spot = df.select(*key, finite(x).alias("_x"), finite(y).alias("_y")).filter("_x is not null and _y is not null")
-    near = spot.join(F.broadcast(field), F.lit(True)).withColumn("_w", 1 / F.pow(F.greatest(F.hypot(F.col("_x") - F.col(target_x), F.col("_y") - F.col(target_y)), F.lit(1e-9)), power))
-    bias = near.groupBy(*key).agg(ratio(F.sum(F.col("_w") * F.col("bias_x")), F.sum("_w")).alias("_bx"), ratio(F.sum(F.col("_w") * F.col("bias_y")), F.sum("_w")).alias("_by"))
-    return df.join(bias, list(key), "left").withColumns({f"{x}_corrected": finite(x) - strength * F.coalesce("_bx", F.lit(0.0)), f"{y}_corrected": finite(y) - strength * F.coalesce("_by", F.lit(0.0))}).drop("_bx", "_by")
+    """Gaze less the inverse-distance-weighted bias of the calibration targets, which are one array of at most MOST_TARGETS; all is computed in the row."""
+    targets = field.agg(F.sort_array(F.collect_list(F.struct(F.col(target_x).alias("tx"), F.col(target_y).alias("ty"), "bias_x", "bias_y"))).alias("_targets"))
+    n = targets.select(F.size("_targets")).first()[0]
+    if n > MOST_TARGETS:
+        raise ValidationError(f"{n} targets; at most {MOST_TARGETS} correct a row")
+    a, b = finite(x), finite(y)
+    weigh = lambda t: 1 / F.pow(F.greatest(F.hypot(F.col("_x") - t["tx"], F.col("_y") - t["ty"]), F.lit(1e-9)), F.lit(power))
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    add = lambda acc, t: F.struct((acc["w"] + t["w"]).alias("w"), (acc["x"] + t["w"] * t["bias_x"]).alias("x"), (acc["y"] + t["w"] * t["bias_y"]).alias("y"))
+    spot = df.withColumns({"_x": a, "_y": b}).crossJoin(F.broadcast(targets))
+    weighed = spot.withColumn("_w", F.transform("_targets", lambda t: F.struct(weigh(t).alias("w"), t["bias_x"].alias("bias_x"), t["bias_y"].alias("bias_y"))))
+    summed = weighed.withColumn("_s", F.aggregate("_w", zero, add))
+    bias = lambda c: F.coalesce(ratio(F.col(f"_s.{c}"), F.col("_s.w")), F.lit(0.0))
+    return summed.withColumns({f"{x}_corrected": F.col("_x") - strength * bias("x"), f"{y}_corrected": F.col("_y") - strength * bias("y")}).drop("_x", "_y", "_targets", "_w", "_s")
 
 
 def screen_gaze_to_head_vectors(df: DataFrame, x: str, y: str, width_px: float, height_px: float, width_mm: float, height_mm: float, distance_mm: float) -> DataFrame:

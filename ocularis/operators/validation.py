@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.columns import anyof, correlation, finite, ratio, share
-from ..functions.ranks import hashed_rank, joined_null_safe, seeded_digest
+from ..functions.ranks import hashed_rank, joined_null_safe, seeded_digest, totalled
 
 
 def summarise_recovery(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -33,12 +33,12 @@ def validation_summary_mcse(df: DataFrame, by: Sequence[str], value: str = "esti
 
 def validation_condition_ranking(summary: DataFrame) -> DataFrame:
     """Robustness of conditions: one less the mean of min-max scaled RMSE, bias and miss of coverage."""
-    w = Window.partitionBy()
     scaled = {}
     for name, c in (("rmse", F.col("rmse")), ("bias", F.abs("bias")), ("coverage", F.abs(F.col("coverage") - 0.95))):
-        scaled[f"_{name}"] = F.coalesce(ratio(c - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)), F.lit(0.0))
-    out = summary.withColumns(scaled)
-    return out.withColumn("robustness", 1 - (F.col("_rmse") + F.col("_bias") + F.col("_coverage")) / 3).drop(*scaled)
+        scaled[name] = c
+    whole = totalled(summary, **{f"_lo_{k}": F.min(c) for k, c in scaled.items()}, **{f"_hi_{k}": F.max(c) for k, c in scaled.items()})
+    place = lambda k: F.coalesce(ratio(scaled[k] - F.col(f"_lo_{k}"), F.col(f"_hi_{k}") - F.col(f"_lo_{k}")), F.lit(0.0))
+    return whole.withColumn("robustness", 1 - (place("rmse") + place("bias") + place("coverage")) / 3).drop(*(f"_{e}_{k}" for e in ("lo", "hi") for k in scaled))
 
 
 def failure_taxonomy(message: Column) -> Column:
@@ -60,8 +60,7 @@ def sbc_bins(ranks: DataFrame, bins: int = 10) -> DataFrame:
     """Counts of ranks in bins and their distance from uniform counts."""
     placed = ranks.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("rank") * bins / (F.col("n_draws") + 1))))
     counts = placed.groupBy("bin").agg(F.count("*").alias("n"))
-    expected = F.sum("n").over(Window.partitionBy()) / bins
-    return counts.withColumn("excess", F.col("n") - expected)
+    return totalled(counts, _all=F.sum("n")).withColumn("excess", F.col("n") - F.col("_all") / bins).drop("_all")
 
 
 def summarise_sensitivity(df: DataFrame, effect: str, by: Sequence[str] = (), threshold: float = 0.0) -> DataFrame:

@@ -115,3 +115,43 @@ def read_export(spark: SparkSession, path: str, vendor: str = "auto") -> DataFra
 
 register_adapter(Adapter("generic", lambda c: 0.6 if {"timestamp_native", "gaze_x", "gaze_y"} <= set(infer_mapping(c)) else 0.0, read_delimited, 1))
 register_adapter(Adapter("gazepoint", lambda c: 1.0 if {"fpogx", "fpogy"} & {x.lower() for x in c} else 0.0, read_gazepoint, 100))
+
+
+def read_folder(spark: SparkSession, path: str, vendor: str = "generic", pattern: str = "*.csv") -> DataFrame:
+    """Samples of all files of a folder, at any depth, with the file that each row comes from."""
+    delimiter = "\t" if vendor == "tobii" else ","
+    raw = spark.read.option("header", True).option("sep", delimiter).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path)
+    units = {"tobii": 1e-6, "pupil_neon": 1e-9}
+    samples = mapped_samples(raw.withColumn("_file", F.input_file_name()), {**infer_mapping(raw.columns), "source_file": "_file"}, units.get(vendor, 1.0))
+    return samples
+
+
+#: Columns of Gazepoint fixation exports.
+GAZEPOINT_FIXATION = {"start_time": ("fpogs",), "duration": ("fpogd",), "centroid_x": ("fpogx",), "centroid_y": ("fpogy",), "fixation_id": ("fpogid",), "valid": ("fpogv",), "media_id": ("media_id",), "participant_id": ("user", "participant")}
+
+
+def read_gazepoint_fixations(spark: SparkSession, path: str) -> DataFrame:
+    """Fixation episodes of an export: the last row of each fixation's id within its medium, which has its whole duration; invalid rows are left out."""
+    raw = spark.read.option("header", True).csv(path)
+    lower = {c.strip().lower(): c for c in raw.columns}
+    found = {f: next(lower[n] for n in names if n in lower) for f, names in GAZEPOINT_FIXATION.items() if any(n in lower for n in names)}
+    for field in ("start_time", "duration", "fixation_id"):
+        if field not in found:
+            raise SchemaError(f"the export has no {field}")
+    text = ("media_id", "participant_id")
+    rows = raw.select(*(F.col(f"`{c}`").cast("string").alias(f) if f in text else F.col(f"`{c}`").try_cast("double").alias(f) for f, c in found.items()))
+    keys = [k for k in ("participant_id", "media_id", "fixation_id") if k in found]
+    kept = rows.filter(F.col("fixation_id").isNotNull() & (F.col("valid") == 1 if "valid" in found else F.lit(True)))
+    last = [F.max_by(c, "duration").alias(c) for c in ("start_time", "centroid_x", "centroid_y") if c in found]
+    out = kept.groupBy(*keys).agg(*last, F.max("duration").alias("_d"))
+    return out.select(*keys, *(c for c in ("start_time", "centroid_x", "centroid_y") if c in found), (F.col("start_time") + F.col("_d")).alias("end_time"), (F.col("_d") * 1000).alias("duration_ms"), F.lit("fixation").alias("episode_type"))
+
+
+def validate_mapping(columns: list[str], mapping: dict[str, str]) -> list[tuple[str, str]]:
+    """(field, problem) of each entry that names no canonical field or no column, and of fields that samples can't do without."""
+    problems = [(f, "unknown field") for f in mapping if f not in CANDIDATES] + [(f, f"no column {c}") for f, c in mapping.items() if c not in columns]
+    return problems + [(f, "missing") for f in ("timestamp_native", "gaze_x", "gaze_y") if f not in mapping]
+
+
+register_adapter(Adapter("tobii", lambda c: 1.0 if "recording timestamp" in {x.lower() for x in c} else 0.0, read_tobii, 90))
+register_adapter(Adapter("pupil_neon", lambda c: 1.0 if "timestamp [ns]" in {x.lower() for x in c} else 0.0, read_pupil_neon, 90))
