@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import agreement, aoi, audits, episodes, events, irt, scanpaths, survival
+from ..operators import agreement, aoi, audits, banks, episodes, events, irt, scanpaths, survival
 from .catalogue import _COMP, _GRID, _ITEMS, _RESP, _S, _SUM_LATENCIES, _TYPES, _U, _composition, _items, _latencies, _modelled, _responses, query, rounded, samples, table
 from .process import _MEMBERS, _members, _spans, _spans_sql
 
@@ -318,3 +318,82 @@ def aoi_uncertainty(spark, sf_dir):
 @query(_SUM_LATENCIES + ", d AS (SELECT coalesce(f - a, 1000) AS t, f IS NOT NULL AS e FROM lat), c AS (SELECT t, count(*) AS n, count(*) FILTER (e) AS d FROM d GROUP BY t), r AS (SELECT t, d, sum(n) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n FROM c), k AS (SELECT t, exp(sum(ln(1 - d / n)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)) AS s FROM r WHERE d > 0 AND d < n) SELECT round(min(t) FILTER (s <= 0.75 + 1e-12), 4) AS q25, round(min(t) FILTER (s <= 0.5 + 1e-12), 4) AS q50, round(min(t) FILTER (s <= 0.25 + 1e-12), 4) AS q75 FROM k")
 def latency_quantiles(spark, sf_dir):
     return rounded(survival.estimate_gaze_latency_quantiles(survival.estimate_gaze_survival(_latencies(spark, sf_dir))), 4)
+
+
+@query(f"WITH {_ITEMS}, {_GRID}, p AS (SELECT theta, a, 1 / (1 + exp(-a * (theta - b))) AS p FROM i, g), c AS (SELECT theta, sum(a * a * p * (1 - p)) AS f FROM p GROUP BY theta) SELECT count(*) AS n_points, round(avg((f >= 250)::INT), 6) AS fraction_target_met, round(min(f), 4) AS minimum_information, round(max(1 / sqrt(f)), 6) AS maximum_sem FROM c WHERE theta BETWEEN -2.00001 AND 2.00001")
+def bank_coverage(spark, sf_dir):
+    found = banks.bank_coverage(irt.test_information(_items(spark, sf_dir), irt.theta_grid()), 250.0, -2.00001, 2.00001)
+    return found.select("n_points", F.round("fraction_target_met", 6).alias("fraction_target_met"), F.round("minimum_information", 4).alias("minimum_information"), F.round("maximum_sem", 6).alias("maximum_sem"))
+
+
+@query("WITH d AS (SELECT DISTINCT l_orderkey AS person, l_linenumber AS item, l_linenumber <= 5 AS adm FROM lineitem), s AS (SELECT DISTINCT l_orderkey AS person, l_linenumber AS item FROM lineitem WHERE l_quantity > 20) SELECT count(*) AS n_pairs, round(avg((s.person IS NOT NULL)::INT), 7) AS observed_fraction, count(*) FILTER (s.person IS NULL AND NOT adm) AS structural_missing, count(*) FILTER (s.person IS NULL AND adm) AS unexpected_missing FROM d LEFT JOIN s ON s.person = d.person AND s.item = d.item")
+def missing_by_design(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("person"), F.col("l_linenumber").alias("item"), F.when(F.col("l_quantity") > 20, 1).alias("response"))  # noqa: E741
+    design = l.select("person", "item", (F.col("item") <= 5).alias("administered")).distinct()
+    return rounded(banks.missing_by_design_audit(l, design, "person", "item"), 7)
+
+
+_PROFILE = f"WITH {_ITEMS}, c AS (SELECT l_partkey AS item_id, count(*) AS n, avg(l_quantity) AS quantity, avg(l_discount) AS discount FROM lineitem GROUP BY 1)"
+
+
+def _profile(spark, sf_dir) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))  # noqa: E741
+    return banks.channel_profile(l, "item_id", ["quantity", "discount"])
+
+
+@query(_PROFILE + " SELECT item_id, n, round(quantity, 8) AS quantity, round(discount, 8) AS discount FROM c")
+def item_profiles(spark, sf_dir):
+    return rounded(_profile(spark, sf_dir), 8)
+
+
+@query(_PROFILE + " SELECT 'quantity' AS channel, round(corr(quantity, a), 7) AS correlation_discrimination, round(corr(quantity, b), 7) AS correlation_difficulty FROM c JOIN i USING (item_id) UNION ALL SELECT 'discount', round(corr(discount, a), 7), round(corr(discount, b), 7) FROM c JOIN i USING (item_id)")
+def process_alignment(spark, sf_dir):
+    return rounded(banks.process_alignment(_items(spark, sf_dir), _profile(spark, sf_dir), ["quantity", "discount"]), 7)
+
+
+#: Parts need their brand as a skill where they are dear, and their type where they are large.
+_Q = "WITH q AS (SELECT p_partkey AS item_id, p_brand AS skill FROM part WHERE p_retailprice > 1000 UNION ALL SELECT p_partkey, p_type FROM part WHERE p_size > 30)"
+
+
+def _q(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, sf_dir, "part").withColumn("item_id", F.col("p_partkey"))
+    return part, part.filter("p_retailprice > 1000").select("item_id", F.col("p_brand").alias("skill")).unionByName(part.filter("p_size > 30").select("item_id", F.col("p_type").alias("skill")))
+
+
+@query(_Q + ", s AS (SELECT p_partkey AS item_id, coalesce(string_agg(skill, '|' ORDER BY skill), '') AS s, count(skill) AS n FROM part LEFT JOIN q ON item_id = p_partkey GROUP BY 1) SELECT item_id, n AS n_attributes, n = 0 AS no_attribute, count(*) OVER (PARTITION BY s) > 1 AS duplicate FROM s")
+def qmatrix_items(spark, sf_dir):
+    part, q = _q(spark, sf_dir)
+    return banks.qmatrix_item_audit(q, part).withColumn("n_attributes", F.col("n_attributes").cast("long"))
+
+
+@query(_Q + ", l AS (SELECT item_id, skill, count(*) OVER (PARTITION BY item_id) AS k FROM q) SELECT skill, count(*) AS n_items, bool_or(k = 1) AS pure, false AS unmeasured FROM l GROUP BY skill")
+def qmatrix_attributes(spark, sf_dir):
+    q = _q(spark, sf_dir)[1]
+    return banks.qmatrix_attribute_audit(q, q)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN round(1 - l_tax, 6) ELSE round(l_discount, 6) END AS p FROM lineitem")
+def dina_probability(spark, sf_dir):
+    ideal = table(spark, sf_dir, "lineitem").withColumn("ideal", (F.col("l_quantity") > 25).cast("int"))
+    return rounded(banks.dina_probability(ideal, F.col("l_tax"), F.col("l_discount")).select("l_orderkey", "l_linenumber", "p"), 6)
+
+
+@query(_MEMBERS + ", cu AS (SELECT p_partkey, count(*) AS n, max(p) AS m, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM pr GROUP BY 1) SELECT p_partkey, n AS n_profiles, round(m, 7) AS max_probability, round(h, 7) AS entropy, round(h / ln(n), 7) AS normalized_entropy FROM cu")
+def classification_uncertainty(spark, sf_dir):
+    return rounded(banks.classification_uncertainty(_members(spark, sf_dir), "p_partkey"), 7)
+
+
+@query("SELECT p_name AS testlet, count(*) AS n_items, count(*) = 1 AS singleton, count(*) >= 15 AS meets_minimum FROM part GROUP BY 1")
+def testlets(spark, sf_dir):
+    return banks.testlet_audit(table(spark, sf_dir, "part").withColumn("testlet", F.col("p_name")), "testlet", 15)
+
+
+def _stability_sql(k: int, test: str) -> str:
+    return f"SELECT {k} AS \"set\", count(*) AS n_anchors, round(stddev_samp(b) / stddev_samp(b * 1.25 + a), 7) AS \"A\", round(avg(b) - stddev_samp(b) / stddev_samp(b * 1.25 + a) * avg(b * 1.25 + a), 7) AS \"B\" FROM i WHERE {test}"
+
+
+@query(f"WITH {_ITEMS} " + _stability_sql(1, "a < 1") + " UNION ALL " + _stability_sql(2, "a >= 1"))
+def link_stability(spark, sf_dir):
+    i = _items(spark, sf_dir)
+    found = banks.link_stability(i, i.withColumn("b", F.col("b") * 1.25 + F.col("a")), [i.filter("a < 1"), i.filter("a >= 1")])
+    return rounded(found, 7)
