@@ -238,3 +238,125 @@ def op5(rows, langid, clusters=4):
         best = max(((float(vector(c) @ m), lang) for lang, m in model), key=lambda x: x[0]) if c and model else (0.0, "und")
         out.append((d, best[1], best[0]))
     return out
+
+
+def op11_edits(rows):
+    """(cost, audit, turns) of the cheapest edits of (role, text, fault) rows, by trying every sequence of edits for short conversations."""
+    import re
+    from itertools import product
+
+    best = None
+    n = len(rows)
+    # between rows and at the ends any of no, one or two inserted turns; every row K, R or D
+    gaps = ["", "u", "a", "ua", "au"]
+    for acts in product("DKRr", repeat=n):
+        if any(a != "D" and f in ("blank", "duplicate") for a, (_, _, f) in zip(acts, rows, strict=True)):
+            continue
+        for gap in product(gaps, repeat=n + 1):
+            turns, audit, cost = [], "", 0
+            for k in range(n + 1):
+                for c in gap[k]:
+                    turns.append(({"u": "user", "a": "assistant"}[c], ""))
+                    audit, cost = audit + "I", cost + 2
+                if k < n:
+                    role, text, f = rows[k]
+                    if acts[k] == "D":
+                        audit, cost = audit + "D", cost + 3
+                    else:
+                        role = {"K": role, "R": "user", "r": "assistant"}[acts[k]]
+                        audit, cost = audit + acts[k].upper(), cost + (0 if acts[k] == "K" else 2) + (f == "truncated")
+                        turns.append((role, text))
+            if re.fullmatch("(s?(ua)+)?", "".join(r[:1] for r, _ in turns)) and all(r for r, _ in turns) and (best is None or (cost, audit) < best[:2]):
+                best = (cost, audit, turns)
+    return best
+
+
+def op11_search(rows):
+    """As op11_edits, for conversations of any length: least (cost, audit) pairs from the end."""
+    after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    put = {"": "u", "s": "u", "u": "a", "a": "u"}
+    long = {"u": "user", "a": "assistant"}
+    none = (10**9, "", [])
+
+    def opened(best):
+        for _ in range(2):
+            best = {s: min(best[s], (best[put[s]][0] + 2, "I" + best[put[s]][1], [(long[put[s]], ""), *best[put[s]][2]])) for s in best}
+        return best
+
+    best = opened({"": (0, "", []), "a": (0, "", []), "s": none, "u": none})
+    for role, text, f in reversed(rows):
+        now = {}
+        for s in best:
+            options = [(best[s][0] + 3, "D" + best[s][1], best[s][2])]
+            if f not in ("blank", "duplicate"):
+                extra = int(f == "truncated")
+                if role[:1] in after[s]:
+                    to = best[after[s][role[:1]]]
+                    options.append((to[0] + extra, "K" + to[1], [(role, text), *to[2]]))
+                to = best[put[s]]
+                options.append((to[0] + 2 + extra, "R" + to[1], [(long[put[s]], text), *to[2]]))
+            now[s] = min(options)
+        best = opened(now)
+    return best[""]
+
+
+def op11(rows):
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of (conv_id, turn, role, text) rows; turns of a conversation are distinct."""
+    import zlib
+
+    out, groups = [], {}
+    for conv, turn, role, text in rows:
+        groups.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        k = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if k == 0:
+            continue
+        text = "" if k == 1 else "".join(c for c in text if c not in ".!?") if k == 2 else text
+        groups[conv] += [(turn, "user" if k == 4 else role, text)] * (2 if k == 3 else 1)
+    for conv, found in groups.items():
+        found.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        seen, faults = set(), []
+        for _, role, text in found:
+            bare = text.strip(" \t\n\x0b\x0c\r")
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {t for t, *_ in found if t is not None}
+        initials = [r[:1] for _, r, _ in found]
+        cost, audit, left = op11_search([(r, t, f) for (_, r, t), f in zip(found, faults, strict=True)])
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        out.append((conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in left))))
+    return out
+
+
+def op12(rows):
+    """(doc_id, keep_id, group_size, sha) of (doc_id, text) rows."""
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(lower(t), []).append(d)
+    out = []
+    for t, ids in groups.items():
+        keep = max((d for d in ids if d is not None), default=None)
+        out += [(d, keep, len(ids), sha(t)) for d in ids]
+    return out
+
+
+def op13(rows):
+    """(anchor, positive, rank, negative, positive score, negative score) of (vec_id, embedding, label) rows."""
+    import math
+
+    kept = []
+    for i, v, label in rows:
+        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        kept.append((i, [math.floor(256 * x) for x in v], int(math.fmod(label + 1, 10)) if i is not None and i % 7 == 0 else label))
+    by = lambda x: (-x[0], x[1] is None, x[1] or 0)
+    out = []
+    for k, (i, v, label) in enumerate(kept):
+        if i is None or i % 100:
+            continue
+        scored = [(sum(a * b for a, b in zip(v, w, strict=False)), j, other == label) for n, (j, w, other) in enumerate(kept) if n != k]
+        for p, pid, _ in sorted((s for s in scored if s[2]), key=by)[:5]:
+            fit = sorted((s for s in scored if not s[2] and 80 * p <= 100 * s[0] <= 100 * p), key=by)[:5]
+            out += [(i, pid, n + 1, s[1], p, s[0]) for n, s in enumerate(fit)]
+    return out
