@@ -208,11 +208,9 @@ def unique(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns: those with a kept doc_id and text, one of each set of equal rows with one doc_id."""
     kept = groups(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_oc_d"), F.col("sha").alias("_oc_s"))
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = docs.withColumn("_oc_h", F.unhex(F.sha2(lower, 256))).withColumn("_oc_n", F.monotonically_increasing_id())
+    keyed = docs.withColumn("_oc_h", F.unhex(F.sha2(lower, 256)))
     met = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_oc_d")) & (F.col("_oc_h") == F.col("_oc_s")), "left_semi")
-    one = met.groupBy("doc_id", "_oc_h").agg(F.min("_oc_n").alias("_oc_m"), F.count("*").alias("_oc_c")).filter("_oc_c > 1").select(F.col("doc_id").alias("_oc_d"), F.col("_oc_h").alias("_oc_s"), "_oc_m")
-    again = met.join(one, F.col("doc_id").eqNullSafe(F.col("_oc_d")) & (F.col("_oc_h") == F.col("_oc_s")) & (F.col("_oc_n") != F.col("_oc_m")), "left_anti")
-    return again.select(*docs.columns)
+    return met.dropDuplicates(["doc_id", "_oc_h"]).select(*docs.columns)
 
 
 def report(docs: DataFrame, prime: int = PRIME, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
