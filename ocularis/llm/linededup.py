@@ -86,7 +86,7 @@ def report(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) ->
     text = F.when(F.col("_oc_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(_remaining())
     return joined.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_oc_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("_oc_gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(text, 256).alias("kept_sha256"),
     )

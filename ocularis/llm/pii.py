@@ -3,18 +3,22 @@
 Seeds are the valid addresses, card and phone numbers found by pattern, and provisional ones: tokens
 that look drawn at random (``_random``), of kind secret. Every token with a digit or an at sign is an
 instance, and so is every run of such tokens with only blanks, brackets and hyphens between, at any
-length. The words about it are its contexts: the two before, the one before with the one after, the
-one before a label mark such as ``:`` or ``=``, and the one before or the one before that with the
-instance's shape. Contexts and instances form a graph, weighted by the number of documents. Scores go
+length. What is about and in it are its contexts: the two words before, the one before with the one after, the
+one before a label mark such as ``:`` or ``=``, the one before or the one before that with the
+instance's shape, and for what is long enough to identify somebody its form: letters as one ``a``, digits as so many ``9`` or as one, and whether a card's check digit holds.
+Contexts and instances form a graph, weighted by the number of documents. Scores go
 back and forth over it for ``ROUNDS`` rounds as Spark joins: a context's score for a kind is the
 weighted mean of its instances' scores, drawn to zero by ``PRIOR``; an unseen instance's is that of
-its contexts. What the patterns missed is added where instance and context reach ``LIMIT`` and
+its contexts. Instances that look like a kind but fail its check (a wrong check digit, a part over 255) count
+against their contexts and are never added; in a form, instances of which nothing is known count a quarter. What the patterns missed is added where instance and context reach ``LIMIT`` and
 ``SUPPORT`` different seeds, or instances that reached ``LIMIT`` in the round before, have the
 context; so each round's finds bring new contexts. A provisional seed is added only by a context too.
 Added spans never overlap those that patterns found, and a span within another added one is not added.
 
-One pass reads the texts; the graph has only the tokens with a digit or an at sign. Words and tokens
-over ``_WORD`` characters stand in it as their digests.
+``holdout`` measures this: half of the pattern-found spans, by a hash, are hidden from the seeds, and the graph has to find them.
+
+One pass reads the texts, in time linear in their length; the graph has only the tokens with a digit or an at sign. Tokens over ``_WORD``
+characters stand in it as their digests, longer words about them by the nearest ``_WORD`` characters.
 
 Defined cases: a null text is empty; repeated rows give repeated results and count as one document
 in the graph; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
@@ -33,8 +37,11 @@ from .common import mapped, rows, written
 #: The first four have patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
 PATTERNS, SECRET = 4, 4
-#: Contexts with a shape are broad: their scores are drawn to zero by SHAPE_PRIOR.
+#: Instead of a kind: nothing is known of an instance, or it failed the check of what it looks like.
+UNKNOWN, FAILED = -1, -2
+#: Contexts with a shape and forms are broad: their scores are drawn to zero by SHAPE_PRIOR. Unknown instances count UNKNOWN_IN_FORM in forms.
 ROUNDS, PRIOR, SHAPE_PRIOR, LIMIT, SUPPORT = 3, 0.5, 4.0, 0.8, 5
+UNKNOWN_IN_FORM = 0.25
 
 _ANY = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -116,27 +123,30 @@ def _name(token: str) -> str:
 
 
 def _before(text: str, at: int, n: int) -> list[str]:
-    """At most n words before a place, in order."""
+    """At most n words before a place, in order; of one over _WORD characters its end, and none before it."""
     found: list[str] = []
     while len(found) < n:
         while at and text[at - 1].isspace():
             at -= 1
-        stop = at
-        while at and not text[at - 1].isspace():
+        stop, least = at, max(0, at - _WORD)
+        while at > least and not text[at - 1].isspace():
             at -= 1
         if at == stop:
             break
-        found.append(_name(text[at:stop]))
+        found.append(text[at:stop].lower())
+        if at and not text[at - 1].isspace():
+            break
     return found[::-1]
 
 
 def _after(text: str, at: int) -> str:
+    """The word after a place, of one over _WORD characters its beginning."""
     while at < len(text) and text[at].isspace():
         at += 1
-    stop = at
-    while stop < len(text) and not text[stop].isspace():
+    stop, most = at, min(len(text), at + _WORD)
+    while stop < most and not text[stop].isspace():
         stop += 1
-    return _name(text[at:stop])
+    return text[at:stop].lower()
 
 
 def shape(token: str) -> str:
@@ -144,9 +154,33 @@ def shape(token: str) -> str:
     return _name("".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in token))
 
 
-def _contexts(text: str, first: int, stop: int) -> list[str]:
+_LETTERS, _NINES = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+#: Digits of an instance from which its form is a context, if it has no at sign and no three points.
+_FORM_DIGITS = 9
+
+
+def _forms(token: str) -> list[str]:
+    """What an instance looks like, for one with an at sign, three points or _FORM_DIGITS digits: with its digits' numbers and without."""
+    if len(token) > _WORD or not ("@" in token or token.count(".") == 3 or sum(c.isdigit() for c in token) >= _FORM_DIGITS):
+        return []
+    like = _LETTERS.sub("a", token)
+    digits = [c for c in token if c.isdigit()]
+    if 14 <= len(digits) <= 19 and _luhn("".join(digits)):
+        like += " checked"
+    return sorted({"form " + _NINES.sub(lambda m: "9" * len(m[0]), like), "form " + _NINES.sub("9", like)})
+
+
+def _fails(token: str) -> bool:
+    """Whether a token looks like a kind and fails its check."""
+    if _IP.fullmatch(token):
+        return True
+    digits = len(_DIGITS.sub("", token))
+    return bool(14 <= digits <= 19 and _CARD.fullmatch(token)) or _PHONE.fullmatch(token) is not None
+
+
+def _contexts(text: str, first: int, stop: int, kind: int) -> list[str]:
     before, after = _before(text, first, 2), _after(text, stop)
-    found = []
+    found = [] if kind == SECRET else _forms(text[first:stop])
     if len(before) == 2:
         found.append("2 " + " ".join(before))
     if before and after:
@@ -162,21 +196,31 @@ def _contexts(text: str, first: int, stop: int) -> list[str]:
 
 
 def _stripped(text: str, first: int, stop: int) -> tuple[int, int]:
-    """The bounds without the marks at the ends, but for a bracket whose partner is inside."""
+    """The bounds without the marks at the ends, but for a bracket whose partner is inside; each kind of bracket is looked for once from each end."""
+    opened: dict[str, int] = {}
     while stop > first and text[stop - 1] in _MARKS:
-        if text[stop - 1] in _SHUT and text.rfind(_OPEN[_SHUT.index(text[stop - 1])], first, stop) > first:
-            break
+        c = text[stop - 1]
+        if c in _SHUT:
+            if c not in opened:
+                opened[c] = text.rfind(_OPEN[_SHUT.index(c)], first, stop)
+            if opened[c] > first:
+                break
         stop -= 1
+    shut: dict[str, int] = {}
     while first < stop and text[first] in _MARKS:
-        if text[first] in _OPEN and 0 <= text.find(_SHUT[_OPEN.index(text[first])], first, stop) < stop - 1:
-            break
+        c = text[first]
+        if c in _OPEN:
+            if c not in shut:
+                shut[c] = text.find(_SHUT[_OPEN.index(c)], first, stop)
+            if first < shut[c] < stop - 1:
+                break
         first += 1
     return first, stop
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[str]]]:
-    """(start, end, name, number of the kind, -1 if unknown, contexts) of every token with a digit or an at sign and every run of them."""
-    found = [(a, b, _name(text[a:b]), k, _contexts(text, a, b)) for a, k, b in base]
+    """(start, end, name, number of the kind, UNKNOWN or FAILED, contexts) of every token with a digit or an at sign and every run of them."""
+    found = [(a, b, _name(text[a:b]), k, _contexts(text, a, b, k)) for a, k, b in base]
     taken = sorted((a, b) for a, _, b in base)
     at, next_taken = 0, 0
     tokens: list[tuple[int, int]] = []
@@ -206,7 +250,11 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
             close()
         tokens.append((first, stop))
     close()
-    return found + [(a, b, _name(text[a:b]), SECRET if _random(text[a:b]) else -1, _contexts(text, a, b)) for a, b in sorted(unseen) if a < b]
+    for a, b in sorted(unseen):
+        if a < b:
+            kind = SECRET if _random(text[a:b]) else FAILED if _fails(text[a:b]) else UNKNOWN
+            found.append((a, b, _name(text[a:b]), kind, _contexts(text, a, b, kind)))
+    return found
 
 
 def extracted(docs: DataFrame) -> DataFrame:
@@ -232,15 +280,16 @@ def extracted(docs: DataFrame) -> DataFrame:
 
 
 #: Rows of occurrences or edges that patterns of their own didn't find.
-_UNSEEN = f"kind < 0 or kind >= {PATTERNS}"
+_UNSEEN = f"kind = {UNKNOWN} or kind >= {PATTERNS}"
 
 
 def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(context, kind) and (token, kind) that reach the limit; found: doc_id, th, token, kind (-1: unknown) and context of each occurrence."""
+    """(context, kind) and (token, kind) that reach the limit; found: doc_id, th, token, kind (or UNKNOWN, FAILED) and context of each occurrence."""
     edges = written(found.groupBy("context", "token").agg(F.countDistinct(F.struct("doc_id", "th")).alias("n"), F.max("kind").alias("kind")), "pii-edges")
     seeds = edges.filter("kind >= 0").groupBy("token").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
-    prior = F.when(F.col("context").startswith("shape "), SHAPE_PRIOR).otherwise(PRIOR)
+    form = F.col("context").startswith("form ")
+    totals = edges.groupBy("context").agg(F.sum(F.when(form & (F.col("kind") == UNKNOWN), F.col("n") * UNKNOWN_IN_FORM).otherwise(F.col("n"))).alias("total"))
+    prior = F.when(F.col("context").startswith("shape ") | form, SHAPE_PRIOR).otherwise(PRIOR)
     scores = seeds
     contexts = None
     for _ in range(rounds):
@@ -256,7 +305,7 @@ def learned(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limi
 def spans(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit: float = LIMIT) -> DataFrame:
     """doc_id, base and added (spans: start, kind, stop) of every row."""
     table = written(extracted(docs), "pii-found")
-    each = table.select("doc_id", "th", F.explode("found").alias("f")).select("doc_id", "th", "f.start", "f.stop", "f.token", "f.kind", F.explode("f.contexts").alias("context"))
+    each = _occurrences(table)
     contexts, tokens = learned(each, rounds, support, limit)
     new = each.filter(_UNSEEN).drop("kind").join(contexts, "context").join(tokens, ["token", "kind"])
     one = new.groupBy("doc_id", "th", "start", "stop").agg(F.min("kind").alias("kind"))
@@ -267,6 +316,26 @@ def spans(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit:
     return joined.select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,stop:int>>")).alias("added"))
 
 
+def _occurrences(table: DataFrame) -> DataFrame:
+    """A row for each context of each instance."""
+    return table.select("doc_id", "th", F.explode("found").alias("f")).select("doc_id", "th", "f.start", "f.stop", "f.token", "f.kind", F.explode("f.contexts").alias("context"))
+
+
+def holdout(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, limit: float = LIMIT) -> DataFrame:
+    """kind, hidden, right, wrong, recall and precision: the pattern-found identifiers that are hidden from the seeds (half, by a hash), and of what the graph
+    adds of a kind what the patterns call so and what not. Identifiers count once."""
+    each = _occurrences(written(extracted(docs), "pii-found"))
+    by_pattern = (F.col("kind") >= 0) & (F.col("kind") < PATTERNS)
+    hidden = by_pattern & (F.pmod(F.xxhash64(F.lit(3), "token"), F.lit(2)) == 0)
+    marked = written(each.withColumns({"truth": F.col("kind"), "kind": F.when(hidden, UNKNOWN).otherwise(F.col("kind"))}), "pii-hidden")
+    contexts, tokens = learned(marked.drop("truth"), rounds, support, limit)
+    added = marked.filter(_UNSEEN).select("token", "truth", "context").join(contexts, "context").join(tokens, ["token", "kind"]).select("token", "truth", "kind").distinct()
+    sums = added.groupBy("kind").agg(F.count_if(F.col("truth") == F.col("kind")).alias("right"), F.count_if(F.col("truth") != F.col("kind")).alias("wrong"))
+    wanted = marked.filter((F.col("truth") >= 0) & (F.col("truth") < PATTERNS) & (F.col("kind") == UNKNOWN)).groupBy(F.col("truth").alias("kind")).agg(F.countDistinct("token").alias("hidden"))
+    both = wanted.join(sums, "kind", "left").fillna(0, ["right", "wrong"])
+    return both.select(F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("kind"), "hidden", "right", "wrong", (F.col("right") / F.col("hidden")).alias("recall"), F.try_divide(F.col("right"), F.col("right") + F.col("wrong")).alias("precision"))
+
+
 def _listed(of: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.sort_array(of), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")

@@ -142,18 +142,84 @@ def crc_held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def op2_added(docs, instances, base_spans, rounds=3, support=5, limit=0.8):
+def op2_instances(text):
+    """(start, stop, name, kind, contexts) of every instance of a short text: base spans, words with a digit or an at sign, runs of such words."""
+    marks, pairs = "\"'()[]{}<>,;:!?.=|*#$%&", {"(": ")", "[": "]", "{": "}", "<": ">"}
+    name = lambda x: x.lower() if len(x) <= 128 else sha(x.lower())
+
+    def stripped(a, b):
+        while b > a and text[b - 1] in marks:
+            partner = next((o for o, c in pairs.items() if c == text[b - 1]), None)
+            if partner and partner in text[a + 1 : b]:
+                break
+            b -= 1
+        while a < b and text[a] in marks:
+            if text[a] in pairs and a < text.find(pairs[text[a]], a, b) < b - 1:
+                break
+            a += 1
+        return a, b
+
+    def before(at):
+        words = text[:at].split()
+        near = [w[-128:].lower() for w in words[-2:]]
+        return near[-1:] if words and len(words[-1]) > 128 else near
+
+    def contexts(a, b, kind):
+        x, near, after = text[a:b], before(a), (text[b:].split() or [""])[0][:128].lower()
+        out = set()
+        if kind != 4 and len(x) <= 128 and ("@" in x or x.count(".") == 3 or sum(c.isdigit() for c in x) >= 9):
+            form, digits = re.sub(r"[^\W\d_]+", "a", x), re.sub(r"\D", "", x)
+            form += " checked" if 14 <= len(digits) <= 19 and luhn(digits) else ""
+            out |= {"form " + re.sub(r"\d", "9", form), "form " + re.sub(r"\d+", "9", form)}
+        like = name("".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in x))
+        if near:
+            out.add(f"shape {near[-1]} _ {like}")
+        if near and after:
+            out.add(f"1 {near[-1]} _ {after}")
+        if len(near) == 2:
+            out |= {f"2 {near[0]} {near[1]}", f"shape {near[0]} * _ {like}"}
+        if near and near[-1][-1] in ":=":
+            out.add("label " + (" ".join(near) if near[-1] in ":=" else near[-1]))
+        return out
+
+    def kind(x):
+        if re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", x) and sum(a.isdigit() != b.isdigit() and (a + b).isalnum() and (a + b).isascii() for a, b in zip(x, x[1:], strict=False)) >= 4:
+            return 4
+        digits = len(re.sub("[^0-9]", "", x))
+        return -2 if IP.fullmatch(x) or PHONE.fullmatch(x) or (CARD.fullmatch(x) and 14 <= digits <= 19) else -1
+
+    base = op2(text)
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text) if re.search("[0-9@]", m[0])]
+    runs = [[]]
+    for a, b in words:
+        bare = len(text[a:b]) - len(text[a:b].lstrip(marks)) + a, len(text[a:b].rstrip(marks)) + a
+        if any(x < bare[1] and bare[0] < y for x, _, y in base):
+            runs.append([])
+            continue
+        if runs[-1] and not re.fullmatch(r"[\x20\t\xa0()\[\]-]+", text[runs[-1][-1][1] : a]):
+            runs.append([])
+        runs[-1].append((a, b))
+    spans = {stripped(*w) for r in runs for w in r} | {stripped(r[0][0], r[-1][1]) for r in runs if len(r) > 1}
+    out = [(a, b, name(text[a:b]), k, contexts(a, b, k)) for a, k, b in base]
+    for a, b in spans:
+        if a < b:
+            k = kind(text[a:b])
+            out.append((a, b, name(text[a:b]), k, contexts(a, b, k)))
+    return out
+
+
+def op2_added(docs, rounds=3, support=5, limit=0.8):
     """docs: different (doc_id, text); spans that contexts add: the graph of contexts and instances in plain dictionaries."""
-    each = [(d, *x) for d, t in docs if t for x in instances(t, base_spans(t))]
+    each = [(d, *x) for d, t in docs if t for x in op2_instances(t)]
     weight, kinds = defaultdict(set), {}
     for d, _, _, token, kind, contexts in each:
         for c in contexts:
             weight[c, token].add(d)
-            kinds[c, token] = max(kinds.get((c, token), -1), kind)
+            kinds[c, token] = max(kinds.get((c, token), -2), kind)
     n = {e: len(ds) for e, ds in weight.items()}
     seeds, total = {}, Counter()
     for (c, token), k in kinds.items():
-        total[c] += n[c, token]
+        total[c] += n[c, token] * (0.25 if c.startswith("form ") and k == -1 else 1)
         if k >= 0:
             seeds[token] = max(seeds.get(token, -1), k)
     scores, good = {(t, k): 1.0 for t, k in seeds.items()}, {}
@@ -166,19 +232,19 @@ def op2_added(docs, instances, base_spans, rounds=3, support=5, limit=0.8):
             for k, s in of[t]:
                 got[c, k] += m * s
                 backers[c, k] += s >= limit
-        good = {(c, k): g / (total[c] + (4.0 if c.startswith("shape ") else 0.5)) for (c, k), g in got.items() if backers[c, k] >= support}
+        good = {(c, k): g / (total[c] + (4.0 if c.startswith(("shape ", "form ")) else 0.5)) for (c, k), g in got.items() if backers[c, k] >= support}
         by = defaultdict(list)
         for (c, k), s in good.items():
             by[c].append((k, s))
         scores = {(t, k): 1.0 for t, k in seeds.items()}
         for (c, t), k0 in kinds.items():
-            if (k0 < 0 or k0 > 3) and t not in seeds:
+            if (k0 == -1 or k0 > 3) and t not in seeds:
                 for k, s in by[c]:
                     scores[t, k] = max(scores.get((t, k), 0), s)
     out = defaultdict(set)
     for d, a, b, token, kind, contexts in each:
         fit = [k for c in contexts for k in range(5) if good.get((c, k), 0) >= limit and scores.get((token, k), 0) >= limit]
-        if (kind < 0 or kind > 3) and fit:
+        if (kind == -1 or kind > 3) and fit:
             out[d].add((a, min(fit), b))
     return {d: sorted(x for x in s if not any(o != x and o[0] <= x[0] and x[2] <= o[2] for o in s)) for d, s in out.items()}
 
