@@ -11,13 +11,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import ratio
-
-BUCKETS = 1024
+#: Buckets of rows by their order, of equal depth.
+DEPTHS = 256
 
 
 def joined_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
-    """left with the other columns of right; null keys are equal. Without keys right has one row; small: right has at most BUCKETS rows times four."""
+    """left with the other columns of right; null keys are equal. Without keys right has one row; small: right has at most 4096 rows."""
     named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
     named = F.broadcast(named) if small or not on else named
     if not on:
@@ -48,18 +47,40 @@ def hashed_rank(df: DataFrame, digest: Column, ties: Sequence[str], by: Sequence
     return joined.withColumn(name, F.col("_before") + F.col("_within")).drop("_digest", "_bucket", "_before", "_within")
 
 
+def bucketed(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """df with ``_bucket``, a number that rises with order and parts each group's rows about equally, wherever they lie: the bounds are its quantiles."""
+    t = F.col(order).cast("double")
+    cuts = F.array(*(F.lit(k / DEPTHS) for k in range(1, DEPTHS)))
+    bounds = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(t, cuts, 10_000)).alias("_bounds")).withColumn("_coarse", F.filter("_bounds", lambda _, k: k % 16 == 15))
+    met = joined_null_safe(df, bounds, by)
+    below = lambda of: F.array_size(F.filter(of, lambda b: b < t))
+    placed = met.withColumn("_c", F.coalesce(below(F.col("_coarse")), F.lit(0)))
+    return placed.withColumn("_bucket", F.col("_c") * 16 + F.coalesce(below(F.slice("_bounds", F.col("_c") * 16 + 1, F.lit(16))), F.lit(0))).drop("_bounds", "_coarse", "_c")
+
+
+def run_through(placed: DataFrame, order: str, steps: Sequence[dict], by: Sequence[str] = ()) -> DataFrame:
+    """placed (bucketed) with running aggregates, by name: (F.sum or F.max, of what), or with True after them from the row to the group's end; order has no ties.
+    A plain column is computed from what is there. Steps may read those before them and share one exchange and one sort."""
+    w = Window.partitionBy(*by, "_bucket").orderBy(order)
+    for step in steps:
+        plain = {k: c for k, c in step.items() if isinstance(c, Column)}
+        new = {k: (*v, False)[:3] for k, v in step.items() if k not in plain}
+        placed = placed.withColumns(plain) if plain else placed
+        if not new:
+            continue
+        placed = placed.withColumns({f"_v_{k}": c for k, (_, c, _) in new.items()})
+        totals = placed.groupBy(*by, "_bucket").agg(*(f(f"_v_{k}").alias(f"_t_{k}") for k, (f, *_) in new.items()))
+        across = Window.partitionBy(*by).orderBy("_bucket")
+        outside = {True: across.rowsBetween(1, Window.unboundedFollowing), False: across.rowsBetween(Window.unboundedPreceding, -1)}
+        before = totals.select(*by, "_bucket", *(f(f"_t_{k}").over(outside[back]).alias(f"_b_{k}") for k, (f, _, back) in new.items()))
+        inside = {True: w.rowsBetween(Window.currentRow, Window.unboundedFollowing), False: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)}
+        within = placed.withColumns({f"_w_{k}": f(f"_v_{k}").over(inside[back]) for k, (f, _, back) in new.items()})
+        joined = joined_null_safe(within, before, [*by, "_bucket"], small=not by)
+        both = {k: (F.greatest(f"_b_{k}", f"_w_{k}") if f is F.max else F.coalesce(F.col(f"_b_{k}"), F.lit(0)) + F.coalesce(F.col(f"_w_{k}"), F.lit(0))) for k, (f, *_) in new.items()}
+        placed = joined.withColumns(both).drop(*(f"_{x}_{k}" for x in "vwb" for k in new))
+    return placed
+
+
 def running(df: DataFrame, order: str, new: dict[str, tuple[Callable[[Column | str], Column], Column]], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """df with aggregates (F.sum or F.max, and of what) over the rows of the group up to this one; order is a number and has no ties."""
-    t = -F.col(order) if descending else F.col(order)
-    bounds = df.groupBy(*by).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    place = F.least(F.lit(BUCKETS - 1), F.floor(ratio((t - F.col("_lo")) * BUCKETS, F.col("_hi") - F.col("_lo"))))
-    placed = joined_null_safe(df, bounds, by).withColumn("_bucket", F.coalesce(place, F.lit(0)).cast("int")).drop("_lo", "_hi")
-    placed = placed.withColumns({f"_v_{k}": c for k, (_, c) in new.items()})
-    totals = placed.groupBy(*by, "_bucket").agg(*(f(f"_v_{k}").alias(f"_t_{k}") for k, (f, _) in new.items()))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "_bucket", *(f(f"_t_{k}").over(earlier).alias(f"_b_{k}") for k, (f, _) in new.items()))
-    w = Window.partitionBy(*by, "_bucket").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = placed.withColumns({f"_w_{k}": f(f"_v_{k}").over(w) for k, (f, _) in new.items()})
-    joined = joined_null_safe(within, before, [*by, "_bucket"], small=not by)
-    both = {k: (F.greatest(f"_b_{k}", f"_w_{k}") if f is F.max else F.coalesce(F.col(f"_b_{k}"), F.lit(0)) + F.coalesce(F.col(f"_w_{k}"), F.lit(0))) for k, (f, _) in new.items()}
-    return joined.withColumns(both).drop("_bucket", *(f"_{x}_{k}" for x in "vwb" for k in new))
+    """df with aggregates (F.sum or F.max, and of what) over the rows of the group up to this one, or from it on; order is a number and has no ties."""
+    return run_through(bucketed(df, order, by), order, [{k: (f, c, descending) for k, (f, c) in new.items()}], by).drop("_bucket")

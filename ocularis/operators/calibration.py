@@ -39,10 +39,15 @@ def tabulated(items: DataFrame, item: str, thetas: Sequence[float], slope: str =
     return items.select(item, F.transform(eta, log_expit).alias("_right"), F.transform(eta, lambda e: log_expit(-e)).alias("_wrong"))
 
 
+def _summed(of: str, n: int) -> Column:
+    """Sums of n values as an array; of has a place for their number."""
+    return F.expr("array(" + ", ".join(f"sum({of.format(k)})" for k in range(n)) + ")")
+
+
 def posteriors(rows: DataFrame, tables: DataFrame, person: str, item: str, weights: Sequence[float]) -> DataFrame:
     """person, n, ``_w`` (posterior over the nodes) and ``_ll`` (marginal log-likelihood); rows: person, item, ``_y``."""
     met = joined_null_safe(rows, tables, [item]).withColumn("_l", F.when(F.col("_y") > 0.5, F.col("_right")).otherwise(F.col("_wrong")))
-    sums = met.groupBy(person).agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("_l", F.lit(k))) for k in range(len(weights)))).alias("_l"))
+    sums = met.groupBy(person).agg(F.count("*").alias("n"), _summed("_l[{}]", len(weights)).alias("_l"))
     logs = sums.withColumn("_l", F.zip_with("_l", F.array(*(F.lit(math.log(w)) for w in weights)), lambda x, w: x + w)).withColumn("_top", F.array_max("_l"))
     parts = logs.withColumn("_w", F.transform("_l", lambda x: F.exp(x - F.col("_top"))))
     total = parts.withColumn("_z", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x))
@@ -128,7 +133,7 @@ def calibrate(responses: DataFrame, person: str, item: str, response: str = "res
             converged = True
             break
         met = joined_null_safe(rows.df, posterior.df.select(person, "_w"), [person])
-        sums = met.groupBy(item).agg(F.array(*(F.sum(F.get("_w", F.lit(k))) for k in range(nodes))).alias("_n"), F.array(*(F.sum(F.when(F.col("_y") > 0.5, F.get("_w", F.lit(k))).otherwise(0.0)) for k in range(nodes))).alias("_r"))
+        sums = met.groupBy(item).agg(_summed("_w[{}]", nodes).alias("_n"), _summed("_y * _w[{}]", nodes).alias("_r"))
         new = Table(joined_null_safe(items.df, sums, [item]).mapInArrow(_improved(thetas, rasch, item), schema), "calibration-state")
         items.drop()
         items = new

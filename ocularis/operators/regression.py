@@ -172,33 +172,24 @@ def _solve(size: int, ridge: float, keys: Sequence[str], last: bool):
     return run
 
 
-def maximised(rows: DataFrame, by: Sequence[str], model: Likelihood, least: int = 1, rounds: int = ROUNDS) -> DataFrame:
-    """by, n, status, value (log-likelihood), beta, se and covariance (packed) of every group in rows, which have all that the model reads and nothing null; a table."""
+def iterated(counts: DataFrame, by: Sequence[str], size: int, sums: Callable[[DataFrame], DataFrame], least: int = 1, rounds: int = ROUNDS, ridge: float = 0.0, start: Sequence[float] = ()) -> DataFrame:
+    """by, n, status, value (log-likelihood), beta, se and covariance (packed) of every group in counts (by, ``_n``).
+
+    sums gets the open groups with their ``_beta`` and gives by, ``_now`` (log-likelihood) and ``_sums`` (gradient, then the packed information) at it."""
     by = list(by)
-    start = list(model.start or [0.0] * model.size)
-    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    zeros = F.array(*map(F.lit, start)).cast("array<double>")
+    zeros = F.array(*map(F.lit, start or [0.0] * size)).cast("array<double>")
     none = F.lit(None).cast("array<double>")
-    few = F.col("_n") < max(least, 1)
-    state = counts.filter("_n > 0").select(*by, "_n", zeros.alias("_beta"), zeros.alias("_step"), F.lit(None).cast("double").alias("_value"), F.when(few, "insufficient_data").otherwise("open").alias("_status"), none.alias("_se"), none.alias("_covariance"), F.lit(0).alias("_round"))
-    state = state.withColumn("_step", F.transform("_step", lambda _: F.lit(0.0)))
+    state = counts.filter("_n > 0").select(*by, "_n", zeros.alias("_beta"), F.transform(zeros, lambda _: F.lit(0.0)).alias("_step"), F.lit(None).cast("double").alias("_value"), F.when(F.col("_n") < max(least, 1), "insufficient_data").otherwise("open").alias("_status"), none.alias("_se"), none.alias("_covariance"), F.lit(0).alias("_round"))
     table = Table(state, "regression-state")
     done: list[DataFrame] = [table.df.filter("_status != 'open'")]
-    schema = ", ".join([*(f"`{k}` {t}" for k, t in rows.select(*by).dtypes), _STATE])
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in counts.select(*by).dtypes), _STATE])
     for k in range(rounds):
         active = table.df.filter("_status = 'open'")
         if active.isEmpty():
             break
-        beta = [F.get("_beta", F.lit(j)) for j in range(model.size)]
-        met = joined_null_safe(rows, active.select(*by, "_beta"), by)
-        for columns in model.prepare(beta):
-            met = met.withColumns(columns)
-        parts = [*model.gradient(beta), *model.information(beta)]
-        sums = met.groupBy(*by).agg(F.sum(model.value(beta)).alias("_now"), F.array(*(F.sum(c) for c in parts)).alias("_sums"))
-        whole = joined_null_safe(active.select(*by, "_n", "_beta", "_step", "_value", "_round"), sums, by)
-        new = Table(whole.mapInArrow(_solve(model.size, model.ridge, by, k == rounds - 1), schema), "regression-state")
-        done.append(new.df.filter("_status != 'open'"))
-        table = new
+        whole = joined_null_safe(active.select(*by, "_n", "_beta", "_step", "_value", "_round"), sums(active.select(*by, "_beta")), by)
+        table = Table(whole.mapInArrow(_solve(size, ridge, by, k == rounds - 1), schema), "regression-state")
+        done.append(table.df.filter("_status != 'open'"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -206,6 +197,24 @@ def maximised(rows: DataFrame, by: Sequence[str], model: Likelihood, least: int
     return out.select(*by, F.col("_n").alias("n"), F.col("_status").alias("status"), F.when(good, F.col("_value")).alias("value"), F.when(good, F.col("_beta")).alias("beta"), F.when(good, F.col("_se")).alias("se"), F.when(good, F.col("_covariance")).alias("covariance"))
 
 
+def parameters(size: int) -> list[Column]:
+    return [F.get("_beta", F.lit(j)) for j in range(size)]
+
+
+def maximised(rows: DataFrame, by: Sequence[str], model: Likelihood, least: int = 1, rounds: int = ROUNDS) -> DataFrame:
+    """iterated for a likelihood that is a sum over rows, which have all that the model reads and nothing null; a table."""
+    beta = parameters(model.size)
+
+    def sums(active: DataFrame) -> DataFrame:
+        met = joined_null_safe(rows, active, by)
+        for columns in model.prepare(beta):
+            met = met.withColumns(columns)
+        parts = [*model.gradient(beta), *model.information(beta)]
+        return met.groupBy(*by).agg(F.sum(model.value(beta)).alias("_now"), F.array(*(F.sum(c) for c in parts)).alias("_sums"))
+
+    return iterated(rows.groupBy(*by).agg(F.count("*").alias("_n")), by, model.size, sums, least, rounds, model.ridge, model.start or ())
+
+
 def design(df: DataFrame, by: Sequence[str], outcome: Column | str, terms: dict[str, Column | str], extra: dict[str, Column | str] | None = None, intercept: bool = True, numeric: bool = True) -> tuple[Table, list[str]]:
     """The rows that have everything, as a table: keys, ``_y``, one column a term and the extra ones; and the names of the terms."""
     as_column = lambda c: F.col(c) if isinstance(c, str) else c

@@ -6,8 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, regression
-from .catalogue import query, rounded, samples, table
+from ..operators import calibration, hazards, regression
+from .catalogue import _SUM_LATENCIES, _latencies, query, rounded, samples, table
 
 _MU = {"binomial": "1 / (1 + exp(-(b0 + b1 * x)))", "poisson": "exp(b0 + b1 * x)"}
 _VAR = {"binomial": "mu * (1 - mu)", "poisson": "mu"}
@@ -115,3 +115,48 @@ def stocking_lord_link(spark, sf_dir):
 @query(_LINK + " SELECT 'haebara' AS method, count(*) AS n_anchors, 1.2::DOUBLE AS \"A\", 0.4::DOUBLE AS \"B\", round(sum(abs(fa / 1.2 - ra) + abs(1.2 * fb + 0.4 - rb)), 5)::DOUBLE AS loss FROM i")
 def haebara_link(spark, sf_dir):
     return _linked(spark, sf_dir, "haebara")
+
+
+def _cox_sql(strata: str, rounds: int = 8) -> str:
+    """CTEs of Newton rounds for one covariate x by key with Breslow ties: c (key, n, b, s) and p (key, t, d, mean covariate of those at risk)."""
+    out = [_SUM_LATENCIES[5:] + f", v AS (SELECT {strata} AS key, CASE WHEN f IS NULL THEN 1000 ELSE f - a END AS t, (f IS NOT NULL)::INT AS e, c_acctbal / 5000 AS x FROM lat JOIN customer ON c_custkey = o_custkey), c0 AS (SELECT key, 0.0::DOUBLE AS b FROM v GROUP BY key)"]
+    for k in range(rounds):
+        out.append(f"t{k} AS (SELECT key, b, t, sum(e) AS d, sum(e * x) AS ex, sum(exp(b * x)) AS s0, sum(x * exp(b * x)) AS s1, sum(x * x * exp(b * x)) AS s2 FROM v JOIN c{k} USING (key) GROUP BY ALL)")
+        out.append(f"q{k} AS (SELECT key, b, t, d, ex, sum(s0) OVER w AS r0, sum(s1) OVER w AS r1, sum(s2) OVER w AS r2 FROM t{k} WINDOW w AS (PARTITION BY key ORDER BY t DESC))")
+        out.append(f"c{k + 1} AS (SELECT key, any_value(b) + sum(ex - d * r1 / r0) / sum(d * (r2 / r0 - r1 * r1 / (r0 * r0))) AS b, 1 / sqrt(sum(d * (r2 / r0 - r1 * r1 / (r0 * r0)))) AS s FROM q{k} GROUP BY key)")
+    return "WITH " + ", ".join(out)
+
+
+def _censored(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") / 5000).alias("x"), "c_mktsegment")
+    return _latencies(spark, sf_dir).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+
+
+@query(_cox_sql("c_nationkey % 4") + " SELECT key, n, 'x' AS term, round(b, 5) AS estimate, round(s, 5) AS std_error, round(exp(b), 5) AS hazard_ratio FROM c8 JOIN (SELECT key, count(*) AS n FROM v GROUP BY key) USING (key)")
+def cox_regression(spark, sf_dir):
+    fit = hazards.Cox(_censored(spark, sf_dir).withColumn("key", F.col("c_nationkey") % 4), ["key"], {"x": "x"})
+    return rounded(fit.table().select("key", "n", "term", "estimate", "std_error", "hazard_ratio"), 5)
+
+
+@query(_cox_sql("0") + ", s AS (SELECT v.t, x - r1 / r0 AS r FROM v JOIN q7 USING (t) WHERE e = 1 AND v.t > 0), k AS (SELECT rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS a, rank() OVER (ORDER BY r) AS z FROM (SELECT t, round(r, 12) AS r FROM s)) SELECT 'x' AS term, count(*) AS n, round(corr(a, z), 3) AS rho FROM k")
+def cox_proportionality(spark, sf_dir):
+    fit = hazards.Cox(_censored(spark, sf_dir), [], {"x": "x"})
+    return rounded(fit.check().select("term", "n", "rho"), 3)
+
+
+@query(None)
+def cox_clustered(spark, sf_dir):
+    data = _censored(spark, sf_dir).withColumn("z", (F.col("c_mktsegment") == "BUILDING").cast("int"))
+    return rounded(hazards.Cox(data, [], {"x": "x", "z": "z"}, cluster="c_nationkey").table().drop("conf_low", "conf_high"), 5)
+
+
+@query(None)
+def aft_weibull(spark, sf_dir):
+    data = _censored(spark, sf_dir).withColumn("analysis_time", F.col("analysis_time") + 1)
+    return rounded(hazards.fit_accelerated(data, [], {"x": "x"}, "weibull"), 4)
+
+
+@query(None)
+def aft_lognormal(spark, sf_dir):
+    data = _censored(spark, sf_dir).withColumn("analysis_time", F.col("analysis_time") + 1)
+    return rounded(hazards.fit_accelerated(data, [], {"x": "x"}, "lognormal"), 4)
