@@ -50,7 +50,7 @@ def hashed_rank(df: DataFrame, digest: Column, ties: Sequence[str], by: Sequence
 def bucketed(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """df with ``_bucket``, a number that rises with order and parts each group's rows about equally, wherever they lie: the bounds are its quantiles."""
     t = F.col(order).cast("double")
-    cuts = F.array(*(F.lit(k / DEPTHS) for k in range(1, DEPTHS)))
+    cuts = F.expr("array(" + ", ".join(f"{k / DEPTHS}D" for k in range(1, DEPTHS)) + ")")
     bounds = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(t, cuts, 10_000)).alias("_bounds")).withColumn("_coarse", F.filter("_bounds", lambda _, k: k % 16 == 15))
     met = joined_null_safe(df, bounds, by)
     below = lambda of: F.array_size(F.filter(of, lambda b: b < t))
@@ -58,10 +58,11 @@ def bucketed(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     return placed.withColumn("_bucket", F.col("_c") * 16 + F.coalesce(below(F.slice("_bounds", F.col("_c") * 16 + 1, F.lit(16))), F.lit(0))).drop("_bounds", "_coarse", "_c")
 
 
-def run_through(placed: DataFrame, order: str, steps: Sequence[dict], by: Sequence[str] = ()) -> DataFrame:
-    """placed (bucketed) with running aggregates, by name: (F.sum or F.max, of what), or with True after them from the row to the group's end; order has no ties.
-    A plain column is computed from what is there. Steps may read those before them and share one exchange and one sort."""
-    w = Window.partitionBy(*by, "_bucket").orderBy(order)
+def run_through(placed: DataFrame, order: str | Sequence[str], steps: Sequence[dict], by: Sequence[str] = ()) -> DataFrame:
+    """placed (bucketed) with running aggregates, by name: (F.sum, F.max or F.min, of what), or with True after them from the row to the group's end; order has no ties, or its ties
+    are equal. A plain column is computed from what is there. Steps may read those before them and share one exchange and one sort."""
+    w = Window.partitionBy(*by, "_bucket").orderBy(*([order] if isinstance(order, str) else order))
+    joins = {F.max: F.greatest, F.min: F.least}
     for step in steps:
         plain = {k: c for k, c in step.items() if isinstance(c, Column)}
         new = {k: (*v, False)[:3] for k, v in step.items() if k not in plain}
@@ -76,7 +77,7 @@ def run_through(placed: DataFrame, order: str, steps: Sequence[dict], by: Sequen
         inside = {True: w.rowsBetween(Window.currentRow, Window.unboundedFollowing), False: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)}
         within = placed.withColumns({f"_w_{k}": f(f"_v_{k}").over(inside[back]) for k, (f, _, back) in new.items()})
         joined = joined_null_safe(within, before, [*by, "_bucket"], small=not by)
-        both = {k: (F.greatest(f"_b_{k}", f"_w_{k}") if f is F.max else F.coalesce(F.col(f"_b_{k}"), F.lit(0)) + F.coalesce(F.col(f"_w_{k}"), F.lit(0))) for k, (f, *_) in new.items()}
+        both = {k: (joins[f](f"_b_{k}", f"_w_{k}") if f in joins else F.coalesce(F.col(f"_b_{k}"), F.lit(0)) + F.coalesce(F.col(f"_w_{k}"), F.lit(0))) for k, (f, *_) in new.items()}
         placed = joined.withColumns(both).drop(*(f"_{x}_{k}" for x in "vwb" for k in new))
     return placed
 

@@ -163,42 +163,48 @@ def student_tail(t: float, df: int) -> float:
 
 
 def _accelerated(terms: Sequence[str], time: str, event: str, distribution: str) -> Likelihood:
-    """Log-likelihood of ln T = x b + sigma e with censoring; parameters b and ln sigma. time is ln T."""
+    """Log-likelihood of ln T = x b + sigma e with censoring, in the parameters b / sigma and 1 / sigma, in which it is concave. time is ln T."""
     p = len(terms)
     x, y, d = [F.col(t) for t in terms], F.col(time), F.col(event).cast("double")
-    sigma, z = F.col("_sigma"), F.col("_z")
+    z, u, w = F.col("_z"), F.col("_u"), F.col("_w")
 
     def prepare(b):
-        eta = sum((b[k] * x[k] for k in range(1, p)), b[0] * x[0])
-        first = [{"_eta": eta, "_sigma": F.exp(b[p])}, {"_z": (y - F.col("_eta")) / F.exp(b[p])}]
+        first = [{"_z": b[p] * y - sum((b[k] * x[k] for k in range(1, p)), b[0] * x[0])}]
+        # v, u, w: logarithm of the density (of the survivor's share where censored), its first and minus its second derivative by z
         if distribution == "weibull":
-            # of the standard density: first and second derivative of its logarithm, of the survivor's by z
-            return [*first, {"_u": d - F.exp("_z"), "_w": F.exp("_z"), "_v": d * z - F.exp("_z")}]
+            return [*first, {"_h": F.exp("_z")}, {"_u": d - F.col("_h"), "_w": F.col("_h"), "_v": d * z - F.col("_h")}]
         survivor = F.when(z >= 0, erfc(F.abs(z) / math.sqrt(2)) / 2).otherwise(1 - erfc(F.abs(z) / math.sqrt(2)) / 2)
         hazard = F.when(z > 30, z).otherwise(F.exp(-z * z / 2) / math.sqrt(2 * math.pi) / F.col("_q"))
-        return [*first, {"_q": survivor}, {"_m": hazard}, {"_u": F.when(d == 1, -z).otherwise(-F.col("_m")), "_w": F.when(d == 1, 1.0).otherwise(F.col("_m") * (F.col("_m") - z)), "_v": F.when(d == 1, -z * z / 2 - math.log(2 * math.pi) / 2).otherwise(F.when(z > 30, -z * z / 2 - F.ln(z * math.sqrt(2 * math.pi))).otherwise(F.ln("_q")))}]
-
-    u, w = F.col("_u"), F.col("_w")
+        tail = F.when(z > 30, -z * z / 2 - F.ln(z * math.sqrt(2 * math.pi))).otherwise(F.ln("_q"))
+        return [*first, {"_q": survivor}, {"_m": hazard}, {"_u": F.when(d == 1, -z).otherwise(-F.col("_m")), "_w": F.when(d == 1, 1.0).otherwise(F.col("_m") * (F.col("_m") - z)), "_v": F.when(d == 1, -z * z / 2 - math.log(2 * math.pi) / 2).otherwise(tail)}]
 
     def value(b):
-        return F.col("_v") - d * (b[p] + y)
-
-    def gradient(b):
-        return [-u * x[k] / sigma for k in range(p)] + [-u * z - d]
+        return F.col("_v") + F.when(d == 1, F.when(b[p] > 0, F.ln(b[p])).otherwise(F.lit(-math.inf)) - y).otherwise(0.0)
 
     def information(b):
-        # -l'' is w in z; by b: -x / sigma, by ln sigma: -z
         out = []
         for j, k in pairs(p + 1):
             if j < p:
-                out.append(w * x[j] * x[k] / (sigma * sigma))
+                out.append(w * x[j] * x[k])
             elif k < p:
-                out.append((w * z - u) * x[k] / sigma)
+                out.append(-w * x[k] * y)
             else:
-                out.append(w * z * z - u * z)
+                out.append(w * y * y + d / (b[p] * b[p]))
         return out
 
-    return Likelihood(p + 1, prepare, value, gradient, information)
+    return Likelihood(p + 1, prepare, value, lambda b: [*(-u * x[k] for k in range(p)), u * y + d / b[p]], information, start=(*[0.0] * p, 1.0))
+
+
+def _by_sigma(fits: DataFrame, size: int) -> DataFrame:
+    """The fits in b and ln(sigma) instead of b / sigma and 1 / sigma, standard errors by the delta method."""
+    place = {jk: n for n, jk in enumerate(pairs(size))}
+    v = lambda j, k: F.get("covariance", F.lit(place[max(j, k), min(j, k)]))
+    last = size - 1
+    tau = F.get("beta", F.lit(last))
+    b = [F.get("beta", F.lit(k)) / tau for k in range(last)]
+    errors = [F.sqrt(F.greatest(v(k, k) - 2 * b[k] * v(k, last) + b[k] * b[k] * v(last, last), F.lit(0.0))) / tau for k in range(last)]
+    good = F.col("beta").isNotNull()
+    return fits.withColumns({"_b": F.when(good, F.array(*b, -F.ln(tau))), "_e": F.when(good, F.array(*errors, F.sqrt(v(last, last)) / tau))}).drop("beta", "se").withColumnsRenamed({"_b": "beta", "_e": "se"})
 
 
 def fit_accelerated(data: DataFrame, by: Sequence[str], terms: dict[str, Column | str], distribution: str, time: str = "analysis_time", event: str = "event_observed") -> DataFrame:
@@ -216,7 +222,7 @@ def fit_accelerated(data: DataFrame, by: Sequence[str], terms: dict[str, Column
     scale = rows.groupBy(*by).agg(F.avg(F.ln("_time")).alias("_mean"), F.greatest(F.coalesce(F.stddev_samp(F.ln("_time")), F.lit(1.0)), F.lit(1e-6)).alias("_sd"), F.sum("_e").alias("_events"))
     scaled = Table(joined_null_safe(rows, scale, by).withColumn("_ln", (F.ln("_time") - F.col("_mean")) / F.col("_sd")), "accelerated-rows").df
     names = ["(intercept)", *terms, "ln(sigma)"]
-    fits = maximised(scaled, by, _accelerated([f"_t{k}" for k in range(len(terms) + 1)], "_ln", "_e", distribution), len(names))
+    fits = _by_sigma(maximised(scaled, by, _accelerated([f"_t{k}" for k in range(len(terms) + 1)], "_ln", "_e", distribution), len(names)), len(names))
     back = joined_null_safe(coefficients(fits, by, names), scale, by)
     back = joined_null_safe(back, fits.select(*by, F.col("value").alias("_value")), by)
     term = F.col("term")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, hazards, regression
+from ..operators import alignment, calibration, hazards, heldout, regression
 from .catalogue import _SUM_LATENCIES, _latencies, query, rounded, samples, table
 
 _MU = {"binomial": "1 / (1 + exp(-(b0 + b1 * x)))", "poisson": "exp(b0 + b1 * x)"}
@@ -160,3 +160,51 @@ def aft_weibull(spark, sf_dir):
 def aft_lognormal(spark, sf_dir):
     data = _censored(spark, sf_dir).withColumn("analysis_time", F.col("analysis_time") + 1)
     return rounded(hazards.fit_accelerated(data, [], {"x": "x"}, "lognormal"), 4)
+
+
+_FOLDS = "fo AS (SELECT l_suppkey, (row_number() OVER (ORDER BY md5('1:' || l_suppkey), l_suppkey) - 1) % 5 + 1 AS fold FROM (SELECT DISTINCT l_suppkey FROM lineitem)), ro AS (SELECT fold, l_quantity / 10.0 AS x, (l_returnflag = 'R')::INT AS y FROM lineitem JOIN fo USING (l_suppkey)), r AS (SELECT f.fold AS key, x, y FROM ro, (SELECT DISTINCT fold FROM fo) f WHERE ro.fold != f.fold)"
+
+
+@query(
+    f"WITH {_FOLDS}, {newton('r')}, p AS (SELECT fold, y, 1 / (1 + exp(-(b0 + b1 * x))) AS p, n FROM ro JOIN f ON f.key = ro.fold) "
+    "SELECT fold::INTEGER AS fold, any_value(n) AS n_analysis, count(*) AS n_assessment, 0::BIGINT AS n_buffer, 'estimated' AS status, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy FROM p GROUP BY fold"
+)
+def grouped_cv(spark, sf_dir):
+    rows = _lines(spark, sf_dir).withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return rounded(heldout.grouped_cv(rows, ["l_suppkey"], "y", {"quantity": F.col("l_quantity") / 10.0}), 6)
+
+
+_CROSSED = "fo AS (SELECT l_suppkey, (row_number() OVER (ORDER BY md5('1:' || l_suppkey), l_suppkey) - 1) % 3 + 1 AS fs FROM (SELECT DISTINCT l_suppkey FROM lineitem)), fp AS (SELECT l_partkey, (row_number() OVER (ORDER BY md5('2:' || l_partkey), l_partkey) - 1) % 3 + 1 AS fp FROM (SELECT DISTINCT l_partkey FROM lineitem)), ro AS (SELECT fs, fp, l_quantity / 10.0 AS x, (l_returnflag = 'R')::INT AS y FROM lineitem JOIN fo USING (l_suppkey) JOIN fp USING (l_partkey)), r AS (SELECT f.fs AS key, x, y FROM ro, (SELECT DISTINCT fs FROM fo) f WHERE ro.fs != f.fs AND ro.fp != f.fs)"
+
+
+@query(
+    f"WITH {_CROSSED}, {newton('r')}, p AS (SELECT fs, y, 1 / (1 + exp(-(b0 + b1 * x))) AS p, n FROM ro JOIN f ON f.key = ro.fs WHERE fs = fp) "
+    "SELECT fs::INTEGER AS fold, any_value(n) AS n_analysis, count(*) AS n_assessment, (SELECT count(*) FROM ro) - any_value(n) - count(*) AS n_buffer, 'estimated' AS status, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy FROM p GROUP BY fs"
+)
+def crossed_grouped_cv(spark, sf_dir):
+    rows = _lines(spark, sf_dir).withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return rounded(heldout.grouped_cv(rows, ["l_suppkey", "l_partkey"], "y", {"quantity": F.col("l_quantity") / 10.0}, folds=3), 6)
+
+
+_ASOF = "WITH s AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.0 - 1704067200.0 AS t FROM events), g AS (SELECT * FROM s WHERE event_type != 'view'), v AS (SELECT user_id, t, value FROM s WHERE event_type = 'view')"
+
+
+@query(_ASOF + " SELECT g.event_id, CASE WHEN g.t - v.t <= 20000 THEN v.value END AS view_x, round(g.t - v.t, 5) AS gap, CASE WHEN v.t IS NULL THEN 'unmatched' WHEN g.t - v.t > 20000 THEN 'outside_tolerance' ELSE 'matched' END AS asof_status FROM g ASOF LEFT JOIN v ON g.user_id = v.user_id AND g.t >= v.t")
+def asof_backward(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    views = s.filter("event_type = 'view'").select("user_id", F.col("t").alias("seen"), F.col("x").alias("view_x"))
+    found = alignment.as_of(s.filter("event_type != 'view'").select("event_id", "user_id", "t"), views, ["user_id"], "t", "seen", ["view_x"], "backward", 20000.0)
+    return found.select("event_id", "view_x", F.round("gap", 5).alias("gap"), "asof_status")
+
+
+@query(
+    _ASOF + ", b AS (SELECT g.event_id, g.t, g.user_id, v.t AS t0, v.value AS a FROM g ASOF LEFT JOIN v ON g.user_id = v.user_id AND g.t >= v.t), n AS (SELECT b.*, v.t AS t1, v.value AS c FROM b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.t < v.t), "
+    "h AS (SELECT *, (t - t0) / (t1 - t0) AS f FROM n) "
+    "SELECT event_id, CASE WHEN t1 IS NULL OR t0 IS NULL THEN NULL ELSE round(sin(least(a, 150) / 200 + (least(c, 150) - least(a, 150)) / 200 * f), 6) END AS qz, CASE WHEN t1 IS NULL OR t0 IS NULL THEN NULL ELSE round(cos(least(a, 150) / 200 + (least(c, 150) - least(a, 150)) / 200 * f), 6) END AS qw, CASE WHEN t1 IS NULL OR t0 IS NULL THEN NULL ELSE round(a + (c - a) * f, 6) END AS px, CASE WHEN t1 IS NULL OR t0 IS NULL THEN 'outside' ELSE 'aligned' END AS pose_status FROM h"
+)
+def head_pose_alignment(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    # the head turns about the vertical by value / 100, so the arc between two poses is a line in the angle
+    pose = s.filter("event_type = 'view'").select("user_id", "t", F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(F.least("x", F.lit(150.0)) / 200).alias("qz"), F.cos(F.least("x", F.lit(150.0)) / 200).alias("qw"), F.col("x").alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
+    found = alignment.align_head_pose_to_gaze(s.filter("event_type != 'view'").select("event_id", "user_id", "t"), pose, ["user_id"], "t", "t")
+    return rounded(found.select("event_id", "qz", "qw", "px", "pose_status"), 6)

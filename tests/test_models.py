@@ -172,3 +172,340 @@ def test_missing_features_and_exposure(spark):
     assert len(got) == len(own)
     for t in got:
         assert t["probability"] == pytest.approx(1 / (1 + math.exp(-(b[0] + b[1] * t["x"] + b[2] * (t["c"] == "q") + b[3] * (t["c"] == "r")))), abs=1e-6)
+
+
+def plain_cox(t, e, x, ties):
+    """beta, information, and per event time (t, sums at risk) of Cox's partial likelihood."""
+    t, e, x = np.asarray(t, float), np.asarray(e, int), np.asarray(x, float)
+    x = x - x.mean(axis=0)
+    b = np.zeros(x.shape[1])
+    for _ in range(40):
+        h = np.exp(x @ b)
+        g, info, ll = np.zeros(len(b)), np.zeros((len(b), len(b))), 0.0
+        for s in np.unique(t[e == 1]):
+            risk, tied = t >= s, (t == s) & (e == 1)
+            d = tied.sum()
+            for k in range(d):
+                f = k / d if ties == "efron" else 0.0
+                w = h * risk - f * h * tied
+                mean = (w @ x) / w.sum()
+                info += (x * w[:, None]).T @ x / w.sum() - np.outer(mean, mean)
+                g -= mean
+                ll -= math.log(w.sum())
+            g += x[tied].sum(axis=0)
+            ll += (x[tied] @ b).sum()
+        b = b + np.linalg.solve(info, g)
+    return b, info, ll, x
+
+
+def latencies(seed=5, n=150):
+    r = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        a, c = float(r.normal()), float(r.integers(0, 2))
+        t = float(np.ceil(r.exponential(20 * math.exp(-0.5 * a + 0.3 * c))))
+        rows.append((("s", None)[k % 2], min(t, 30.0), t <= 30, a, c, f"p{k % 20}"))
+    return rows
+
+
+LATENCIES = "s string, analysis_time double, event_observed boolean, a double, c double, p string"
+
+
+@pytest.mark.parametrize("ties", ["breslow", "efron"])
+def test_cox_regressions_by_stratum(spark, ties):
+    from ocularis.operators import hazards
+
+    rows = latencies()
+    spoiled = [*rows, ("s", None, True, 0.0, 0.0, "p"), ("s", 1.0, None, 0.0, 0.0, "p"), ("s", 1.0, True, float("nan"), 0.0, "p"), ("none", 3.0, False, 1.0, 0.0, "p"), ("none", 4.0, False, 0.0, 1.0, "p")]
+    model = hazards.Cox(spark.createDataFrame(spoiled, LATENCIES), ["s"], {"a": "a", "c": "c"}, ties=ties)
+    table = model.table().collect()
+    values = {r["s"]: r["value"] for r in model.fits.collect()}
+    for s in ("s", None):
+        own = [r for r in rows if r[0] == s]
+        b, info, ll, _ = plain_cox([r[1] for r in own], [r[2] for r in own], [r[3:5] for r in own], ties)
+        se = np.sqrt(np.diag(np.linalg.inv(info)))
+        assert values[s] == pytest.approx(ll, abs=1e-6)
+        for k, term in enumerate("ac"):
+            one = next(r for r in table if r["s"] == s and r["term"] == term)
+            assert (one["estimate"], one["std_error"], one["hazard_ratio"]) == pytest.approx((b[k], se[k], math.exp(b[k])), abs=1e-6)
+    assert {r["status"] for r in table if r["s"] == "none"} == {"insufficient_data"}
+
+
+def test_cox_clusters_and_proportionality(spark):
+    from ocularis.operators import hazards
+
+    rows = latencies(7)
+    model = hazards.Cox(spark.createDataFrame(rows, LATENCIES), [], {"a": "a", "c": "c"}, cluster="p")
+    t, e = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], int)
+    b, info, _, x = plain_cox(t, e, [r[3:5] for r in rows], "breslow")
+    h = np.exp(x @ b)
+    scores, residuals = np.zeros_like(x), []
+    for s in np.unique(t[e == 1]):
+        risk, tied = t >= s, (t == s) & (e == 1)
+        w = h * risk
+        mean = (w @ x) / w.sum()
+        scores[tied] += x[tied] - mean
+        scores -= (tied.sum() * w / w.sum())[:, None] * (x - mean)
+        residuals += [(s, *(x[i] - mean)) for i in np.flatnonzero(tied)]
+    sums = {}
+    for r, u in zip(rows, scores, strict=True):
+        sums[r[5]] = sums.get(r[5], 0) + u
+    v = np.linalg.inv(info)
+    se = np.sqrt(np.diag(v @ sum(np.outer(u, u) for u in sums.values()) @ v))
+    assert [r["std_error"] for r in sorted(model.table().collect(), key=lambda r: r["term"])] == pytest.approx(list(se), abs=1e-7)
+    got = model.residuals().collect()
+    assert np.allclose(sorted((r["time"], round(r["residual"], 7)) for r in got if r["term"] == "a"), sorted((s, round(a, 7)) for s, a, _ in residuals), atol=1e-6)
+    rank = lambda v: np.array([(np.sum(v < q) + (np.sum(v <= q) + 1)) / 2 for q in v])
+    for r in model.check().collect():
+        own = np.array([[q["time"], q["residual"]] for q in got if q["term"] == r["term"]])
+        rho = np.corrcoef(rank(own[:, 0]), rank(own[:, 1]))[0, 1]
+        assert r["rho"] == pytest.approx(rho, abs=1e-9) and r["n"] == len(own)
+        assert r["p_value"] == pytest.approx(hazards.student_tail(rho * math.sqrt((len(own) - 2) / (1 - rho * rho)), len(own) - 2), abs=1e-9)
+    with pytest.raises(ValueError, match="ties"):
+        hazards.Cox(spark.createDataFrame(rows, LATENCIES), [], {"a": "a"}, ties="exact")
+
+
+def test_students_tail():
+    from ocularis.operators.hazards import student_tail
+
+    # closed forms for one, two and four degrees of freedom
+    for t in (0.0, 0.1, 1.0, 3.0, -7.0, 40.0):
+        assert student_tail(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(abs(t)), abs=1e-10)
+        assert student_tail(t, 2) == pytest.approx(1 - abs(t) / math.sqrt(2 + t * t), abs=1e-10)
+        s = abs(t) / math.sqrt(4 + t * t)
+        assert student_tail(t, 4) == pytest.approx(1 - s * (3 - s * s) / 2, abs=1e-10)
+
+
+@pytest.mark.parametrize("distribution", ["weibull", "lognormal"])
+def test_accelerated_failure_times(spark, distribution):
+    from ocularis.operators import hazards
+
+    rows = latencies(9, 200)
+    fit = hazards.fit_accelerated(spark.createDataFrame(rows, LATENCIES), ["s"], {"a": "a", "c": "c"}, distribution).collect()
+    for s in ("s", None):
+        own = [r for r in rows if r[0] == s]
+        y, d, x = np.log([r[1] for r in own]), np.array([r[2] for r in own], float), np.array([[1, r[3], r[4]] for r in own])
+
+        def ll(p, y=y, d=d, x=x):
+            z = (y - x @ p[:3]) / math.exp(p[3])
+            if distribution == "weibull":
+                return float((d * (z - p[3] - y) - np.exp(z)).sum())
+            q = np.array([math.erfc(v / math.sqrt(2)) / 2 for v in z])
+            return float(np.where(d == 1, -z * z / 2 - math.log(math.sqrt(2 * math.pi)) - p[3] - y, np.log(q)).sum())
+
+        got = {r["term"]: r for r in fit if r["s"] == s}
+        p = np.array([got[k]["estimate"] for k in ("(intercept)", "a", "c", "ln(sigma)")])
+        assert got["a"]["status"] == "estimated" and got["a"]["log_likelihood"] == pytest.approx(ll(p), abs=1e-6)
+        step = 1e-4
+        assert all(ll(p + step * u) < ll(p) > ll(p - step * u) and abs(ll(p + step * u) - ll(p - step * u)) / (2 * step) < 1e-4 for u in np.eye(4))
+        hessian = np.array([[(ll(p + 1e-3 * (u + v)) - ll(p + 1e-3 * (u - v)) - ll(p - 1e-3 * (u - v)) + ll(p - 1e-3 * (u + v))) / 4e-6 for u in np.eye(4)] for v in np.eye(4)])
+        se = np.sqrt(np.diag(np.linalg.inv(-hessian)))
+        assert [got[k]["std_error"] for k in ("(intercept)", "a", "c", "ln(sigma)")] == pytest.approx(list(se), rel=1e-3)
+    with pytest.raises(ValueError, match="positive"):
+        hazards.fit_accelerated(spark.createDataFrame([("s", 0.0, True, 1.0, 1.0, "p")], LATENCIES), ["s"], {"a": "a"}, distribution)
+
+
+def planted(persons=700, items=8, seed=3):
+    r = np.random.default_rng(seed)
+    a, b = np.linspace(0.7, 1.8, items), np.linspace(-1.5, 1.5, items)[::-1]
+    rows = []
+    for p in range(persons):
+        theta = r.normal()
+        rows += [(p, f"i{k}", float(r.random() < 1 / (1 + math.exp(-a[k] * (theta - b[k]))))) for k in range(items) if r.random() < 0.9]
+    return rows, a, b
+
+
+def plain_calibration(rows, items, rounds, rasch=False):
+    """Slopes, intercepts and log-likelihoods of EM in numpy."""
+    t = np.linspace(-4, 4, 21)
+    w = np.exp(-t * t / 2) / np.exp(-t * t / 2).sum()
+    persons = sorted({p for p, _, _ in rows})
+    y = np.full((len(persons), len(items)), np.nan)
+    at, of = {p: k for k, p in enumerate(persons)}, {i: k for k, i in enumerate(items)}
+    for p, i, s in rows:
+        y[at[p], of[i]] = s
+    there = ~np.isnan(y)
+    share = np.nanmean(y, axis=0)
+    a, d, found = np.ones(len(items)), np.log(share / (1 - share)), []
+    for _ in range(rounds):
+        eta = a[:, None] * t + d[:, None]
+        log = np.where(there, np.nan_to_num(y), 0) @ -np.logaddexp(0, -eta) + np.where(there, 1 - np.nan_to_num(y), 0) @ -np.logaddexp(0, eta) + np.log(w)
+        top = log.max(axis=1, keepdims=True)
+        q = np.exp(log - top)
+        found.append(float((top[:, 0] + np.log(q.sum(axis=1))).sum()))
+        q /= q.sum(axis=1, keepdims=True)
+        n, r = there.T.astype(float) @ q, np.where(there, np.nan_to_num(y), 0).T @ q
+        for k in range(len(items)):
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-(a[k] * t + d[k])))
+                e, v = r[k] - n[k] * p, n[k] * p * (1 - p)
+                if rasch:
+                    d[k] += e.sum() / v.sum()
+                else:
+                    step = np.linalg.solve([[(v * t * t).sum(), (v * t).sum()], [(v * t).sum(), v.sum()]], [(e * t).sum(), e.sum()])
+                    a[k], d[k] = a[k] + step[0], d[k] + step[1]
+    return a, d, found
+
+
+def test_calibration_finds_planted_items(spark):
+    from ocularis.operators import calibration
+
+    rows, a, b = planted()
+    spoiled = [*rows, *[(p, "easy", 1.0) for p in range(20)], (1, "rare", 0.0), (2, "rare", 1.0), (3, "i0", None), (4, "i1", float("nan")), (5, None, 1.0)]
+    found = calibration.calibrate(spark.createDataFrame(spoiled, "person int, item string, response double"), "person", "item", tolerance=1e-7, rounds=25)
+    items = {r["item"]: r for r in found.items.collect()}
+    assert items["easy"]["status"] == "extreme" and items["rare"]["status"] == "insufficient_data" and items["easy"]["a"] is None
+    ll = found.log_likelihoods
+    assert all(later >= earlier - 1e-7 for earlier, later in zip(ll, ll[1:], strict=False))
+    for k in range(8):
+        one = items[f"i{k}"]
+        assert abs(one["a"] - a[k]) < 3.5 * one["a_se"] and abs(one["b"] - b[k]) < 3.5 * one["b_se"] and one["a_se"] < 0.5
+    pa, pd, pl = plain_calibration(rows, [f"i{k}" for k in range(8)], len(ll))
+    assert ll == pytest.approx(pl, abs=1e-5)
+    pa, pd, _ = plain_calibration(rows, [f"i{k}" for k in range(8)], len(ll) - found.converged)
+    assert [items[f"i{k}"]["a"] for k in range(8)] == pytest.approx(list(pa), abs=1e-5)
+    assert [items[f"i{k}"]["b"] for k in range(8)] == pytest.approx(list(-pd / pa), abs=1e-5)
+
+
+def test_rasch_calibration_and_empty_tables(spark):
+    from ocularis.operators import calibration
+
+    rows, _, _ = planted(150, 4)
+    schema = "person int, item string, response double"
+    found = calibration.calibrate(spark.createDataFrame(rows, schema), "person", "item", rasch=True, tolerance=1e-6, rounds=12)
+    _, d, _ = plain_calibration(rows, [f"i{k}" for k in range(4)], len(found.log_likelihoods) - found.converged, rasch=True)
+    items = {r["item"]: r for r in found.items.collect()}
+    assert [items[f"i{k}"]["b"] for k in range(4)] == pytest.approx(list(-d), abs=1e-5) and all(r["a"] == 1 and r["a_se"] is None for r in items.values())
+    none = calibration.calibrate(spark.createDataFrame([], schema), "person", "item")
+    assert none.items.count() == 0 and none.converged and none.log_likelihoods == []
+
+
+@pytest.mark.parametrize("method", ["stocking_lord", "haebara"])
+def test_links_are_the_least_of_a_grid(spark, method):
+    from ocularis.operators import calibration
+
+    r = np.random.default_rng(6)
+    ra, rb = r.uniform(0.6, 2, 9), r.normal(size=9)
+    fa, fb = ra * 1.3 * np.exp(r.normal(0, 0.1, 9)), (rb - 0.5) / 1.3 + r.normal(0, 0.1, 9)
+    reference = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(ra, rb, strict=True))] + [(20, None, 1.0), (30, 1.0, 1.0)], "i int, a double, b double")
+    focal = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(fa, fb, strict=True))] + [(20, 1.0, 1.0), (31, 1.0, 1.0)], "i int, a double, b double")
+    got = calibration.curve_link(reference, focal, "i", method).first()
+    t, w = (np.array(x) for x in calibration.grid(nodes=41))
+    curve = lambda a, b: 1 / (1 + np.exp(-a[:, None] * (t - b[:, None])))
+
+    def loss(A, B):
+        gap = curve(ra, rb) - curve(fa / A, A * fb + B)
+        return float((w * (gap.sum(axis=0) ** 2 if method == "stocking_lord" else (gap**2).sum(axis=0))).sum())
+
+    assert got["n_anchors"] == 9 and got["loss"] == pytest.approx(loss(got["A"], got["B"]), abs=1e-10)
+    near = [loss(got["A"] + i * h, got["B"] + j * h) for h in (1e-4, 1e-3, 0.05, 0.3) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    assert min(near) >= got["loss"] - 1e-12
+    assert calibration.curve_link(reference.limit(1), focal, "i", method).first()["A"] is None
+
+
+def test_running_sums_where_one_value_lies_far_out(spark):
+    from ocularis.functions import ranks
+
+    values = [float(k) for k in range(3000)] + [1e12, -1e15]
+    df = spark.createDataFrame([(v, k % 7) for k, v in enumerate(values)], "t double, v long")
+    placed = ranks.bucketed(df, "t").groupBy("_bucket").count().collect()
+    assert max(r["count"] for r in placed) < 60
+    steps = [{"s": (F.sum, F.col("v")), "r": (F.sum, F.col("v"), True)}, {"x": F.col("s") - F.col("v")}, {"y": (F.max, F.col("x"))}]
+    order, total = sorted(zip(values, [k % 7 for k in range(len(values))], strict=True)), sum(k % 7 for k in range(len(values)))
+    got = {r["t"]: (r["s"], r["r"], r["y"]) for r in ranks.run_through(ranks.bucketed(df, "t"), "t", steps).collect()}
+    s = 0
+    for t, v in order:
+        assert got[t] == (s + v, total - s, s)
+        s += v
+
+
+def test_out_of_fold_scores(spark):
+    from ocularis.operators import heldout
+
+    rows = [(f"p{k % 17}" if k % 40 else None, f"i{k % 7}", r[1], r[3], r[4], k) for k, r in enumerate(made(8, 5, 60))]
+    df = spark.createDataFrame(rows, "p string, i string, y double, a double, b double, k int")
+    for groups, folds in ((["p"], 4), (["p", "i"], 3)):
+        predictions, fits = heldout.out_of_fold(df, groups, "y", {"a": "a", "b": "b"}, ["k"], folds=folds)
+        got = {r["k"]: (r["fold"], r["predicted"]) for r in predictions.collect()}
+        from ocularis.operators.validation import grouped_folds
+
+        deal = df
+        for n, g in enumerate(groups):
+            deal = grouped_folds(deal, g, folds, 1 + n).withColumnRenamed("fold", f"f{n}")
+        of = {r["k"]: tuple(r[f"f{n}"] for n in range(len(groups))) for r in deal.collect() if all(r[f"f{n}"] is not None for n in range(len(groups)))}
+        table = {r["fold"]: r for r in heldout.grouped_cv(df, groups, "y", {"a": "a", "b": "b"}, folds=folds).collect()}
+        assert set(got) == {k for k, f in of.items() if len(set(f)) == 1}
+        for f in range(1, folds + 1):
+            train = [rows[k] for k, own in of.items() if f not in own]
+            test = [k for k, own in of.items() if set(own) == {f}]
+            b, _, _ = newton([[1, r[3], r[4]] for r in train], [r[2] for r in train])
+            p = np.array([1 / (1 + math.exp(-(b[0] + b[1] * rows[k][3] + b[2] * rows[k][4]))) for k in test])
+            y = np.array([rows[k][2] for k in test])
+            assert [got[k] for k in test] == [(f, pytest.approx(q, abs=1e-7)) for q in p]
+            one = table[f]
+            assert (one["n_analysis"], one["n_assessment"], one["n_buffer"], one["status"]) == (len(train), len(test), len(of) - len(train) - len(test), "estimated")
+            assert one["log_loss"] == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)), abs=1e-7)
+            assert one["brier"] == pytest.approx(np.mean((p - y) ** 2), abs=1e-7) and one["accuracy"] == pytest.approx(np.mean((p >= 0.5) == y))
+    gaussian = heldout.grouped_cv(df, ["p"], "a", {"b": "b"}, "gaussian", folds=3).collect()
+    assert all(r["rmse"] > 0 and r["mae"] <= r["rmse"] for r in gaussian)
+    perfect = df.withColumn("y", (F.col("a") > 0).cast("double"))
+    assert {(r["status"], r["log_loss"]) for r in heldout.grouped_cv(perfect, ["p"], "y", {"a": "a"}, folds=3).collect()} == {("separated", None)}
+
+
+def test_as_of_joins_by_plain_search(spark):
+    from ocularis.operators import alignment
+
+    r = random.Random(3)
+    left = [(k, r.choice(["a", "b", None, "only"]), r.choice([None, float("nan"), *[float(r.randrange(60)) for _ in range(20)]])) for k in range(300)]
+    right = [(r.choice(["a", "b", None, "other"]), r.choice([None, *[float(r.randrange(60)) for _ in range(9)]]), r.randrange(1000), "x" * k) for k in range(120)]
+    # one group is long and its times lie far apart
+    left += [(1000 + k, "long", float(k % 4000) ** 2) for k in range(3000)]
+    right += [("long", float(k) ** 2 + 0.5 * (k % 3), k, "y") for k in range(0, 4000, 3)]
+    a = spark.createDataFrame(left, "k int, g string, t double").repartition(3)
+    b = spark.createDataFrame(right, "g string, t double, v int, w string").repartition(2)
+    points = {}
+    for g, t, v, w in right:
+        if t is not None:
+            points.setdefault(g, []).append((t, v, w))
+
+    def plain(g, t, direction, tolerance):
+        own = sorted(points.get(g, []))
+        if t is None or math.isnan(t):
+            return None, None, "unmatched"
+        before = max((p for p in own if p[0] <= t), default=None)
+        after = min((p for p in own if p[0] > t), default=None)
+        exact = before is not None and before[0] == t
+        one = {"backward": before, "forward": before if exact else after, "nearest": before if after is None else after if before is None else after if after[0] - t < t - before[0] else before}[direction]
+        if one is None:
+            return None, None, "unmatched"
+        gap = abs(one[0] - t)
+        return (one[1], gap, "matched") if gap <= tolerance else (None, gap, "outside_tolerance")
+
+    for direction, tolerance in (("backward", 3.0), ("forward", 100.0), ("nearest", 1.0)):
+        got = {x["k"]: (x["v"], x["gap"], x["asof_status"]) for x in alignment.as_of(a, b, ["g"], "t", "t", ["v", "w"], direction, tolerance).collect()}
+        assert len(got) == len(left)
+        for k, g, t in left:
+            assert got[k] == plain(g, t, direction, tolerance), (k, g, t, direction)
+    assert alignment.as_of(a.limit(0), b, ["g"], "t", "t", ["v"]).count() == 0
+    assert {x["asof_status"] for x in alignment.as_of(a, b.limit(0), ["g"], "t", "t", ["v"]).collect()} == {"unmatched"}
+    with pytest.raises(ValueError, match="direction"):
+        alignment.as_of(a, b, ["g"], "t", "t", ["v"], "sideways")
+
+
+def test_head_pose_and_rays(spark):
+    from ocularis.operators import alignment
+
+    half = math.sqrt(0.5)
+    pose = [("r", 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0), ("r", 1.0, 0.0, 0.0, -half, -half, 10.0, 0.0, -4.0), ("r", 5.0, 0.0, 0.0, half, half, 10.0, 0.0, 0.0), ("r", 0.5, 0.0, 0.0, 0.0, 0.0, 9.0, 9.0, 9.0), ("r", 0.6, None, 0.0, 0.0, 1.0, 9.0, 9.0, 9.0)]
+    gaze = [("r", t, 1.0, 0.0, 0.0) for t in (-0.1, 0.0, 0.5, 1.0, 2.0, 5.0, 5.1)] + [("r", None, 1.0, 0.0, 0.0), ("q", 0.5, 1.0, 0.0, 0.0)]
+    p = spark.createDataFrame(pose, "g string, timestamp double, qx double, qy double, qz double, qw double, px double, py double, pz double")
+    a = spark.createDataFrame(gaze, "g string, timestamp double, head_gaze_x double, head_gaze_y double, head_gaze_z double")
+    found = alignment.transform_head_gaze_to_world(alignment.align_head_pose_to_gaze(a, p, ["g"], longest_gap=3.0))
+    got = {(x["g"], x["timestamp"]): x for x in found.collect()}
+    assert {k: x["pose_status"] for k, x in got.items()} == {("r", -0.1): "outside", ("r", 0.0): "aligned", ("r", 0.5): "aligned", ("r", 1.0): "aligned", ("r", 2.0): "gap", ("r", 5.0): "aligned", ("r", 5.1): "outside", ("r", None): "outside", ("q", 0.5): "outside"}
+    # a quarter turn about z, half of it at half the time
+    for t, angle, px in ((0.0, 0.0, 0.0), (0.5, math.pi / 4, 5.0), (1.0, math.pi / 2, 10.0)):
+        x = got["r", t]
+        assert (x["world_gaze_x"], x["world_gaze_y"], x["world_gaze_z"], x["world_origin_x"], x["pz"]) == pytest.approx((math.cos(angle), math.sin(angle), 0.0, px, -4.0 * px / 10), abs=1e-12)
+        assert x["qx"] ** 2 + x["qy"] ** 2 + x["qz"] ** 2 + x["qw"] ** 2 == pytest.approx(1)
+    assert got["r", 2.0]["qw"] is None and got["r", 2.0]["world_gaze_x"] is None
