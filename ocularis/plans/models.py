@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment, calibration, hazards, heldout, regression
+from ..operators import alignment, calibration, hazards, heldout, latent, regression
 from .catalogue import _SUM_LATENCIES, _latencies, query, rounded, samples, table
 
 _MU = {"binomial": "1 / (1 + exp(-(b0 + b1 * x)))", "poisson": "exp(b0 + b1 * x)"}
@@ -208,3 +208,30 @@ def head_pose_alignment(spark, sf_dir):
     pose = s.filter("event_type = 'view'").select("user_id", "t", F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(F.least("x", F.lit(150.0)) / 200).alias("qz"), F.cos(F.least("x", F.lit(150.0)) / 200).alias("qw"), F.col("x").alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
     found = alignment.align_head_pose_to_gaze(s.filter("event_type != 'view'").select("event_id", "user_id", "t"), pose, ["user_id"], "t", "t")
     return rounded(found.select("event_id", "qz", "qw", "px", "pose_status"), 6)
+
+
+def _two_kinds(spark, sf_dir):
+    """Order lines whose quantity and discount depend on the supplier's parity: two classes of overlapping normal-like sums."""
+    rows = _lines(spark, sf_dir)
+    shift = F.col("l_suppkey") % 2
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"), (F.col("l_quantity") / 10.0 + shift * 6).alias("a"), (F.col("l_discount") * 30 - shift * 3 + F.col("l_tax") * 10).alias("b"))
+
+
+@query(None)
+def profile_mixture(spark, sf_dir):
+    fit = latent.fit_mixture(_two_kinds(spark, sf_dir), ["a", "b"], 2, "key", rounds=30)
+    return rounded(fit.summary(spark), 4)
+
+
+@query(None)
+def process_states(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    fit, pieces = latent.fit_states(s, "user_id", "t", ["x"], 2, "event_id", rounds=12)
+    return rounded(latent.occupancy(fit, pieces, "user_id", "t"), 4)
+
+
+@query(None)
+def process_state_paths(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    fit, pieces = latent.fit_states(s, "user_id", "t", ["x"], 2, "event_id", rounds=12)
+    return latent.paths(fit, pieces, "user_id", "t").groupBy("user_id", "state").agg(F.count("*").alias("n"))

@@ -509,3 +509,122 @@ def test_head_pose_and_rays(spark):
         assert (x["world_gaze_x"], x["world_gaze_y"], x["world_gaze_z"], x["world_origin_x"], x["pz"]) == pytest.approx((math.cos(angle), math.sin(angle), 0.0, px, -4.0 * px / 10), abs=1e-12)
         assert x["qx"] ** 2 + x["qy"] ** 2 + x["qz"] ** 2 + x["qw"] ** 2 == pytest.approx(1)
     assert got["r", 2.0]["qw"] is None and got["r", 2.0]["world_gaze_x"] is None
+
+
+def plain_mixture(z, shares, means, variances, rounds):
+    """EM in numpy from given parameters: parameters and the log-likelihood of each round."""
+    shares, means, variances = (np.array(v, float) for v in (shares, means, variances))
+    found = []
+    for _ in range(rounds):
+        logs = np.log(shares) - np.log(2 * np.pi * variances).sum(axis=1) / 2 - ((z[:, None] - means) ** 2 / (2 * variances)).sum(axis=2)
+        top = logs.max(axis=1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+        found.append(total.sum())
+        r = np.exp(logs - total[:, None])
+        w = r.sum(axis=0)
+        shares, means = w / len(z), (r.T @ z) / w[:, None]
+        variances = np.maximum((r.T @ (z * z)) / w[:, None] - means**2, 1e-4)
+    return shares, means, variances, found
+
+
+def test_mixtures_find_planted_classes(spark):
+    from ocularis.operators import latent
+
+    r = np.random.default_rng(4)
+    truth = [int(r.integers(0, 3)) for _ in range(600)]
+    rows = [(k, c, float(r.normal((-4, 0, 5)[c], 0.8)), float(r.normal((2, -3, 1)[c], 1.0))) for k, c in enumerate(truth)]
+    spoiled = [*rows, (1000, 0, None, 1.0), (1001, 0, float("nan"), 1.0)]
+    df = spark.createDataFrame(spoiled, "id int, truth int, x double, y double").repartition(3)
+    fit = latent.fit_mixture(df, ["x", "y"], 3, "id")
+    assert fit.converged and fit.n == 600 and all(b >= a - 1e-7 for a, b in zip(fit.log_likelihoods, fit.log_likelihoods[1:], strict=False))
+    found = fit.classified(df).collect()
+    assert len(found) == 602 and all(x["class"] is None and x["probabilities"] is None for x in found if x["id"] >= 1000)
+    known = [x for x in found if x["id"] < 1000]
+    assert sum(x["class"] == x["truth"] + 1 for x in known) > 590 and all(abs(sum(x["probabilities"]) - 1) < 1e-9 for x in known)
+    z = (np.array([x[2:] for x in rows]) - fit.centre) / np.array(fit.scale)
+    shares, means, variances, ll = plain_mixture(z, fit.shares, fit.means, fit.variances, 2)
+    assert ll[0] == pytest.approx(fit.log_likelihoods[-1], abs=1e-6)
+    assert np.allclose(shares, fit.shares, atol=1e-4) and np.allclose(means, fit.means, atol=1e-3) and np.allclose(variances, fit.variances, atol=1e-3)
+    summary = {(x["class"], x["variable"]): x for x in fit.summary(spark).collect()}
+    assert summary[1, "x"]["mean"] == pytest.approx(-4, abs=0.2) and summary[3, "y"]["sd"] == pytest.approx(1, abs=0.2)
+    table = {x["classes"]: x["bic"] for x in latent.compare_mixtures(df, ["x", "y"], [2, 3, 4], "id").collect()}
+    assert min(table, key=table.get) == 3
+    with pytest.raises(ValueError, match="vary"):
+        latent.fit_mixture(df.withColumn("x", F.lit(1.0)), ["x"], 2, "id")
+    with pytest.raises(ValueError, match="few"):
+        latent.fit_mixture(df.limit(5).filter("x = x"), ["y"], 3, "id")
+
+
+def walks(seed=2):
+    r = np.random.default_rng(seed)
+    rows = []
+    for s, n in (("a", 400), ("b", 30), ("c", 1), ("d", 7), ("e", 160)):
+        state = int(r.integers(0, 2))
+        for t in range(n):
+            state = state if r.random() < 0.9 else 1 - state
+            rows.append((s, float(t), float(r.normal((-1, 2)[state], 0.7)), float(r.normal((1, 0)[state], 1.0))))
+    return rows
+
+
+def plain_states(sequences, model):
+    """Log-likelihood, posteriors and Viterbi paths by loops in the log domain."""
+    initial, transition, means, sds = (np.array(v, float) for v in model)
+    out, total, best = {}, 0.0, {}
+    for s, x in sequences.items():
+        b = np.exp(-(((x[:, None] - means) / sds) ** 2).sum(axis=2) / 2 - np.log(sds * math.sqrt(2 * math.pi)).sum(axis=1))
+        a, c, scale = [initial * b[0]], [np.ones(len(initial))], []
+        for t in range(1, len(x)):
+            a.append((a[-1] @ transition) * b[t] / a[-1].sum())
+        for t in range(len(x) - 1, 0, -1):
+            v = transition @ (b[t] * c[0])
+            c.insert(0, v / v.sum())
+        total += sum(math.log(v.sum()) for v in a)
+        g = np.array(a) * np.array(c)
+        out[s] = g / g.sum(axis=1, keepdims=True)
+        v, backs = np.log(initial) + np.log(b[0]), []
+        for t in range(1, len(x)):
+            each = v[:, None] + np.log(transition)
+            backs.append(each.argmax(axis=0))
+            v = each.max(axis=0) + np.log(b[t])
+        path = [int(v.argmax())]
+        for back in reversed(backs):
+            path.insert(0, int(back[path[0]]))
+        best[s] = path
+    return total, out, best
+
+
+def test_hidden_states_over_pieces(spark):
+    from itertools import product
+
+    from ocularis.operators import latent
+
+    rows = walks()
+    spoiled = [*rows, (None, 1.0, 0.0, 0.0), ("a", None, 0.0, 0.0), ("b", 99.0, None, 1.0)]
+    df = spark.createDataFrame(spoiled, "s string, t double, x double, y double").repartition(3)
+    fits = []
+    for piece in (2048, 40):
+        fit, pieces = latent.fit_states(df, "s", "t", ["x", "y"], 2, rounds=6, piece=piece)
+        assert (pieces.filter("_last > 0").count() > 10) == (piece == 40)
+        ll = fit.log_likelihoods
+        assert all(b >= a - 1e-3 for a, b in zip(ll, ll[1:], strict=False)) and ll[-1] > ll[0]
+        fits.append(fit)
+        sequences = {}
+        for s, _, *x in rows:
+            sequences.setdefault(s, []).append((np.array(x) - fit.centre) / np.array(fit.scale))
+        sequences = {s: np.array(x) for s, x in sequences.items()}
+        model = latent._model(fit)
+        total, gamma, best = plain_states(sequences, model)
+        assert latent._step(pieces, "s", model)[0] == pytest.approx(total, abs=1e-6)
+        got = {(r["s"], r["t"]): r["probabilities"] for r in latent.posteriors(fit, pieces, "s", "t").collect()}
+        assert len(got) == len(rows) and all(np.allclose(got[s, float(t)], g[t], atol=1e-8) for s, g in gamma.items() for t in range(len(g)))
+        found = {(r["s"], r["t"]): r["state"] for r in latent.paths(fit, pieces, "s", "t").collect()}
+        assert all([found[s, float(t)] - 1 for t in range(len(p))] == p for s, p in best.items())
+        means = {r["s"]: r["state_1_occupancy"] for r in latent.occupancy(fit, pieces, "s", "t").collect()}
+        assert all(means[s] == pytest.approx(g[:, 0].mean(), abs=1e-8) for s, g in gamma.items())
+        # the short sequence's path is the best of all
+        initial, transition, mean, sd = (np.array(v) for v in model)
+        x = sequences["d"]
+        score = lambda p: math.log(initial[p[0]]) + sum(math.log(transition[a, b]) for a, b in zip(p, p[1:], strict=False)) + sum(float(-(((x[t] - mean[k]) / sd[k]) ** 2).sum() / 2 - np.log(sd[k]).sum()) for t, k in enumerate(p))  # noqa: B023,E731
+        assert best["d"] == list(max(product(range(2), repeat=7), key=score))
+    assert fits[0].log_likelihoods == pytest.approx(fits[1].log_likelihoods, abs=1e-5)
+    assert sum(r["probability"] for r in latent.transition_summary(fits[0], spark).collect()) == pytest.approx(2)
