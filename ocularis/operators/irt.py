@@ -146,11 +146,16 @@ def eap_scores(responses: DataFrame, items: DataFrame, person: str, item: str =
     """Posterior mean and deviation of ability on a grid. A response adds its log-likelihood at every grid point to as many sums, so a person is one row in the shuffle."""
     thetas = [low + (high - low) * k / (points - 1) for k in range(points)]
     x = finite("response")
-    rows = responses.select(person, item, x.alias("_x")).filter("_x is not null").join(items.select(item, "a", "b"), item)
-    # ln p for a success and ln (1 - p) otherwise are both -ln(1 + exp(-s a (theta - b))) with s = 1 or -1
-    signed = rows.select(person, (F.when(F.col("_x") > 0, 1.0).otherwise(-1.0) * F.col("a")).alias("_s"), "b")
-    sums = signed.groupBy(person).agg(F.count("*").alias("n_items"), *(F.sum(-F.log1p(F.exp(F.col("_s") * (F.col("b") - t)))).alias(f"_{k}") for k, t in enumerate(thetas)))
-    logs = sums.select(person, "n_items", F.array(*(F.col(f"_{k}") - ((t - mean) / sd) ** 2 / 2 for k, t in enumerate(thetas))).alias("_l"))
+    # the logarithms of both responses' probabilities are tabulated once an item; a response adds one of its item's arrays
+    nodes = F.array(*map(F.lit, thetas))
+    log_expit = lambda e: F.least(e, F.lit(0.0)) - F.log1p(F.exp(-F.abs(e)))
+    eta = F.transform(nodes, lambda t: F.col("a") * (t - F.col("b")))
+    tables = items.select(item, F.transform(eta, log_expit).alias("_right"), F.transform(eta, lambda e: log_expit(-e)).alias("_wrong"))
+    rows = responses.select(person, item, x.alias("_x")).filter("_x is not null").join(tables, item)
+    chosen = rows.select(person, F.when(F.col("_x") > 0, F.col("_right")).otherwise(F.col("_wrong")).alias("_l"))
+    sums = chosen.groupBy(person).agg(F.count("*").alias("n_items"), F.expr("array(" + ", ".join(f"sum(_l[{k}])" for k in range(points)) + ")").alias("_s"))
+    prior = F.array(*(F.lit(((t - mean) / sd) ** 2 / 2) for t in thetas))
+    logs = sums.select(person, "n_items", F.zip_with("_s", prior, lambda l, p: l - p).alias("_l"))
     weights = logs.withColumn("_w", F.transform("_l", lambda v: F.exp(v - F.array_max("_l")))).drop("_l")
     grid = F.array(*map(F.lit, thetas))
     moment = lambda power: F.aggregate(F.zip_with("_w", grid, lambda w, t: w * F.pow(t, F.lit(power))), F.lit(0.0), lambda a, v: a + v)
@@ -258,10 +263,13 @@ def ez_diffusion(responses: DataFrame, by: Sequence[str], accuracy: str, time: s
 
 
 def dina_ideal_response(q: DataFrame, profiles: DataFrame) -> DataFrame:
-    """1 where a profile has every skill of an item. q: item_id, skill; profiles: profile, skill."""
-    needed = q.groupBy("item_id").agg(F.collect_set("skill").alias("need"))
-    held = profiles.groupBy("profile").agg(F.collect_set("skill").alias("have"))
-    return needed.join(F.broadcast(held), F.lit(True)).select("item_id", "profile", (F.size(F.array_except("need", "have")) == 0).cast("int").alias("ideal"))
+    """1 where a profile has every skill of an item, else 0, for the items and profiles that share a skill (others are 0). q: item_id, skill; profiles: profile, skill.
+
+    Needs meet holdings by skill and matches are counted, so no item meets a profile that has nothing to do with it. Null skills are nobody's."""
+    needed = q.select("item_id", "skill").dropna(subset=["skill"]).distinct()
+    held = profiles.select("profile", "skill").dropna(subset=["skill"]).distinct()
+    matches = needed.join(held, "skill").groupBy("item_id", "profile").agg(F.count("*").alias("_found"))
+    return matches.join(needed.groupBy("item_id").agg(F.count("*").alias("_need")), "item_id").select("item_id", "profile", (F.col("_found") == F.col("_need")).cast("int").alias("ideal"))
 
 
 def pareto_front(items: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:

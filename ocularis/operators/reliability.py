@@ -18,10 +18,12 @@ def process_icc(df: DataFrame, person: str, session: str, measure: str) -> DataF
     """ICC(A,1) from two-way mean squares over persons with every session: one row."""
     cells = _session_means(df, person, session, measure)
     k = cells.agg(F.countDistinct("session").alias("k"))
-    counted = cells.withColumn("_c", F.count("*").over(Window.partitionBy("person"))).crossJoin(F.broadcast(k)).filter("_c = k")
-    wp, ws = Window.partitionBy("person"), Window.partitionBy("session")
+    # persons and sessions have their means by aggregates of their own: a session may hold all persons
+    persons = cells.groupBy("person").agg(F.count("*").alias("_c"), F.avg("v").alias("mp")).crossJoin(F.broadcast(k)).filter("_c = k")
+    counted = cells.join(persons.select("person", "mp", "k"), "person")
+    sessions = counted.groupBy("session").agg(F.avg("v").alias("ms"))
     whole = counted.agg(F.avg("v").alias("g"))
-    parts = counted.withColumns({"mp": F.avg("v").over(wp), "ms": F.avg("v").over(ws)}).crossJoin(F.broadcast(whole))
+    parts = counted.join(sessions, "session").crossJoin(F.broadcast(whole))
     sums = parts.agg(
         F.countDistinct("person").alias("n"),
         F.max("k").alias("k"),

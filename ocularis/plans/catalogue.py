@@ -8,6 +8,7 @@ tables, ``orders`` persons, sessions and latencies. Doubles are rounded on both
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -441,9 +442,12 @@ def icc(spark, sf_dir):
     return rounded(reliability.process_icc(_sessions(spark, sf_dir), "p", "s", "v").filter("n > 1"))
 
 
-@query(_CELLS + ", d AS (SELECT a.v AS a, b.v AS b FROM c a JOIN c b ON a.p = b.p AND a.s = 1996 AND b.s = 1997) SELECT count(*) AS n, round(avg(b - a), 3) AS bias, round(stddev_samp(b - a), 3) AS sd, round(avg(b - a) - 1.96 * stddev_samp(b - a), 3) AS lower, round(avg(b - a) + 1.96 * stddev_samp(b - a), 3) AS upper FROM d")
+@query(_CELLS + ", d AS (SELECT a.s AS first, b.s AS second, b.v - a.v AS d FROM c a JOIN c b ON a.p = b.p AND b.s = a.s + 1) SELECT first, second, count(*) AS n, round(avg(d), 3) AS bias, round(stddev_samp(d), 3) AS sd, round(avg(d) - 1.96 * stddev_samp(d), 3) AS lower, round(avg(d) + 1.96 * stddev_samp(d), 3) AS upper FROM d GROUP BY ALL")
 def bland_altman(spark, sf_dir):
-    return rounded(reliability.process_bland_altman(_sessions(spark, sf_dir), "p", "s", "v", 1996, 1997), 3)
+    cells = _sessions(spark, sf_dir)
+    years = [r[0] for r in cells.select("s").distinct().filter("s is not null").orderBy("s").collect()]
+    found = [reliability.process_bland_altman(cells, "p", "s", "v", a, a + 1).select(F.lit(a).alias("first"), F.lit(a + 1).alias("second"), "*") for a in years if a + 1 in years]
+    return rounded(reduce(DataFrame.unionByName, found), 3)
 
 
 @query(_CELLS + " SELECT a.s AS a, b.s AS b, count(*) AS n, round(corr(a.v, b.v), 5) AS r FROM c a JOIN c b ON a.p = b.p AND a.s < b.s GROUP BY ALL")

@@ -276,18 +276,26 @@ def item_statistics(spark, sf_dir):
     return found.select("item", "n", F.round("p", 7).alias("p"), F.round("item_rest", 6).alias("item_rest"))
 
 
-@query(_RESP + f", {_GRID.replace('0, 81', '-6000, 6001').replace('* 0.1 - 4', '* 0.001')}, o AS (SELECT DISTINCT person FROM p WHERE person IN (SELECT min(person) FROM p UNION SELECT max(person) FROM p)), l AS (SELECT person, g.theta, sum(-ln(1 + exp((CASE WHEN response = 1 THEN a ELSE -a END) * (b - g.theta)))) - g.theta * g.theta / 2 AS l FROM p, g WHERE person IN (SELECT person FROM o) GROUP BY person, g.theta) SELECT person, round(arg_max(theta, l), 2)::DOUBLE AS theta FROM l GROUP BY person")
-def map_extremes(spark, sf_dir):
-    r = _responses(spark, sf_dir)
-    ends = r.agg(F.array(F.min("person"), F.max("person")).alias("e")).select(F.explode("e").alias("person")).distinct()
-    return rounded(irt.newton_abilities(r, _items(spark, sf_dir), "person").join(F.broadcast(ends), "person").select("person", "theta"), 2)
+def _map_sql(rounds: int = 6) -> str:
+    """Newton rounds for every person's ability with a standard normal prior: t has person and theta."""
+    out = [_RESP, "t0 AS (SELECT person, 0.0::DOUBLE AS theta, count(*) AS n FROM p GROUP BY person)"]
+    for k in range(rounds):
+        out.append(f"m{k} AS (SELECT p.person, any_value(t{k}.theta) AS theta, any_value(t{k}.n) AS n, sum(a * (response - 1 / (1 + exp(-a * (t{k}.theta - b))))) AS g, sum(a * a / (1 + exp(-a * (t{k}.theta - b))) / (1 + exp(a * (t{k}.theta - b)))) AS h FROM p JOIN t{k} ON p.person = t{k}.person GROUP BY p.person)")
+        out.append(f"t{k + 1} AS (SELECT person, n, theta + greatest(-1, least(1, (g - theta) / (h + 1))) AS theta FROM m{k})")
+    return ", ".join(out) + f", t AS (SELECT * FROM t{rounds})"
 
 
-@query(None)
+@query(_map_sql() + " SELECT person, n::INTEGER AS n_items, round(theta, 5) AS theta FROM t")
 def map_scores(spark, sf_dir):
     return rounded(irt.newton_abilities(_responses(spark, sf_dir), _items(spark, sf_dir), "person"))
 
 
+@query(_map_sql() + " SELECT n::INTEGER AS n_items, count(*) AS persons, round(min(theta), 4) AS lowest, round(max(theta), 4) AS highest FROM t GROUP BY n")
+def map_extremes(spark, sf_dir):
+    found = irt.newton_abilities(_responses(spark, sf_dir), _items(spark, sf_dir), "person")
+    return rounded(found.groupBy("n_items").agg(F.count("*").alias("persons"), F.min("theta").alias("lowest"), F.max("theta").alias("highest")), 4)
+
+
 _FIVE = ", ".join(f"ln({k}) - (" + " + ".join(f"ln({x})" for x in _TYPES) + f") / 5 AS z{i}" for i, k in enumerate(_TYPES))
 
 

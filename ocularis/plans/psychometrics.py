@@ -160,13 +160,10 @@ def ez_diffusion(spark, sf_dir):
     return found.select("l_suppkey", F.round("drift", 7).alias("drift"), F.round("boundary", 7).alias("boundary"), F.round("nondecision", 6).alias("nondecision"))
 
 
-@query("WITH q AS (SELECT DISTINCT p_brand AS item_id, p_type AS skill FROM part WHERE p_size > 45), f AS (SELECT DISTINCT c_mktsegment AS profile, p_type AS skill FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 AND p_size > 48), i AS (SELECT DISTINCT item_id FROM q), pr AS (SELECT DISTINCT profile FROM f) SELECT item_id, profile, (NOT EXISTS (SELECT 1 FROM q WHERE q.item_id = i.item_id AND q.skill NOT IN (SELECT skill FROM f WHERE f.profile = pr.profile)))::INT AS ideal FROM i, pr")
+@query(f"WITH {_S}, e AS (SELECT event_id % 500 AS item_id, user_id AS profile, floor(t / 3600)::BIGINT % 24 AS skill FROM s), q AS (SELECT DISTINCT item_id, skill FROM e), h AS (SELECT DISTINCT profile, skill FROM e), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1) SELECT item_id, profile, (count(*) = any_value(n))::INT AS ideal FROM q JOIN h USING (skill) JOIN n USING (item_id) GROUP BY ALL")
 def dina_ideal(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    q = part.filter("p_size > 45").select(F.col("p_brand").alias("item_id"), F.col("p_type").alias("skill"))
-    bought = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").join(part.filter("p_size > 48"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("p_type").alias("skill"))
-    who = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_mktsegment").alias("profile"))
-    return irt.dina_ideal_response(q, bought.join(who, "l_orderkey").select("profile", "skill"))
+    s = samples(spark, sf_dir).select((F.col("event_id") % 500).alias("item_id"), F.col(_U).alias("profile"), (F.floor(F.col("t") / 3600) % 24).alias("skill"))
+    return irt.dina_ideal_response(s, s)
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN 'answered' WHEN l_linenumber > 4 THEN 'not_reached' WHEN l_discount <= 0.05 THEN 'not_seen' ELSE 'omitted' END AS missingness FROM lineitem")
