@@ -142,26 +142,62 @@ def q3(rows: DataFrame, person: str, item: str, observed: str = "response", expe
     return a.join(b, person).filter("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n"), correlation("x", "y").alias("q3"))
 
 
+def _posterior_moments(thetas: Sequence[float], prior: Sequence[float]):
+    """The kernel over responses (person, signed slope, difficulty) sorted by person: sums of log-likelihoods over the grid, carried over batches, and the moments of each person's posterior."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        grid, start = np.array(thetas), np.array(prior)
+        now: tuple | None = None
+        total, n = None, 0
+
+        def moments(persons, sums, counts, kind):
+            w = np.exp(sums - sums.max(axis=1, keepdims=True))
+            w /= w.sum(axis=1, keepdims=True)
+            mean = w @ grid
+            return pa.RecordBatch.from_arrays([pa.array(persons, kind), pa.array(counts, pa.int64()), pa.array(mean), pa.array(np.sqrt(np.maximum(w @ (grid * grid) - mean * mean, 0.0)))], names=["person", "n_items", "theta", "se"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                persons = part.column(0).to_pylist()
+                s, d = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+                logs = -np.logaddexp(0.0, s[:, None] * (d[:, None] - grid))
+                cuts = [0, *(k for k in range(1, len(persons)) if persons[k] != persons[k - 1])]
+                sums, counts = np.add.reduceat(logs, cuts, axis=0), np.diff([*cuts, len(persons)])
+                names = [persons[k] for k in cuts]
+                if now is not None and now[0] == names[0]:
+                    sums[0] += total
+                    counts[0] += n
+                elif now is not None:
+                    yield moments([now[0]], (total + start)[None], [n], kind)
+                if len(names) > 1:
+                    yield moments(names[:-1], sums[:-1] + start, counts[:-1], kind)
+                now, total, n = (names[-1],), sums[-1], counts[-1]
+        if now is not None:
+            yield moments([now[0]], (total + start)[None], [n], kind)
+
+    return run
+
+
 def eap_scores(responses: DataFrame, items: DataFrame, person: str, item: str = "item_id", low: float = -4.0, high: float = 4.0, points: int = 81, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
-    """Posterior mean and deviation of ability on a grid. A response adds its log-likelihood at every grid point to as many sums, so a person is one row in the shuffle."""
+    """Posterior mean and deviation of ability on a grid.
+
+    Responses go to their person with two numbers each, far fewer than partial sums over the grid would be, and are summed there over the grid as they pass, so that a person may have any number of them."""
     thetas = [low + (high - low) * k / (points - 1) for k in range(points)]
     x = finite("response")
-    # the logarithms of both responses' probabilities are tabulated once an item; a response adds one of its item's arrays
-    nodes = F.array(*map(F.lit, thetas))
-    log_expit = lambda e: F.least(e, F.lit(0.0)) - F.log1p(F.exp(-F.abs(e)))
-    eta = F.transform(nodes, lambda t: F.col("a") * (t - F.col("b")))
-    tables = items.select(item, F.transform(eta, log_expit).alias("_right"), F.transform(eta, lambda e: log_expit(-e)).alias("_wrong"))
-    rows = responses.select(person, item, x.alias("_x")).filter("_x is not null").join(tables, item)
-    chosen = rows.select(person, F.when(F.col("_x") > 0, F.col("_right")).otherwise(F.col("_wrong")).alias("_l"))
-    sums = chosen.groupBy(person).agg(F.count("*").alias("n_items"), F.expr("array(" + ", ".join(f"sum(_l[{k}])" for k in range(points)) + ")").alias("_s"))
-    prior = F.array(*(F.lit(((t - mean) / sd) ** 2 / 2) for t in thetas))
-    logs = sums.select(person, "n_items", F.zip_with("_s", prior, lambda l, p: l - p).alias("_l"))
-    weights = logs.withColumn("_w", F.transform("_l", lambda v: F.exp(v - F.array_max("_l")))).drop("_l")
-    grid = F.array(*map(F.lit, thetas))
-    moment = lambda power: F.aggregate(F.zip_with("_w", grid, lambda w, t: w * F.pow(t, F.lit(power))), F.lit(0.0), lambda a, v: a + v)
-    moments = weights.select(person, "n_items", *(moment(k).alias(f"_m{k}") for k in range(3)))
-    m = F.col("_m1") / F.col("_m0")
-    return moments.select(person, "n_items", m.alias("theta"), F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") / F.col("_m0") - m * m)).alias("se"))
+    rows = responses.select(person, item, x.alias("_x")).filter("_x is not null").join(items.select(item, "a", "b"), item)
+    # ln p for a success and ln (1 - p) otherwise are both -ln(1 + exp(-s a (theta - b))) with s = 1 or -1
+    signed = rows.select(person, (F.when(F.col("_x") > 0, 1.0).otherwise(-1.0) * F.col("a")).cast("double").alias("_s"), F.col("b").cast("double").alias("_b")).dropna(subset=["_s", "_b"])
+    prior = [-(((t - mean) / sd) ** 2) / 2 for t in thetas]
+    ordered_ = signed.repartition(person).sortWithinPartitions(person)
+    found = ordered_.mapInArrow(_posterior_moments(thetas, prior), f"person {dict(responses.dtypes)[person]}, n_items long, theta double, se double")
+    return found.withColumnRenamed("person", person)
 
 
 def marginal_reliability(scores: DataFrame) -> DataFrame:

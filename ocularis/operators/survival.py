@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, normal_quantile, ratio, share
-from ..functions.ranks import bucketed, joined_null_safe, run_through
+from ..functions.ranks import bucketed, run_through
+from ..functions.rounds import Table
 
 
 def prepare_gaze_survival_data(trials: DataFrame, events: DataFrame, by: Sequence[str], trial_start: str, trial_end: str, event_time: str, valid: str | None = None) -> DataFrame:
@@ -38,9 +39,9 @@ def summarise_gaze_censoring(data: DataFrame, by: Sequence[str] = ()) -> DataFra
 def estimate_gaze_survival(data: DataFrame, by: Sequence[str] = (), time: str = "analysis_time", event: str = "event_observed", level: float = 0.95) -> DataFrame:
     """Kaplan-Meier curve at each event time with Greenwood's standard error and a normal interval.
 
-    Times are counted first; those at risk and the running sums are made in one pass over buckets of equal depth, so that no window holds a whole group. Where all at risk have their event the curve is zero."""
+    Times are counted first, into a work table; those at risk and the running sums are made in one pass over buckets of equal depth, so that no window holds a whole group. Where all at risk have their event the curve is zero."""
     rows = data.select(*by, finite(time).alias("time"), F.col(event).alias("_e")).filter("time is not null and _e is not null")
-    counts = rows.groupBy(*by, "time").agg(F.count("*").alias("_n"), F.count_if("_e").alias("n_events"))
+    counts = Table(rows.groupBy(*by, "time").agg(F.count("*").alias("_n"), F.count_if("_e").alias("n_events")), "survival-times").df
     d, n = F.col("n_events"), F.col("n_at_risk")
     sums = {"_l": (F.sum, F.when(d < n, F.ln(1 - d / n)).otherwise(0.0)), "_g": (F.sum, F.coalesce(ratio(d, n * (n - d)), F.lit(0.0)))}
     curve = run_through(bucketed(counts, "time", by), "time", [{"n_at_risk": (F.sum, F.col("_n"), True)}, sums], by)
