@@ -18,7 +18,8 @@ Archives appear under their names by a rename, one a task, so that tasks can run
 
 Defined cases: null html is an empty payload; a null url is written as ``about:blank``; a url with
 control characters is quoted in its standard field and whole in one of its own, so that every url
-comes back as it was; repeated page_ids are records of their own; a null page_id is written as an
+comes back as it was; repeated page_ids are records of their own, and all records with the smallest
+page_id of their payload are responses; a null page_id is written as an
 empty one and read back as null, and is the response only where no other page has its payload; an
 empty table writes no archives; other columns are ignored.
 """

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ocularis.llm import bpe, common, langid, linededup, pii, quality, simhash, sstable, substring, warc, winnow
+from ocularis.llm import bpe, common, exactdedup, langid, linededup, negatives, pii, quality, repair, simhash, sstable, substring, warc, winnow
 from ocularis.llm.queries import vocabulary
 
 from . import brute
@@ -155,3 +155,27 @@ def test_pipeline(spark, rows, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "item_id int, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_results_without_ansi(spark, rows):
+    some = [(*r[:1], (r[1] or "")[:3000] if r[1] is not None else None, *r[2:]) for r in rows]
+    docs = spark.createDataFrame(some, SCHEMA).repartition(2).cache()
+    bench = spark.createDataFrame([(1, rows[1][1][:90]), (2, None)], "item_id int, text string")
+    pages = spark.createDataFrame([(k, None if k % 3 else "u", r[1]) for k, r in enumerate(some)], "page_id long, url string, html string")
+    talk = spark.createDataFrame([(k // 4, k % 4 if k % 7 else None, ("user", "assistant", None)[k % 3], r[1]) for k, r in enumerate(some)], "conv_id long, turn long, role string, text string")
+    vectors = spark.createDataFrame([(k * 50, [k % 5 / 4, None if k == 9 else 0.5, -0.25], k % 3 if k % 8 else None) for k in range(40)], "vec_id long, embedding array<double>, label int")
+    jobs = {
+        1: lambda: linededup.report(docs), 2: lambda: pii.report(docs), 3: lambda: winnow.report(docs, bench), 4: lambda: sstable.digests(docs, vocabulary()), 5: lambda: langid.identify(docs),
+        6: lambda: simhash.classes(docs), 7: lambda: substring.deduplicated(docs), 8: lambda: quality.report(docs), 9: lambda: warc.report(pages), 10: lambda: bpe.digests(docs, vocabulary()),
+        11: lambda: repair.report(talk), 12: lambda: exactdedup.report(docs), 13: lambda: negatives.mined(vectors),
+    }
+    for n, job in jobs.items():
+        found = []
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            try:
+                found.append(ordered(job().collect()))
+            finally:
+                spark.conf.unset("spark.sql.ansi.enabled")
+        assert found[0] == found[1], n
+        assert found[0]
