@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment, calibration, hazards, heldout, latent, regression
+from ..operators import alignment, calibration, hazards, heldout, latent, linear, regression
 from .catalogue import _SUM_LATENCIES, _latencies, query, rounded, samples, table
 
 _MU = {"binomial": "1 / (1 + exp(-(b0 + b1 * x)))", "poisson": "exp(b0 + b1 * x)"}
@@ -235,3 +235,52 @@ def process_state_paths(spark, sf_dir):
     s = samples(spark, sf_dir)
     fit, pieces = latent.fit_states(s, "user_id", "t", ["x"], 2, "event_id", rounds=12)
     return latent.paths(fit, pieces, "user_id", "t").groupBy("user_id", "state").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH r AS (SELECT l_suppkey AS key, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS q, sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / (count(*) - 2)) AS s, regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS m FROM lineitem GROUP BY 1) "
+    "SELECT key, n, round(q, 6) AS r_squared, round(s, 3) AS residual_sd, '(intercept)' AS term, round(a, 3) AS estimate, round(s * sqrt(1.0 / n + m * m / sxx), 3) AS std_error FROM r UNION ALL SELECT key, n, round(q, 6), round(s, 3), 'quantity', round(b, 3), round(s / sqrt(sxx), 3) FROM r"
+)
+def linear_by_group(spark, sf_dir):
+    fit = linear.fit_linear(_lines(spark, sf_dir), ["l_suppkey"], "l_extendedprice", {"quantity": "l_quantity"})
+    return fit.select(F.col("l_suppkey").alias("key"), "n", F.round("r_squared", 6).alias("r_squared"), F.round("residual_sd", 3).alias("residual_sd"), "term", F.round("estimate", 3).alias("estimate"), F.round("std_error", 3).alias("std_error"))
+
+
+@query(
+    "WITH s AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.0 - 1704067200.0 AS t FROM events), g AS (SELECT * FROM s WHERE event_type != 'view'), v AS (SELECT user_id, t AS e FROM s WHERE event_type = 'view'), "
+    "k AS (SELECT event_id, sum(CASE WHEN g.t > e THEN exp(3 * (ln((g.t - e) / 20000) + 1 - (g.t - e) / 20000)) ELSE 0 END) AS k FROM g JOIN v ON g.user_id = v.user_id AND g.t >= e AND g.t <= e + 120000 GROUP BY event_id), "
+    "m AS (SELECT user_id, max(k) AS m FROM g JOIN k USING (event_id) GROUP BY user_id), x AS (SELECT user_id, value, coalesce(k / m, 0) AS k FROM g LEFT JOIN k USING (event_id) LEFT JOIN m USING (user_id)) "
+    "SELECT user_id, count(*) AS n, '(intercept)' AS term, round(regr_intercept(value, k), 4) AS estimate, round(regr_r2(value, k), 5) AS r_squared FROM x GROUP BY user_id UNION ALL SELECT user_id, count(*), 'view', round(regr_slope(value, k), 4), round(regr_r2(value, k), 5) FROM x GROUP BY user_id"
+)
+def pupil_deconvolution_events(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    views = s.filter("event_type = 'view'").select("user_id", F.col("t").alias("at"), "event_type")
+    fit = linear.fit_pupil_event_deconvolution(s.filter("event_type != 'view'"), views, ["user_id"], "t", "x", "at", "event_type", ["view"], 20000.0, 3.0)
+    return fit.select("user_id", "n", "term", F.round("estimate", 4).alias("estimate"), F.round("r_squared", 5).alias("r_squared"))
+
+
+@query(None)
+def pupil_confounds(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumns({"order": F.col("t") / 1e6, "luminance": F.col("y")})
+    found, _ = linear.fit_pupil_confound_model(s, "x", "luminance", "order", factors=["user_id", "event_type"])
+    return rounded(found, 4)
+
+
+@query(
+    "WITH s AS (SELECT user_id % 5 AS g, value AS x, (event_id * 7919 % 1000) / 100.0 AS y FROM events), e AS (SELECT g, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s GROUP BY g), b AS (SELECT s.g, least(greatest(ceil((x - x0) / ((x1 - x0) / 12)), 1), 12) AS i, least(greatest(ceil((y - y0) / ((y1 - y0) / 12)), 1), 12) AS j FROM s JOIN e ON s.g = e.g), c AS (SELECT g, i, j, count(*) AS n FROM b GROUP BY ALL) "
+    "SELECT g, count(*) AS n_cells, sum(n)::BIGINT AS n, round(sum(ln(n)), 5) AS total, 0.0::DOUBLE AS rest, 0.0::DOUBLE AS rest_x, 0.0::DOUBLE AS rest_y, 0.0::DOUBLE AS rest_xy FROM c GROUP BY g"
+)
+def fixation_intensity(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumn("g", F.col("user_id") % 5)
+    _, cells, _ = linear.fit_fixation_point_process(s, ["g"], "x", "y", "t", 12)
+    # normal equations: what the logarithms leave is orthogonal to every term
+    rest = F.ln(F.col("count").cast("double")) - F.ln("expected")
+    a, b = F.col("x_center"), F.col("y_center")
+    sums = {"rest": F.sum(rest), "rest_x": F.sum(rest * a), "rest_y": F.sum(rest * b), "rest_xy": F.sum(rest * a * b)}
+    return cells.groupBy("g").agg(F.count("*").alias("n_cells"), F.sum("count").alias("n"), F.round(F.sum(F.ln(F.col("count").cast("double"))), 5).alias("total"), *((F.round(v, 4) + 0.0).alias(k) for k, v in sums.items()))
+
+
+@query(None)
+def marked_gaze_process(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumns({"g": F.col("user_id") % 5, "duration": F.col("event_id") % 37, "time": F.col("t") / 1e6})
+    return rounded(linear.fit_marked_gaze_process(s, ["g"], ["duration"], "x", "y", "time").select("g", "mark", "n", "term", "estimate", "std_error"), 4)

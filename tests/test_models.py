@@ -628,3 +628,117 @@ def test_hidden_states_over_pieces(spark):
         assert best["d"] == list(max(product(range(2), repeat=7), key=score))
     assert fits[0].log_likelihoods == pytest.approx(fits[1].log_likelihoods, abs=1e-5)
     assert sum(r["probability"] for r in latent.transition_summary(fits[0], spark).collect()) == pytest.approx(2)
+
+
+def plain_linear(x, y):
+    """Coefficients, standard errors, residuals of least squares."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    b, *_ = np.linalg.lstsq(x, y, rcond=None)
+    rest = y - x @ b
+    free = len(y) - np.linalg.matrix_rank(x)
+    return b, np.sqrt(np.diag(np.linalg.pinv(x.T @ x)) * (rest @ rest) / free), rest
+
+
+def test_least_squares_by_group(spark):
+    from ocularis.operators import linear
+
+    rows = made(3, 4, 50)
+    spoiled = [*rows, ("few", 1.0, 1, 0.5, 0.5, 1.0), *[("flat", float(k), 1, 2.0, float(k), 1.0) for k in range(9)], *[("twice", float(k), 1, float(k), 2.0 * k, 1.0) for k in range(9)]]
+    df = spark.createDataFrame(spoiled, COLUMNS).withColumn("a", F.col("a") + 1e6)
+    fit = linear.fit_linear(df, ["g"], "b", {"a": F.col("a"), "c": "c"}).collect()
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        b, se, rest = plain_linear([[1, r[3], r[2]] for r in own], [r[4] for r in own])
+        got = {r["term"]: r for r in fit if r["g"] == g}
+        assert [got[t]["estimate"] for t in ("a", "c")] == pytest.approx(list(b[1:]), abs=1e-6) and [got[t]["std_error"] for t in ("a", "c")] == pytest.approx(list(se[1:]), rel=1e-4)
+        assert got["a"]["residual_sd"] == pytest.approx(math.sqrt(rest @ rest / (len(own) - 3)), rel=1e-6)
+    status = {r["g"]: r["status"] for r in fit}
+    assert status["few"] == "insufficient_data" and status["flat"] == status["twice"] == "singular"
+
+
+def test_confounds_with_absorbed_factors(spark):
+    from ocularis.operators import linear
+
+    r = np.random.default_rng(5)
+    rows = [(f"p{int(r.integers(0, 9))}", f"i{int(r.integers(0, 6))}", float(r.normal()), float(k % 17), float(r.normal()), float(r.normal(3, 1))) for k in range(240)]
+    df = spark.createDataFrame([*rows, ("p1", "i1", None, 1.0, 1.0, 1.0), (None, "i1", 1.0, 1.0, 1.0, 1.0)], "p string, i string, lum double, ord double, th double, pupil double")
+    found, adjusted = linear.fit_pupil_confound_model(df, "pupil", "lum", "ord", "th", ["p", "i"])
+    persons, items = sorted({x[0] for x in rows}), sorted({x[1] for x in rows})
+    x = np.array([[lu, o, lu * lu, o * o, th, lu * th, 1, *(p == q for q in persons[1:]), *(i == q for q in items[1:])] for p, i, lu, o, th, _ in rows], float)
+    b, se, rest = plain_linear(x, [q[5] for q in rows])
+    got = {q["term"]: q for q in found.collect()}
+    names = ("luminance", "trial", "luminance2", "trial2", "theta", "luminance_theta")
+    assert [got[k]["estimate"] for k in names] == pytest.approx(list(b[:6]), abs=1e-6) and [got[k]["std_error"] for k in names] == pytest.approx(list(se[:6]), rel=1e-5)
+    kept = adjusted.collect()
+    assert len(kept) == len(rows) and adjusted.columns == [*df.columns, "pupil_confound_residual", "pupil_confound_adjusted"]
+    assert sorted(q["pupil_confound_residual"] for q in kept) == pytest.approx(sorted(rest), abs=1e-6)
+    plain, _ = linear.fit_pupil_confound_model(df, "pupil", "lum", "ord")
+    b, _, _ = plain_linear([[1, lu, o, lu * lu, o * o] for _, _, lu, o, *_ in [*rows, (None, "i1", 1.0, 1.0, 1.0, 1.0)]], [*(q[5] for q in rows), 1.0])
+    assert {q["term"]: q["estimate"] for q in plain.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in zip(("(intercept)", *names[:4]), b, strict=True)}
+
+
+def test_responses_to_events(spark):
+    from ocularis.operators import linear
+
+    r = np.random.default_rng(8)
+    kernel = lambda t: (t / 900.0) ** 10.1 * math.exp(10.1 * (1 - t / 900.0)) if t > 0 else 0.0
+    events = {"a": {"cue": [100.0, 2500.0], "stim": [900.0]}, "b": {"cue": [0.0], "stim": [1500.0, 1600.0]}}
+    rows, wide = [], {}
+    for g, named in events.items():
+        t = np.arange(0, 6000, 40.0)
+        x = {n: np.array([sum(kernel(v - e) for e in at) for v in t]) for n, at in named.items()}
+        x = {n: v / v.max() for n, v in x.items()}
+        y = 3 + 0.8 * x["cue"] - 0.3 * x["stim"] + r.normal(0, 0.05, len(t))
+        wide[g] = (np.column_stack([np.ones(len(t)), x["cue"], x["stim"]]), y)
+        rows += [(g, float(v), float(p)) for v, p in zip(t, y, strict=True)]
+    rows += [("few", float(k), 1.0 + k) for k in range(5)] + [("still", float(k), 2.0) for k in range(40)] + [("none", float(k), float(k)) for k in range(40)] + [("a", None, 1.0), ("a", 1.0, None)]
+    at = [(g, e, n) for g, named in events.items() for n, times in named.items() for e in times] + [("a", None, "cue"), ("a", 5.0, "other"), ("none", 1.0, "cue")]
+    samples, marks = spark.createDataFrame(rows, "g string, t double, p double"), spark.createDataFrame(at, "g string, e double, n string")
+    fit = linear.fit_pupil_event_deconvolution(samples, marks, ["g"], "t", "p", "e", "n", ["cue", "stim"], 900.0).collect()
+    for g, (x, y) in wide.items():
+        b, se, _ = plain_linear(x, y)
+        got = {q["term"]: q for q in fit if q["g"] == g}
+        assert [got[k]["estimate"] for k in ("(intercept)", "cue", "stim")] == pytest.approx(list(b), abs=1e-6) and got["cue"]["std_error"] == pytest.approx(se[1], rel=1e-5)
+    assert {q["g"]: q["status"] for q in fit} == {"a": "estimated", "b": "estimated", "few": "insufficient_data", "still": "insufficient_data", "none": "singular"}
+
+
+def test_fixation_intensities(spark):
+    from ocularis.operators import linear
+
+    r = np.random.default_rng(2)
+    rows = [(("s", None)[k % 2], float(r.normal(5, 2)), float(r.normal(3, 1)), float(k), None if k % 9 == 0 else float(r.normal())) for k in range(500)] + [("few", 1.0, 1.0, 1.0, 1.0), ("s", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, t double, c double")
+    found, cells, checks = linear.fit_fixation_point_process(df, ["g"], "x", "y", "t", 6, ["c"], True)
+    table, sums = {(q["g"], q["term"]): q for q in found.collect()}, {q["g"]: q for q in checks.collect()}
+    got = cells.collect()
+    assert {q["g"] for q in got} == {"s", None}
+    for g in ("s", None):
+        own = [q for q in rows if q[0] == g and q[1] is not None]
+        p = np.array([[q[1], q[2]] for q in own])
+        low, high = p.min(axis=0), p.max(axis=0)
+        bins = np.clip(np.ceil((p - low) / ((high - low) / 6)), 1, 6).astype(int)
+        lag = np.concatenate([[np.nan], np.sqrt((np.diff(p, axis=0) ** 2).sum(axis=1))])
+        h = np.exp(-lag / np.nanmean(lag))
+        grid = {}
+        for b, q, v in zip(map(tuple, bins.tolist()), own, h, strict=True):
+            grid.setdefault(b, []).append((q[4], v))
+        keys = sorted(grid)
+        mean = lambda v: float(np.mean(v)) if len(v) else float("nan")
+        c = np.array([mean([a for a, _ in grid[b] if a is not None]) for b in keys])
+        c = np.where(np.isnan(c), np.nanmean(c), c)
+        history = [mean([v for _, v in grid[b] if not math.isnan(v)]) for b in keys]
+        at = low + (np.array(keys) - 0.5) * (high - low) / 6
+        n = np.array([len(grid[b]) for b in keys], float)
+        x = np.column_stack([np.ones(len(keys)), at, at**2, at[:, 0] * at[:, 1], np.nan_to_num(history), c])
+        b, _, rest = plain_linear(x, np.log(n))
+        terms = ("(intercept)", "x", "y", "x2", "y2", "xy", "history", "c")
+        assert [table[g, k]["estimate"] for k in terms] == pytest.approx(list(b), abs=1e-6)
+        mine = {(q["x_bin"], q["y_bin"]): q for q in got if q["g"] == g}
+        expected = np.exp(np.log(n) - rest)
+        assert [mine[k]["count"] for k in keys] == list(n) and [mine[k]["expected"] for k in keys] == pytest.approx(list(expected), rel=1e-6)
+        pearson = (n - expected) / np.sqrt(expected)
+        assert sums[g]["overdispersion"] == pytest.approx((pearson**2).sum() / (len(keys) - 8), rel=1e-6) and sums[g]["correlation"] == pytest.approx(np.corrcoef(n, expected)[0, 1], abs=1e-8)
+    marked = linear.fit_marked_gaze_process(df, ["g"], ["c"], "x", "y", "t").collect()
+    own = [q for q in rows if q[0] == "s" and q[4] is not None and q[1] is not None]
+    b, _, _ = plain_linear([[1, q[1], q[2], q[3], q[1] * q[2]] for q in own], [q[4] for q in own])
+    assert [next(q["estimate"] for q in marked if q["g"] == "s" and q["term"] == k) for k in ("(intercept)", "x", "y", "time", "xy")] == pytest.approx(list(b), abs=1e-6)
