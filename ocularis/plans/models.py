@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment, calibration, hazards, heldout, latent, linear, regression
+from ..operators import alignment, calibration, components, hazards, heldout, latent, linear, regression
 from .catalogue import _SUM_LATENCIES, _latencies, query, rounded, samples, table
 
 _MU = {"binomial": "1 / (1 + exp(-(b0 + b1 * x)))", "poisson": "exp(b0 + b1 * x)"}
@@ -284,3 +284,17 @@ def fixation_intensity(spark, sf_dir):
 def marked_gaze_process(spark, sf_dir):
     s = samples(spark, sf_dir).withColumns({"g": F.col("user_id") % 5, "duration": F.col("event_id") % 37, "time": F.col("t") / 1e6})
     return rounded(linear.fit_marked_gaze_process(s, ["g"], ["duration"], "x", "y", "time").select("g", "mark", "n", "term", "estimate", "std_error"), 4)
+
+
+@query(None)
+def multiblock_map(spark, sf_dir):
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.stddev_samp("l_quantity").alias("qs"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.avg("l_extendedprice").alias("p"))
+    found = components.fit_multiblock_process_map(orders, {"size": ["q", "qs", "p"], "terms": ["d", "t"]}, "l_suppkey", 2, "first_axis")
+    return rounded(found.persons, 4)
+
+
+@query(None)
+def pupil_phase_amplitude(spark, sf_dir):
+    curves = components.register_pupil_curves(samples(spark, sf_dir), "user_id", "t", "x", points=21)
+    found, _ = components.decompose_pupil_phase_amplitude(curves, "user_id", 2, 21)
+    return rounded(found, 4)

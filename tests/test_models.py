@@ -742,3 +742,74 @@ def test_fixation_intensities(spark):
     own = [q for q in rows if q[0] == "s" and q[4] is not None and q[1] is not None]
     b, _, _ = plain_linear([[1, q[1], q[2], q[3], q[1] * q[2]] for q in own], [q[4] for q in own])
     assert [next(q["estimate"] for q in marked if q["g"] == "s" and q["term"] == k) for k in ("(intercept)", "x", "y", "time", "xy")] == pytest.approx(list(b), abs=1e-6)
+
+
+def signed(vectors):
+    """Columns with their largest entry positive."""
+    top = np.abs(vectors).argmax(axis=0)
+    return vectors * np.sign(vectors[top, range(vectors.shape[1])])
+
+
+@pytest.mark.parametrize("scaling", ["size", "first_axis"])
+def test_multiblock_maps(spark, scaling):
+    from ocularis.operators import components
+
+    r = np.random.default_rng(7)
+    base = r.normal(size=(60, 2))
+    x = np.column_stack([base[:, 0] + r.normal(0, 0.3, 60), base[:, 0] * 2 + r.normal(0, 0.5, 60), base[:, 1] + r.normal(0, 0.3, 60), base.sum(axis=1) * 5, r.normal(size=60)])
+    rows = [(f"p{k}", *map(float, v), 1.0) for k, v in enumerate(x)]
+    rows[3] = (*rows[3][:2], None, *rows[3][3:])
+    rows[9] = (*rows[9][:5], float("nan"), rows[9][6])
+    found = components.fit_multiblock_process_map(spark.createDataFrame(rows, "id string, a double, b double, c double, d double, e double, f double").repartition(3), {"one": ["a", "b"], "two": ["c", "d", "e", "f"], "three": ["id"][:0]}, "id", 3, scaling)
+    x[3, 1] = np.delete(x[:, 1], 3).mean()
+    x[9, 4] = np.delete(x[:, 4], 9).mean()
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    for part in (slice(0, 2), slice(2, 5)):
+        z[:, part] /= math.sqrt(z[:, part].shape[1]) if scaling == "size" else np.linalg.svd(z[:, part])[1][0]
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    v = signed(vt[:3].T)
+    assert found.singular_values == pytest.approx(tuple(s[:3]))
+    assert np.allclose([[q[f"PC{k}"] for k in (1, 2, 3)] for q in found.variables.collect()], v, atol=1e-8)
+    got = {q["id"]: [q[f"PC{k}"] for k in (1, 2, 3)] for q in found.persons.collect()}
+    assert np.allclose([got[f"p{k}"] for k in range(60)], z @ v, atol=1e-8)
+    sizes = {q["block"]: q["PC1"] for q in found.blocks.collect()}
+    assert sizes == {"one": pytest.approx(np.abs(v[:2, 0]).mean()), "two": pytest.approx(np.abs(v[2:, 0]).mean())}
+    with pytest.raises(ValueError, match="two blocks"):
+        components.fit_multiblock_process_map(spark.createDataFrame(rows, "id string, a double, b double, c double, d double, e double, f double"), {"one": ["a"], "two": ["f"]}, "id")
+
+
+@pytest.mark.parametrize("method", ["elastic", "shift"])
+def test_phase_and_amplitude_of_curves(spark, method):
+    from ocularis.operators import components
+
+    r = np.random.default_rng(3)
+    curves, rows = {}, []
+    for c in range(12):
+        n = 400 if c == 0 else int(r.integers(8, 30))
+        t = np.sort(r.uniform(10, 10 + 5 * (c + 1), n))
+        y = np.sin(3 * (t - t[0]) / (t[-1] - t[0]) + 0.2 * c) * (1 + 0.1 * c) + r.normal(0, 0.02, n)
+        curves[f"c{c}"] = (t, y)
+        rows += [(f"c{c}", float(a), float(b)) for a, b in zip(t, y, strict=True)]
+    rows += [("short", 1.0, 1.0), ("short", 2.0, 1.0), ("c1", None, 9.0), ("c1", 20.0, float("nan")), (None, 1.0, 1.0)]
+    grid = np.linspace(0, 1, 41)
+    found = components.register_pupil_curves(spark.createDataFrame(rows, "id string, t double, p double").repartition(3), "id", "t", "p", method, 41)
+    got = {q["id"]: q for q in found.collect()}
+    assert set(got) == set(curves)
+    raw = {c: np.interp(grid, (t - t[0]) / (t[-1] - t[0]), y) for c, (t, y) in curves.items()}
+    peak = {c: grid[int(v.argmax())] for c, v in raw.items()}
+    middle = float(np.median(list(peak.values())))
+    registered = {}
+    for c, v in raw.items():
+        move = (middle - peak[c]) * (1 if method == "shift" else 0.75 * 4 * grid * (1 - grid))
+        registered[c] = np.interp(np.clip(grid - move, 0, 1), grid, v)
+        assert np.allclose(got[c]["raw"], v, atol=1e-9) and got[c]["phase_shift"] == pytest.approx(middle - peak[c]) and np.allclose(got[c]["registered"], registered[c], atol=1e-9)
+    scores, shares = components.decompose_pupil_phase_amplitude(found, "id", 2, 41)
+    names = sorted(registered)
+    m = np.array([registered[c] for c in names])
+    m = m - m.mean(axis=0)
+    _, s, vt = np.linalg.svd(m, full_matrices=False)
+    mine = {q["id"]: (q["amplitude_pc1"], q["amplitude_pc2"]) for q in scores.collect()}
+    assert np.allclose([mine[c] for c in names], m @ signed(vt[:2].T), atol=1e-8) and shares[:3] == pytest.approx(list(s[:3] ** 2 / (s**2).sum()), abs=1e-9)
+    groups = spark.createDataFrame([(c, "ab"[k % 2]) for k, c in enumerate(names[:-1])], "id string, g string")
+    table = {q["g"]: q["n"] for q in components.compare_phases(found, groups, "id", "g").collect()}
+    assert table == {"a": 6, "b": 5, None: 1}
