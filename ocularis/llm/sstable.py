@@ -13,7 +13,8 @@ first key of each block, a Bloom filter over the keys, and a footer:
 Keys are 9 bytes that sort as doc_id does (null first); keys share prefixes within a block. A value
 is a document's ids, in 2 bytes each where the vocabulary allows it. A shard appears under its name
 by a rename once it is whole, so that a task can run again. ``lookup`` reads the footer, asks the
-Bloom filter, and searches the index by halves for the one block that it then reads.
+Bloom filter, and searches the index by halves for the one block that it then reads; ``ShardSet`` first
+searches the shards by halves.
 
 Defined cases: a null text has no ids but the end id; rows with one doc_id are kept as entries with
 equal keys; a null doc_id sorts before all others; an empty table gives no shards; other columns
@@ -180,6 +181,28 @@ class Shard:
         return found
 
 
+class ShardSet:
+    """Lookups over all shards of a table, in key order: halves over the shards' first keys open the footers of as many shards as the search touches, and no others."""
+
+    def __init__(self, paths: list[str]):
+        self.paths, self.opened = list(paths), {}
+
+    def shard(self, k: int) -> Shard:
+        if k not in self.opened:
+            self.opened[k] = Shard(self.paths[k])
+        return self.opened[k]
+
+    def lookup(self, doc_id: int | None) -> list[bytes]:
+        """The ids of every document with this doc_id, which neighbouring shards may share; none if there is none."""
+        key = key_of(doc_id)
+        at = bisect.bisect_left(range(len(self.paths)), key, key=lambda k: self.shard(k).firsts[0])
+        found, k = [], max(0, at - 1)
+        while k < len(self.paths) and self.shard(k).firsts[0] <= key:
+            found += self.shard(k).lookup(doc_id)
+            k += 1
+        return found
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> list[tuple[int, str, int, int]]:
     """Encodes every text and writes the shards; the list has (shard, path, documents, ids) of each, in key order.
 

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from ocularis.llm import exactdedup, negatives, repair
+from ocularis.llm import exactdedup, negatives, repair, sstable
 from ocularis.llm.queries import SQL
 
 from . import brute
@@ -174,3 +174,26 @@ def test_tables_without_anchors(spark):
         assert negatives.mined(spark.createDataFrame(rows, VECTORS)).count() == 0
     with pytest.raises(Exception, match="too large"):
         negatives.mined(spark.createDataFrame([(1, [1e300], 1, "x", 1)], VECTORS)).count()
+
+
+# --- lookups over shards
+
+
+def test_lookups_over_shards(tmp_path):
+    groups = [[None, None, 1, 2, 2], [2, 2], [2, 5], [9, 12, 40]]
+    paths, want = [], {}
+    for n, ids in enumerate(groups):
+        paths.append(f"{tmp_path}/shard-{n}.sst")
+        out = sstable.ShardWriter(paths[-1], 4)
+        for k, d in enumerate(ids):
+            value = (100 * n + k).to_bytes(4, "little")
+            out.add(sstable.key_of(d), value, 1)
+            want.setdefault(d, []).append(value)
+        out.close()
+    table = sstable.ShardSet(paths)
+    for d in (None, 1, 2, 5, 9, 12, 40):
+        assert table.lookup(d) == want[d]
+    assert all(table.lookup(d) == [] for d in (-3, 0, 3, 8, 10, 41, 2**62))
+    wide = sstable.ShardSet([paths[0], *paths[3:]])
+    assert wide.lookup(1) == want[1] and wide.lookup(40) == want[40]
+    assert sstable.ShardSet([]).lookup(1) == []
