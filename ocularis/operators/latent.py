@@ -364,10 +364,10 @@ def _step(pieces: DataFrame, sequence: str, model) -> tuple[float, list[float]]:
 def fit_states(df: DataFrame, sequence: str, order: str, variables: Sequence[str], states: int, key: str | None = None, seed: int = 1, rounds: int = 60, tolerance: float = 1e-7, piece: int = PIECE) -> tuple[States, DataFrame]:
     """Gaussian hidden states by Baum and Welch, and the table of pieces that paths and posteriors read.
 
-    It starts from the means and deviations of a mixture of as many classes, even initial shares and transitions that stay with probability 0.8. A round's
+    It starts from the means and deviations of a mixture of as many classes after a few rounds, even initial shares and transitions that stay with probability 0.8. A round's
     log-likelihood never falls but for the least count (1e-6) that keeps every transition possible; it ends where a round gains less than tolerance of it."""
     pieces, centre, scale = sequence_pieces(df, sequence, order, variables, piece)
-    start = fit_mixture(df.filter(F.col(sequence).isNotNull() & finite(order).isNotNull()), variables, states, key or order, seed, rounds=10)
+    start = fit_mixture(df.filter(F.col(sequence).isNotNull() & finite(order).isNotNull()), variables, states, key or order, seed, starts=2, tries=3, rounds=5)
     stay = 0.8 if states > 1 else 1.0
     model = ([1 / states] * states, [[stay if i == j else (1 - stay) / max(states - 1, 1) for j in range(states)] for i in range(states)], [list(m) for m in start.means], [[math.sqrt(v) for v in row] for row in start.variances])
     history: list[float] = []
