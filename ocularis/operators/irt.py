@@ -452,9 +452,11 @@ def mantel_haenszel_dif(rows: DataFrame, item: str, stratum: str, group: str, fo
     x, f = finite(response), F.col(group) == focal
     cells = rows.filter(x.isNotNull() & f.isNotNull()).groupBy(item, stratum).agg(F.count_if(~f & (x > 0)).alias("a"), F.count_if(~f & (x <= 0)).alias("b"), F.count_if(f & (x > 0)).alias("c"), F.count_if(f & (x <= 0)).alias("d"))
     n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
-    m1, m0, nr, nf = F.col("a") + F.col("c"), F.col("b") + F.col("d"), F.col("a") + F.col("b"), F.col("c") + F.col("d")
+    # products of four counts pass the largest long at some ten thousand responses a cell
+    a, b, c, d = (F.col(k).cast("double") for k in "abcd")
+    m, m1, m0, nr, nf = a + b + c + d, a + c, b + d, a + b, c + d
     both = cells.filter((nr > 0) & (nf > 0))
-    sums = both.groupBy(item).agg(F.count("*").alias("n_strata"), F.sum(n).alias("n"), ratio(F.sum(F.col("a") * F.col("d") / n), F.sum(F.col("b") * F.col("c") / n)).alias("odds_ratio"), F.sum("a").alias("_a"), F.sum(nr * m1 / n).alias("_e"), F.sum(F.when(n > 1, nr * nf * m1 * m0 / (n * n * (n - 1)))).alias("_v"))
+    sums = both.groupBy(item).agg(F.count("*").alias("n_strata"), F.sum(n).alias("n"), ratio(F.sum(a * d / m), F.sum(b * c / m)).alias("odds_ratio"), F.sum("a").alias("_a"), F.sum(nr * m1 / m).alias("_e"), F.sum(F.when(n > 1, nr * nf * m1 * m0 / (m * m * (m - 1)))).alias("_v"))
     corrected = F.greatest(F.abs(F.col("_a") - F.col("_e")) - 0.5, F.lit(0.0))
     return sums.select(item, "n_strata", "n", "odds_ratio", (-2.35 * F.ln("odds_ratio")).alias("delta"), ratio(corrected * corrected, "_v").alias("chi_square"))
 
