@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation, expit, finite, normal_cdf, ordered, ratio, share, softmax
+from ..functions.columns import correlation, expit, finite, normal_cdf, normal_quantile, ordered, ratio, share, softmax
 from ..functions.ranks import running, totalled
 
 
@@ -210,8 +210,10 @@ def score_uncertainty(scores: DataFrame) -> DataFrame:
 
 
 def classification_precision(scores: DataFrame, cut: float = 0.0, confidence: float = 0.95) -> DataFrame:
-    p = normal_cdf((F.col("theta") - cut) / F.col("se"))
-    return scores.withColumn("p_above", p).withColumn("decision", F.when(F.col("p_above") >= confidence, "above").when(F.col("p_above") <= 1 - confidence, "below").otherwise("uncertain"))
+    """p_above, the probability of an ability above the cut (to normal_cdf's error), and the decision, by the exact normal quantile of confidence."""
+    z = ratio(F.col("theta") - cut, F.col("se"))
+    limit = normal_quantile(confidence)
+    return scores.withColumn("p_above", normal_cdf(z)).withColumn("decision", F.when(z >= limit, "above").when(z <= -limit, "below").otherwise("uncertain"))
 
 
 def sparse_design_audit(responses: DataFrame, person: str, item: str, min_person_items: int = 3, min_item_persons: int = 10) -> DataFrame:
