@@ -246,12 +246,12 @@ def session_drift(parameters: DataFrame, item: str, session: str, parameter: str
 
 
 def item_selection(bank: DataFrame, theta: float, administered: DataFrame | None = None, exposure_limit: float | None = None) -> DataFrame:
-    """The unused item with the most information at theta: one row."""
+    """The unused item with the most information at theta, of equal ones that with the smallest id: one row. Items without a finite information can't be it."""
     left = bank.join(administered, "item_id", "left_anti") if administered is not None else bank
     if exposure_limit is not None:
         left = left.filter(F.col("exposure") <= exposure_limit)
-    scored = left.withColumn("information", item_information(F.lit(theta), F.col("a"), F.col("b")))
-    return scored.agg(F.max_by("item_id", F.struct("information", F.col("item_id"))).alias("item_id"), F.max("information").alias("information"))
+    scored = left.withColumn("information", finite(item_information(F.lit(theta), F.col("a"), F.col("b")))).filter("information is not null")
+    return scored.agg(F.min_by("item_id", F.struct(-F.col("information"), F.col("item_id"))).alias("item_id"), F.max("information").alias("information"))
 
 
 def exposure_summary(administered: DataFrame, bank: DataFrame) -> DataFrame:
