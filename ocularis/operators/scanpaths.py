@@ -115,7 +115,9 @@ def recurrence_points(df: DataFrame, by: Sequence[str], order: str, x: str, y: s
     cells = rows.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
     sent = cells.withColumn("d", around).select(*by, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
-    return cells.join(sent, [*by, "cx", "cy"]).filter((F.col("i") < F.col("j")) & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= radius)).select(*by, "i", "j")
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    # hypot rounds otherwise than the root of the sum, which matters for points that lie just the radius apart
+    return cells.join(sent, [*by, "cx", "cy"]).filter((F.col("i") < F.col("j")) & (F.sqrt(dx * dx + dy * dy) <= radius)).select(*by, "i", "j")
 
 
 def aoi_recurrence_counts(df: DataFrame, by: Sequence[str], aoi: str) -> DataFrame:
