@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import anyof, changed, count_if, finite, gradient, mad, ordered, ratio, run_id
+from ..functions.groups import by_group
 
 
 def rolling(x: str | Column, w, width: int = 5, method: str = "mean") -> Column:
@@ -179,10 +180,8 @@ def detect_fixations_idt(df: DataFrame, time: str, by: Sequence[str], x: str, y:
     """Greedy windows whose spread, (max x - min x) + (max y - min y), stays within the limit.
 
     No window crosses a step that is larger than the limit, so recordings are cut there, and pieces too short for a fixation are dropped.
-    The state runs through a piece, so pieces go to a grouped Arrow function; one pass with running extremes, no rescan."""
-    import pandas as pd
-
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in by) + ", start_time double, end_time double, n_samples long, centroid_x double, centroid_y double, dispersion double"
+    The state runs through a piece; a task goes through all of its pieces, which are many and short, in one Arrow function."""
+    schema = "".join(f"`{c}` {dict(df.dtypes)[c]}, " for c in by) + "_piece long, start_time double, end_time double, n_samples long, centroid_x double, centroid_y double, dispersion double"
     kept = df.select(*by, finite(time).alias("_t"), finite(x).alias("_x"), finite(y).alias("_y")).filter("_t is not null and _x is not null and _y is not null")
 
     w = ordered(by, "_t", "_x", "_y")
@@ -191,10 +190,7 @@ def detect_fixations_idt(df: DataFrame, time: str, by: Sequence[str], x: str, y:
     piece = Window.partitionBy(*by, "_piece")
     lasting = pieces.withColumn("_lasts", F.max("_t").over(piece) - F.min("_t").over(piece)).filter(F.col("_lasts") >= minimum).drop("_lasts")
 
-    def detect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        key = key[:-1]
-        pdf = pdf.sort_values(["_t", "_x", "_y"], kind="stable")
-        rows = list(zip(pdf["_t"], pdf["_x"], pdf["_y"], strict=True))
+    def detect(rows: list[tuple]) -> list[tuple]:
         found, first = [], 0
         while first < len(rows):
             stop = first
@@ -209,13 +205,15 @@ def detect_fixations_idt(df: DataFrame, time: str, by: Sequence[str], x: str, y:
                 x0, x1, y0, y1, spread, stop = min(x0, a), max(x1, a), min(y0, b), max(y1, b), wide, stop + 1
             if (rows[stop][0] - rows[first][0]) * 1000 >= minimum * 1000:
                 part = rows[first : stop + 1]
-                found.append((*key, rows[first][0], rows[stop][0], len(part), sum(r[1] for r in part) / len(part), sum(r[2] for r in part) / len(part), spread))
+                found.append((rows[first][0], rows[stop][0], len(part), sum(r[1] for r in part) / len(part), sum(r[2] for r in part) / len(part), spread))
                 first = stop + 1
             else:
                 first += 1
-        return pd.DataFrame(found, columns=[*by, "start_time", "end_time", "n_samples", "centroid_x", "centroid_y", "dispersion"])
+        return found
 
-    return lasting.groupBy(*by, "_piece").applyInPandas(detect, schema).withColumn("duration_ms", (F.col("end_time") - F.col("start_time")) * 1000).withColumn("episode_type", F.lit("fixation"))
+    # the windows have brought a group's rows together
+    pieces = lasting.select(*by, "_piece", "_t", "_x", "_y").sortWithinPartitions(*by, "_piece", "_t", "_x", "_y")
+    return by_group(pieces, [*by, "_piece"], detect, schema).drop("_piece").withColumn("duration_ms", (F.col("end_time") - F.col("start_time")) * 1000).withColumn("episode_type", F.lit("fixation"))
 
 
 def detect_events_ivvt(df: DataFrame, time: str, by: Sequence[str], x: str, y: str, fixation: float = 5.0, saccade: float = 30.0, minimum: float = 0.0) -> DataFrame:
