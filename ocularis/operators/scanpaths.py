@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.columns import anyof, entropy, finite, ordered, ratio, run_id
+from ..functions.groups import by_group
 from ..functions.ranks import totalled
 
 
@@ -174,18 +175,20 @@ def detect_process_changepoints(df: DataFrame, order: str, by: Sequence[str], ch
     apart = F.coalesce(F.col("position") - F.lag("position").over(near) >= min_segment, F.lit(True))
     runs = candidates.withColumn("_run", run_id(apart, near))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["change_score", "position"], ascending=[False, True])
+    def pick(rows: list[tuple]) -> list[tuple]:
         chosen: list[int] = []
-        keep = []
-        for p in pdf["position"]:
+        kept = []
+        for p, score in rows:
             at = bisect.bisect_left(chosen, p)
-            keep.append(not ((at < len(chosen) and chosen[at] - p < min_segment) or (at and p - chosen[at - 1] < min_segment)))
-            if keep[-1]:
+            if not ((at < len(chosen) and chosen[at] - p < min_segment) or (at and p - chosen[at - 1] < min_segment)):
                 chosen.insert(at, p)
-        return pdf[keep].sort_values("position").drop(columns="_run")
+                kept.append((p, score))
+        return sorted(kept)
 
-    return runs.groupBy(*by, "_run").applyInPandas(pick, candidates.schema)
+    # the windows have brought a group's rows together, and a task goes through all of its runs, which are many and short
+    placed = runs.select(*by, "_run", "position", "change_score").sortWithinPartitions(*by, "_run", F.desc("change_score"), "position")
+    kinds = "".join(f"`{c}` {dict(df.dtypes)[c]}, " for c in by)
+    return by_group(placed, [*by, "_run"], pick, kinds + "_run long, position int, change_score double").drop("_run")
 
 
 def gaze_grid_counts(df: DataFrame, by: Sequence[str], x: str, y: str, size: int = 20) -> DataFrame:
