@@ -306,23 +306,23 @@ def event_overlaps(reference: DataFrame, candidate: DataFrame, by: Sequence[str]
 
 def match_detected_events(reference: DataFrame, candidate: DataFrame, by: Sequence[str], width: float, minimum_iou: float = 0.1, onset_tolerance: float | None = None) -> DataFrame:
     """One-to-one matches, greedily by falling overlap and then by onset difference, within each group."""
-    import pandas as pd
-
     pairs = event_overlaps(reference, candidate, by, width, minimum_iou).withColumn("onset", F.abs(F.col("a_start") - F.col("b_start")))
     if onset_tolerance is not None:
         pairs = pairs.filter(F.col("onset") <= onset_tolerance)
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "onset", "a_start", "b_start"], ascending=[False, True, True, True])
-        left, right, keep = set(), set(), []
-        for a, b in zip(zip(pdf["a_start"], pdf["a_end"], strict=True), zip(pdf["b_start"], pdf["b_end"], strict=True), strict=True):
-            keep.append(a not in left and b not in right)
-            if keep[-1]:
+    def greedy(rows: list[tuple]) -> list[tuple]:
+        left, right, kept = set(), set(), []
+        for row in rows:
+            a, b = (row[0], row[1]), (row[2], row[3])
+            if a not in left and b not in right:
                 left.add(a)
                 right.add(b)
-        return pdf[keep]
+                kept.append(row)
+        return kept
 
-    return pairs.groupBy(*by).applyInPandas(greedy, pairs.schema)
+    columns = [*by, "a_start", "a_end", "b_start", "b_end", "iou", "onset"]
+    placed = (pairs.repartition(*by) if by else pairs.coalesce(1)).select(*columns).sortWithinPartitions(*by, F.desc("iou"), "onset", "a_start", "b_start", "a_end", "b_end")
+    return by_group(placed, by, greedy, ", ".join(f"`{c}` {dict(pairs.dtypes)[c]}" for c in columns))
 
 
 def compare_event_catalogues(reference: DataFrame, candidate: DataFrame, by: Sequence[str], width: float, minimum_iou: float = 0.1) -> DataFrame:
