@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.columns import changed, finite, ordered, ratio, run_id, share
-from ..functions.ranks import totalled
+from ..functions.ranks import joined_null_safe, totalled
 
 
 def in_rectangle(x: Column, y: Column, x0: Column, y0: Column, width: Column, height: Column) -> Column:
@@ -215,6 +215,70 @@ def audit_aoi_separation(aois: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("overlap_area") > 0, "overlap").when(F.col("gap") == 0, "touching").otherwise("separate"))
 
 
+#: Different rectangles of a block of summarise_aoi_separation; two blocks meet in one row.
+SIDE = 2_048
+
+
+def _separations(batches):
+    """The kernel over pairs of blocks of different rectangles (x0, y0, width, height and how many there are, as arrays): n, overlap and gap of their pairs by status.
+
+    ``_same``: 0 for two blocks, 1 for a block with itself, -1 to take the pairs of a block with itself away. Of missing coordinates the other rectangle's stand, as in least and greatest."""
+    import numpy as np
+    import pyarrow as pa
+
+    def arrays(column, i):
+        values = column[i].values
+        return [values.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(5)]
+
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            same = batch.column("_same")[i].as_py()
+            ax, ay, aw, ah, ak = arrays(batch.column("_a"), i)
+            bx, by, bw, bh, bk = arrays(batch.column("_b"), i)
+            sums = {"overlap": [0, 0.0, 0.0], "touching": [0, 0.0, 0.0], "separate": [0, 0.0, 0.0]}
+            for at in range(0, len(ax), 128):
+                part = slice(at, at + 128)
+                w = np.fmin((ax + aw)[part, None], bx + bw) - np.fmax(ax[part, None], bx)
+                h = np.fmin((ay + ah)[part, None], by + bh) - np.fmax(ay[part, None], by)
+                overlap = np.fmax(w, 0.0) * np.fmax(h, 0.0)
+                gap = np.sqrt(np.fmax(-w, 0.0) ** 2 + np.fmax(-h, 0.0) ** 2)
+                pairs = ak[part, None] * bk
+                if same:
+                    place = np.arange(len(ax))
+                    pairs = np.where(place[part, None] < place, pairs, np.where(place[part, None] == place, bk * (bk - 1) / 2, 0.0))
+                over = overlap > 0
+                for status, met in (("overlap", over), ("touching", ~over & (gap == 0)), ("separate", ~over & (gap > 0))):
+                    n = np.where(met, pairs, 0.0)
+                    one = sums[status]
+                    one[0] += int(n.sum())
+                    one[1] += float((n * overlap).sum()) if status == "overlap" else 0.0
+                    one[2] += float((n * gap).sum()) if status != "touching" else 0.0
+            sign = -1 if same < 0 else 1
+            out += [(status, sign * n, sign * o, sign * g) for status, (n, o, g) in sums.items() if n]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["status", "n", "overlap_area", "gap"])
+
+
+def summarise_aoi_separation(aois: DataFrame) -> DataFrame:
+    """Number, overlap area and gap of all pairs of audit_aoi_separation by status, without a row a pair.
+
+    Equal rectangles of a stimulus are one with a number. Different ones fall into blocks of about SIDE by a hash, every two blocks of a stimulus meet in one row, and a task adds up its
+    pairs of blocks: all pairs are worked out, in bounded memory. Rectangles with equal ids are no pair; missing and non-finite coordinates are null."""
+    sides = ["x0", "y0", "width", "height"]
+    rows = aois.filter(F.col("aoi_id").isNotNull()).select("stimulus_id", "aoi_id", *(finite(c).alias(c) for c in sides))
+    shape = F.struct(*sides, F.col("_k").cast("double").alias("k"))
+    different = rows.groupBy("stimulus_id", *sides).agg(F.count("*").alias("_k"))
+    sized = joined_null_safe(different, different.groupBy("stimulus_id").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("_blocks")), ["stimulus_id"])
+    blocks = sized.withColumn("_block", F.pmod(F.xxhash64(*sides), F.col("_blocks")).cast("int")).groupBy("stimulus_id", "_blocks", "_block").agg(F.collect_list(shape).alias("_a"))
+    sent = blocks.select("stimulus_id", F.col("_block").alias("_first"), F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("_block"), F.col("_a").alias("_b"))
+    met = joined_null_safe(sent, blocks.drop("_blocks"), ["stimulus_id", "_block"]).select(F.when(F.col("_first") == F.col("_block"), 1).otherwise(0).alias("_same"), "_a", "_b")
+    named = rows.groupBy("stimulus_id", "aoi_id", *sides).agg(F.count("*").alias("_k")).groupBy("stimulus_id", "aoi_id").agg(F.sum("_k").alias("_n"), F.collect_list(shape).alias("_a"))
+    twice = named.filter("_n > 1").select(F.lit(-1).alias("_same"), "_a", F.col("_a").alias("_b"))
+    sums = met.unionByName(twice).repartition(F.xxhash64("_a", "_b")).mapInArrow(_separations, "status string, n long, overlap_area double, gap double")
+    return sums.groupBy("status").agg(*(F.sum(c).alias(c) for c in ("n", "overlap_area", "gap"))).filter("n > 0")
+
+
 def derive_aoi_composition(dwell: DataFrame, by: Sequence[str], aois: Sequence[str], aoi: str = "aoi_id", value: str = "dwell", zero: float = 1e-6) -> DataFrame:
     """Shares of each AOI in wide form: zeros take a small value and the rest shrink with them."""
     wide = dwell.groupBy(*by).pivot(aoi, list(aois)).agg(F.sum(finite(value)))
