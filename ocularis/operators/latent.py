@@ -202,9 +202,11 @@ def sequence_pieces(df: DataFrame, sequence: str, order: str, variables: Sequenc
     known = df.filter(F.col(sequence).isNotNull() & finite(order).isNotNull()).withColumn("_order", finite(order))
     rows, centre, scale, _ = standardised(known, variables, [sequence, "_order"])
     counts = rows.groupBy(sequence).agg(F.count("*").alias("_n"))
-    placed = joined_null_safe(bucketed(rows, "_order", [sequence]), counts.filter(F.col("_n") > piece), [sequence], "left")
-    # buckets are of equal depth: neighbouring ones make a piece
-    merged = placed.withColumn("_p", F.when(F.col("_n").isNull(), 0).otherwise(F.floor(F.col("_bucket") * F.least(F.ceil(F.col("_n") / piece), F.lit(256)) / 256)).cast("int"))
+    met = joined_null_safe(rows, counts.filter(F.col("_n") > piece), [sequence], "left")
+    # buckets are of equal depth: neighbouring ones make a piece; short sequences need none
+    placed = bucketed(met.filter("_n is not null"), "_order", [sequence])
+    long = placed.withColumn("_p", F.floor(F.col("_bucket") * F.least(F.ceil(F.col("_n") / piece), F.lit(256)) / 256).cast("int")).drop("_bucket")
+    merged = long.unionByName(met.filter("_n is null").withColumn("_p", F.lit(0)))
     one = F.struct("_order", *(f"_z{j}" for j in range(p)))
     cells = merged.groupBy(sequence, "_p").agg(F.sort_array(F.collect_list(one)).alias("_rows"))
     numbered = Window.partitionBy(sequence).orderBy("_p")
@@ -213,6 +215,29 @@ def sequence_pieces(df: DataFrame, sequence: str, order: str, variables: Sequenc
     return Table(ranked.select(sequence, "_piece", F.col("_last").cast("int").alias("_last"), F.transform("_rows", lambda r: r["_order"]).alias("_orders"), values.alias("_x")), "states-pieces").df, centre, scale
 
 
+#: Steps times pieces of a chunk that the kernels go through at once.
+CHUNK = 1 << 18
+
+
+def _chunks(column, p: int):
+    """Pieces of a batch's ``_x`` by falling length, in chunks: their numbers, values (steps x pieces x variables, with zeros behind a piece's end) and for each step how many go on there."""
+    import numpy as np
+
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        steps = int(lengths[order[at]])
+        part = order[at : at + max(1, CHUNK // max(steps, 1))]
+        at += len(part)
+        inside = np.arange(steps)[:, None] < lengths[part]
+        x = np.zeros((steps, len(part), p))
+        x[inside] = flat[(np.arange(steps)[:, None] + starts[part])[inside]]
+        yield part, x, inside.sum(axis=1)
+
+
 def _products(model, best: bool):
     """The kernel over pieces of sequences that have several: the scaled product of a piece's steps, or of its best steps, by entering and leaving state."""
 
@@ -221,27 +246,30 @@ def _products(model, best: bool):
         import pyarrow as pa
 
         initial, transition, means, sds = (np.array(x) for x in model)
-        k = len(initial)
+        k, p = means.shape
         with np.errstate(divide="ignore"):
             log_step = np.log(transition)
         for batch in batches:
-            out = []
-            for x, piece in zip(batch.column("_x").to_pylist(), batch.column("_piece").to_pylist(), strict=True):
-                logs = _emissions(np.array(x), means, sds)
-                if best:
-                    m = np.where(np.eye(k) > 0, 0.0, -np.inf)
-                    for t, row in enumerate(logs):
-                        m = (m if piece == 0 and t == 0 else (m[:, :, None] + log_step[None]).max(axis=1)) + row[None]
-                    out.append((m.ravel().tolist(), 0.0))
-                    continue
-                m, total = np.eye(k), 0.0
-                for t, row in enumerate(logs):
-                    top = row.max()
-                    m = (m if piece == 0 and t == 0 else m @ transition) * np.exp(row - top)[None]
-                    size = m.max()
-                    m, total = m / size, total + top + math.log(size)
-                out.append((m.ravel().tolist(), total))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("_piece"), pa.array([m for m, _ in out], pa.list_(pa.float64())), pa.array([s for _, s in out], pa.float64())], names=[batch.schema.names[0], "_piece", "_m", "_s"])
+            products, totals = np.zeros((batch.num_rows, k, k)), np.zeros(batch.num_rows)
+            start = batch.column("_piece").to_numpy(zero_copy_only=False) == 0
+            for part, x, active in _chunks(batch.column("_x"), p):
+                logs = _emissions(x.reshape(-1, p), means, sds).reshape(*x.shape[:2], k)
+                m = np.tile(np.where(np.eye(k) > 0, 0.0, -np.inf) if best else np.eye(k), (len(part), 1, 1))
+                for t, n in enumerate(active):
+                    row = logs[t, :n]
+                    moved = (m[:n, :, :, None] + log_step).max(axis=2) if best else m[:n] @ transition
+                    if t == 0:
+                        moved = np.where(start[part][:, None, None], m, moved)
+                    if best:
+                        m[:n] = moved + row[:, None]
+                        continue
+                    top = row.max(axis=1)
+                    moved = moved * np.exp(row - top[:, None])[:, None]
+                    size = moved.max(axis=(1, 2))
+                    m[:n] = moved / size[:, None, None]
+                    totals[part[:n]] += top + np.log(size)
+                products[part] = m
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("_piece"), pa.array(products.reshape(batch.num_rows, -1).tolist(), pa.list_(pa.float64())), pa.array(totals)], names=[batch.schema.names[0], "_piece", "_m", "_s"])
 
     return run
 
@@ -302,8 +330,21 @@ def _with_messages(pieces: DataFrame, sequence: str, model, best: bool = False)
     return joined_null_safe(pieces, messages, [sequence, "_piece"], "left")
 
 
+def _rows_of(batch, parts: list, k: int):
+    """Values by row of a batch's pieces, in their order, from chunks (numbers, steps x pieces x k values)."""
+    import numpy as np
+
+    lengths = batch.column("_x").value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    out = np.zeros((int(lengths.sum()), k))
+    for part, values in parts:
+        inside = np.arange(len(values))[:, None] < lengths[part]
+        out[(np.arange(len(values))[:, None] + starts[part])[inside]] = values[inside]
+    return out, np.repeat(np.arange(len(lengths)), lengths)
+
+
 def _counts(model, posterior: bool):
-    """The kernel over pieces with their messages: forward and backward; expected counts summed over a batch, or the rows' posteriors."""
+    """The kernel over pieces with their messages: forward and backward, many pieces a step; expected counts summed over a batch, or the rows' posteriors."""
 
     def run(batches):
         import numpy as np
@@ -313,41 +354,49 @@ def _counts(model, posterior: bool):
         k, p = means.shape
         for batch in batches:
             sums = np.zeros(1 + k + k * k + k + 2 * k * p)
-            out = []
-            names = (batch.schema.names[0], "_piece", "_orders", "_x", "_forward", "_back", "_total")
-            for name, piece, orders, x, forward, back, total in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                x = np.array(x)
-                logs = _emissions(x, means, sds)
-                top = logs.max(axis=1)
-                b = np.exp(logs - top[:, None])
-                n = len(x)
-                alpha, scale = np.zeros((n, k)), np.zeros(n)
-                now = np.array(forward) if forward is not None else initial
-                before = None if piece == 0 else now
-                for t in range(n):
-                    now = (now if piece == 0 and t == 0 else now @ transition) * b[t]
-                    scale[t] = now.sum()
-                    now = now / scale[t]
-                    alpha[t] = now
-                beta = np.zeros((n, k))
-                beta[-1] = np.array(back) if back is not None else 1.0
-                for t in range(n - 2, -1, -1):
-                    beta[t] = transition @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+            parts = []
+            start = batch.column("_piece").to_numpy(zero_copy_only=False) == 0
+            enter = np.array([initial if f is None else f for f in batch.column("_forward").to_pylist()]).reshape(-1, k)
+            leave = np.array([np.ones(k) if f is None else f for f in batch.column("_back").to_pylist()]).reshape(-1, k)
+            totals = batch.column("_total").to_pylist()
+            for part, x, active in _chunks(batch.column("_x"), p):
+                logs = _emissions(x.reshape(-1, p), means, sds).reshape(*x.shape[:2], k)
+                top = logs.max(axis=2)
+                b = np.exp(logs - top[:, :, None])
+                first = start[part]
+                alpha, beta, scale = np.zeros_like(b), np.zeros_like(b), np.ones(top.shape)
+                now = enter[part]
+                for t, n in enumerate(active):
+                    moved = now[:n] @ transition
+                    if t == 0:
+                        moved = np.where(first[:, None], now, moved)
+                    moved = moved * b[t, :n]
+                    scale[t, :n] = moved.sum(axis=1)
+                    alpha[t, :n] = now[:n] = moved / scale[t, :n, None]
+                for t in range(len(x) - 1, -1, -1):
+                    on = active[t + 1] if t + 1 < len(x) else 0
+                    beta[t, on : active[t]] = leave[part[on : active[t]]]
+                    if on:
+                        beta[t, :on] = (b[t + 1, :on] * beta[t + 1, :on]) @ transition.T / scale[t + 1, :on, None]
                 gamma = alpha * beta
-                gamma /= gamma.sum(axis=1, keepdims=True)
+                inside = np.arange(len(part)) < active[:, None]
+                gamma[inside] /= gamma[inside].sum(axis=1, keepdims=True)
                 if posterior:
-                    out += [(name, o, g) for o, g in zip(orders, gamma.tolist(), strict=True)]
+                    parts.append((part, gamma))
                     continue
-                steps = np.zeros((k, k))
-                starts = ([(before, 0)] if before is not None else []) + [(alpha[t - 1], t) for t in range(1, n)]
-                for a, t in starts:
-                    xi = a[:, None] * transition * (b[t] * beta[t])[None]
-                    steps += xi / xi.sum()
-                value = total if total is not None else float(np.log(scale).sum() + top.sum())
-                first = gamma[0] if piece == 0 else np.zeros(k)
-                sums += np.concatenate([[value], first, steps.ravel(), gamma.sum(axis=0), (gamma.T @ x).ravel(), (gamma.T @ (x * x)).ravel()])
+                before = np.concatenate([enter[part][None], alpha[:-1]])
+                counted = inside.copy()
+                counted[0] &= ~first
+                xi = before[counted][:, :, None] * transition * (b * beta)[counted][:, None, :]
+                steps = (xi / xi.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                values = (np.where(inside, np.log(scale) + top, 0.0)).sum(axis=0)
+                value = sum(v if totals[i] is None else totals[i] for i, v in zip(part, values, strict=True))
+                g, y = gamma[inside], x[inside]
+                sums += np.concatenate([[value], gamma[0][first].sum(axis=0), steps.ravel(), g.sum(axis=0), (g.T @ y).ravel(), (g.T @ (y * y)).ravel()])
             if posterior:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field(0).type), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.list_(pa.float64()))], names=[names[0], "_order", "probabilities"])
+                rows, of = _rows_of(batch, parts, k)
+                shares = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * k, pa.int32()), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column("_orders").flatten(), shares], names=[batch.schema.names[0], "_order", "probabilities"])
             else:
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["_sums"])
 
@@ -425,30 +474,29 @@ def paths(fit: States, pieces: DataFrame, sequence: str, order: str) -> DataFram
         with np.errstate(divide="ignore"):
             log_start, log_step = np.log(initial), np.log(transition)
         for batch in batches:
-            names, orders_out, states_out = [], [], []
-            columns = (batch.schema.names[0], "_piece", "_orders", "_x", "_forward")
-            for name, piece, orders, x, ends in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                logs = _emissions(np.array(x), means, sds)
-                # between the states of the joined path, if the sequence has several pieces
-                now = log_start if ends is None else np.where(np.arange(k) == int(ends[0]), 0.0, -np.inf)
-                backs = []
-                for t, row in enumerate(logs):
-                    if piece == 0 and t == 0:
-                        backs.append(np.arange(k))
-                        now = now + row
-                        continue
-                    each = now[:, None] + log_step
-                    backs.append(each.argmax(axis=0))
-                    now = each.max(axis=0) + row
-                state = int(now.argmax()) if ends is None else int(ends[1])
-                path = [state]
-                for back in reversed(backs[1:]):
-                    state = int(back[state])
-                    path.append(state)
-                names += [name] * len(path)
-                orders_out += orders
-                states_out += [s + 1 for s in reversed(path)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(orders_out, pa.float64()), pa.array(states_out, pa.int32())], names=[columns[0], "_order", "state"])
+            parts = []
+            start = batch.column("_piece").to_numpy(zero_copy_only=False) == 0
+            # between the states of the joined path, if the sequence has several pieces
+            ends = batch.column("_forward").to_pylist()
+            for part, x, active in _chunks(batch.column("_x"), means.shape[1]):
+                logs = _emissions(x.reshape(-1, means.shape[1]), means, sds).reshape(*x.shape[:2], k)
+                now = np.array([log_start if ends[i] is None else np.where(np.arange(k) == int(ends[i][0]), 0.0, -np.inf) for i in part])
+                backs, path = np.zeros(logs.shape, int), np.zeros(logs.shape[:2], int)
+                for t, n in enumerate(active):
+                    each = now[:n, :, None] + log_step
+                    backs[t, :n], moved = each.argmax(axis=1), each.max(axis=1)
+                    if t == 0:
+                        moved = np.where(start[part][:, None], now, moved)
+                    now[:n] = moved + logs[t, :n]
+                state = np.array([m if ends[i] is None else int(ends[i][1]) for i, m in zip(part, now.argmax(axis=1), strict=True)])
+                for t in range(len(x) - 1, -1, -1):
+                    n = active[t]
+                    path[t, :n] = state[:n]
+                    if t:
+                        state[:n] = backs[t, np.arange(n), state[:n]]
+                parts.append((part, path[:, :, None]))
+            states, of = _rows_of(batch, parts, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column("_orders").flatten(), pa.array(states[:, 0].astype(np.int32) + 1, pa.int32())], names=[batch.schema.names[0], "_order", "state"])
 
     found = _with_messages(pieces, sequence, model, best=True).mapInArrow(run, f"`{sequence}` {kind}, _order double, state int")
     return found.withColumnRenamed("_order", order)
