@@ -79,22 +79,28 @@ def fit_linear(df: DataFrame, by: Sequence[str], outcome: Column | str, terms: d
 
 
 def without_factors(rows: DataFrame, columns: Sequence[str], factors: Sequence[str], rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
-    """rows with columns about the means of every factor: one pass for one factor, alternating passes for several until none moves by more than tolerance of its deviation."""
+    """rows with columns about the means of every factor: one pass for one factor, alternating passes for several until none moves by more than tolerance of its deviation.
+
+    Rows with the same levels move together, so the passes go over a table of the combinations of levels with their numbers and means; rows meet their whole shift once."""
     scale = rows.agg(*(F.stddev_samp(c) for c in columns)).first()
-    table = Table(rows, "factors")
-    for k in range(rounds):
-        now = table.df
-        for f in factors:
-            means = now.groupBy(f).agg(*(F.avg(c).alias(f"_m{j}") for j, c in enumerate(columns)))
-            now = joined_null_safe(now, means, [f]).withColumns({c: F.col(c) - F.col(f"_m{j}") for j, c in enumerate(columns)} | {f"_moved_{f}": F.greatest(F.lit(0.0), *(F.abs(F.col(f"_m{j}")) / (s or 1.0) for j, s in enumerate(scale)))}).drop(*(f"_m{j}" for j in range(len(columns))))
+    at = range(len(columns))
+    cells = rows.groupBy(*factors).agg(F.count("*").alias("_n"), *(F.avg(c).alias(f"_c{j}") for j, c in enumerate(columns))).withColumns({f"_s{j}": F.lit(0.0) for j in at})
+    table = Table(cells, "factors")
+    for _ in range(rounds):
+        now = table.df.select(*factors, "_n", *(f"_{x}{j}" for x in "cs" for j in at))
+        for k, f in enumerate(factors):
+            means = now.groupBy(f).agg(*((F.sum(F.col("_n") * F.col(f"_c{j}")) / F.sum("_n")).alias(f"_m{j}") for j in at))
+            moved = F.greatest(F.lit(0.0), *(F.abs(F.col(f"_m{j}")) / (s or 1.0) for j, s in enumerate(scale)))
+            shifted = {f"_c{j}": F.col(f"_c{j}") - F.col(f"_m{j}") for j in at} | {f"_s{j}": F.col(f"_s{j}") + F.col(f"_m{j}") for j in at} | {f"_moved{k}": moved}
+            now = joined_null_safe(now, means, [f]).withColumns(shifted).drop(*(f"_m{j}" for j in at))
         new = Table(now, "factors")
         table.drop()
-        most = max(new.df.agg(*(F.max(f"_moved_{f}") for f in factors)).first(), default=None) if new.df.head(1) else 0.0
-        table = Table(new.df.drop(*(f"_moved_{f}" for f in factors)), "factors")
-        new.drop()
-        if len(factors) < 2 or (most or 0.0) < tolerance:
+        table = new
+        most = max((v for v in table.df.agg(*(F.max(f"_moved{k}") for k in range(len(factors)))).first() if v is not None), default=0.0)
+        if len(factors) < 2 or most < tolerance:
             break
-    return table.df
+    met = joined_null_safe(rows, table.df.select(*factors, *(f"_s{j}" for j in at)), factors)
+    return Table(met.withColumns({c: F.col(c) - F.col(f"_s{j}") for j, c in enumerate(columns)}).drop(*(f"_s{j}" for j in at)), "factors").df
 
 
 def fit_pupil_confound_model(df: DataFrame, pupil: str, luminance: str, order: str, theta: str | None = None, factors: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
