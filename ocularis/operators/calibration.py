@@ -1,10 +1,13 @@
 """Item parameters by marginal maximum likelihood, and links between calibrations by their curves.
 
-``calibrate`` is the EM algorithm over a grid of ability. A round has three aggregates: the
-log-likelihood of each person's responses at every node (sums of two arrays an item has, one for each
-response), from it the person's posterior, and each item's expected numbers of persons and of
-successes at every node. An item's slope and intercept then follow from its own 2 x nodes numbers, in its row.
+``calibrate`` is the EM algorithm over a grid of ability. A round takes the log-likelihood of each
+person's responses at every node, from it the person's posterior, and each item's expected numbers of
+persons and of successes at every node. An item's slope and intercept then follow from its own 2 x nodes numbers, in its row.
 The marginal log-likelihood, a sum over persons, never falls and is the stopping rule.
+
+Responses are written once, a row a person and in ranges of persons. A round reads them where they lie, with the items
+broadcast, and only its sums an item and task are shuffled. Persons with more than ``LONG`` responses, or all if there are more
+than ``ITEMS`` items, stay plain rows, which meet items and posteriors by shuffles in every round.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,8 @@ from ..functions.rounds import Table
 from .irt import probability_2pl
 
 NODES, LOW, HIGH = 21, -4.0, 4.0
+#: Responses that one person's row may hold, items that may be broadcast, and responses that a kernel takes together.
+LONG, ITEMS, CHUNK = 100_000, 1_000_000, 1 << 17
 
 
 def grid(low: float = LOW, high: float = HIGH, nodes: int = NODES) -> tuple[list[float], list[float]]:
@@ -55,7 +61,7 @@ def posteriors(rows: DataFrame, tables: DataFrame, person: str, item: str, weigh
 
 
 def _improved(thetas: Sequence[float], rasch: bool, item: str):
-    """The kernel over items with their expected numbers: a few Newton steps for slope and intercept, from where they are."""
+    """The kernel over items with their expected numbers: a few Newton steps for slope and intercept, from where they are. The row without an item keeps its first number as slope."""
 
     def run(batches):
         import numpy as np
@@ -63,7 +69,12 @@ def _improved(thetas: Sequence[float], rasch: bool, item: str):
 
         t = np.array(thetas)
         for batch in batches:
-            n, r = (np.array(batch.column(c).to_pylist(), float) for c in ("_n", "_r"))
+            for total in batch.filter(batch.column(item).is_null()).column("_s"):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(item).type), pa.array([total[0].as_py()]), pa.array([None], pa.float64())], names=[item, "slope", "intercept"])
+            batch = batch.filter(batch.column(item).is_valid())
+            if not batch.num_rows:
+                continue
+            n, r = np.split(np.array(batch.column("_s").to_pylist(), float), 2, axis=1)
             a, d = (np.array(batch.column(c).to_pylist(), float) for c in ("slope", "intercept"))
 
             def value(a, d, n=n, r=r):
@@ -93,6 +104,131 @@ def _improved(thetas: Sequence[float], rasch: bool, item: str):
     return run
 
 
+def _whole_persons(batches):
+    """Tables of about CHUNK rows without a part of a person; a person's first row has ``_at`` 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < CHUNK:
+            continue
+        rows = pa.Table.from_batches(held)
+        cut = int(np.flatnonzero(rows["_at"].to_numpy() == 0)[-1])
+        if cut:
+            yield rows.slice(0, cut)
+        held, n = rows.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _scored(thetas: Sequence[float], weights: Sequence[float], item: str, errors: bool):
+    """The kernel over persons' responses with their items' slope and intercept: ``_s`` of an item has its expected numbers of persons and of successes, that
+    without an item the log-likelihood first; with errors, sums of squares and products of person scores by slope and intercept, at ``_slope`` and ``_intercept``."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        t, mass = np.array(thetas), np.log(np.array(weights))
+
+        def packed(items, sums):
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+            return pa.RecordBatch.from_arrays([items, each], names=[item, "_s"])
+
+        for rows in _whole_persons(batches):
+            coded = rows[item].combine_chunks().dictionary_encode()
+            of, items = coded.indices.to_numpy(), coded.dictionary
+            y = rows["_y"].to_numpy() > 0.5
+
+            def by_item(name, of=of, items=items, rows=rows):
+                out = np.empty(len(items))
+                out[of] = rows[name].to_numpy()
+                return out[:, None]
+
+            eta = by_item("slope") * t + by_item("intercept")
+            tail = np.log1p(np.exp(-np.abs(eta)))
+            logs = np.stack([np.minimum(-eta, 0) - tail, np.minimum(eta, 0) - tail])[y.astype(int), of]
+            starts = np.flatnonzero(rows["_at"].to_numpy() == 0)
+            sums = np.add.reduceat(logs, starts, axis=0) + mass
+            top = sums.max(axis=1, keepdims=True)
+            share = np.exp(sums - top)
+            z = share.sum(axis=1, keepdims=True)
+            w = np.repeat(share / z, np.diff(starts, append=len(y)), axis=0)
+            order = np.argsort(of, kind="stable")
+            firsts = np.searchsorted(of[order], np.arange(len(items)))
+            if errors:
+                miss = w * (y[:, None] - 1 / (1 + np.exp(-(by_item("_slope") * t + by_item("_intercept"))))[of])
+                d, a = miss.sum(axis=1), (miss * t).sum(axis=1)
+                yield packed(items, np.add.reduceat(np.stack([a * a, a * d, d * d], axis=1)[order], firsts, axis=0))
+                continue
+            yield packed(items, np.add.reduceat(np.hstack([w, w * y[:, None]])[order], firsts, axis=0))
+            yield packed(pa.nulls(1, items.type), np.array([[(top + np.log(z)).sum()] + [0.0] * (2 * len(t) - 1)]))
+
+    return run
+
+
+@dataclass(frozen=True)
+class _Responses:
+    """Responses of items that are estimated: a row a person with an array of them, and plain rows of the other persons."""
+
+    nested: DataFrame | None
+    plain: DataFrame | None
+    person: str
+    item: str
+    thetas: list[float]
+    weights: list[float]
+
+    def _kernel(self, items: DataFrame, errors: bool) -> DataFrame:
+        each = self.nested.select(F.posexplode("_of").alias("_at", "_r")).select("_at", F.col("_r.i").alias(self.item), F.col("_r.y").alias("_y"))
+        schema = f"`{self.item}` {dict(items.dtypes)[self.item]}, _s array<double>"
+        return each.join(F.broadcast(items), self.item).mapInArrow(_scored(self.thetas, self.weights, self.item, errors), schema)
+
+    def posteriors(self, items: DataFrame) -> DataFrame | None:
+        return posteriors(self.plain, tabulated(items, self.item, self.thetas), self.person, self.item, self.weights) if self.plain else None
+
+    def expected(self, items: DataFrame, posterior: DataFrame | None) -> DataFrame:
+        """item and ``_s``, the expected numbers of persons and of successes at every node; in the row without an item, the log-likelihood and zeros."""
+        n = len(self.thetas)
+        parts = [self._kernel(items, False)] if self.nested else []
+        if posterior:
+            met = joined_null_safe(self.plain, posterior.select(self.person, "_w"), [self.person])
+            sums = met.groupBy(self.item).agg(_summed("_w[{}]", n).alias("_n"), _summed("_y * _w[{}]", n).alias("_r"))
+            parts.append(sums.select(self.item, F.concat("_n", "_r").alias("_s")))
+            total = posterior.agg(F.sum("_ll").alias("_ll")).dropna()
+            parts.append(total.select(F.lit(None).cast(dict(items.dtypes)[self.item]).alias(self.item), F.concat(F.array("_ll"), F.array_repeat(F.lit(0.0), 2 * n - 1)).alias("_s")))
+        return reduce(DataFrame.union, parts).groupBy(self.item).agg(_summed("_s[{}]", 2 * n).alias("_s"))
+
+    def squares(self, before: DataFrame, items: DataFrame) -> DataFrame:
+        """item, aa, ad and dd: sums over persons of squares and products of their scores at items, with their posteriors at the items before."""
+        later = items.select(self.item, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
+        parts = [self._kernel(joined_null_safe(before, later, [self.item]), True)] if self.nested else []
+        if self.plain:
+            met = joined_null_safe(joined_null_safe(self.plain, later, [self.item]), self.posteriors(before).select(self.person, "_w"), [self.person])
+            nodes = F.array(*map(F.lit, self.thetas))
+            miss = met.withColumn("_e", F.transform(nodes, lambda t: F.col("_y") - probability_2pl(t, F.col("_slope"), -F.col("_intercept") / F.col("_slope"))))
+            dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+            scored = miss.select(self.item, dot("_w", F.col("_e")).alias("_d"), dot("_w", F.zip_with("_e", nodes, lambda e, t: e * t)).alias("_a"))
+            parts.append(scored.groupBy(self.item).agg(F.expr("array(sum(_a * _a), sum(_a * _d), sum(_d * _d))").alias("_s")))
+        sums = reduce(DataFrame.union, parts).groupBy(self.item).agg(_summed("_s[{}]", 3).alias("_s"))
+        return sums.select(self.item, *(F.col("_s")[k].alias(c) for k, c in enumerate(("aa", "ad", "dd"))))
+
+
+def _laid_out(rows: DataFrame, person: str, item: str, many: bool, thetas: list[float], weights: list[float]) -> _Responses:
+    """rows: person, item, ``_y``. many: more items than may be broadcast."""
+    if many:
+        return _Responses(None, Table(rows, "calibration-used").df, person, item, thetas, weights)
+    long = Table(rows.groupBy(person).count().filter(F.col("count") > LONG).select(person), "calibration-long").df
+    short, plain = rows, None
+    if not long.isEmpty():
+        marked = joined_null_safe(rows, long.withColumn("_long", F.lit(True)), [person], "left")
+        short, plain = marked.filter("_long IS NULL").drop("_long"), Table(marked.filter("_long").drop("_long"), "calibration-used").df
+    nested = short.repartitionByRange(person).groupBy(person).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_y").alias("y"))).alias("_of")).select("_of")
+    return _Responses(Table(nested, "calibration-persons").df, plain, person, item, thetas, weights)
+
+
 @dataclass(frozen=True)
 class Calibration:
     """items: item, n, status, a, b and their standard errors; log_likelihoods: of each round; converged."""
@@ -114,17 +250,23 @@ def calibrate(responses: DataFrame, person: str, item: str, response: str = "res
     status = F.when(F.col("n") < least, "insufficient_data").when(F.col("_p").isin(0.0, 1.0), "extreme").otherwise("estimated")
     counts = Table(counts.withColumn("status", status), "calibration-items")
     good = counts.df.filter("status = 'estimated'")
-    rows = Table(joined_null_safe(every.df, good.select(item), [item]), "calibration-used")
-    items = Table(good.select(item, F.lit(1.0).alias("slope"), F.ln(F.col("_p") / (1 - F.col("_p"))).alias("intercept")), "calibration-state")
+    rows = _laid_out(joined_null_safe(every.df, good.select(item), [item]), person, item, good.count() > ITEMS, thetas, weights)
+    every.drop()
+    states = [Table(good.select(item, F.lit(1.0).alias("slope"), F.ln(F.col("_p") / (1 - F.col("_p"))).alias("intercept")), "calibration-state")]
+    items = before = states[0].df
     found: list[float] = []
     converged = False
     schema = f"`{item}` {dict(responses.dtypes)[item]}, slope double, intercept double"
-    posterior: Table | None = None
     for _ in range(rounds):
-        if posterior:
-            posterior.drop()
-        posterior = Table(posteriors(rows.df, tabulated(items.df, item, thetas), person, item, weights), "calibration-posterior")
-        total = posterior.df.agg(F.sum("_ll")).first()[0]
+        # a round's table: the improved items, and in the row without an item the log-likelihood of those before
+        posterior = Table(rows.posteriors(items), "calibration-posterior") if rows.plain else None
+        sums = rows.expected(items, posterior.df if posterior else None)
+        new = Table(joined_null_safe(sums, items, [item], "left").mapInArrow(_improved(thetas, rasch, item), schema), "calibration-state")
+        for old in [*([posterior] if posterior else []), *states[:-1]]:
+            old.drop()
+        states = [states[-1], new]
+        total = new.df.filter(F.col(item).isNull()).agg(F.sum("slope")).first()[0]
+        before = items
         if total is None:
             converged = True
             break
@@ -132,23 +274,14 @@ def calibrate(responses: DataFrame, person: str, item: str, response: str = "res
         if len(found) > 1 and abs(found[-1] - found[-2]) < tolerance * abs(found[-1]):
             converged = True
             break
-        met = joined_null_safe(rows.df, posterior.df.select(person, "_w"), [person])
-        sums = met.groupBy(item).agg(_summed("_w[{}]", nodes).alias("_n"), _summed("_y * _w[{}]", nodes).alias("_r"))
-        new = Table(joined_null_safe(items.df, sums, [item]).mapInArrow(_improved(thetas, rasch, item), schema), "calibration-state")
-        items.drop()
-        items = new
-    errors = _standard_errors(rows.df, items.df, posterior.df if posterior else None, person, item, thetas, rasch) if found else items.df.select(item, F.lit(None).cast("double").alias("a_se"), F.lit(None).cast("double").alias("b_se"))
-    fitted = joined_null_safe(items.df.select(item, F.col("slope").alias("a"), (-F.col("intercept") / F.col("slope")).alias("b")), errors, [item])
+        items = new.df.filter(F.col(item).isNotNull())
+    errors = _standard_errors(rows.squares(before, items), items, item, rasch) if found else items.select(item, F.lit(None).cast("double").alias("a_se"), F.lit(None).cast("double").alias("b_se"))
+    fitted = joined_null_safe(items.select(item, F.col("slope").alias("a"), (-F.col("intercept") / F.col("slope")).alias("b")), errors, [item])
     return Calibration(joined_null_safe(counts.df.select(item, "n", "status"), fitted, [item], "left"), found, converged)
 
 
-def _standard_errors(rows: DataFrame, items: DataFrame, posterior: DataFrame, person: str, item: str, thetas: Sequence[float], rasch: bool) -> DataFrame:
-    met = joined_null_safe(joined_null_safe(rows, items, [item]), posterior.select(person, "_w"), [person])
-    nodes = F.array(*map(F.lit, thetas))
-    miss = met.withColumn("_e", F.transform(nodes, lambda t: F.col("_y") - probability_2pl(t, F.col("slope"), -F.col("intercept") / F.col("slope"))))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    scored = miss.select(item, "slope", "intercept", dot("_w", F.col("_e")).alias("_d"), dot("_w", F.zip_with("_e", nodes, lambda e, t: e * t)).alias("_a"))
-    sums = scored.groupBy(item, "slope", "intercept").agg(F.sum(F.col("_a") * F.col("_a")).alias("aa"), F.sum(F.col("_a") * F.col("_d")).alias("ad"), F.sum(F.col("_d") * F.col("_d")).alias("dd"))
+def _standard_errors(squares: DataFrame, items: DataFrame, item: str, rasch: bool) -> DataFrame:
+    sums = joined_null_safe(squares, items, [item])
     if rasch:
         return sums.select(item, F.lit(None).cast("double").alias("a_se"), F.try_divide(F.lit(1.0), F.sqrt("dd")).alias("b_se"))
     det = F.col("aa") * F.col("dd") - F.col("ad") * F.col("ad")
