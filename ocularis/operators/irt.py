@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import correlation, expit, finite, normal_cdf, normal_quantile, ordered, ratio, share, softmax
 from ..functions.ranks import running, totalled
 
+#: Of a class of equal skills: items that lie in one array, and profiles of one piece.
+ITEMS_TOGETHER, PROFILES_TOGETHER = 1_000, 10_000
+
 
 def probability_2pl(theta: Column, a: Column, b: Column, scale: float = 1.0) -> Column:
     return expit(scale * a * (theta - b))
@@ -303,11 +306,24 @@ def ez_diffusion(responses: DataFrame, by: Sequence[str], accuracy: str, time: s
 def dina_ideal_response(q: DataFrame, profiles: DataFrame) -> DataFrame:
     """1 where a profile has every skill of an item, else 0, for the items and profiles that share a skill (others are 0). q: item_id, skill; profiles: profile, skill.
 
-    Needs meet holdings by skill and matches are counted, so no item meets a profile that has nothing to do with it. Null skills are nobody's."""
-    needed = q.select("item_id", "skill").dropna(subset=["skill"]).distinct()
-    held = profiles.select("profile", "skill").dropna(subset=["skill"]).distinct()
-    matches = needed.join(held, "skill").groupBy("item_id", "profile").agg(F.count("*").alias("_found"))
-    return matches.join(needed.groupBy("item_id").agg(F.count("*").alias("_need")), "item_id").select("item_id", "profile", (F.col("_found") == F.col("_need")).cast("int").alias("ideal"))
+    Items with equal skills are a class, and so are profiles. Classes meet by skill, in the row of the first skill that both have, so no item meets a profile that has
+    nothing to do with it; then profiles take the items of their classes, in pieces of classes, and no pair of an item and a profile is shuffled. Null skills and items are nobody's."""
+    items, needed = _skill_classes(q.filter("item_id IS NOT NULL"), "item_id", ITEMS_TOGETHER)
+    blocks = items.groupBy(F.col("_set").alias("_needed"), "_piece").agg(F.collect_list("item_id").alias("_items")).drop("_piece")
+    holders, held = _skill_classes(profiles, "profile", PROFILES_TOGETHER)
+    by_skill = lambda classes, *more: classes.select(*more, F.explode(more[0]).alias("skill"))
+    met = by_skill(held, "_set", "_pieces").join(by_skill(needed.withColumnRenamed("_set", "_needed"), "_needed"), "skill")
+    both = F.array_intersect("_needed", "_set")
+    pairs = met.filter(F.get(both, F.lit(0)) == F.col("skill")).select("_set", "_pieces", "_needed", (F.size(both) == F.size("_needed")).cast("int").alias("ideal"))
+    wide = pairs.join(blocks, "_needed").select("_set", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_piece"), "_items", "ideal")
+    return holders.join(wide, ["_set", "_piece"]).select(F.explode("_items").alias("item_id"), "profile", "ideal")
+
+
+def _skill_classes(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """key, ``_set`` (its skills, sorted) and ``_piece``; and the classes of equal sets with their number of ``_pieces``, of about size keys each."""
+    of = rows.select(key, "skill").dropna(subset=["skill"]).distinct().groupBy(key).agg(F.sort_array(F.collect_list("skill")).alias("_set"))
+    classes = of.groupBy("_set").agg(F.ceil(F.count("*") / size).cast("int").alias("_pieces"))
+    return of.join(classes, "_set").select(key, "_set", F.pmod(F.xxhash64(key), "_pieces").cast("int").alias("_piece")), classes
 
 
 def pareto_front(items: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:
