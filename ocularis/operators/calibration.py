@@ -5,9 +5,10 @@ person's responses at every node, from it the person's posterior, and each item'
 persons and of successes at every node. An item's slope and intercept then follow from its own 2 x nodes numbers, in its row.
 The marginal log-likelihood, a sum over persons, never falls and is the stopping rule.
 
-Responses are written once, a row a person and in ranges of persons. A round reads them where they lie, with the items
-broadcast, and only its sums an item and task are shuffled. Persons with more than ``LONG`` responses, or all if there are more
-than ``ITEMS`` items, stay plain rows, which meet items and posteriors by shuffles in every round.
+Responses are written once, in ranges of persons: a row has ``CHUNK`` responses of whole persons, as numbers of items and of persons
+that a round's kernel takes as arrays. Items are broadcast as arrays by their number; a task adds up all of its chunks, and only its
+sums an item are shuffled. Persons with more than ``LONG`` responses, or all if there are more than ``ITEMS`` items, stay plain rows,
+which meet items and posteriors by shuffles in every round.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ from ..functions.rounds import Table
 from .irt import probability_2pl
 
 NODES, LOW, HIGH = 21, -4.0, 4.0
-#: Responses that one person's row may hold, items that may be broadcast, and responses that a kernel takes together.
-LONG, ITEMS, CHUNK = 100_000, 1_000_000, 1 << 17
+#: Responses that a person in a chunk may have, items that may be broadcast, responses that a kernel takes together, and parts of persons that are counted to find long ones.
+LONG, ITEMS, CHUNK, PARTS = 100_000, 1_000_000, 1 << 17, 1 << 16
 
 
 def grid(low: float = LOW, high: float = HIGH, nodes: int = NODES) -> tuple[list[float], list[float]]:
@@ -74,8 +77,8 @@ def _improved(thetas: Sequence[float], rasch: bool, item: str):
             batch = batch.filter(batch.column(item).is_valid())
             if not batch.num_rows:
                 continue
-            n, r = np.split(np.array(batch.column("_s").to_pylist(), float), 2, axis=1)
-            a, d = (np.array(batch.column(c).to_pylist(), float) for c in ("slope", "intercept"))
+            n, r = np.split(batch.column("_s").flatten().to_numpy().reshape(batch.num_rows, -1), 2, axis=1)
+            a, d = (batch.column(c).to_numpy() for c in ("slope", "intercept"))
 
             def value(a, d, n=n, r=r):
                 eta = a[:, None] * t + d[:, None]
@@ -98,6 +101,8 @@ def _improved(thetas: Sequence[float], rasch: bool, item: str):
                     size = np.where(worse, size / 2, size)
                 size = np.where(worse, 0.0, size)
                 a, d = a + size * step[0], d + size * step[1]
+                if np.abs(size * step).max() < 1e-8:  # the next step would be in the last digit
+                    break
                 now = value(a, d)
             yield pa.RecordBatch.from_arrays([batch.column(item), pa.array(a), pa.array(d)], names=[item, "slope", "intercept"])
 
@@ -105,74 +110,114 @@ def _improved(thetas: Sequence[float], rasch: bool, item: str):
 
 
 def _whole_persons(batches):
-    """Tables of about CHUNK rows without a part of a person; a person's first row has ``_at`` 0."""
+    """Arrays of persons' arrays with about CHUNK responses together."""
     import numpy as np
     import pyarrow as pa
 
     held, n = [], 0
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
+        held.append(batch.column(0))
+        n += len(held[-1].flatten())
         if n < CHUNK:
             continue
-        rows = pa.Table.from_batches(held)
-        cut = int(np.flatnonzero(rows["_at"].to_numpy() == 0)[-1])
-        if cut:
-            yield rows.slice(0, cut)
-        held, n = rows.slice(cut).to_batches(), n - cut
+        of = pa.concat_arrays(held)
+        lengths = of.value_lengths().to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // CHUNK)) + 1)]
+        yield from (of.slice(a, b - a) for a, b in pairwise(cuts))
+        held, n = [of.slice(cuts[-1])], int(lengths[cuts[-1] :].sum())
     if n:
-        yield pa.Table.from_batches(held)
+        yield pa.concat_arrays(held)
 
 
-def _scored(thetas: Sequence[float], weights: Sequence[float], item: str, errors: bool):
-    """The kernel over persons' responses with their items' slope and intercept: ``_s`` of an item has its expected numbers of persons and of successes, that
-    without an item the log-likelihood first; with errors, sums of squares and products of person scores by slope and intercept, at ``_slope`` and ``_intercept``."""
+def _packed(batches):
+    """A row for each chunk of whole persons: ``_code``, twice the number of a response's item and one more if it is right, ``_who``, its person's number in the row, both as bytes, and the
+    number of persons. The first responses of all persons come first, then the second ones, so that sums by person don't wait for each other."""
+    import numpy as np
+    import pyarrow as pa
+
+    for of in _whole_persons(batches):
+        lengths = of.value_lengths().to_numpy()
+        who = np.repeat(np.arange(len(of)), lengths)
+        order = np.argsort(np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths), kind="stable")
+        columns = [[x[order].astype(np.int32).tobytes()] for x in (of.flatten().to_numpy(), who)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array([len(of)])], names=["_code", "_who", "_persons"])
+
+
+def _scored(thetas: Sequence[float], weights: Sequence[float], item: str, known: Broadcast, errors: bool):
+    """The kernel over chunks with slopes and intercepts by number of item: ``_s`` of an item has its expected numbers of persons and of successes over all of the task's chunks, that without an
+    item the log-likelihood first; with errors, sums of squares and products of person scores by the slopes and intercepts that follow in known."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         t, mass = np.array(thetas), np.log(np.array(weights))
+        nodes, items = range(len(t)), known.value.shape[1]
 
-        def packed(items, sums):
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
-            return pa.RecordBatch.from_arrays([items, each], names=[item, "_s"])
+        def by_code(slope, intercept, wrong_and_right):
+            out = np.empty((len(t), 2 * items))
+            for k in nodes:
+                out[k, ::2], out[k, 1::2] = wrong_and_right(slope * t[k] + intercept)
+            return out
 
-        for rows in _whole_persons(batches):
-            coded = rows[item].combine_chunks().dictionary_encode()
-            of, items = coded.indices.to_numpy(), coded.dictionary
-            y = rows["_y"].to_numpy() > 0.5
+        def logs(eta):
+            tail = np.log1p(np.exp(-np.abs(eta)))
+            return np.minimum(-eta, 0) - tail, np.minimum(eta, 0) - tail
 
-            def by_item(name, of=of, items=items, rows=rows):
-                out = np.empty(len(items))
-                out[of] = rows[name].to_numpy()
-                return out[:, None]
+        def misses(eta):
+            p = 1 / (1 + np.exp(-eta))
+            return -p, 1 - p
 
-            eta = by_item("slope") * t + by_item("intercept")
-            tail = np.log1p(np.exp(-np.abs(eta)))
-            logs = np.stack([np.minimum(-eta, 0) - tail, np.minimum(eta, 0) - tail])[y.astype(int), of]
-            starts = np.flatnonzero(rows["_at"].to_numpy() == 0)
-            sums = np.add.reduceat(logs, starts, axis=0) + mass
-            top = sums.max(axis=1, keepdims=True)
-            share = np.exp(sums - top)
-            z = share.sum(axis=1, keepdims=True)
-            w = np.repeat(share / z, np.diff(starts, append=len(y)), axis=0)
-            order = np.argsort(of, kind="stable")
-            firsts = np.searchsorted(of[order], np.arange(len(items)))
+        def packed(numbers, sums):
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+            return pa.RecordBatch.from_arrays([numbers, each], names=[item, "_s"])
+
+        total = table = None
+        likelihood = 0.0
+        for row in (row for batch in batches for row in zip(*batch.columns, strict=True)):
+            if table is None:
+                table = by_code(*known.value[:2], logs)
+                total = np.zeros((3 if errors else len(t), 2 * items))
+                miss = by_code(*known.value[2:], misses) if errors else None
+            code, who = (np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in row[:2])
+            persons = row[2].as_py()
+            each, top, z = np.empty(len(code)), np.full(persons, -np.inf), np.zeros(persons)
+            shares = [np.bincount(who, np.take(table[k], code, out=each, mode="clip"), persons) for k in nodes]
+            for k in nodes:
+                shares[k] += mass[k]
+                np.maximum(top, shares[k], out=top)
+            for share in shares:
+                share -= top
+                z += np.exp(share, out=share)
+            likelihood += float((top + np.log(z)).sum())
+            z = 1 / z
+            for share in shares:
+                share *= z
             if errors:
-                miss = w * (y[:, None] - 1 / (1 + np.exp(-(by_item("_slope") * t + by_item("_intercept"))))[of])
-                d, a = miss.sum(axis=1), (miss * t).sum(axis=1)
-                yield packed(items, np.add.reduceat(np.stack([a * a, a * d, d * d], axis=1)[order], firsts, axis=0))
-                continue
-            yield packed(items, np.add.reduceat(np.hstack([w, w * y[:, None]])[order], firsts, axis=0))
-            yield packed(pa.nulls(1, items.type), np.array([[(top + np.log(z)).sum()] + [0.0] * (2 * len(t) - 1)]))
+                d, a = np.zeros(len(code)), np.zeros(len(code))
+                for k in nodes:
+                    np.take(shares[k], who, out=each, mode="clip")
+                    each *= miss[k][code]
+                    d += each
+                    a += each * t[k]
+            for k, of in enumerate((a * a, a * d, d * d) if errors else shares):
+                np.add.at(total[k], code, of if errors else np.take(of, who, out=each, mode="clip"))
+        if total is None:
+            return
+        both = total[:, ::2] + total[:, 1::2]
+        sums = both if errors else np.concatenate([both, total[:, 1::2]])
+        found = np.flatnonzero(both.any(axis=0)).astype(np.int32)
+        for k in range(0, len(found), 8192):
+            yield packed(pa.array(found[k : k + 8192]), sums[:, found[k : k + 8192]].T)
+        if not errors:
+            yield packed(pa.nulls(1, pa.int32()), np.array([[likelihood] + [0.0] * (2 * len(t) - 1)]))
 
     return run
 
 
 @dataclass(frozen=True)
 class _Responses:
-    """Responses of items that are estimated: a row a person with an array of them, and plain rows of the other persons."""
+    """Responses of items that are estimated: chunks of whole persons, and plain rows of the other persons."""
 
     nested: DataFrame | None
     plain: DataFrame | None
@@ -181,18 +226,27 @@ class _Responses:
     thetas: list[float]
     weights: list[float]
 
-    def _kernel(self, items: DataFrame, errors: bool) -> DataFrame:
-        each = self.nested.select(F.posexplode("_of").alias("_at", "_r")).select("_at", F.col("_r.i").alias(self.item), F.col("_r.y").alias("_y"))
-        schema = f"`{self.item}` {dict(items.dtypes)[self.item]}, _s array<double>"
-        return each.join(F.broadcast(items), self.item).mapInArrow(_scored(self.thetas, self.weights, self.item, errors), schema)
+    def known(self, items: DataFrame, *columns: str) -> Broadcast | None:
+        """Those columns, slope and intercept at least, as arrays by number of item."""
+        if not self.nested:
+            return None
+        found = items.select(self.item, "slope", "intercept", *columns).toArrow()
+        import numpy as np
+
+        out = np.empty((found.num_columns - 1, found.num_rows))
+        out[:, found[0].to_numpy()] = [c.to_numpy() for c in found.columns[1:]]
+        return self.nested.sparkSession.sparkContext.broadcast(out)
+
+    def _kernel(self, known: Broadcast, errors: bool) -> DataFrame:
+        return self.nested.mapInArrow(_scored(self.thetas, self.weights, self.item, known, errors), f"`{self.item}` int, _s array<double>")
 
     def posteriors(self, items: DataFrame) -> DataFrame | None:
         return posteriors(self.plain, tabulated(items, self.item, self.thetas), self.person, self.item, self.weights) if self.plain else None
 
-    def expected(self, items: DataFrame, posterior: DataFrame | None) -> DataFrame:
+    def expected(self, items: DataFrame, known: Broadcast | None, posterior: DataFrame | None) -> DataFrame:
         """item and ``_s``, the expected numbers of persons and of successes at every node; in the row without an item, the log-likelihood and zeros."""
         n = len(self.thetas)
-        parts = [self._kernel(items, False)] if self.nested else []
+        parts = [self._kernel(known, False)] if known else []
         if posterior:
             met = joined_null_safe(self.plain, posterior.select(self.person, "_w"), [self.person])
             sums = met.groupBy(self.item).agg(_summed("_w[{}]", n).alias("_n"), _summed("_y * _w[{}]", n).alias("_r"))
@@ -201,10 +255,11 @@ class _Responses:
             parts.append(total.select(F.lit(None).cast(dict(items.dtypes)[self.item]).alias(self.item), F.concat(F.array("_ll"), F.array_repeat(F.lit(0.0), 2 * n - 1)).alias("_s")))
         return reduce(DataFrame.union, parts).groupBy(self.item).agg(_summed("_s[{}]", 2 * n).alias("_s"))
 
-    def squares(self, before: DataFrame, items: DataFrame) -> DataFrame:
+    def squares(self, before: DataFrame, items: DataFrame) -> Table:
         """item, aa, ad and dd: sums over persons of squares and products of their scores at items, with their posteriors at the items before."""
         later = items.select(self.item, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
-        parts = [self._kernel(joined_null_safe(before, later, [self.item]), True)] if self.nested else []
+        known = self.known(joined_null_safe(before, later, [self.item]), "_slope", "_intercept")
+        parts = [self._kernel(known, True)] if known else []
         if self.plain:
             met = joined_null_safe(joined_null_safe(self.plain, later, [self.item]), self.posteriors(before).select(self.person, "_w"), [self.person])
             nodes = F.array(*map(F.lit, self.thetas))
@@ -213,20 +268,32 @@ class _Responses:
             scored = miss.select(self.item, dot("_w", F.col("_e")).alias("_d"), dot("_w", F.zip_with("_e", nodes, lambda e, t: e * t)).alias("_a"))
             parts.append(scored.groupBy(self.item).agg(F.expr("array(sum(_a * _a), sum(_a * _d), sum(_d * _d))").alias("_s")))
         sums = reduce(DataFrame.union, parts).groupBy(self.item).agg(_summed("_s[{}]", 3).alias("_s"))
-        return sums.select(self.item, *(F.col("_s")[k].alias(c) for k, c in enumerate(("aa", "ad", "dd"))))
+        found = Table(sums.select(self.item, *(F.col("_s")[k].alias(c) for k, c in enumerate(("aa", "ad", "dd")))), "calibration-squares")
+        if known:
+            known.destroy()
+        return found
 
 
-def _laid_out(rows: DataFrame, person: str, item: str, many: bool, thetas: list[float], weights: list[float]) -> _Responses:
-    """rows: person, item, ``_y``. many: more items than may be broadcast."""
+def _laid_out(rows: DataFrame, number: int, person: str, item: str, many: bool, thetas: list[float], weights: list[float]) -> _Responses:
+    """rows, about number of them: person, item (its number, unless many) and ``_y``. many: more items than may be broadcast."""
     if many:
         return _Responses(None, Table(rows, "calibration-used").df, person, item, thetas, weights)
-    long = Table(rows.groupBy(person).count().filter(F.col("count") > LONG).select(person), "calibration-long").df
+    # a long person is in a part with many responses, and mostly there is none
+    part = F.pmod(F.hash(person), F.lit(PARTS))
+    large = Table(rows.groupBy(part.alias("_part")).count().filter(F.col("count") > LONG).select("_part"), "calibration-parts").df
     short, plain = rows, None
-    if not long.isEmpty():
-        marked = joined_null_safe(rows, long.withColumn("_long", F.lit(True)), [person], "left")
-        short, plain = marked.filter("_long IS NULL").drop("_long"), Table(marked.filter("_long").drop("_long"), "calibration-used").df
-    nested = short.repartitionByRange(person).groupBy(person).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_y").alias("y"))).alias("_of")).select("_of")
-    return _Responses(Table(nested, "calibration-persons").df, plain, person, item, thetas, weights)
+    if not large.isEmpty():
+        near = rows.withColumn("_part", part).join(F.broadcast(large), "_part")
+        long = Table(near.groupBy(person).count().filter(F.col("count") > LONG).select(person), "calibration-long").df
+        if not long.isEmpty():
+            marked = joined_null_safe(rows, long.withColumn("_long", F.lit(True)), [person], "left")
+            short, plain = marked.filter("_long IS NULL").drop("_long"), Table(marked.filter("_long").drop("_long"), "calibration-used").df
+    code = (F.col(item) * 2 + F.col("_y").cast("int")).alias("_code")
+    # as many ranges for each core, of at most some 32 chunks, so that the tasks of a round end together
+    cores, pieces = rows.sparkSession.sparkContext.defaultParallelism, number // CHUNK + 1
+    ranges = pieces if pieces < cores else cores * math.ceil(pieces / (32 * cores))
+    chunks = short.select(person, code).repartitionByRange(ranges, person).groupBy(person).agg(F.collect_list("_code").alias("_of")).select("_of").mapInArrow(_packed, "_code binary, _who binary, _persons long")
+    return _Responses(Table(chunks, "calibration-persons").df, plain, person, item, thetas, weights)
 
 
 @dataclass(frozen=True)
@@ -249,23 +316,33 @@ def calibrate(responses: DataFrame, person: str, item: str, response: str = "res
     counts = every.df.groupBy(item).agg(F.count("*").alias("n"), F.avg("_y").alias("_p"))
     status = F.when(F.col("n") < least, "insufficient_data").when(F.col("_p").isin(0.0, 1.0), "extreme").otherwise("estimated")
     counts = Table(counts.withColumn("status", status), "calibration-items")
-    good = counts.df.filter("status = 'estimated'")
-    rows = _laid_out(joined_null_safe(every.df, good.select(item), [item]), person, item, good.count() > ITEMS, thetas, weights)
+    good = counts.df.filter("status = 'estimated'").select(item, "n", "_p")
+    many, number = good.agg(F.count("*") > ITEMS, F.coalesce(F.sum("n"), F.lit(0))).first()
+    key = item
+    if not many:  # items have numbers from zero in their order
+        key, each = "_number", good.agg(F.sort_array(F.collect_list(F.struct(item, "_p"))).alias("_of"))
+        good = Table(each.select(F.posexplode("_of").alias(key, "_i")).select(key, f"_i.`{item}`", "_i._p"), "calibration-numbers").df
+    numbers = good.select(*{item: 0, key: 0})
+    met = joined_null_safe(every.df, numbers, [item]) if many else every.df.join(F.broadcast(numbers), item)
+    rows = _laid_out(met.select(person, key, "_y"), number, person, key, many, thetas, weights)
     every.drop()
-    states = [Table(good.select(item, F.lit(1.0).alias("slope"), F.ln(F.col("_p") / (1 - F.col("_p"))).alias("intercept")), "calibration-state")]
+    states = [Table(good.select(key, F.lit(1.0).alias("slope"), F.ln(F.col("_p") / (1 - F.col("_p"))).alias("intercept")), "calibration-state")]
     items = before = states[0].df
     found: list[float] = []
     converged = False
-    schema = f"`{item}` {dict(responses.dtypes)[item]}, slope double, intercept double"
+    schema = f"`{key}` {dict(items.dtypes)[key]}, slope double, intercept double"
     for _ in range(rounds):
         # a round's table: the improved items, and in the row without an item the log-likelihood of those before
         posterior = Table(rows.posteriors(items), "calibration-posterior") if rows.plain else None
-        sums = rows.expected(items, posterior.df if posterior else None)
-        new = Table(joined_null_safe(sums, items, [item], "left").mapInArrow(_improved(thetas, rasch, item), schema), "calibration-state")
+        known = rows.known(items)
+        sums = rows.expected(items, known, posterior.df if posterior else None)
+        new = Table(joined_null_safe(sums, items, [key], "left").mapInArrow(_improved(thetas, rasch, key), schema), "calibration-state")
+        if known:
+            known.destroy()
         for old in [*([posterior] if posterior else []), *states[:-1]]:
             old.drop()
         states = [states[-1], new]
-        total = new.df.filter(F.col(item).isNull()).agg(F.sum("slope")).first()[0]
+        total = new.df.filter(F.col(key).isNull()).agg(F.sum("slope")).first()[0]
         before = items
         if total is None:
             converged = True
@@ -274,9 +351,10 @@ def calibrate(responses: DataFrame, person: str, item: str, response: str = "res
         if len(found) > 1 and abs(found[-1] - found[-2]) < tolerance * abs(found[-1]):
             converged = True
             break
-        items = new.df.filter(F.col(item).isNotNull())
-    errors = _standard_errors(rows.squares(before, items), items, item, rasch) if found else items.select(item, F.lit(None).cast("double").alias("a_se"), F.lit(None).cast("double").alias("b_se"))
-    fitted = joined_null_safe(items.select(item, F.col("slope").alias("a"), (-F.col("intercept") / F.col("slope")).alias("b")), errors, [item])
+        items = new.df.filter(F.col(key).isNotNull())
+    errors = _standard_errors(rows.squares(before, items).df, items, key, rasch) if found else items.select(key, F.lit(None).cast("double").alias("a_se"), F.lit(None).cast("double").alias("b_se"))
+    fitted = joined_null_safe(items.select(key, F.col("slope").alias("a"), (-F.col("intercept") / F.col("slope")).alias("b")), errors, [key])
+    fitted = fitted if many else fitted.join(numbers, key).drop(key)
     return Calibration(joined_null_safe(counts.df.select(item, "n", "status"), fitted, [item], "left"), found, converged)
 
 
