@@ -177,9 +177,10 @@ def _scored(thetas: Sequence[float], weights: Sequence[float], item: str, known:
         for row in (row for batch in batches for row in zip(*batch.columns, strict=True)):
             if table is None:
                 table = by_code(*known.value[:2], logs)
-                total = np.zeros((3 if errors else len(t), 2 * items))
+                total, seen = np.zeros((3 if errors else len(t), 2 * items)), np.zeros(2 * items, bool)
                 miss = by_code(*known.value[2:], misses) if errors else None
             code, who = (np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in row[:2])
+            seen[code] = True
             persons = row[2].as_py()
             each, top, z = np.empty(len(code)), np.full(persons, -np.inf), np.zeros(persons)
             shares = [np.bincount(who, np.take(table[k], code, out=each, mode="clip"), persons) for k in nodes]
@@ -204,11 +205,11 @@ def _scored(thetas: Sequence[float], weights: Sequence[float], item: str, known:
                 np.add.at(total[k], code, of if errors else np.take(of, who, out=each, mode="clip"))
         if total is None:
             return
-        both = total[:, ::2] + total[:, 1::2]
-        sums = both if errors else np.concatenate([both, total[:, 1::2]])
-        found = np.flatnonzero(both.any(axis=0)).astype(np.int32)
+        found = np.flatnonzero(seen[::2] | seen[1::2])
         for k in range(0, len(found), 8192):
-            yield packed(pa.array(found[k : k + 8192]), sums[:, found[k : k + 8192]].T)
+            some = found[k : k + 8192]
+            wrong, right = total[:, 2 * some], total[:, 2 * some + 1]
+            yield packed(pa.array(some.astype(np.int32)), np.vstack([wrong + right, *([] if errors else [right])]).T)
         if not errors:
             yield packed(pa.nulls(1, pa.int32()), np.array([[likelihood] + [0.0] * (2 * len(t) - 1)]))
 
